@@ -1,0 +1,6 @@
+"""The registered queries of the library and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
