@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .langid import op5_language_id
+from .packing import op1_packing
 from .quality import op9_quality
+from .sharding import op2_kd_sharding
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_kd_sharding": op2_kd_sharding,
     "op5_language_id": op5_language_id,
     "op9_quality": op9_quality,
 }
