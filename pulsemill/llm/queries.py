@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontam import op10_decontamination
 from .langid import op5_language_id
+from .neardup import op7_near_duplicates
 from .packing import op1_packing
 from .quality import op9_quality
 from .sharding import op2_kd_sharding
@@ -11,7 +13,9 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_kd_sharding": op2_kd_sharding,
     "op5_language_id": op5_language_id,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
