@@ -6,12 +6,14 @@ from .decontam import op10_decontamination
 from .langid import op5_language_id
 from .neardup import op7_near_duplicates
 from .packing import op1_packing
+from .pii import op3_pseudonyms
 from .quality import op9_quality
 from .sharding import op2_kd_sharding
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_kd_sharding": op2_kd_sharding,
+    "op3_pseudonyms": op3_pseudonyms,
     "op5_language_id": op5_language_id,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_quality": op9_quality,
