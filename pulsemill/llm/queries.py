@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from .decontam import op10_decontamination
+from .htmltext import op4_main_text
 from .langid import op5_language_id
 from .neardup import op7_near_duplicates
 from .packing import op1_packing
 from .pii import op3_pseudonyms
 from .quality import op9_quality
 from .sharding import op2_kd_sharding
+from .substrings import op8_repeats
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_kd_sharding": op2_kd_sharding,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_main_text": op4_main_text,
     "op5_language_id": op5_language_id,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
