@@ -9,9 +9,10 @@ are candidates; a candidate link is confirmed on the full shingle sets.
 
 Candidates are tried in two rounds, so that a group of near copies does not
 become all of its pairs: first each class with the least one of its bucket, then
-all pairs of a bucket that are still in different components.  After that
-each candidate pair is either tested or already connected, so no component
-depends on an untested pair.
+those pairs of a bucket that are still in different components and, by their
+sizes and the shingles that no other class has, can reach the threshold.  After
+that each candidate pair is tested, already connected or out of reach, so no
+component depends on an untested pair.
 
 Edge cases: texts without words have no shingles and are linked with nothing;
 null ids keep their row, with a null component; repeated rows share a class; an
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitset import bitset, hit
 from .components import components
 from .storage import stored
 from .textkit import STEP, U64, Chunk, as_bytes, chunks, mix, table
 
 SHINGLE = 5
 BANDS, ROWS = 24, 7
-FILTER_BITS = 26
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,23 +109,18 @@ def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, id_col: str) -> DataFrame:
     """Rows (id, shingles) for the ids in ``wanted``; others are left out by a filter of fixed size before any shuffle."""
-    at = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    bits = wanted.select(at.alias("a")).groupBy(F.floor(F.col("a") / 8).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(a % 8 as int))")).alias("b")).toPandas()
-    keep = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    keep[bits.w.to_numpy(np.int64)] = bits.b.to_numpy(np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(keep)
+    held = bitset(wanted.select(F.xxhash64("id").alias("h")), "h")
 
     def run(batches):
         for batch in batches:
-            where = batch.column("__at").to_numpy()
-            hit = (held.value[where >> 3] >> (where & 7).astype(np.uint8)) & 1 == 1
-            for part, texts in chunks([batch.filter(pa.array(hit))], "__text"):
+            some = hit(held.value, batch.column("__at").to_numpy().view(U64))
+            for part, texts in chunks([batch.filter(pa.array(some))], "__text"):
                 shingles, sizes = shingle_sets(texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))], ["id", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), as_bytes(text).alias("__text")).where("id is not null").withColumn("__at", at)
+    source = docs.select(F.col(id_col).alias("id"), as_bytes(text).alias("__text")).where("id is not null").withColumn("__at", F.xxhash64("id"))
     return source.mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
@@ -136,6 +132,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def open_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components in a bucket that can reach the threshold.
+
+    A shingle that no other open class has can't be common, so with ``s`` of its
+    ``n`` shingles left a class reaches the threshold only with classes of at
+    most ((100 + percent) * s - percent * n) / percent shingles.  Every class
+    outside its bucket's largest component looks up the sizes it can be linked
+    with; of two components in a bucket, one at least is not the largest.
+    """
+    reps = open_.select(F.col("rep").alias("id")).distinct()
+    single = sets.join(reps, "id", "left_semi").select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("m"), F.min("id").alias("rep")).where("m = 1")
+    single = single.groupBy("rep").agg(F.count("*").alias("u"))
+    n = F.col("n_shingles")
+    most = F.floor(((100 + percent) * (n - F.coalesce("u", F.lit(0))) - percent * n) / percent)
+    bound = open_.join(single, "rep", "left").withColumn("lo", F.ceil(n * percent / 100)).withColumn("hi", F.least(F.floor(n * 100 / percent), most))
+    bound = stored(bound.where("lo <= hi").drop("u"), "bounds")
+    cell = lambda x: F.floor(F.log(x) / np.log(1.02)).cast("int")
+    major = bound.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("major"))
+    x = bound.join(major, "key").where("c != major").select("key", F.col("rep").alias("a"), n.alias("na"), F.col("c").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    x = x.withColumn("cell", F.explode(F.sequence(cell(F.col("la")), cell(F.col("ha")))))
+    y = bound.select("key", F.col("rep").alias("b"), n.alias("nb"), F.col("c").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), cell(n).alias("cell"))
+    fits = (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("la"), F.col("ha")) & F.col("na").between(F.col("lb"), F.col("hb"))
+    return x.join(y, (x.key == y.key) & (x.cell == y.cell) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept. Links need ``percent`` of the union in common."""
     signed = stored(signatures(docs, text, id_col), "signatures")
@@ -156,9 +177,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     open_ = placed.join(mixed, "key")
-    x = open_.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"))
-    y = open_.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    rest = open_pairs(stored(open_, "open"), sets, percent)
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, sets, percent)
     final = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
