@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitset import bitset, hit
 from .storage import stored
 from .textkit import STEP, U64, Chunk, as_bytes, chunks, mix, span_hash, table
 
 WINDOW = 5
-#: The filter has this many bits (8 MB), whatever the size of the benchmark.
-FILTER_BITS = 26
 #: Fixed list of unit words.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams ton tons lb lbs pound pounds oz ounce ounces "
@@ -123,9 +122,8 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def emit(ids: pa.Array, texts: list[bytes], keep: np.ndarray | None) -> pa.RecordBatch:
     hashes, docs, pos, slots = windows(texts)
     if keep is not None:
-        at = (hashes >> U64(64 - FILTER_BITS)).astype(np.int64)
-        hit = (keep[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        hashes, docs, pos, slots = hashes[hit], docs[hit], pos[hit], slots[hit]
+        some = hit(keep, hashes)
+        hashes, docs, pos, slots = hashes[some], docs[some], pos[some], slots[some]
     flat = pa.array(np.ascontiguousarray(slots).view(np.int64).reshape(-1))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * WINDOW), flat)
     return pa.RecordBatch.from_arrays([ids.take(pa.array(docs)), pa.array(hashes.view(np.int64)), pa.array(pos.astype(np.int32)), lists], ["id", "hash", "pos", "slots"])
@@ -145,15 +143,9 @@ def template_windows(df: DataFrame, id_col: str, text: str, keep=None) -> DataFr
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text", min_cover: float = 0.5, min_slots: float = 0.8) -> DataFrame:
     """One row per (document, item) found: n_windows, coverage, n_slots, n_changed, kind."""
-    spark = docs.sparkSession
     items = stored(template_windows(benchmark, item_col, item_text).withColumnsRenamed({"id": "__item", "pos": "__ipos", "slots": "__islots", "hash": "__hash"}), "items")
-    word = F.shiftrightunsigned("__hash", 64 - FILTER_BITS + 3)
-    bit = F.expr(f"shiftleft(1, cast(shiftrightunsigned(__hash, {64 - FILTER_BITS}) & 7 as int))")
-    bits = items.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()  # at most 2**23 rows of the filter
-    keep = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    keep[bits.w.to_numpy(np.int64)] = bits.b.to_numpy(np.uint8)
     sizes = items.groupBy("__item").agg(F.count_distinct("__ipos").alias("__windows"))
-    found = template_windows(docs, id_col, text, spark.sparkContext.broadcast(keep))
+    found = template_windows(docs, id_col, text, bitset(items, "__hash"))
     hits = found.join(items, found["hash"] == items["__hash"]).select("id", "__item", "__ipos", (F.col("pos") - F.col("__ipos")).alias("__shift"), "slots", "__islots")
     # per alignment: the item windows found, and each item value with the document value it met
     pairs = F.expr("filter(arrays_zip(__islots, slots), x -> x.__islots != 0)")

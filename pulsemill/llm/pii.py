@@ -26,6 +26,7 @@ from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .textkit import table
 
@@ -244,7 +245,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY,
     columns = [c for c in docs.columns if c != spans]
     schema = docs.select(*columns).schema
     if spans:
-        schema = docs.select(*columns).schema.add(spans, "array<struct<kind:string,start:int,end:int>>")
+        schema = schema.add(spans, T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
