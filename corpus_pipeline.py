@@ -1,11 +1,53 @@
-"""Training-corpus pipeline: language ID, near-duplicate removal, decontamination, PII, packing."""
+"""Training-corpus pipeline: language ID, near-duplicate removal, decontamination, pseudonyms, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor
+kept.  All but the last return the columns of ``documents``; the last returns
+one row per packed sequence.
+"""
+
+from pyspark.sql import functions as F
+
+from pulsemill.llm import decontam, langid, neardup, packing, pii
+from pulsemill.llm.textkit import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents whose language is recognised; texts without a letter or far from every known language go."""
+    docs = docs.select(*COLUMNS)
+    return langid.predict(docs, langid.fit(docs), keep=list(COLUMNS)).where(~F.col("rejected")).select(*COLUMNS)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near duplicates (a Jaccard similarity of 0.8 or more), the one with the least id."""
+    gone = neardup.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold no benchmark item, neither as it is nor with other numbers, names or units."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pseudonyms(spark, docs, sf_dir):
+    """All documents, with validated numbers, dates, addresses and secrets replaced by pseudonyms."""
+    return pii.pseudonymise(docs.select(*COLUMNS), spans=None).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark, docs, sf_dir):
+    """One row per sequence with its bucket, batch and slot."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pseudonyms", pseudonyms), ("packing", packed)]
+#: The stages' models and candidate searches can't be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
