@@ -8,6 +8,7 @@ one row per packed sequence.
 from pyspark.sql import functions as F
 
 from pulsemill.llm import decontam, langid, neardup, packing, pii
+from pulsemill.llm.storage import stored
 from pulsemill.llm.textkit import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,7 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages on ``documents``; each reads its predecessor's result from a written table."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
