@@ -6,6 +6,7 @@ from .decontam import op10_decontamination
 from .htmltext import op4_main_text
 from .langid import op5_language_id
 from .neardup import op7_near_duplicates
+from .ngramlm import op6_lm_scores
 from .packing import op1_packing
 from .pii import op3_pseudonyms
 from .quality import op9_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_pseudonyms": op3_pseudonyms,
     "op4_main_text": op4_main_text,
     "op5_language_id": op5_language_id,
+    "op6_lm_scores": op6_lm_scores,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
