@@ -10,10 +10,10 @@ found, in four passes over the texts and without comparing documents in pairs:
    holds all windows which contain it.
 2. Contexts that occur twice in full are repeated in full (compared by two
    independent 64-bit hashes).
-3. The windows of all other contexts are put in order by mergesort.  Suffixes
-   are compared through prefix polynomial hashes: binary search finds their
-   common extension, the byte after it decides.  Neighbours with a common
-   extension of ``length`` are confirmed on their bytes.
+3. In all other contexts, suffixes at the starts of stretches that may be
+   repeated are put in order by mergesort.  They are compared through prefix
+   polynomial hashes: binary search finds their common extension, the byte after
+   it decides.  Neighbours' extensions are confirmed on their bytes.
 4. Anchors with so many different contexts that one task can't hold them are
    settled by counting their windows' double hashes in Spark.
 
@@ -147,14 +147,15 @@ def contexts(docs: DataFrame, length: int, held, with_text: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def common(text: Text, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+def common(text: Text, a: np.ndarray, b: np.ndarray, limit: int | np.ndarray) -> np.ndarray:
     """Common extension of the suffixes at a and b, ``limit`` at most, by binary search over prefix hashes."""
     up, down = powers(len(text.prefix))
     low = np.zeros(len(a), np.int64)
-    high = np.full(len(a), limit, np.int64)
+    high = np.broadcast_to(np.asarray(limit, np.int64), len(a)).copy()
+    pa_, pb, da, db = text.prefix[a], text.prefix[b], down[a], down[b]
     while (low < high).any():
         mid = (low + high + 1) // 2
-        same = (text.prefix[a + mid] - text.prefix[a]) * down[a] == (text.prefix[b + mid] - text.prefix[b]) * down[b]
+        same = (text.prefix[a + mid] - pa_) * da == (text.prefix[b + mid] - pb) * db
         low = np.where(same, mid, low)
         high = np.where(same, high, mid - 1)
     return low
@@ -199,24 +200,53 @@ def suffix_sort(text: Text, at: np.ndarray, length: int) -> np.ndarray:
     return order
 
 
-def repeated_windows(text: Text, at: np.ndarray, twice: np.ndarray, length: int) -> np.ndarray:
-    """For each place: does its string occur at another place, or is it marked as occurring twice?"""
-    if not len(at):
-        return np.zeros(0, bool)
-    order = suffix_sort(text, at, length)
-    number = {}
-    same = np.zeros(len(at), bool)
-    equal = common(text, order[:-1], order[1:], length) == length
-    for i in np.flatnonzero(equal):  # collisions are ruled out on the bytes
-        a, b = order[i], order[i + 1]
-        equal[i] = text.bytes[a : a + length] == text.bytes[b : b + length]
-    group = np.concatenate([[0], np.cumsum(~equal)])
-    number = np.argsort(at, kind="stable")
-    index = number[np.searchsorted(at[number], order)]
-    size = np.bincount(group)
-    marked = np.bincount(group, twice[index]) > 0
-    same[index] = (size[group] > 1) | marked[group]
-    return same
+def repeated_windows(text: Text, at: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
+    """Which windows occur at another one of the given places, exactly.
+
+    ``at`` is ascending; ``room`` is the number of bytes from each place to the
+    end of its context.  Windows whose hash is alone are out.  Of each run of
+    neighbouring other windows the first is put in order with the longest one of
+    the same hash; its common extension with its neighbours in that order,
+    confirmed on the bytes, settles as many windows as it covers, and the next
+    window of the run goes on.
+    """
+    n = len(at)
+    sure = np.zeros(n, bool)
+    h = text.hashes(length)[at]
+    _, group, size = np.unique(h, return_inverse=True, return_counts=True)
+    some = size[group] > 1
+    last = np.ones(n, bool)  # last window of its run of candidates
+    last[:-1] = ~(some[:-1] & some[1:] & (at[1:] == at[:-1] + 1) & (room[1:] < room[:-1]))
+    end = np.flatnonzero(last)
+    left = end[np.searchsorted(end, np.arange(n))] - np.arange(n) + 1
+    # the two windows of each hash with the longest runs behind them
+    order = np.lexsort((-left, group))
+    begin = np.searchsorted(group[order], np.arange(len(size)))
+    best, second = order[begin], order[np.minimum(begin + 1, n - 1)]
+    first = some.copy()
+    first[1:] &= last[:-1] | ~some[:-1]
+    todo = np.flatnonzero(first)
+    while len(todo):
+        mate = np.where(best[group[todo]] == todo, second[group[todo]], best[group[todo]])
+        members = np.unique(np.concatenate([todo, mate]))
+        ranked = np.searchsorted(at, suffix_sort(text, at[members], length))
+        place = np.empty(n, np.int64)
+        place[ranked] = np.arange(len(ranked))
+        reach, other = np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
+        for step in (-1, 1):
+            where = place[todo] + step
+            ok = (where >= 0) & (where < len(ranked))
+            near = ranked[np.clip(where, 0, len(ranked) - 1)]
+            ext = np.where(ok, common(text, at[todo], at[near], np.where(ok, np.minimum(room[todo], room[near]), 0)), 0)
+            other, reach = np.where(ext > reach, near, other), np.maximum(ext, reach)
+        done = np.ones(len(todo), np.int64)
+        for i in np.flatnonzero(reach >= length):
+            a, b, size_ = at[todo[i]], at[other[i]], reach[i]
+            if text.bytes[a : a + size_] == text.bytes[b : b + size_]:  # no collision
+                done[i] = min(size_ - length + 1, left[todo[i]])
+                sure[todo[i] : todo[i] + done[i]] = True
+        todo = (todo + done)[done < left[todo]]
+    return sure
 
 
 def merge_spans(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -243,20 +273,12 @@ def sort_bucket(length: int):
         at = text.start[owner] + offset
         # overlapping contexts hold the same window of a document: one of each
         ids = np.unique(keys, return_inverse=True)[1]
-        _, first, back = np.unique(ids[owner] * (1 << 32) + low[owner] + offset, return_index=True, return_inverse=True)
-        twice = np.bincount(back, m[owner] > 1) > 0
+        first = np.unique(ids[owner] * (1 << 32) + low[owner] + offset, return_index=True)[1]
+        first.sort()
         owner, offset, at = owner[first], offset[first], at[first]
-        # a window whose hash is alone can't be repeated; the sort decides among the others
-        h = text.hashes(length)[at]
-        _, where, n = np.unique(h, return_inverse=True, return_counts=True)
-        some = np.flatnonzero((n[where] > 1) & ~twice)
-        mates = np.flatnonzero((n[where] > 1) & twice)
-        found = np.concatenate([some, mates])
-        same = repeated_windows(text, at[found], twice[found], length)[: len(some)]
-        good = some[same]
+        same = repeated_windows(text, at, text.size[owner] - offset, length)
+        good = np.flatnonzero(same & (m[owner] == 1))  # contexts that occur twice are settled already
         out: list[tuple[int, int, int]] = []
-        order = np.lexsort((offset[good], owner[good]))
-        good = good[order]
         edges = np.flatnonzero(np.diff(owner[good])) + 1
         for part in np.split(good, edges) if len(good) else []:
             begin = low[owner[part[0]]] + offset[part]
