@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from pulsemill.llm import decontam, langid, neardup, packing, pii
 from pulsemill.llm.storage import stored
-from pulsemill.llm.textkit import table
+from pulsemill.llm.textkit import small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark, docs, sf_dir):
     """Documents whose language is recognised; texts without a letter or far from every known language go."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return langid.predict(docs, langid.fit(docs), keep=list(COLUMNS)).where(~F.col("rejected")).select(*COLUMNS)
 
