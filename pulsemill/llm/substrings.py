@@ -39,8 +39,8 @@ from .textkit import U64, as_bytes, chunks, mix, powers, prefix_hash, table
 
 #: Position bits of the packed (hash, position) values: chunks or documents up to 256 MB.
 PLACE = 28
-#: Contexts of one anchor string, and about as many of one sorting task.
-MOST = 20_000
+#: Contexts of one anchor string that a task may hold, and of several that are sorted together.
+MOST, GATHER = 20_000, 8_000
 SPAN = "array<struct<key:long,lo:int,hi:int>>"
 
 
@@ -259,37 +259,60 @@ def merge_spans(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def sort_bucket(length: int):
-    """Spans of the repeated windows of a bucket's contexts; rows are h, m, key, lo, context."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        texts = rows["context"].to_pylist()
-        text = Text(texts)
-        keys, low, m = (rows[c].to_numpy() for c in ("key", "lo", "m"))
-        windows = text.size - length + 1
-        owner = np.repeat(np.arange(len(texts)), windows)
-        offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = text.start[owner] + offset
-        # overlapping contexts hold the same window of a document: one of each
-        ids = np.unique(keys, return_inverse=True)[1]
-        first = np.unique(ids[owner] * (1 << 32) + low[owner] + offset, return_index=True)[1]
-        first.sort()
-        owner, offset, at = owner[first], offset[first], at[first]
-        same = repeated_windows(text, at, text.size[owner] - offset, length)
-        good = np.flatnonzero(same & (m[owner] == 1))  # contexts that occur twice are settled already
-        out: list[tuple[int, int, int]] = []
-        edges = np.flatnonzero(np.diff(owner[good])) + 1
-        for part in np.split(good, edges) if len(good) else []:
-            begin = low[owner[part[0]]] + offset[part]
-            out += [(int(keys[owner[part[0]]]), a, b) for a, b in merge_spans(begin, begin + length)]
-        return pa.table({"key": pa.array([x[0] for x in out], pa.int64()), "lo": pa.array([x[1] for x in out], pa.int32()), "hi": pa.array([x[2] for x in out], pa.int32())})
-
-    return run
-
-
-def counted_windows(hot: DataFrame, length: int) -> DataFrame:
+def spans_in(texts: list[bytes], keys: np.ndarray, low: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Spans (key, lo, hi) of the windows of some contexts that occur twice among them."""
+    text = Text(texts)
+    windows = text.size - length + 1
+    owner = np.repeat(np.arange(len(texts)), windows)
+    offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    # overlapping contexts hold the same window of a document: one of each
+    ids = np.unique(keys, return_inverse=True)[1]
+    first = np.unique(ids[owner] * (1 << 32) + low[owner] + offset, return_index=True)[1]
+    first.sort()
+    owner, offset = owner[first], offset[first]
+    good = np.flatnonzero(repeated_windows(text, text.start[owner] + offset, text.size[owner] - offset, length))
+    out: list[tuple[int, int, int]] = []
+    edges = np.flatnonzero(np.diff(owner[good])) + 1
+    for part in np.split(good, edges) if len(good) else []:
+        begin = low[owner[part[0]]] + offset[part]
+        out += [(int(keys[owner[part[0]]]), a, b) for a, b in merge_spans(begin, begin + length)]
+    return out
+
+
+def sorted_windows(some: DataFrame, length: int) -> DataFrame:
+    """Spans of the repeated windows of contexts.
+
+    The contexts of an anchor string come to one partition and there one after
+    the other, so copies of a context are left out as they pass and about GATHER
+    contexts at a time are in memory.
+    """
+
+    def run(batches):
+        held: list[tuple[bytes, int, int]] = []
+        last = None
+        for batch in batches:
+            for h, c1, c2, key, lo, context in zip(*(batch.column(c).to_pylist() for c in ("h", "c1", "c2", "key", "lo", "context")), strict=True):
+                if last == (h, c1, c2):
+                    continue
+                if len(held) >= GATHER and h != last[0]:
+                    yield spans_batch(spans_in([x[0] for x in held], np.array([x[1] for x in held]), np.array([x[2] for x in held]), length))
+                    held = []
+                last = (h, c1, c2)
+                held.append((context, key, lo))
+        if held:
+            yield spans_batch(spans_in([x[0] for x in held], np.array([x[1] for x in held]), np.array([x[2] for x in held]), length))
+
+    return some.repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(run, "key long, lo int, hi int")
+
+
+def spans_batch(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in spans], pa.int64()), pa.array([x[1] for x in spans], pa.int32()), pa.array([x[2] for x in spans], pa.int32())], ["key", "lo", "hi"])
+
+
+def counted_windows(some: DataFrame, length: int) -> DataFrame:
     """Spans of the repeated windows of contexts whose anchor has too many: by counting double hashes."""
+    one = F.struct("context", "key", "lo")
+    hot = some.withColumn("__one", one).groupBy("h", "c1", "c2").agg(F.sum("m").alias("m"), F.first("__one").alias("o")).select("m", "o.*")
 
     def explode(batches):
         for batch in batches:
@@ -314,23 +337,16 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     seen = stored(contexts(long_, length, bitset(twice, "h"), False), "contexts")
     classes = stored(seen.groupBy("h", "c1", "c2").agg(F.sum("m").alias("m")), "classes")
     whole = classes.where("m > 1").select("h", "c1", "c2")
-    spans = seen.join(whole, ["h", "c1", "c2"], "left_semi").select(F.explode("spans").alias("s")).select("s.*")
+    # the same plan at every size: both sides are large where the corpus is
+    spans = seen.join(whole.hint("merge"), ["h", "c1", "c2"], "left_semi").select(F.explode("spans").alias("s")).select("s.*")
     open_ = stored(classes.groupBy("h").agg(F.count("*").alias("d"), F.min("m").alias("least")).where("d > 1 and least = 1").select("h", "d"), "open")
-    n_open = open_.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
-    if not n_open:
-        return spans
-    # one row per distinct context: the only one where m is 1, any where it is more
-    some = contexts(long_, length, bitset(open_, "h"), True).withColumn("__one", F.struct("context", F.col("spans")[0]["key"].alias("key"), F.col("spans")[0]["lo"].alias("lo")))
-    distinct = some.groupBy("h", "c1", "c2").agg(F.sum("m").alias("m"), F.first("__one").alias("o"))
-    held = stored(distinct.select("h", "m", "o.*").join(open_, "h"), "held")
-    buckets = max(1, -(-n_open // MOST))
-    sorted_ = (
-        held.where(F.col("d") <= MOST)
-        .groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
-        .applyInArrow(sort_bucket(length), "key long, lo int, hi int")
-    )
-    counted = counted_windows(held.where(F.col("d") > MOST), length)
-    return spans.unionByName(sorted_).unionByName(counted)
+    some = contexts(long_, length, bitset(open_, "h"), True).select("h", "c1", "c2", "m", F.col("spans")[0]["key"].alias("key"), F.col("spans")[0]["lo"].alias("lo"), "context")
+    hot = open_.where(F.col("d") > MOST).select("h")
+    n_hot = hot.count()
+    if not n_hot:
+        return spans.unionByName(sorted_windows(some, length))
+    hot = F.broadcast(hot) if n_hot <= 100_000 else hot
+    return spans.unionByName(sorted_windows(some.join(hot, "h", "left_anti"), length)).unionByName(counted_windows(some.join(hot, "h", "left_semi"), length))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 400, keep_text: bool = True) -> DataFrame:
