@@ -21,14 +21,14 @@ def nn_intervals(beats: DataFrame, keys: Sequence[str], order: Sequence[str], t:
 def time_domain(nn: DataFrame, keys: Sequence[str], steps: tuple[float, float] = (50.0, 20.0), bin_width: float = 7.8125) -> DataFrame:
     """Order statistics, deviations, successive differences and the triangular index of the intervals."""
     w = over(keys)
-    rows = nn.withColumn("__median", F.percentile("nn", 0.5).over(w))
+    rows = nn.withColumn("__q", F.percentile("nn", F.array(*[F.lit(p) for p in (0.2, 0.25, 0.5, 0.75, 0.8)])).over(w)).withColumn("__median", F.col("__q")[2])
     rows = rows.withColumn("__bin", F.floor(F.col("nn") / bin_width))
     rows = rows.withColumn("__in_bin", F.count("*").over(over([*keys, "__bin"])))
     share = lambda x: 100 * F.avg(F.when(F.col("d").isNotNull(), (F.abs("d") > x).cast("int")))
     out = rows.groupBy(*keys).agg(
         F.avg("nn").alias("MeanNN"), F.stddev_samp("nn").alias("SDNN"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("RMSSD"), F.stddev_samp("d").alias("SDSD"),
         F.max("__median").alias("MedianNN"), F.percentile(F.abs(F.col("nn") - F.col("__median")), 0.5).alias("MadNN"),
-        (F.percentile("nn", 0.75) - F.percentile("nn", 0.25)).alias("IQRNN"), F.percentile("nn", 0.2).alias("Prc20NN"), F.percentile("nn", 0.8).alias("Prc80NN"),
+        F.max(F.col("__q")[3] - F.col("__q")[1]).alias("IQRNN"), F.max(F.col("__q")[0]).alias("Prc20NN"), F.max(F.col("__q")[4]).alias("Prc80NN"),
         share(steps[0]).alias("pNN50"), share(steps[1]).alias("pNN20"), F.min("nn").alias("MinNN"), F.max("nn").alias("MaxNN"), (F.count("nn") / F.max("__in_bin")).alias("HTI"),
     )
     return out.withColumns({"CVNN": safe_div("SDNN", "MeanNN"), "CVSD": safe_div("RMSSD", "MeanNN"), "MCVNN": safe_div("MadNN", "MedianNN"), "SDRMSSD": safe_div("SDNN", "RMSSD")})

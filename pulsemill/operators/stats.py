@@ -39,7 +39,7 @@ def series_stats(samples: DataFrame, keys: Sequence[str], order: Sequence[str],
             "_mean": F.avg("_v").over(whole),
             "_low": F.min("_v").over(whole),
             "_high": F.max("_v").over(whole),
-            "_median": F.percentile("_v", 0.5).over(whole),
+            "_q": quartiles(F.col("_v")).over(whole),
         }
     )
     if "gini_index" in statistics:
@@ -52,14 +52,14 @@ def series_stats(samples: DataFrame, keys: Sequence[str], order: Sequence[str],
     d = F.col("_v") - F.col("_mean")
     exprs = {
         "mean": F.avg("_v"),
-        "median": F.max("_median"),
+        "median": F.max(F.col("_q")[1]),
         "std": F.stddev_pop("_v"),
-        "mad": F.avg(F.abs(F.col("_v") - F.col("_median"))),
-        "iqr": F.percentile("_v", 0.75) - F.percentile("_v", 0.25),
+        "mad": F.avg(F.abs(F.col("_v") - F.col("_q")[1])),
+        "iqr": F.max(F.col("_q")[2] - F.col("_q")[0]),
         "min": F.min("_v"),
         "max": F.max("_v"),
-        "p25": F.percentile("_v", 0.25),
-        "p75": F.percentile("_v", 0.75),
+        "p25": F.max(F.col("_q")[0]),
+        "p75": F.max(F.col("_q")[2]),
         "skewness": F.when(F.max("_v") > F.min("_v"), F.skewness("_v")),
         "kurtosis": F.when(F.max("_v") > F.min("_v"), F.kurtosis("_v")),
         "entropy": several(entropy_of_counts(counts, n)),
@@ -79,16 +79,19 @@ def wide_stats(stats: DataFrame, keys: Sequence[str], name: str, names: Sequence
     return pivoted.select(*keys, *columns)
 
 
+def quartiles(x: Column) -> Column:
+    """The three exact quartiles from one buffer of distinct values."""
+    return F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles and max, a row per column."""
     out = []
     for c in columns:
         x = F.col(c).cast("double")
-        out.append(
-            F.struct(F.lit(c).alias("feature"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                     F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max"))
-        )
-    return df.agg(F.array(*out).alias("rows")).select(F.inline("rows"))
+        out.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), quartiles(x).alias("q"), F.max(x).alias("max")))
+    rows = df.agg(F.array(*out).alias("rows")).select(F.inline("rows"))
+    return rows.select("feature", "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -111,6 +114,6 @@ def quantile_bounds(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Da
     """Rows (feature, low, high): quartiles less and more k interquartile ranges."""
     rows = []
     for c in columns:
-        q1, q3 = F.percentile(F.col(c).cast("double"), 0.25), F.percentile(F.col(c).cast("double"), 0.75)
-        rows.append(F.struct(F.lit(c).alias("feature"), (q1 - k * (q3 - q1)).alias("low"), (q3 + k * (q3 - q1)).alias("high")))
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+        rows.append(F.struct(F.lit(c).alias("feature"), quartiles(F.col(c).cast("double")).alias("q")))
+    spread = k * (F.col("q")[2] - F.col("q")[0])
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).select("feature", (F.col("q")[0] - spread).alias("low"), (F.col("q")[2] + spread).alias("high"))
