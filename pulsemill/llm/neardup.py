@@ -150,11 +150,15 @@ def open_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bound = stored(bound.where("lo <= hi").drop("u"), "bounds")
     cell = lambda x: F.floor(F.log(x) / np.log(1.02)).cast("int")
     major = bound.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("major"))
-    x = bound.join(major, "key").where("c != major").select("key", F.col("rep").alias("a"), n.alias("na"), F.col("c").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    # a pair is made once: in its first common bucket, by the one that isn't in the largest component or has the smaller id
+    keys = bound.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    bound = bound.join(major, "key").join(keys, "rep").withColumn("is_major", F.col("c") == F.col("major"))
+    x = bound.where(~F.col("is_major")).select("key", F.col("rep").alias("a"), n.alias("na"), F.col("c").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("keys").alias("ka"))
     x = x.withColumn("cell", F.explode(F.sequence(cell(F.col("la")), cell(F.col("ha")))))
-    y = bound.select("key", F.col("rep").alias("b"), n.alias("nb"), F.col("c").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), cell(n).alias("cell"))
-    fits = (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("la"), F.col("ha")) & F.col("na").between(F.col("lb"), F.col("hb"))
-    return x.join(y, (x.key == y.key) & (x.cell == y.cell) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    y = bound.select("key", F.col("rep").alias("b"), n.alias("nb"), F.col("c").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("keys").alias("kb"), F.col("is_major").alias("mb"), cell(n).alias("cell"))
+    fits = (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("la"), F.col("ha")) & F.col("na").between(F.col("lb"), F.col("hb")) & (F.col("mb") | (F.col("a") < F.col("b")))
+    once = F.array_min(F.array_intersect("ka", "kb")) == x.key
+    return x.join(y, (x.key == y.key) & (x.cell == y.cell) & fits & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
