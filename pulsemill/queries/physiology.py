@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
-from ..operators import hrv, kernels
+from ..operators import beats, hrv, kernels, stats
 from .base import SAMPLES, query, read, samples
 
 #: Intervals in hours between the events of an encounter.
@@ -167,3 +167,31 @@ def ppg_delineate(spark, sf_dir):
     """Pulse landmarks of a synthetic pulse wave per encounter, with rate and widths."""
     s = samples(spark, sf_dir).select("fin").distinct()
     return kernels.pulse_features(kernels.synthetic_pulses(s, "fin"), "fin", "values", fs=125.0)
+
+
+def synthetic_beats(spark, sf_dir):
+    keys = samples(spark, sf_dir).select("fin").distinct()
+    return beats.pulse_features(beats.pulses(kernels.synthetic_pulses(keys, "fin"), "fin", "values", 125.0), "fin", 125.0)
+
+
+@query()
+def ppg_beat_features(spark, sf_dir):
+    """Every feature of every pulse."""
+    return synthetic_beats(spark, sf_dir)
+
+
+@query()
+def ppg_beat_statistics(spark, sf_dir):
+    """Sixteen statistics of each pulse feature of each encounter."""
+    long_ = beats.long_features(synthetic_beats(spark, sf_dir), "fin", beats.feature_names())
+    return stats.series_stats(long_, ["fin", "feature"], ["cycle"])
+
+
+TURNS = f"""{SAMPLES}, k AS (SELECT fin, t, sample_id, CASE WHEN value > lag(value) OVER w AND value >= lead(value) OVER w THEN 'peak' WHEN value < lag(value) OVER w AND value <= lead(value) OVER w THEN 'trough' END AS k FROM samples WINDOW w AS (PARTITION BY fin ORDER BY t, sample_id)),
+n AS (SELECT *, lag(t) OVER v AS a, lead(t) OVER v AS b, lag(k) OVER v AS ka, lead(k) OVER v AS kb FROM k WHERE k IS NOT NULL WINDOW v AS (PARTITION BY fin ORDER BY t, sample_id))"""
+
+
+@query(f"WITH {TURNS} SELECT fin, t AS peak_t, t - a AS insp_time, b - t AS exp_time, round((t - a) / CAST(nullif(b - t, 0) AS DOUBLE), 6) AS insp_exp_ratio FROM n WHERE k = 'peak' AND ka = 'trough' AND kb = 'trough'")
+def breath_times(spark, sf_dir):
+    """Inspiration and expiration times."""
+    return rounded(beats.breaths(samples(spark, sf_dir), KEYS, ORDER, "value", "t"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsemill.functions import registry
-from pulsemill.operators import cleaning, hrv, kernels, modelling, outcomes, profiles, sequences, stats, windows
+from pulsemill.operators import beats, cleaning, hrv, kernels, modelling, outcomes, profiles, sequences, stats, windows
 
 
 def rows(df, *order):
@@ -137,3 +137,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "k string, t int, value double")
     assert stats.series_stats(none, ["k"], ["t"]).count() == 0
     assert windows.first_per_key(none, ["k"], ["t"]).count() == 0
+
+
+def test_pulse_features_of_a_clean_wave(spark):
+    keys = spark.createDataFrame([(20,)], "fin long")  # 80 beats a minute: 750 ms
+    rows = beats.pulse_features(beats.pulses(kernels.synthetic_pulses(keys, "fin"), "fin", "values", 125.0), "fin", 125.0).collect()
+    middle = rows[len(rows) // 2]
+    assert len(rows) > 15 and middle.Ton_off_ms == pytest.approx(750, abs=12) and middle.PR == pytest.approx(80, abs=2)
+    assert middle.T_os_ms + middle.T_so_ms == pytest.approx(middle.Ton_off_ms) and middle.PW_10 > middle.PW_50 > middle.PW_75 > 0
+    assert 0 < middle.RI < 1 and middle.mean_slope_os > 0 > middle.mean_slope_so and middle.IPA > 0
+    assert middle.std_ppg**2 == pytest.approx(middle.variance_ppg)
