@@ -49,6 +49,7 @@ OUTER_MARKS = {"header", "masthead", "topbar"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE = {"article", "main"}
 SIGMA = 1.5
+OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -170,7 +171,14 @@ class Reader(HTMLParser):
             self.links += len(data.strip())
 
 
+def without_open_tag(html: str) -> str:
+    """The page without a tag or comment that its end cuts off (the parser would try it again from every ``<`` in it)."""
+    cut = OPEN_TAG.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
+
+
 def read(html: str) -> list[Line]:
+    html = without_open_tag(html)
     reader = Reader()
     try:
         reader.feed(html)

@@ -149,10 +149,10 @@ def test_main_text(spark):
         "<article><header><h1>Head &amp; line</h1><span>by someone</span></header><p>First   part<br>goes on.<p>Second &eacute;.<div class=ad>Buy</div><form>q<input></form><ul><li>one<li>two</ul></article>"
         "<section id=comments><p>I disagree</p></section><aside>side</aside><footer>&copy; foot</footer></body></html>"
     )
-    rows = [(1, page), (2, None), (3, ""), (4, "<p>only this"), (5, "<![bad <p>x"), (6, "<div>" * 3000 + "deep text"), (7, "plain")]
+    rows = [(1, page), (2, None), (3, ""), (4, "<p>only this"), (5, "<![bad <p>x"), (6, "<div>" * 3000 + "deep text"), (7, "plain"), (8, "<p>kept < 4<p x='" + "<p x='" * 20_000), (9, "<p>a</p><!--" + "<!--" * 20_000)]
     out = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()}
     assert out[1] == "Head & line\nFirst part goes on.\nSecond é.\none\ntwo"
-    assert (out[2], out[3], out[4], out[6], out[7]) == ("", "", "only this", "deep text", "plain")
+    assert (out[2], out[3], out[4], out[6], out[7], out[8], out[9]) == ("", "", "only this", "deep text", "plain", "kept < 4", "a")
 
 
 def test_ratio_picks_the_text_of_an_unmarked_page():
