@@ -120,7 +120,7 @@ def pulse_features(rows: DataFrame, key: str, fs: float) -> DataFrame:
     rows = _moments(rows, size)
     norm = lambda a, b: F.percentile(F.col(f"T_{a}_ms") + F.col(f"T_{b}_ms"), 0.5).over(whole) / ms * F.percentile("A_AC", 0.5).over(whole)
     areas = {"AUCos_nu": ("_a_os", norm("os", "so")), "AUCso_nu": ("_a_so", norm("os", "so")), "AUCow_nu": ("_a_ow", norm("ow", "wo")), "AUCwo_nu": ("_a_wo", norm("ow", "wo"))}
-    # as in the published feature set's program, twice the systolic time stands for the pulse here
+    # by definition of these two, twice the systolic time stands for the pulse
     areas |= {"AUC_sys_nu": ("_a_sys", norm("sys", "sys")), "AUC_dias_nu": ("_a_dias", norm("sys", "sys"))}
     areas["AUC_pulse_nu"] = ("_a_pulse", F.percentile(n.cast("double"), 0.5).over(whole) * F.percentile("A_AC", 0.5).over(whole))
     rows = rows.withColumns({k: safe_div(a, b) for k, (a, b) in areas.items()})
