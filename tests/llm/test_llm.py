@@ -6,15 +6,18 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from math import log10
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, htmltext, langid, neardup, ngramlm, packing, pii, quality, sharding, substrings
+from pulsemill.llm import decontam, htmltext, langid, neardup, ngramlm, packing, pii, quality, queries, sharding, substrings
 from pulsemill.llm.components import components
 from pulsemill.llm.textkit import fold
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id int, __text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -423,3 +426,13 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     assert 10 not in kept["decontamination"] and len(kept["near_duplicates"] - kept["decontamination"]) <= 2
     assert kept["packing"] == kept["pseudonyms"] == kept["decontamination"]
     assert docs.count() >= len(kept["packing"])
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    wanted = c.execute(queries.ORACLES[name]).df()
+    got = queries.QUERIES[name](spark, SF).toPandas()[list(wanted.columns)]
+    assert got.sort_values("doc_id").values.tolist() == wanted.sort_values("doc_id").values.tolist()
