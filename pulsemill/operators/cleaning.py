@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, safe_div
-from .stats import correlation_pairs
+from .stats import correlation_pairs, exact_quantiles
 
 
 def to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def drop_sparse(df: DataFrame, columns: Sequence[str], first: float = 0.85, rows
 
 def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing values become the column's exact median."""
-    medians = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns]).first().asDict()
+    medians = {r.feature: r.q0 for r in exact_quantiles(df, columns, (0.5,)).collect()}  # a row per column
     return df.fillna({c: m for c, m in medians.items() if m is not None})
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import entropy_of_counts, over, safe_div
+from ..functions.columns import entropy_of_counts, over, safe_div, unpivot
 from ..functions.registry import STATISTICS
 
 BINS = 10
@@ -110,10 +110,36 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], width: float = 0.0005, accuracy: int = 20_000) -> DataFrame:
+    """Rows (feature, probs...) of exact interpolated quantiles of whole columns, whatever the number of distinct values.
+
+    A sketch gives a bracket of ranks ``width`` to either side of each quantile,
+    wider than its guaranteed error; a second pass counts the values below the
+    bracket and each value inside it.  Only those inside are put in order.
+    """
+    long_ = unpivot(df, [], columns).where("value is not null")
+    grid = [min(max(q, 0.0), 1.0) for p in probs for q in (p - width, p + width)]
+    sketch = long_.groupBy("feature").agg(F.count("*").alias("n"), F.percentile_approx("value", grid, accuracy).alias("cuts"), F.min("value").alias("low"), F.max("value").alias("high"))
+    brackets = []
+    for i, p in enumerate(probs):
+        few = F.col("n") * width < 4  # the bracket must hold both neighbours of the quantile
+        low = F.when(few | F.lit(p - width <= 0), F.col("low")).otherwise(F.col("cuts")[2 * i])
+        high = F.when(few | F.lit(p + width >= 1), F.col("high")).otherwise(F.col("cuts")[2 * i + 1])
+        brackets.append(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high")))
+    sketch = sketch.select("feature", "n", F.array(*brackets).alias("brackets"))
+    marked = long_.join(F.broadcast(sketch), "feature")  # a row per column
+    near = marked.select("feature", "n", "value", F.explode(F.filter("brackets", lambda b: F.col("value") <= b["high"])).alias("b"))
+    counts = near.groupBy("feature", "n", "b.i", "b.p", F.when(F.col("value") >= F.col("b.low"), F.col("value")).alias("value")).agg(F.count("*").alias("c"))
+    ranked = counts.withColumn("upto", F.sum("c").over(over(["feature", "i"], [F.asc_nulls_first("value")])))
+    at = (F.col("n") - 1) * F.col("p")
+    first = lambda rank: F.min(F.when((F.col("upto") > rank) & F.col("value").isNotNull(), F.col("value")))
+    low, high = first(F.floor(at)), first(F.ceil(at))
+    share = F.max(at - F.floor(at))
+    found = ranked.groupBy("feature", "i").agg((low + share * (high - low)).alias("q"))
+    return found.groupBy("feature").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(probs))])
+
+
 def quantile_bounds(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Rows (feature, low, high): quartiles less and more k interquartile ranges."""
-    rows = []
-    for c in columns:
-        rows.append(F.struct(F.lit(c).alias("feature"), quartiles(F.col(c).cast("double")).alias("q")))
-    spread = k * (F.col("q")[2] - F.col("q")[0])
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).select("feature", (F.col("q")[0] - spread).alias("low"), (F.col("q")[2] + spread).alias("high"))
+    spread = k * (F.col("q1") - F.col("q0"))
+    return exact_quantiles(df, columns, (0.25, 0.75)).select("feature", (F.col("q0") - spread).alias("low"), (F.col("q1") + spread).alias("high"))

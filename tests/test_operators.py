@@ -147,3 +147,14 @@ def test_pulse_features_of_a_clean_wave(spark):
     assert middle.T_os_ms + middle.T_so_ms == pytest.approx(middle.Ton_off_ms) and middle.PW_10 > middle.PW_50 > middle.PW_75 > 0
     assert 0 < middle.RI < 1 and middle.mean_slope_os > 0 > middle.mean_slope_so and middle.IPA > 0
     assert middle.std_ppg**2 == pytest.approx(middle.variance_ppg)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=20_000), rng.integers(0, 5, 20_000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b, strict=True)] + [(None, 2.0, None)], "a double, b double, c double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    out = {r.feature: r[1:] for r in stats.exact_quantiles(df, ["a", "b", "c"], probs).collect()}
+    assert out["a"] == pytest.approx(tuple(np.quantile(a, probs))) and out["b"] == pytest.approx(tuple(np.quantile(np.append(b, 2.0), probs))) and "c" not in out
+    few = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "a double")
+    assert stats.exact_quantiles(few, ["a"], (0.25, 0.5)).first()[1:] == (1.5, 2.0)
