@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profiles
+from ..operators import outcomes, profiles, reports
 from .base import query, read
 
 LONG = "long AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS feature, CAST(UNNEST(embedding) AS DOUBLE) AS value FROM embeddings)"
@@ -129,3 +129,30 @@ def summary_json(spark, sf_dir):
     """One JSON line per group."""
     groups = read(spark, sf_dir, "embeddings", "label").groupBy("label").agg(F.count("*").alias("n_patients"))
     return profiles.summary_document(groups, ["label", "n_patients"])
+
+
+@query(
+    """WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, 'Cluster ' || label || ' holds ' || n || ' patients (' || format('{:.1f}', 100.0 * n / sum(n) OVER ()) || '% of the cohort).' || chr(10) || 'Most important features: a, b.' || chr(10) || 'Name the phenotype and interpret it in clinical terms.' AS prompt FROM g"""
+)
+def prompt_assembly(spark, sf_dir):
+    """The prompt of each group."""
+    groups = read(spark, sf_dir, "embeddings", "label").groupBy("label").agg(F.count("*").alias("n"))
+    share = 100 * F.col("n") / F.sum("n").over(profiles.over([]))
+    return groups.select("label", reports.prompt(F.col("label").cast("string"), F.col("n"), share, F.lit("a, b")).alias("prompt"))
+
+
+@query(
+    """SELECT c_mktsegment AS grp, c_mktsegment || ': ' || count(*) || ' patients; mortality ' || format('{:.1f}', 100 * avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END)) || '%; stay ' || format('{:.1f}', CAST(quantile_cont(c_nationkey, 0.5) AS DOUBLE)) AS line FROM customer GROUP BY c_mktsegment"""
+)
+def validation_report(spark, sf_dir):
+    """A line of outcomes per group."""
+    c = read(spark, sf_dir, "customer", "c_mktsegment", "c_acctbal", "c_nationkey")
+    groups = outcomes.by_group(c.select(F.col("c_mktsegment").alias("grp"), (F.col("c_acctbal") < 0).cast("double").alias("died"), "c_nationkey"), "grp", {"rate": "died"}, {"stay": "c_nationkey"})
+    return reports.validation_report(groups, "grp", "n", {"mortality": "rate"}, {"stay": "stay"})
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'auc' ELSE 'f1' END AS metric, round(avg(v), 8) AS mean, round(stddev_pop(v), 8) AS std, count(v) AS folds FROM (SELECT doc_id, CAST(doc_id % 7 AS DOUBLE) / 7 AS v FROM labels) GROUP BY 1")
+def cv_summary(spark, sf_dir):
+    """Mean and deviation of metrics over folds."""
+    folds = read(spark, sf_dir, "labels", "doc_id").select(F.when(F.col("doc_id") % 2 == 0, "auc").otherwise("f1").alias("metric"), ((F.col("doc_id") % 7).cast("double") / 7).alias("v"))
+    return reports.cross_validation_summary(folds, "metric", "v").select("metric", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"), "folds")

@@ -59,3 +59,14 @@ def test_workflow(spark):
     assigned, names = workflow.phenotypes(cleaned, kept, k=2, reducer="none", resamples=3)
     assert assigned.count() == 20 and names
     assert workflow.report(assigned, names).count() == assigned.select("cluster").distinct().count()
+
+
+def test_export(spark, tmp_path):
+    from pulsemill.operators import reports
+
+    df = spark.createDataFrame([("a", 3, 0.5, 2.0)], "g string, n long, rate double, stay double")
+    report = reports.validation_report(df, "g", "n", {"mortality": "rate"}, {"stay": "stay"})
+    assert report.first().line == "a: 3 patients; mortality 50.0%; stay 2.0"
+    reports.export({"groups": df}, {"report": report}, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "groups/parquet")).count() == 1 and spark.read.text(str(tmp_path / "report/text")).count() == 1
+    assert "2,174 encounters" in reports.methods_text(2174, 272, 4, 0.85, 0.01, 100)
