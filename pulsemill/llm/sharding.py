@@ -152,7 +152,7 @@ def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = N
         code(source).alias("__source"),
         code(lang).alias("__lang"),
         F.floor(F.log2(size) * (1 << 15)).cast("long").alias("__log"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("__row"),
+        F.coalesce(F.col(id_col).try_cast("long"), F.lit(-1)).alias("__row"),
     )
     points = stored(points, "points")
     n_rows, total = points.agg(F.count("*"), F.sum("size")).first()
