@@ -11,6 +11,11 @@ Kinds: card, iban, ssn, phone, ip, date (1900 to 2099; day first where only
 that is valid, else month first with ``/``), email (the local part), and secret
 (access keys, and a value with a digit assigned to a name such as ``password``).
 
+A card or IBAN that isn't valid as it is matched may have swallowed a neighbour
+(an expiry date, a house number, a word in capitals): the longest valid value
+between its separators is taken, and if there is none the scan goes on one token
+behind its start.
+
 Edge cases: a null text stays null and an empty one empty; invalid numbers stay
 as they are; repeated rows give equal rows; an empty table an empty result;
 other columns are passed on; a very long text is scanned in linear time.
@@ -57,6 +62,9 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 MAY_MATCH = re.compile(r"[0-9@]")
+TOKEN = re.compile(r"[A-Za-z0-9]+|(?s:.)")
+GROUP = re.compile(r"[A-Z0-9]+")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}")
 
 
 class Feistel:
@@ -218,20 +226,45 @@ class Masker:
         parts = {"y": str(new.year), "m": f"{new.month:02d}" if wide else str(new.month), "d": f"{new.day:02d}" if wide else str(new.day)}
         return mark.join(parts[x] for x in order)
 
+    def inside(self, kind: str, text: str) -> tuple[int, int] | None:
+        """Start and end of the longest valid value between separators of an invalid card or IBAN.
+
+        A card's groups but the last have four digits or more, as cards are
+        printed, or else rows of small numbers would hold many.
+        """
+        groups = [g.span() for g in GROUP.finditer(text)]
+        found = []
+        for i, (a, _) in enumerate(groups):
+            for j in range(i, len(groups)):
+                b = groups[j][1]
+                part = "".join(text[x:y] for x, y in groups[i : j + 1])
+                if kind == "card" and j > i and groups[j - 1][1] - groups[j - 1][0] < 4:
+                    break
+                if 13 <= len(part) <= 19 if kind == "card" else IBAN.fullmatch(part):
+                    found.append((-len(part), a, b))
+        return next(((a, b) for _, a, b in sorted(found) if self.value(kind, text[a:b]) is not None), None)
+
     def mask(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in the new text."""
         if not MAY_MATCH.search(text):
             return text, []
         out, spans, at, size = [], [], 0, 0
-        for m in PATTERN.finditer(text):
+        scan = 0
+        while m := PATTERN.search(text, scan):
             kind = m.lastgroup
+            start, end = m.span(kind)
             new = self.value(kind, m[kind])
+            if new is None and kind in ("card", "iban") and (part := self.inside(kind, m[kind])):
+                start, end = start + part[0], start + part[1]
+                new = self.value(kind, text[start:end])
             if new is None:
+                scan = TOKEN.match(text, m.start()).end()  # a value may begin inside
                 continue
-            before = text[at : m.start(kind)]
+            before = text[at:start]
             out += (before, new)
             size += len(before) + len(new)
-            at = m.end(kind)
+            at = end
+            scan = m.end() if end == m.end(kind) else end
             spans.append(({"ymd": "date", "dmy": "date", "d_month": "date", "month_d": "date", "key": "secret"}.get(kind, kind), size - len(new), size))
         return "".join([*out, text[at:]]), spans
 
@@ -263,7 +296,10 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY,
 
 
 def unmask(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """Undoes ``pseudonymise`` for values whose pseudonym is read back as the same kind (all but ambiguous ``/`` dates)."""
+    """Undoes ``pseudonymise`` for values whose pseudonym is read back as the same kind and span.
+
+    Exceptions are ambiguous ``/`` dates, and cards or IBANs beside digits or capitals that happen to make a valid longer one with the pseudonym.
+    """
     return pseudonymise(docs, text, key, step=-1, spans=None)
 
 

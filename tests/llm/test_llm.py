@@ -143,6 +143,34 @@ def test_pseudonyms_hide_link_and_invert(spark):
     assert by_id(pii.pseudonymise(df, key=b"b"))[1].text != out[1].text
 
 
+CARD = "4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        (f"card {CARD} 12/27", CARD),
+        (f"card {CARD} 123.", CARD),
+        (f"no 12 {CARD}", CARD),
+        (f"on 2024 12 31 {CARD}", CARD),
+        ("pay BE68 5390 0754 7034 AND go", "BE68 5390 0754 7034"),
+        ("pay BE68 5390 0754 7034 123", "BE68 5390 0754 7034"),
+        ("pay BE68 5390 0754 7034 NEXT", "BE68 5390 0754 7034"),
+        ("password: johnsmith@example.org", "johnsmith"),
+    ],
+)
+def test_values_beside_others_are_found(text, value):
+    masked, spans = pii.Masker(b"a").mask(text)
+    before, after = text.split(value)
+    assert masked.startswith(before) and masked.endswith(after) and value not in masked and len(masked) == len(text)
+    assert [(a, b) for _, a, b in spans] == [(len(before), len(before) + len(value))]
+
+
+def test_rows_of_small_numbers_are_no_cards():
+    text = " ".join(map(str, range(10, 60)))
+    assert [k for k, a, b in pii.Masker(b"a").mask(text)[1] if b - a < 18] == []
+
+
 # ---- pages -------------------------------------------------------------------------
 
 
