@@ -4,9 +4,13 @@ The standard library's streaming parser turns a page into lines, one per block
 element.  A line's ratio is its characters over its tags; the ratios are smoothed
 with a Gaussian over neighbouring lines, and two-means clustering of the
 smoothed ratios gives a threshold.  Lines of one container form a region, and a
-region is content if its smoothed ratio reaches the threshold, or if it lies in
-the page's article and is not mostly links.  Where a page marks an article (or
-main part) with text, only its regions are candidates.
+region is content if its smoothed ratio reaches the threshold and it is not
+mostly links.  Where a page marks an article (or main part) with text, only its
+regions are candidates.  There the ratio decides on sections (articles and
+divisions, with the lists, tables and quotes in them) by their characters' mean,
+and only if the upper cluster's mean is at least ``APART`` times the lower one's:
+an article of text alone is one cluster.  A section with a first-level heading
+stays.
 
 Elements that are never content are left out first: menus, headers (but not the
 headings of an article's own header), footers, sidebars, forms, scripts, styles
@@ -48,16 +52,18 @@ MARKS = set(
 OUTER_MARKS = {"header", "masthead", "topbar"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE = {"article", "main"}
+SECTIONS = ARTICLE | {"body", "dialog", "div", "section"}
 SIGMA = 1.5
+APART = 2.0
 OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Line:
-    __slots__ = ("text", "tags", "links", "region", "article")
+    __slots__ = ("text", "tags", "links", "region", "article", "section", "title")
 
-    def __init__(self, text: str, tags: int, links: int, region: int, article: bool):
-        self.text, self.tags, self.links, self.region, self.article = text, tags, links, region, article
+    def __init__(self, text: str, tags: int, links: int, region: int, article: bool, section: int, title: bool):
+        self.text, self.tags, self.links, self.region, self.article, self.section, self.title = text, tags, links, region, article, section, title
 
 
 class Reader(HTMLParser):
@@ -111,7 +117,9 @@ class Reader(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 region = next((r for _, _, r in reversed(self.open) if r), 0)
-                self.lines.append(Line(text, self.tags, self.links, region, self.article > 0))
+                section = next((r for t, _, r in reversed(self.open) if t in SECTIONS), 0)
+                title = any(t == "h1" for t, _, _ in self.open)
+                self.lines.append(Line(text, self.tags, self.links, region, self.article > 0, section, title))
             self.parts.clear()
             self.tags = self.links = 0
 
@@ -222,13 +230,22 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = smooth(np.array([len(x.text) / (x.tags + 1) for x in lines]))
     threshold = two_means(ratio)
+    low, high = ratio[ratio < threshold], ratio[ratio >= threshold]
+    one_cluster = not len(low) or high.mean() < APART * low.mean()
     regions: dict[int, list[int]] = {}
     for i, x in enumerate(lines):
         regions.setdefault(x.region, []).append(i)
+    sections: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        sections.setdefault(x.section, []).append(i)
+    # by its characters' mean: a section's first line is smoothed with the one before it
+    size = np.array([len(x.text) for x in lines])
+    full = {s for s, own in sections.items() if one_cluster or any(lines[i].title for i in own) or np.average(ratio[own], weights=size[own]) >= threshold}
     kept = set()
     for region, own in regions.items():
         mostly_links = 2 * sum(lines[i].links for i in own) > sum(len(lines[i].text) for i in own)
-        if (ratio[own].max() >= threshold and not mostly_links) or (lines[own[0]].article and not mostly_links):
+        first = lines[own[0]]
+        if not mostly_links and (first.section in full if first.article else ratio[own].max() >= threshold):
             kept.add(region)
     if not kept:
         kept = {r for r, own in regions.items() if ratio[own].max() >= threshold}

@@ -192,6 +192,17 @@ def test_ratio_picks_the_text_of_an_unmarked_page():
     assert htmltext.main_text(page) == "\n".join(["long words of the text itself " * 7 + "long words of the text itself"] * 4)
 
 
+def test_ratio_decides_inside_an_article():
+    long_ = "<p>" + "long words of the text itself " * 12 + "</p>"
+    share = "<div>" + "".join(f"<span>{x}</span><br><br><b></b><i></i><p></p>" for x in ("Share", "Tell a friend", "Print", "Save", "Mail")) + "</div>"
+    advert = "<div>" + "".join(f"<p><b>Buy</b><i></i><b></b><i></i> now {i}</p>" for i in range(8)) + "</div>"
+    body = f"<h1>Title</h1>{long_ * 4}<ul><li>one<li>two</ul>{long_ * 3}"
+    out = htmltext.main_text(f"<body><article>{body}{advert}{share}</article></body>").split("\n")
+    assert out[0] == "Title" and "one" in out and "two" in out and len(out) == 10
+    short = "<article><div><p>A few words.</p></div><div><p>And some more.</p></div></article>"
+    assert htmltext.main_text(short) == "A few words.\nAnd some more."
+
+
 # ---- language ------------------------------------------------------------------------
 
 
