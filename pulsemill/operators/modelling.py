@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import over
 
-#: Up to this many rows silhouettes use Euclidean distances to all rows; beyond it squared ones, from sums by cluster.
-EXACT_ROWS = 20_000
+#: Rows of a block in the sums of distances, about.
+BLOCK_ROWS = 8192
 
 
 def with_vector(df: DataFrame, values: str, out: str = "features") -> DataFrame:
@@ -67,38 +68,51 @@ def consensus_share(labels: DataFrame, row_id: str, cluster: str = "cluster", vo
 
 
 def silhouette(df: DataFrame, row_id: str, cluster: str, values: str) -> DataFrame:
-    """Silhouette of each row.
+    """Silhouette of each row with Euclidean distances, the same at every size.
 
-    Up to EXACT_ROWS rows (checked) every task gets the whole matrix and uses
-    Euclidean distances; beyond that squared ones follow from each cluster's sums.
+    Rows are dealt by their ids into blocks of about BLOCK_ROWS.  A group for each
+    pair of blocks sums the distances of the one's rows to the other's by
+    cluster, and the sums are added up by row and cluster.
     """
-    n = df.limit(EXACT_ROWS + 1).count()
-    if n > EXACT_ROWS:
-        return squared_silhouette(df, row_id, cluster, values)
-    rows = df.select(cluster, F.col(values).cast("array<double>").alias("v")).collect()
-    held = df.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r.v for r in rows])))
-
-    def run(batches):
-        labels, matrix = held.value
-        names = np.unique(labels)
-        member = (labels[:, None] == names).astype(float)
-        size = member.sum(axis=0)
-        for batch in batches:
-            own = np.array(batch.column("c").to_pylist())
-            x = np.array(batch.column("v").to_pylist(), float).reshape(len(own), -1)
-            square = (x**2).sum(1)[:, None] + (matrix**2).sum(1)[None, :] - 2 * x @ matrix.T
-            total = np.sqrt(np.maximum(square, 0)) @ member
-            mine = np.searchsorted(names, own)
-            i = np.arange(len(own))
-            a = total[i, mine] / np.maximum(size[mine] - 1, 1)
-            mean = total / size
-            mean[i, mine] = np.inf
-            b = mean.min(axis=1)
-            s = np.where(size[mine] > 1, (b - a) / np.maximum(a, b), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s)], [row_id, "silhouette"])
-
-    kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(row_id).alias("id"), F.col(cluster).alias("c"), F.col(values).cast("array<double>").alias("v")).mapInArrow(run, f"{row_id} {kind}, silhouette double")
+    blocks = max(4, -(-df.count() // BLOCK_ROWS))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (row_id, cluster)}
+    rows = df.select(F.col(row_id).alias("id"), F.col(cluster).alias("c"), F.col(values).cast("array<double>").alias("v"))
+    block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.withColumn("i", block).withColumn("j", every)
+    right = rows.withColumn("j", block).withColumn("i", every).select("i", "j", "c", "v")
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(distance_sums, f"id {kinds[row_id]}, own {kinds[cluster]}, other {kinds[cluster]}, total double")
+    sums = parts.groupBy("id", "own", "other").agg(F.sum("total").alias("total"))
+    sized = sums.join(rows.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("n")), "other")
+    mine = F.col("own") == F.col("other")
+    both = sized.groupBy("id", "own").agg(
+        F.max(F.when(mine, F.col("total") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"), F.max(F.when(mine, F.col("n"))).alias("n")
+    )
+    most = F.greatest("a", "b")
+    value = F.when(F.col("n") == 1, 0.0).when(F.col("b").isNull(), None).when(most == 0, float("nan")).otherwise((F.col("b") - F.col("a")) / F.nullif(most, F.lit(0.0)))
+    return both.select(F.col("id").alias(row_id), value.alias("silhouette"))
+
+
+def distance_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Rows (id, own, other, total): the sum of distances of each left row to the right rows of each cluster."""
+    out = []
+    if len(left) and len(right):
+        x, y = (np.asarray(t["v"].combine_chunks().flatten(), float).reshape(len(t), -1) for t in (left, right))
+        names = pc.unique(right["c"])
+        member = np.zeros((len(right), len(names)))
+        member[np.arange(len(right)), pc.index_in(right["c"], names).to_numpy()] = 1
+        yy = (y**2).sum(1)
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
+            scale = (part**2).sum(1)[:, None] + yy[None, :]
+            square = scale - 2 * part @ y.T
+            near = np.nonzero(square <= 1e-6 * scale)  # differences of almost equal numbers
+            square[near] = ((part[near[0]] - y[near[1]]) ** 2).sum(1)
+            total = np.sqrt(square) @ member
+            own = left.slice(at, len(part))
+            for k, name in enumerate(names):
+                out.append(pa.table({"id": own["id"], "own": own["c"], "other": pa.array([name.as_py()] * len(part), names.type), "total": total[:, k]}))
+    none = pa.table({"id": left["id"].slice(0, 0), "own": left["c"].slice(0, 0), "other": right["c"].slice(0, 0), "total": pa.array([], pa.float64())})
+    return pa.concat_tables([none, *out])
 
 
 def squared_silhouette(df: DataFrame, row_id: str, cluster: str, values: str) -> DataFrame:

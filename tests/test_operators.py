@@ -133,6 +133,23 @@ def test_consensus_finds_planted_groups(spark):
     assert exact > 0.7 and linear > exact
 
 
+def test_silhouettes_are_euclidean_at_every_size(spark):
+    rng = np.random.default_rng(5)
+    n = 20_400
+    label = np.arange(n) % 3
+    label[7] = 9  # a cluster of one row
+    v = rng.normal(size=(n, 2)) + label[:, None] * 2.0
+    v[10] = v[13]
+    df = spark.createDataFrame([(i, int(c), x.tolist()) for i, (c, x) in enumerate(zip(label, v, strict=True))], "id int, c int, v array<double>")
+    got = {r.id: r.silhouette for r in modelling.silhouette(df, "id", "c", "v").collect()}
+    assert len(got) == n and got[7] == 0
+    for i in [10, 13, 100, 9001, 20_399]:
+        far = np.sqrt(((v - v[i]) ** 2).sum(1))
+        a = far[label == label[i]].sum() / ((label == label[i]).sum() - 1)
+        b = min(far[label == c].mean() for c in {0, 1, 2, 9} - {label[i]})
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "k string, t int, value double")
     assert stats.series_stats(none, ["k"], ["t"]).count() == 0
