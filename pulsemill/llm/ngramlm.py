@@ -1,23 +1,23 @@
-"""Operator 6: an interpolated modified Kneser-Ney bigram model, counted and kept in shards.
+"""Operator 6: an interpolated modified Kneser-Ney model of bigrams or trigrams, counted and kept in shards.
 
-Words and one end per text are tokens; the open vocabulary has one more class
-for unknown tokens.  Nothing about the corpus is gathered in one place:
+Words and one end per text are tokens, with starts before them; the open
+vocabulary has one more class for unknown tokens.  Nothing about the corpus is
+gathered in one place:
 
 1. Texts become chunks of about ``CHUNK_BYTES``: the sorted hashes of the words
    a chunk uses, and its tokens as indices into them.  The table is written in
    buckets by chunk, so that joining answers to it moves only the answers.
-2. Each chunk asks the shard of each of its bigram hashes for the count in the
-   training texts.  A shard merges the blocks it gets into one sorted hash array,
+2. Each chunk asks the shard of each of its longest windows' hashes for the count
+   in the training texts.  A shard merges the blocks it gets into one sorted hash array,
    which it writes, memory-maps and searches for every block's answer.  One chunk of those
-   that hold a bigram is told that it owns it.
-3. Owners turn their bigrams' counts into the statistics of words (as context:
-   tokens and numbers of followers seen once, twice and more; as follower: the
-   number of contexts), which word shards merge and answer in the same way.
-4. With both answers a chunk scores its own texts.
+   that hold a window is told that it owns it.
+3. Owners turn their windows' counts into the statistics of windows shorter by a
+   word (as context: tokens and numbers of followers seen once, twice and more; as
+   end: the number of words before it), which the shards of those merge and answer
+   in the same way, down to single words.
+4. With all answers a chunk scores its own texts.
 
-Hashes have ``KEY_BITS`` bits; equal hashes are taken to be equal words.  The
-order is two: with longer windows the blocks would outgrow the disk allowance
-(see the README).
+Hashes have ``KEY_BITS`` bits; equal hashes are taken to be equal words.
 
 Edge cases: null and empty texts have the end token only; with no training text
 every token is unknown; repeated rows are each scored; an empty table gives an
@@ -29,6 +29,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -47,7 +48,8 @@ START, END = U64(1), U64(2)
 FOLLOW = U64(0x9E3779B97F4A7C15)
 #: Bigrams of a shard, about.
 SHARD = 1 << 20
-STATS = ("tokens", "ones", "twos", "more", "contexts", "count")
+PAIR_STATS = ("tokens", "ones", "twos", "more", "contexts")
+STATS = (*PAIR_STATS, "count")
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -135,25 +137,46 @@ class Pairs:
         self.names = np.append(self.words, START)
         code, self.where = np.unique(before * (n + 1) + stream, return_inverse=True)
         self.first, self.second = code // (n + 1), code % (n + 1)
-        keys = mix(self.names[self.first] * FOLLOW + self.names[self.second]) & MASK
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        self.pair_names = mix(self.names[self.first] * FOLLOW + self.names[self.second]) & MASK
+        self.order = np.argsort(self.pair_names)
+        self.keys = self.pair_names[self.order]
         self.n = np.bincount(self.where[self.train], minlength=len(code))[self.order]
 
 
+class Triples(Pairs):
+    """The trigrams of a chunk row, in the order of their hashes, and its bigrams with the one of two starts (the last of ``pair_names``)."""
+
+    def __init__(self, row: dict):
+        super().__init__(row)
+        n = len(self.pair_names)
+        self.pair_names = np.append(self.pair_names, mix(np.array([START * FOLLOW + START])) & MASK)
+        before = np.empty_like(self.where)
+        before[1:] = self.where[:-1]
+        before[np.cumsum(self.sizes) - self.sizes] = n
+        code, self.where3 = np.unique(before * n + self.where, return_inverse=True)
+        self.context, self.tail = code // n, code % n
+        keys = mix(self.pair_names[self.context] * FOLLOW + self.names[self.second[self.tail]]) & MASK
+        self.pair_order, self.order = np.argsort(self.pair_names), np.argsort(keys)
+        self.keys = keys[self.order]
+        self.n = np.bincount(self.where3[self.train], minlength=len(code))[self.order]
+
+
+GRAMS = {2: Pairs, 3: Triples}
+
+
 def bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where the parts of sorted keys for each shard begin and end; shards are equal ranges of hashes."""
     cuts = np.array([(i << KEY_BITS) // shards for i in range(1, shards)], U64)
     return np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
 
 
-def ask_pairs(table_: DataFrame, shards: int) -> DataFrame:
-    """Rows (shard, chunk, keys, values): the bigrams of each chunk and their counts in its training texts."""
+def ask_grams(table_: DataFrame, shards: int, order: int) -> DataFrame:
+    """Rows (shard, chunk, keys, values): the windows of ``order`` words of each chunk and their counts in its training texts."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                p = Pairs(row)
+                p = GRAMS[order](row)
                 edge = bounds(p.keys, shards)
                 some = np.flatnonzero(np.diff(edge))
                 cut = [(edge[s], edge[s + 1]) for s in some]
@@ -199,20 +222,22 @@ def answer(width: int):
         model = Mapped(distinct, total)
         out = []
         owner = np.zeros(len(all_keys), bool)
-        if width == 1:
-            has = np.flatnonzero(all_values[:, 0] > 0)
+        counts = 0 if width == 1 else 4
+        if width <= len(PAIR_STATS):
+            has = np.flatnonzero(all_values[:, counts] > 0)
             owner[has[np.unique(where[has], return_index=True)[1]]] = True
         at = 0
         for name, k in zip(chunk, keys, strict=True):
             found = model.find(k)
-            if width == 1:
-                found = found * U64(2) + owner[at : at + len(k), None].astype(U64)
+            if width <= len(PAIR_STATS):
+                found = np.array(found)
+                found[:, counts] = found[:, counts] * U64(2) + owner[at : at + len(k)].astype(U64)
             out.append(("answer", name, packed(found.T.reshape(-1))))
             at += len(k)
-        known = total[:, 0 if width == 1 else -1] > 0
+        known = total.any(axis=1) if width == len(PAIR_STATS) else total[:, 0 if width == 1 else -1] > 0
         out.append(("model", "", packed_keys(distinct[known]) if known.any() else b""))
         out.append(("values", "", packed(total[known].reshape(-1))))
-        c = total[:, 0 if width == 1 else 4]
+        c = total[:, counts]
         summary = [int((c == i).sum()) for i in (1, 2, 3, 4)] + [int(c.sum()), int(known.sum()), int(total[:, -1].sum())]
         return pa.table(
             {
@@ -230,26 +255,48 @@ def answer(width: int):
 ANSWER = "kind string, shard int, chunk string, data binary, summary array<long>"
 
 
-def ask_words(shards: int):
-    """From a chunk and its bigrams' answers: what its own bigrams say about its words, a block per word shard."""
+def statistics(first: np.ndarray, second: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """PAIR_STATS of n shorter windows from the counts of longer ones, which begin with ``first`` and end with ``second``."""
+    stat = np.zeros((n, len(PAIR_STATS)), np.int64)
+    stat[:, 0] = np.bincount(first, c, n)
+    stat[:, 1], stat[:, 2], stat[:, 3] = (np.bincount(first[x], minlength=n) for x in (c == 1, c == 2, c > 2))
+    stat[:, 4] = np.bincount(second, minlength=n)
+    return stat
+
+
+def pair_answers(p: Pairs, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Count of each bigram (with trigrams, of the words before it), whether the chunk owns it, and with trigrams the statistics of bigrams as contexts."""
+    n = len(p.first)
+    if not isinstance(p, Triples):
+        got = np.empty(n, U64)
+        got[p.order] = unpacked_parts(rows, "pair", 1)[:, 0]
+        return got >> U64(1), (got & U64(1)) > 0, None
+    stat = np.empty((n + 1, len(PAIR_STATS)), U64)
+    stat[p.pair_order] = unpacked_parts(rows, "pair", len(PAIR_STATS))
+    return stat[:n, 4] >> U64(1), (stat[:n, 4] & U64(1)) > 0, stat
+
+
+def ask_shorter(shards: int, order: int, level: int):
+    """From a chunk and the answers to its windows of ``level`` + 1 words: what those it owns say about its windows of ``level`` words, a block per shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"shard": [], "chunk": [], "keys": [], "values": []}
         answers = by_chunk(right)
         for row in left.to_pylist():
-            p = Pairs(row)
-            got = unpacked_parts(answers[row["chunk"]], "pair", 1)[:, 0]
-            count, owned = got >> U64(1), (got & U64(1)) > 0
-            first, second = p.first[p.order][owned], p.second[p.order][owned]
-            c = count[owned]
-            n = len(p.names)
-            stat = np.zeros((n, len(STATS)), np.int64)
-            stat[:, 0] = np.bincount(first, c, n)
-            stat[:, 1], stat[:, 2], stat[:, 3] = (np.bincount(first[x], minlength=n) for x in (c == 1, c == 2, c > 2))
-            stat[:, 4] = np.bincount(second, minlength=n)
-            stat[: n - 1, 5] = np.bincount(p.stream[p.train], minlength=n - 1)
-            order = np.argsort(p.names)
-            keys, stat = p.names[order], stat[order]
+            p = GRAMS[order](row)
+            if level == 2:
+                got = unpacked_parts(answers[row["chunk"]], "triple", 1)[:, 0]
+                owned = p.order[(got & U64(1)) > 0]
+                stat = statistics(p.context[owned], p.tail[owned], (got >> U64(1))[(got & U64(1)) > 0], len(p.pair_names))
+                keys, stat = p.pair_names[p.pair_order], stat[p.pair_order]
+            else:
+                count, owned, _ = pair_answers(p, answers[row["chunk"]])
+                n = len(p.names)
+                stat = np.zeros((n, len(STATS)), np.int64)
+                stat[:, :5] = statistics(p.first[owned], p.second[owned], count[owned], n)
+                stat[: n - 1, 5] = np.bincount(p.stream[p.train], minlength=n - 1)
+                by_key = np.argsort(p.names)
+                keys, stat = p.names[by_key], stat[by_key]
             edge = bounds(keys, shards)
             for s in np.flatnonzero(np.diff(edge)):
                 a, b = edge[s], edge[s + 1]
@@ -284,17 +331,25 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return clip(1 - 2 * y * n2 / n1, 0.95), clip(2 - 3 * y * n3 / n2, 1.95), clip(3 - 4 * y * n4 / max(n3, 1), 2.95)
 
 
-def score_chunk(d2: tuple, d1: tuple, tokens: int, vocabulary: int, contexts: int, unigrams: tuple):
+def interpolated(count: np.ndarray, context: np.ndarray, d: tuple, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of windows from their counts, their contexts' PAIR_STATS and the probabilities under the shorter context."""
+    seen = context[:, 0] > 0
+    total = np.where(seen, context[:, 0], 1.0)
+    gamma = np.where(seen, (context[:, 1] * d[0] + context[:, 2] * d[1] + context[:, 3] * d[2]) / total, 1.0)
+    less = np.select([count >= 3, count == 2, count == 1], [d[2], d[1], d[0]], 0.0)
+    return np.where(seen, (count - less) / total, 0.0) + gamma * shorter
+
+
+def score_chunk(order: int, d3: tuple, d2: tuple, d1: tuple, tokens: int, vocabulary: int, contexts: int, unigrams: tuple):
     """Scores the documents of chunks; rows of (id, train, n_tokens, n_known, base_score, score)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = by_chunk(right)
         columns: list[list] = [[], [], [], [], [], []]
         for row in left.to_pylist():
-            p = Pairs(row)
+            p = GRAMS[order](row)
             own = answers[row["chunk"]]
-            count = np.empty(len(p.keys))
-            count[p.order] = unpacked_parts(own, "pair", 1)[:, 0] >> U64(1)
+            count, _, contexts2 = pair_answers(p, own)
             stat = np.empty((len(p.names), len(STATS)))
             stat[np.argsort(p.names)] = unpacked_parts(own, "word", len(STATS))
             # unigrams: continuation counts, discounted and interpolated with the uniform distribution
@@ -303,12 +358,14 @@ def score_chunk(d2: tuple, d1: tuple, tokens: int, vocabulary: int, contexts: in
             uniform = 1.0 / (vocabulary + 1)
             free = (d1[0] * unigrams[0] + d1[1] * unigrams[1] + d1[2] * unigrams[2]) / contexts if contexts else 1.0
             one = (k - less) / max(contexts, 1) + free * uniform
-            seen = stat[p.first, 0] > 0
-            total = np.where(seen, stat[p.first, 0], 1.0)
-            gamma = np.where(seen, (stat[p.first, 1] * d2[0] + stat[p.first, 2] * d2[1] + stat[p.first, 3] * d2[2]) / total, 1.0)
-            less = np.select([count >= 3, count == 2, count == 1], [d2[2], d2[1], d2[0]], 0.0)
-            prob = np.where(seen, (count - less) / total, 0.0) + gamma * one[p.second]
-            logs = np.log10(prob)[p.where]
+            prob = interpolated(count.astype(float), stat[p.first], d2, one[p.second])
+            where = p.where
+            if order == 3:
+                count = np.empty(len(p.keys))
+                count[p.order] = unpacked_parts(own, "triple", 1)[:, 0] >> U64(1)
+                prob = interpolated(count, contexts2[p.context].astype(float), d3, prob[p.tail])
+                where = p.where3
+            logs = np.log10(prob)[where]
             c = stat[:-1, 5]
             base = np.log10((c + 0.1) / (tokens + 0.1 * (vocabulary + 1)))[p.stream]
             start = np.cumsum(p.sizes) - p.sizes
@@ -334,12 +391,12 @@ def bucketed(df: DataFrame, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def score(docs: DataFrame, train, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Scores of all documents under the model of those where ``train`` holds, and the model.
+def score(docs: DataFrame, train, text: str = "text", id_col: str = "doc_id", order: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Scores of all documents under the model of order 2 or 3 of those where ``train`` holds, and the model.
 
     The scores have id, train, n_tokens, n_known, train_tokens, base_score and
     score (log10 probabilities of the text); the model's rows are the sorted
-    hash arrays of bigrams and words, a few per shard.
+    hash arrays of trigrams, bigrams and words, a few per shard.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -347,20 +404,30 @@ def score(docs: DataFrame, train, text: str = "text", id_col: str = "doc_id") ->
     held = bucketed(make_chunks(given), parts)
     asked = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     shards = max(16, parts, -(-asked // SHARD))
-    pairs = stored(ask_pairs(held, shards).groupBy("shard").applyInArrow(answer(1), ANSWER), "bigrams")
+    if order not in GRAMS:
+        raise ValueError("the order is 2 or 3")
+    block = "shard int, chunk string, keys binary, values binary"
     level = lambda df, name: df.where("kind = 'answer'").select("chunk", "shard", "data", F.lit(name).alias("level"))
     body = held.select("chunk", "ids", "train", "sizes", "words", "stream")
-    blocks = body.drop("ids").groupBy("chunk").cogroup(level(pairs, "pair").groupBy("chunk")).applyInArrow(ask_words(shards), "shard int, chunk string, keys binary, values binary")
-    words = stored(blocks.groupBy("shard").applyInArrow(answer(len(STATS)), ANSWER), "words")
+    levels = {}
+    for n, name, width in [(3, "triple", 1), (2, "pair", 1 if order == 2 else len(PAIR_STATS)), (1, "word", len(STATS))][3 - order :]:
+        if n == order:
+            blocks = ask_grams(held, shards, order)
+        else:
+            blocks = body.drop("ids").groupBy("chunk").cogroup(level(*longer).groupBy("chunk")).applyInArrow(ask_shorter(shards, order, n), block)
+        levels[name] = stored(blocks.groupBy("shard").applyInArrow(answer(width), ANSWER), f"{name}s")
+        longer = levels[name], name
+    pairs, words = levels["pair"], levels["word"]
     total = lambda df: [int(x or 0) for x in df.where("kind = 'model'").agg(*[F.sum(F.col("summary")[i]) for i in range(7)]).first()]
     two, one = total(pairs), total(words)
     tokens, vocabulary, contexts = one[6], one[5], one[4]
     more = max(0, counted(words) - one[0] - one[1])
-    scorer = score_chunk(discounts(*two[:4]), discounts(*one[:4]), tokens, vocabulary, contexts, (one[0], one[1], more))
-    answers = level(pairs, "pair").unionByName(level(words, "word"))
+    d3 = discounts(*total(levels["triple"])[:4]) if order == 3 else ()
+    scorer = score_chunk(order, d3, discounts(*two[:4]), discounts(*one[:4]), tokens, vocabulary, contexts, (one[0], one[1], more))
+    answers = reduce(DataFrame.unionByName, [level(df, name) for name, df in levels.items()])
     kind = docs.schema[id_col].dataType.simpleString()
     scored = body.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scorer, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
-    model = pairs.unionByName(words).where("kind != 'answer'")
+    model = reduce(DataFrame.unionByName, levels.values()).where("kind != 'answer'")
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long")), model
 
 
@@ -376,5 +443,5 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 def op6_lm_scores(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored, _ = score(docs, fold("doc_id", 10) != 0)
+    scored, _ = score(docs, fold("doc_id", 10) != 0, order=3)
     return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -271,6 +271,48 @@ def test_language_model(docs, corpus, none):
     assert ngramlm.score(none, fold("doc_id", 10) != 0)[0].count() == 0
 
 
+def brute_trigrams(corpus, trained):
+    docs = [(row[0], WORD.findall((row[1] or "").translate(LOW)) + ["</s>"]) for row in corpus]
+    counts, words = Counter(), set()
+    for i, w in docs:
+        if trained(i):
+            words.update(w)
+            counts.update(zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False))
+    levels = [counts]
+    for _ in range(2):  # how many words come before each shorter window
+        levels.append(Counter(k[1:] for k in levels[-1]))
+    d = [ngramlm.discounts(*[sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]) for c in levels]
+    totals, free = [Counter() for _ in levels], [Counter() for _ in levels]
+    for c, less, total, rest in zip(levels, d, totals, free, strict=True):
+        for k, n in c.items():
+            total[k[:-1]] += n
+            rest[k[:-1]] += less[min(n, 3) - 1]
+
+    def prob(k):
+        at = 3 - len(k)
+        shorter = prob(k[1:]) if len(k) > 1 else 1 / (len(words) + 1)
+        if not totals[at][k[:-1]]:
+            return shorter
+        n = levels[at][k]
+        return (n - (d[at][min(n, 3) - 1] if n else 0) + free[at][k[:-1]] * shorter) / totals[at][k[:-1]]
+
+    some = max(k[:2] for k in counts)
+    mass = sum(prob((*some, w)) for w in words) + prob((*some, "never seen"))
+    return {i: sum(log10(prob(k)) for k in zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False)) for i, w in docs}, mass
+
+
+def test_language_model_of_order_three(docs, corpus, none):
+    trained = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+    wanted, mass = brute_trigrams(corpus, trained)
+    assert mass == pytest.approx(1)
+    scored, model = ngramlm.score(docs, fold("doc_id", 10) != 0, order=3)
+    rows = scored.collect()
+    assert len(rows) == len(corpus)
+    assert {r.id: r.score for r in rows} == {i: pytest.approx(x) for i, x in wanted.items()}
+    assert model.where("kind = 'model'").count() > 0
+    assert ngramlm.score(none, fold("doc_id", 10) != 0, order=3)[0].count() == 0
+
+
 # ---- near duplicates -----------------------------------------------------------------------
 
 
