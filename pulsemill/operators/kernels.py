@@ -7,11 +7,11 @@ gives a null and the status of its error, never a failed task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.registry import register, status_of
@@ -450,10 +450,10 @@ def _array(values) -> np.ndarray:
     return x[np.isfinite(x)]
 
 
-def per_series(df: DataFrame, key: str, values: str, kernels: Mapping[str, Callable[[np.ndarray], float]], table: bool = False) -> DataFrame:
-    """One row per series with a column per kernel and a status; NaN becomes null."""
-    names = list(kernels)
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names) + ", status string"
+def per_series(df: DataFrame, key: str, values: str, kernels: Mapping[str, Callable[[np.ndarray], float]], table: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per series with its key, the columns ``keep``, a column per kernel and a status; NaN becomes null."""
+    names, kept = list(kernels), [key, *keep]
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + ", " + ", ".join(f"`{n}` double" for n in names) + ", status string"
 
     def run(batches):
         for batch in batches:
@@ -465,25 +465,81 @@ def per_series(df: DataFrame, key: str, values: str, kernels: Mapping[str, Calla
                         with np.errstate(all="ignore"):
                             v = float(kernels[n](x))
                         row.append(v if np.isfinite(v) else None)
+                    except MemoryError:  # not a fault of the series: the task fails
+                        raise
                     except Exception as e:  # noqa: BLE001  the class becomes the row's status
                         error = error or e
                         row.append(None)
                 rows.append([*row, status_of(error) if len(x) else "no_signals"])
             columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *columns, pa.array([r[-1] for r in rows], pa.string())], [key, *names, "status"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns, pa.array([r[-1] for r in rows], pa.string())], [*kept, *names, "status"])
 
-    return df.select(key, values).mapInArrow(run, schema)
+    return df.select(*kept, values).mapInArrow(run, schema)
 
 
-def filtered(df: DataFrame, key: str, values: str, fs: float, low: float | None, high: float | None, order: int = 2) -> DataFrame:
-    """Each series band-passed without phase shift."""
+def filtered(df: DataFrame, key: str, values: str, fs: float, low: float | None, high: float | None, order: int = 2, keep: Sequence[str] = (), core: str | None = None) -> DataFrame:
+    """Each series band-passed without phase shift; with ``core`` only the values it marks are returned."""
+    kept = [key, *keep]
 
     def run(batches):
         for batch in batches:
-            out = [band_pass(x, fs, high, low, order).tolist() if len(x := _array(item)) > 3 else x.tolist() for item in batch.column(values).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float64()))], [key, "filtered"])
+            out = []
+            marks = batch.column(core).to_pylist() if core else [None] * len(batch)
+            for item, mark in zip(batch.column(values).to_pylist(), marks, strict=True):
+                y = band_pass(x, fs, high, low, order) if len(x := _array(item)) > 3 else x
+                out.append((y if mark is None else y[np.asarray(mark, bool)]).tolist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.list_(pa.float64()))], [*kept, "filtered"])
+
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept)
+    return df.select(*kept, values, *([core] if core else [])).mapInArrow(run, f"{schema}, filtered array<double>")
+
+
+#: Values of a segment, and those of its neighbours that a filter sees besides.
+SEGMENT, MARGIN = 1024, 512
+
+
+def numbered(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """Rows (key, r, v): the finite values in order, numbered from 0; a key without any has one row with a null ``v``."""
+    v = F.col(value).cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    rows = df.where(finite).select(key, v.alias("v"), (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long").alias("r"))
+    none = df.groupBy(key).agg(F.max(finite.cast("int")).alias("some")).where("some = 0").select(key, F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("r"))
+    return rows.unionByName(none)
+
+
+def segments(df: DataFrame, key: str, order: Sequence[str], value: str, margin: int = 0) -> DataFrame:
+    """Rows (key, segment, values, core): arrays of SEGMENT values and up to ``margin`` of each neighbour, which ``core`` doesn't mark."""
+    rows = numbered(df, key, order, value)
+    first, last = F.floor(F.greatest(F.col("r") - margin, F.lit(0)) / SEGMENT), F.floor((F.col("r") + margin) / SEGMENT)
+    cut = rows.withColumn("segment", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    cut = cut.withColumn("core", F.floor(F.col("r") / SEGMENT) == F.col("segment"))
+    out = cut.groupBy(key, "segment").agg(F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("r", "v", "core")))).alias("x"), F.max("core").alias("own"))
+    return out.where("own").select(key, "segment", F.col("x.v").alias("values"), F.col("x.core").alias("core"))
+
+
+def welch_centroids(df: DataFrame, key: str, order: Sequence[str], value: str, fs: float, size: int = 256) -> DataFrame:
+    """One row (key, center_freq, status) per series: ``spectral_centroid`` from periodograms of its windows, averaged in Spark."""
+    rows = numbered(df, key, order, value)
+    step = size // 2
+    rows = rows.join(rows.groupBy(key).agg(F.count("v").alias("n")), key)
+    at = F.floor(F.col("r") / step).cast("long")
+    cut = rows.where("v is not null").withColumn("k", F.explode(F.sequence(F.greatest(at - 1, F.lit(0).cast("long")), at)))
+    cut = cut.where((F.col("k") * step + size <= F.col("n")) | ((F.col("n") < size) & (F.col("k") == 0)))
+    windows = cut.groupBy(key, "k").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("x")).select(key, F.col("x.v").alias("x"))
 
-    return df.select(key, values).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, filtered array<double>")
+    def run(batches):
+        for batch in batches:
+            done = [welch(np.asarray(x, float), fs, size) for x in batch.column("x").to_pylist()]
+            both = [pa.array([d[i].tolist() for d in done], pa.list_(pa.float64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *both], [key, "f", "p"])
+
+    kind = df.schema[key].dataType.simpleString()
+    power = windows.mapInArrow(run, f"{key} {kind}, f array<double>, p array<double>").select(key, F.explode(F.arrays_zip("f", "p")).alias("z"))
+    power = power.groupBy(key, F.col("z.f").alias("f")).agg(F.avg("z.p").alias("p"))
+    centre = power.groupBy(key).agg(F.sum(F.col("f") * F.col("p")).alias("fp"), F.sum("p").alias("p"))
+    value = F.when(F.col("p") > 0, F.col("fp") / F.nullif(F.col("p"), F.lit(0.0))).when(F.col("p") == 0, 0.0)
+    out = rows.groupBy(key).agg(F.max("n").alias("n")).join(centre, key, "left")
+    return out.select(key, value.alias("center_freq"), F.when(F.col("n") > 0, status_of(None)).otherwise("no_signals").alias("status"))
 
 
 def synthetic_pulses(keys: DataFrame, key: str, seconds: int = 20, fs: int = 125) -> DataFrame:

@@ -124,29 +124,28 @@ def abp_haemodynamics(spark, sf_dir):
 # the kernels below need NumPy and have no SQL; they run once per series, in Arrow batches
 
 
-def series(spark, sf_dir, least: int = 40):
-    """One array of values per encounter, in order of time."""
-    s = samples(spark, sf_dir)
-    arrays = s.groupBy("fin").agg(F.array_sort(F.collect_list(F.struct("t", "sample_id", "value"))).alias("x"))
-    return arrays.select("fin", F.col("x.value").alias("values"), F.col("x.t").alias("times")).where(F.size("values") >= least)
+def series(spark, sf_dir):
+    """Arrays of up to kernels.SEGMENT values of each encounter, in order of time."""
+    return kernels.segments(samples(spark, sf_dir), "fin", ORDER, "value")
 
 
 @query()
 def butter_filtfilt(spark, sf_dir):
-    """Zero-phase band-pass filtering of each series."""
-    return kernels.filtered(series(spark, sf_dir), "fin", "values", fs=10.0, low=4.0, high=0.2, order=2)
+    """Zero-phase band-pass filtering of each series, by segments that overlap."""
+    s = kernels.segments(samples(spark, sf_dir), "fin", ORDER, "value", margin=kernels.MARGIN)
+    return kernels.filtered(s, "fin", "values", fs=10.0, low=4.0, high=0.2, order=2, keep=["segment"], core="core")
 
 
 @query()
 def welch_centroid(spark, sf_dir):
-    """Centre frequency of each series."""
-    return kernels.per_series(series(spark, sf_dir), "fin", "values", {"center_freq": lambda x: kernels.spectral_centroid(x, 1.0)})
+    """Centre frequency of each series, from its segments' periodograms."""
+    return kernels.welch_centroids(samples(spark, sf_dir), "fin", ORDER, "value", 1.0)
 
 
 @query()
 def hrv_nonlinear(spark, sf_dir):
-    """Entropies, fractal dimensions, fluctuation exponents and recurrence of each series."""
-    return kernels.per_series(series(spark, sf_dir), "fin", "values", kernels.NONLINEAR)
+    """Entropies, fractal dimensions, fluctuation exponents and recurrence of each segment of each series."""
+    return kernels.per_series(series(spark, sf_dir), "fin", "values", kernels.NONLINEAR, keep=["segment"])
 
 
 @query()
@@ -158,8 +157,8 @@ def hrv_frequency(spark, sf_dir):
 
 @query()
 def multiscale_entropy(spark, sf_dir):
-    """Sample entropy of the series coarse-grained at each scale."""
-    return kernels.per_series(series(spark, sf_dir), "fin", "values", {f"MSE_{k}": (lambda x, k=k: kernels.sample_entropy(kernels.coarse(x, k + 1))) for k in range(5)})
+    """Sample entropy of each segment of each series, coarse-grained at each scale."""
+    return kernels.per_series(series(spark, sf_dir), "fin", "values", {f"MSE_{k}": (lambda x, k=k: kernels.sample_entropy(kernels.coarse(x, k + 1))) for k in range(5)}, keep=["segment"])
 
 
 @query()

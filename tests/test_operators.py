@@ -150,6 +150,31 @@ def test_silhouettes_are_euclidean_at_every_size(spark):
         assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
 
 
+def test_long_and_short_series_by_segments(spark):
+    rng = np.random.default_rng(9)
+    whole = {1: rng.normal(size=3000).cumsum(), 2: rng.normal(size=300), 3: rng.normal(size=5), 4: np.array([np.nan])}
+    rows = [(k, i, float(x)) for k, v in whole.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "fin int, t int, value double")
+    cut = kernels.segments(df, "fin", ["t"], "value", margin=kernels.MARGIN)
+    assert max(len(r["values"]) for r in cut.collect()) <= kernels.SEGMENT + 2 * kernels.MARGIN
+    out = kernels.filtered(cut, "fin", "values", 10.0, 4.0, 0.2, keep=["segment"], core="core").orderBy("segment").collect()
+    for k in (1, 2, 3):
+        got = np.concatenate([r.filtered for r in out if r.fin == k])
+        assert np.allclose(got, kernels.band_pass(whole[k], 10.0, 0.2, 4.0), atol=1e-6)
+    centres = {r.fin: (r.center_freq, r.status) for r in kernels.welch_centroids(df, "fin", ["t"], "value", 1.0).collect()}
+    for k in (1, 2, 3):
+        assert centres[k][0] == pytest.approx(kernels.spectral_centroid(whole[k], 1.0))
+    assert centres[4] == (None, "no_signals")
+    bounded = kernels.per_series(kernels.segments(df, "fin", ["t"], "value"), "fin", "values", {"n": len, "SampEn": kernels.sample_entropy}, keep=["segment"]).collect()
+    assert sorted((r.fin, r.segment, r.n) for r in bounded) == [(1, 0, 1024), (1, 1, 1024), (1, 2, 952), (2, 0, 300), (3, 0, 5), (4, 0, 0)]
+
+    def too_large(x):
+        raise MemoryError
+
+    with pytest.raises(Exception, match="MemoryError"):
+        kernels.per_series(cut, "fin", "values", {"x": too_large}).collect()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "k string, t int, value double")
     assert stats.series_stats(none, ["k"], ["t"]).count() == 0
