@@ -10,12 +10,13 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pulsemill.llm import decontam, htmltext, langid, neardup, ngramlm, packing, pii, quality, queries, sharding, substrings
 from pulsemill.llm.components import components
-from pulsemill.llm.textkit import fold
+from pulsemill.llm.textkit import fold, prefix_hash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id int, __text string"
@@ -413,6 +414,34 @@ def test_repeats(docs, corpus, none, most, monkeypatch):
         assert substrings.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("prefix", [None, lambda data: np.zeros(len(data) + 1, np.uint64), lambda data: prefix_hash(data % 2)])
+def test_hash_collisions_do_no_harm(prefix, monkeypatch):
+    if prefix:
+        monkeypatch.setattr(substrings, "prefix_hash", prefix)
+    rng = random.Random(4)
+    parts = [bytes(rng.choice(b"abcd") for _ in range(30)) for _ in range(3)]
+    rows = [(k, 0, 5, b"".join(rng.choice(parts) for _ in range(3)) + bytes([65 + k])) for k in range(8)]
+    places = defaultdict(set)
+    for k, _, low, data in rows:
+        for p in range(len(data) - 39):
+            places[data[p : p + 40]].add((k, low + p))
+    wanted = {(k, q) for own in places.values() if len(own) > 1 for k, p in own for q in range(p, p + 40)}
+    assert {(k, q) for k, _, a, b in substrings.spans_in(rows, 40) for q in range(a, b)} == wanted
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE", 50)
+    monkeypatch.setattr(substrings, "CHUNK", 100)
+    texts = [bytes(range(100)) * 3, b"", b"x" * 30, b"y" * 30, b"y" * 30, b"y" * 30]
+    batch = pa.RecordBatch.from_pydict({"k1": [hash(t) for t in texts], "k2": [0] * 6, "__text": texts})
+    found = Counter()
+    for keys, offsets, parts in substrings.pieces([batch], 20):
+        for key, offset, part in zip(keys.tolist(), offsets.tolist(), parts, strict=True):
+            found.update((key[0], offset + i, part[i : i + 20]) for i in range(len(part) - 19))
+    wanted = Counter((hash(t), i, t[i : i + 20]) for t in texts[:5] for i in range(len(t) - 19))
+    assert found == wanted
+
+
 def test_suffix_sort():
     rng = random.Random(2)
     data = bytes(rng.choice(b"ab") for _ in range(2000))
