@@ -7,9 +7,16 @@ written back with the separators it had, so equal values get equal pseudonyms
 in every document, whatever their separators.  The permutation is conjugate to
 a rotation of its domain, so no value is mapped to itself; ``unmask`` inverts it.
 
-Kinds: card, iban, ssn, phone, ip, date (1900 to 2099; day first where only
-that is valid, else month first with ``/``), email (the local part), and secret
-(access keys, and a value with a digit assigned to a name such as ``password``).
+Kinds: card, iban, ssn, phone (without separators only behind a word such as
+``tel``), ip (version 6 keeps its notation), date (1900 to 2099; day first where
+only that is valid, else month first with ``/``), email (the local part), and
+secret (access keys, and a value with a digit assigned to a name such as
+``password``).  Digits stay digits and letters letters, in hexadecimal secrets
+letters up to ``f``.
+
+The key is needed: who knows it can invert a corpus.  ``session_key`` takes it from
+the setting ``spark.pulsemill.pii.key``, and without one draws a secret key for
+this application.
 
 A card or IBAN that isn't valid as it is matched may have swallowed a neighbour
 (an expiry date, a house number, a word in capitals): the longest valid value
@@ -18,19 +25,22 @@ behind its start.
 
 Edge cases: a null text stays null and an empty one empty; invalid numbers stay
 as they are; repeated rows give equal rows; an empty table an empty result;
-other columns are passed on; a very long text is scanned in linear time.
+other columns are passed on, but one named as ``spans`` is replaced; a very long
+text is scanned in linear time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from datetime import date
 from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .textkit import table
@@ -51,12 +61,14 @@ PATTERN = re.compile(
   | (?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?[ \t]*[:=][ \t]*["']?)(?P<secret>[A-Za-z0-9+/_-]{{8,}})
   | (?<![A-Za-z0-9])(?P<iban>[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])
   | (?<![\w.])(?P<ip>[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}})(?!\w|\.[0-9])
-  | (?<![\w./-])(?P<ymd>[0-9]{{4}}([-/.])[0-9]{{1,2}}\7[0-9]{{1,2}})(?!\w|[-/.][0-9])
-  | (?<![\w./-])(?P<dmy>[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\9[0-9]{{4}})(?!\w|[-/.][0-9])
+  | (?<![\w:.])(?P<ip6>(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}})(?![\w:])
+  | (?<![\w./-])(?P<ymd>[0-9]{{4}}(?P<m1>[-/.])[0-9]{{1,2}}(?P=m1)[0-9]{{1,2}})(?!\w|[-/.][0-9])
+  | (?<![\w./-])(?P<dmy>[0-9]{{1,2}}(?P<m2>[-/.])[0-9]{{1,2}}(?P=m2)[0-9]{{4}})(?!\w|[-/.][0-9])
   | (?<!\w)(?P<d_month>[0-9]{{1,2}}[ ](?:{MONTH})[ ][0-9]{{4}})(?!\w)
   | (?<!\w)(?P<month_d>(?:{MONTH})[ ][0-9]{{1,2}},[ ][0-9]{{4}})(?!\w)
   | (?<![\w-])(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![\w-])
   | (?<![\w+])(?P<phone>(?:\+1[ .-]?)?(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}|\+[0-9](?:[ .()-]{{0,2}}[0-9]){{7,14}})(?![0-9])
+  | (?i:\b(?:tel|phone|call|mobile|cell|fax)\w*[.:]?[ ]?[:]?[ ]*)(?P<bare>[2-9][0-9]{{2}}[2-9][0-9]{{6}})(?![0-9]|[ -][0-9])
   | (?<![0-9])(?P<card>[0-9](?:[ -]?[0-9]){{12,18}})(?![0-9])
     """,
     re.VERBOSE,
@@ -64,6 +76,10 @@ PATTERN = re.compile(
 MAY_MATCH = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[A-Za-z0-9]+|(?s:.)")
 GROUP = re.compile(r"[A-Z0-9]+")
+SUBSCRIBER = re.compile(r"[2-9][0-9]{2}[2-9]")
+HEXA = re.compile(r"(?=.*[a-f])[0-9a-f]{16,}")
+#: What is written in ``spans`` for the names of the pattern's groups that stand for forms of one kind.
+KINDS = {"ymd": "date", "dmy": "date", "d_month": "date", "month_d": "date", "key": "secret", "ip6": "ip", "bare": "phone"}
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}")
 
 
@@ -130,13 +146,21 @@ class Masker:
             return digits
         return str(self.network(tweak, 10 ** len(digits)).apply(int(digits), self.step)).zfill(len(digits))
 
-    def characters(self, tweak: str, text: str) -> str:
+    def subscriber(self, digits: str) -> str:
+        """Ten digits of a phone number: numbers that may be written without separators stay such, and the others too."""
+        begin = bool(SUBSCRIBER.match(digits))
+        while True:
+            digits = self.number("phone", digits)
+            if bool(SUBSCRIBER.match(digits)) == begin:
+                return digits
+
+    def characters(self, tweak: str, text: str, hexa: bool = False) -> str:
         """Each letter or digit changes inside its own class; pieces of 32 characters are permuted one by one."""
         low = text.lower() if len(text.lower()) == len(text) else text
-        hexa = bool(re.fullmatch(r"(?=.*[0-9])[0-9a-f]{16,}", text))
+        letters = LOWER[:6] if hexa else LOWER
         out = []
         for at in range(0, len(low), 32):
-            kinds = [(DIGITS + LOWER[:6]) if hexa else next((k for k in (DIGITS, LOWER, ACCENTED) if c in k), c) for c in low[at : at + 32]]
+            kinds = [next((k for k in (DIGITS, letters, ACCENTED) if c in k), c) for c in low[at : at + 32]]
             n = x = 0
             size = 1
             for c, k in zip(low[at : at + 32], kinds, strict=True):
@@ -171,7 +195,16 @@ class Masker:
             keep = 3 if text.startswith("sk-") else 4
             return text[:keep] + self.characters("secret", text[keep:])
         if kind == "secret":
-            return self.characters("secret", text) if digits else None
+            return self.characters("secret", text, hexa=bool(HEXA.fullmatch(text))) if digits else None
+        if kind == "ip6":
+            try:
+                ipaddress.IPv6Address(text)
+            except ValueError:
+                return None
+            several = digits and len([x for x in text.split(":") if x]) > 2
+            return self.characters("ip6", text, hexa=True) if several else None
+        if kind == "bare":
+            return self.subscriber(digits)
         if kind == "card":
             if luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
                 return None
@@ -199,7 +232,7 @@ class Masker:
             return f"{areas[n // (99 * 9999)]:03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
         if kind == "phone":
             if text[0] != "+" or digits[0] == "1" and len(digits) == 11:
-                return self.refill(text, digits[:-10] + self.number("phone", digits[-10:]))
+                return self.refill(text, digits[:-10] + self.subscriber(digits[-10:]))
             return self.refill(text, digits[0] + self.number("phone" + digits[0], digits[1:]))
         if kind in ("d_month", "month_d"):
             d, name, y = (text.split() if kind == "d_month" else [text.split()[1][:-1], text.split()[0], text.split()[2]])
@@ -265,16 +298,23 @@ class Masker:
             size += len(before) + len(new)
             at = end
             scan = m.end() if end == m.end(kind) else end
-            spans.append(({"ymd": "date", "dmy": "date", "d_month": "date", "month_d": "date", "key": "secret"}.get(kind, kind), size - len(new), size))
+            spans.append((KINDS.get(kind, kind), size - len(new), size))
         return "".join([*out, text[at:]]), spans
 
 
-#: For tests only; pass a key of your own.
-DEFAULT_KEY = b"change me"
+_drawn = secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in ``spark.pulsemill.pii.key``; where it is unset, a random one that ends with this application."""
+    given = spark.conf.get("spark.pulsemill.pii.key", None)
+    return given.encode() if given else _drawn
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, step: int = 1, spans: str | None = "pii_spans") -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", *, key: bytes, step: int = 1, spans: str | None = "pii_spans") -> DataFrame:
     """The table with ``text`` masked and, unless ``spans`` is None, a list of (kind, start, end) in code points."""
+    if not key:
+        raise ValueError("a key is needed")
     columns = [c for c in docs.columns if c != spans]
     schema = docs.select(*columns).schema
     if spans:
@@ -295,13 +335,13 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY,
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def unmask(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+def unmask(docs: DataFrame, text: str = "text", *, key: bytes) -> DataFrame:
     """Undoes ``pseudonymise`` for values whose pseudonym is read back as the same kind and span.
 
     Exceptions are ambiguous ``/`` dates, and cards or IBANs beside digits or capitals that happen to make a valid longer one with the pseudonym.
     """
-    return pseudonymise(docs, text, key, step=-1, spans=None)
+    return pseudonymise(docs, text, key=key, step=-1, spans=None)
 
 
 def op3_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=session_key(spark))
