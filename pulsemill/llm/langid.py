@@ -4,11 +4,13 @@ One interpolated Kneser-Ney model of order 4 over letters and word gaps is
 learned per language.  The counting runs in Spark; the resulting tables are
 kept as sorted 64-bit hash arrays with one log probability per language.  A text
 gets the language with the lowest cross-entropy per character.  A text whose
-cross-entropy lies above a limit calibrated on the training texts of that
-language is marked ``rejected``.
+cross-entropy lies above a limit calibrated on texts of that language left out of
+learning (each fifth one) is marked ``rejected``, and its score falls with the
+excess.
 
-Learning may be limited to ``max_docs`` labelled documents a language, taken
-by a hash of the id (a documented bound; every document is predicted).
+Learning takes at most about ``max_docs`` labelled documents a language, by a hash
+of the id (a documented bound); all their windows count, and every document is
+predicted.
 
 Edge cases: null text, or a text without any letter, gives ``und`` with score 0
 and is rejected; without any labelled document every text is ``und``.  Ties go
@@ -39,12 +41,10 @@ def alphabet() -> np.ndarray:
     """For each code point: its lower-case letter folded to 16 bits, or GAP."""
     if not _tables:
         out = np.full(0x110000, GAP, np.uint32)
-        for i in range(0x110000):
-            c = chr(i)
-            if c.isalpha():
-                low = c.lower()
-                j = ord(low) if len(low) == 1 else i
-                out[i] = j if j < 0x10000 else 0x8000 | (j & 0x7FFF)
+        for i in np.flatnonzero(np.strings.isalpha(np.arange(0x110000, dtype=np.uint32).view("U1"))):
+            low = chr(i).lower()
+            j = ord(low) if len(low) == 1 else i
+            out[i] = j if j < 0x10000 else 0x8000 | (j & 0x7FFF)
         _tables.append(out)
     return _tables[0]
 
@@ -177,32 +177,23 @@ class Model:
         return out, letters
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = 5_000, max_grams: int = 200_000) -> Model | None:
-    """Learn from labelled documents, at most about ``max_docs`` a language and the ``max_grams`` most frequent windows of each."""
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = 5_000) -> Model | None:
+    """Learn from labelled documents, at most about ``max_docs`` a language."""
     some = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     share = {r[0]: min(1.0, max_docs / r[1]) for r in some.groupBy(lang).count().collect()}
     if not share:
         return None
     part = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 20)))]), F.col(lang))
-    bound = some.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < part)
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))
+    bound = some.where(place < part)
+    left_out = place % 5 == 0
     counts = (
-        bound.select(F.col(lang).alias("__lang"), as_bytes(text).alias("__text"))
+        bound.where(~left_out).select(F.col(lang).alias("__lang"), as_bytes(text).alias("__text"))
         .mapInArrow(count_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    counts = counts.persist()
-    cut = counts.groupBy("lang").agg(F.count("*").alias("m")).where(F.col("m") > max_grams).collect()
-    if cut:  # only then: the least count that fits, for each language
-        sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("m")).toPandas().sort_values("n", ascending=False)
-        sizes["fits"] = sizes.groupby("lang")["m"].cumsum() <= max_grams
-        least = sizes[sizes.fits].groupby("lang")["n"].min().to_dict()
-        keep = F.lit(False)
-        for k, v in least.items():
-            keep = keep | ((F.col("lang") == k) & (F.col("n") >= int(v)))
-        counts = counts.where(keep)
-    rows = counts.toPandas()
-    counts.unpersist()
+    rows = counts.toPandas()  # of the bounded sample
     langs = sorted(rows.lang.unique())
     if not langs:
         return None
@@ -213,12 +204,12 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
         order = np.argsort(gram)
         per_lang.append((gram[order], own.n.to_numpy()[order]))
     model = Model(langs, per_lang)
-    model.limit = calibrate(bound, model, text, lang)
+    model.limit = calibrate(bound.where(left_out), model, text, lang)
     return model
 
 
 def calibrate(train: DataFrame, model: Model, text: str, lang: str) -> np.ndarray:
-    """For each language the highest accepted cross-entropy: mean plus twelve deviations (1.5 nats at least) over its training texts; short texts get ten nats divided by their letters more."""
+    """For each language the highest accepted cross-entropy: median plus nine interquartile ranges (1.5 nats at least) over texts it didn't learn from; short texts get ten nats divided by their letters more."""
     spark = train.sparkSession
     held = spark.sparkContext.broadcast(model)
 
@@ -233,9 +224,9 @@ def calibrate(train: DataFrame, model: Model, text: str, lang: str) -> np.ndarra
 
     stats = {
         r.lang: r
-        for r in train.select(F.col(lang).alias("__lang"), as_bytes(text).alias("__text")).mapInArrow(measure, "lang string, nats double").groupBy("lang").agg(F.avg("nats").alias("m"), F.stddev_pop("nats").alias("s")).collect()
+        for r in train.select(F.col(lang).alias("__lang"), as_bytes(text).alias("__text")).mapInArrow(measure, "lang string, nats double").groupBy("lang").agg(F.percentile("nats", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()
     }
-    return np.array([stats[x].m + max(12 * stats[x].s, 1.5) if x in stats else 12.0 for x in model.langs])
+    return np.array([stats[x].q[1] + max(9 * (stats[x].q[2] - stats[x].q[0]), 1.5) if x in stats else 12.0 for x in model.langs])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -254,8 +245,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
             low = nats[np.arange(len(best)), best]
             tempered = np.exp(-(nats - low[:, None]) * np.minimum(letters, 64)[:, None])
             none = letters == 0
-            score = np.where(none, 0.0, 1.0 / tempered.sum(axis=1))
             limit = m.limit[best] + 10.0 / np.maximum(letters, 1)
+            score = np.where(none, 0.0, np.exp(-np.maximum(low - limit, 0)) / tempered.sum(axis=1))
             names = ["und" if x else m.langs[i] for x, i in zip(none, best, strict=True)]
             columns = [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(score), pa.array(np.where(none, 0.0, low)), pa.array(letters.astype(np.int64)), pa.array(none | (low > limit))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "nats", "n_letters", "rejected"])
