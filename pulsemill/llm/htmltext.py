@@ -14,11 +14,13 @@ stays.
 
 Elements that are never content are left out first: menus, headers (but not the
 headings of an article's own header), footers, sidebars, forms, scripts, styles
-and hidden parts, and by their class, id or role adverts, notices and comments.
+and hidden parts, and by their class, id or role adverts, notices and comments
+(names count as wholes: ``cookie-notice`` is one, ``notice-period`` isn't).
 
 Edge cases: null, empty and textless pages give an empty text; broken markup is
 read as far as it goes, with open elements closed at the end; repeated pages are
-each extracted; an empty table gives an empty result; extra columns are ignored.
+each extracted; an empty table gives an empty result; other columns are passed
+on, but columns named ``text`` and ``n_chars`` are replaced.
 """
 
 from __future__ import annotations
@@ -56,9 +58,20 @@ SECTIONS = ARTICLE | {"body", "dialog", "div", "section"}
 SIGMA = 1.5
 APART = 2.0
 OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
+#: Fixed list of words that may stand beside them in one name (``site-header``, but neither ``has-sidebar`` nor ``share-price``).
+BESIDE = set("a area bar block bottom box btn button buttons container content global group inner items left link links list main outer page panel primary right secondary section site slot top unit wrap wrapper".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
+def marked(names: str, marks: set[str]) -> bool:
+    """Is one of the class names or ids made of these words, numbers and words that may stand beside them alone?"""
+    for name in names.split():
+        words = [x.lower() for x in WORDS.findall(name)]
+        if any(x in marks for x in words) and all(x in marks or x in BESIDE or x.isdigit() for x in words):
+            return True
+    return False
+
+
 class Line:
     __slots__ = ("text", "tags", "links", "region", "article", "section", "title")
 
@@ -87,10 +100,10 @@ class Reader(HTMLParser):
             return "skip"
         if tag in ("body", "html"):
             return ""
-        words = {x.lower() for x in WORDS.findall(f"{given.get('class') or ''} {given.get('id') or ''}")}
-        if words & MARKS or (given.get("role") or "").lower() in ROLES:
+        names = f"{given.get('class') or ''} {given.get('id') or ''}"
+        if marked(names, MARKS) or (given.get("role") or "").lower() in ROLES:
             return "drop"
-        if tag == "header" or words & OUTER_MARKS:
+        if tag == "header" or marked(names, OUTER_MARKS):
             return "header" if self.article and tag not in HEADINGS else "" if tag in HEADINGS else "drop"
         if tag in BOILERPLATE:
             return "drop"
