@@ -1,27 +1,29 @@
 """Operator 2: k-d tree partitioning into shards of near equal bytes.
 
-Rows with equal texts form a group with one point in metadata space (source,
-language, size and id, all as integers).  A node is split along the dimension
-that is widest relative to the whole table, at the weighted median of bytes;
-the median is found by refining histograms of ``BINS`` bins in Spark, for all
-nodes of a level at once, with a hash of the text as tie breaker.  Splitting
-ends when there are as many leaves as shards (or as bytes over ``target_bytes``).
+Rows with equal texts form a group with one point in metadata space: source and
+language (their bytes behind the common prefix, as a number, so that the order
+of names is kept), size and id.  A node is split along the dimension that is
+widest relative to the whole table, at the weighted median of bytes.  The
+medians of all nodes of a level are found together in Spark, by refining
+histograms of ``BINS`` bins, with a hash of the group as tie breaker.  Splitting
+ends when there are as many leaves as shards (or as bytes over
+``target_bytes``).  Nodes and their medians stay in tables; the driver sees only
+the table's bounds.
 
 A group larger than a quarter of a shard would break the equal sizes; its rows
 are dealt over pieces of a sixteenth of a shard by a hash of the id.
 
 Edge cases: a null text has size 1 and the crc of the empty text, and forms a
-group with other null texts; null metadata counts as its own value; repeated
-rows get slots of their own; an empty table gives an empty result; extra
-columns are ignored.
+group with other null texts; null metadata counts as its own value, below all
+others, as does an id that is no number; repeated rows get slots of their own;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from os.path import commonprefix
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import gapless
@@ -30,132 +32,95 @@ from .textkit import as_bytes, table
 
 BINS = 4096
 DIMS = ("__source", "__lang", "__log", "__row")
+#: Bits of a coordinate and of the tie breaker behind it, and bytes of a name that count.
+WIDE, TIE, NAME = 38, 23, 5
 #: A cut is fine enough when the bin around the median holds this share of a shard.
 FINE = 1e-4
-
-
-@dataclass
-class Split:
-    """Rows of ``node`` with (dim, tie) below (value, tie) go to ``left``."""
-
-    node: int
-    dim: str
-    value: int
-    tie: int
-    left: int
-    right: int
-
-
-def code(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(1 << 20))
-
-
-def node_of(splits: list[Split]) -> Column:
-    """The leaf of a row under the splits made so far, as one nested expression."""
-    by_node = {s.node: s for s in splits}
-
-    def build(node: int) -> Column:
-        s = by_node.get(node)
-        if s is None:
-            return F.lit(node)
-        below = (F.col(s.dim) < s.value) | ((F.col(s.dim) == s.value) & (F.col("__tie") < s.tie))
-        return F.when(below, build(s.left)).otherwise(build(s.right))
-
-    return build(0)
-
-
-def refine(atoms: DataFrame, jobs: dict, fine: float) -> None:
-    """Narrows each job's range around its weighted median until it is fine enough; sets ``value`` and ``tie``.
-
-    A job has node, dim, goal (weight wanted on the left), lo, hi, and before (weight below lo).
-    """
-    for on_tie in (False, True):
-        for job in jobs.values():
-            if on_tie:
-                job["lo"], job["hi"] = 0, (1 << 40) - 1
-            job["open"] = not job.get("done")
-        while todo := {n: j for n, j in jobs.items() if j["open"]}:
-            which, wide, low = F.lit(None), F.lit(None), F.lit(None)
-            inside = F.lit(False)
-            for n, j in todo.items():
-                j["wide"] = -(-(j["hi"] - j["lo"] + 1) // BINS)
-                at = F.col("__tie") if on_tie else F.col(j["dim"])
-                mine = (F.col("__node") == n) & at.between(j["lo"], j["hi"])
-                if on_tie:
-                    mine = mine & (F.col(j["dim"]) == j["value"])
-                inside = inside | mine
-                which = F.when(mine, F.floor((at - F.lit(j["lo"])) / F.lit(j["wide"])).cast("long")).otherwise(which)
-            found = atoms.where(inside).groupBy("__node", which.alias("bin")).agg(F.sum("__weight").alias("w")).collect()
-            for n, j in todo.items():
-                own = sorted((r.bin, r.w) for r in found if r["__node"] == n)
-                total = j["before"]
-                for bin_, weight in own:
-                    if total + weight >= j["goal"] or bin_ == own[-1][0]:
-                        break
-                    total += weight
-                start = j["lo"] + bin_ * j["wide"]
-                if weight <= fine:
-                    after = abs(total + weight - j["goal"]) < abs(total - j["goal"])
-                    cut = start + (j["wide"] if after else 0)
-                    j |= {"tie": cut} if on_tie else {"value": cut, "tie": 0}
-                    j["done"], j["open"] = True, False
-                elif j["wide"] == 1:
-                    if on_tie:  # one group alone: it goes where the halves become more equal
-                        after = abs(total + weight - j["goal"]) < abs(total - j["goal"])
-                        j |= {"tie": start + (1 if after else 0), "done": True, "open": False}
-                    else:
-                        j |= {"value": start, "before": total, "open": False}
-                else:
-                    j |= {"lo": start, "hi": min(j["hi"], start + j["wide"] - 1), "before": total}
-
-
-def grow(atoms: DataFrame, shards: int, total: int) -> tuple[list[Split], dict[int, int]]:
-    """The splits, and the shard of each leaf."""
-    splits: list[Split] = []
-    leaves, final, next_node = {0: (0, shards)}, {}, 1
-    whole = None
-    while any(n > 1 for _, n in leaves.values()):
-        final |= {node: first for node, (first, n) in leaves.items() if n == 1}
-        leaves = {node: x for node, x in leaves.items() if x[1] > 1}
-        placed = atoms.withColumn("__node", node_of(splits))
-        stats = {
-            r["__node"]: r
-            for r in placed.groupBy("__node").agg(F.sum("__weight").alias("w"), *[f(d).alias(f"{k}{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))]).collect()
-        }
-        whole = whole or next(iter(stats.values()))
-        jobs = {}
-        for node, (_, n) in leaves.items():
-            if (s := stats.get(node)) is None:
-                continue
-            dim = max(DIMS, key=lambda d: (s[f"hi{d}"] - s[f"lo{d}"]) / max(1, whole[f"hi{d}"] - whole[f"lo{d}"]))
-            jobs[node] = {"node": node, "dim": dim, "goal": s["w"] * (n // 2) / n, "lo": s[f"lo{dim}"], "hi": s[f"hi{dim}"], "before": 0}
-        refine(placed, jobs, FINE * total / shards)
-        grown = {}
-        for node, (first, n) in leaves.items():
-            j = jobs.get(node, {"dim": DIMS[0], "value": 0, "tie": 0})
-            splits.append(Split(node, j["dim"], j["value"], j["tie"], next_node, next_node + 1))
-            grown[next_node], grown[next_node + 1] = (first, n // 2), (first + n // 2, n - n // 2)
-            next_node += 2
-        leaves = grown
-    return splits, final | {node: first for node, (first, _) in leaves.items()}
+NODE = ["__first", "__n"]
+
+
+def name_code(column: str, low: str | None, high: str | None) -> Column:
+    """A string as a number in the order of its bytes: the five behind the prefix that all values share."""
+    begin = len(commonprefix([(low or "").encode(), (high or "").encode()]))
+    digits = F.rpad(F.substring(F.hex(F.col(column).cast("string").cast("binary")), 2 * begin + 1, 2 * NAME), 2 * NAME, "0")
+    return F.coalesce(F.conv(digits, 16, 10).cast("long") + 1, F.lit(0))
+
+
+def openings(atoms: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
+    """For each node with several shards: the dimension to split, the weight wanted on its left, and the range of keys."""
+    found = atoms.where("__n > 1").groupBy(*NODE).agg(F.sum("__weight").alias("__w"), *[f(d).alias(f"{k}{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))])
+    width = [(F.col(f"hi{d}") - F.col(f"lo{d}")) / F.lit(max(1, bounds[d][1] - bounds[d][0])) for d in DIMS]
+    widest = F.greatest(*width)
+    dim = F.coalesce(*[F.when(w == widest, i) for i, w in enumerate(width)])
+    of = lambda k: F.element_at(F.array(*[F.col(f"{k}{d}") for d in DIMS]), dim + 1)
+    goal = F.col("__w") * F.floor(F.col("__n") / 2) / F.col("__n")
+    return found.select(
+        *NODE, dim.alias("dim"), goal.alias("goal"), (of("lo") * (1 << TIE)).alias("lo"), (of("hi") * (1 << TIE) + (1 << TIE) - 1).alias("hi"), F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("cut")
+    )
+
+
+def key_of() -> Column:
+    return F.element_at(F.array(*DIMS), F.col("dim") + 1) * (1 << TIE) + F.col("__tie")
+
+
+def narrowed(atoms: DataFrame, jobs: DataFrame, fine: float) -> DataFrame:
+    """One step: each open range becomes the bin that holds its median, or a cut where the bin is fine enough."""
+    wide = F.expr(f"(hi - lo) div {BINS} + 1")
+    inside = atoms.join(jobs.withColumn("wide", wide), NODE).withColumn("__key", key_of()).where("__key between lo and hi")
+    bins = inside.groupBy(*NODE, F.expr("(__key - lo) div wide").alias("bin")).agg(F.sum("__weight").alias("w"))
+    upto = F.sum("w").over(Window.partitionBy(*NODE).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    bins = bins.withColumn("upto", upto).join(jobs.withColumn("wide", wide), NODE)
+    # the first bin that reaches the goal
+    row = F.struct("bin", "w", "upto")
+    picked = bins.groupBy(*NODE, "dim", "goal", "lo", "hi", "before", "wide").agg(F.coalesce(F.min(F.when(F.col("before") + F.col("upto") >= F.col("goal"), row)), F.max(row)).alias("b"))
+    start = F.col("lo") + F.col("b.bin") * F.col("wide")
+    after = F.col("before") + F.col("b.upto")
+    less = after - F.col("b.w")
+    ends = (F.col("b.w") <= fine) | (F.col("wide") == 1)
+    cut = start + F.when(F.abs(after - F.col("goal")) < F.abs(less - F.col("goal")), F.col("wide")).otherwise(0)
+    return picked.select(
+        *NODE, "dim", "goal", start.alias("lo"), F.least(F.col("hi"), start + F.col("wide") - 1).alias("hi"), less.cast("long").alias("before"), F.when(ends, cut).cast("long").alias("cut")
+    )
+
+
+def split(atoms: DataFrame, bounds: dict[str, tuple[int, int]], fine: float) -> DataFrame:
+    """The atoms one level further down the tree."""
+    jobs = stored(openings(atoms, bounds), "medians")
+    cuts = []
+    while not jobs.isEmpty():
+        jobs = stored(narrowed(atoms, jobs, fine), "medians")
+        cuts.append(jobs.where("cut is not null"))
+        jobs = jobs.where("cut is null")
+    done = atoms.where("__n = 1")
+    if not cuts:
+        return done
+    found = cuts[0]
+    for x in cuts[1:]:
+        found = found.unionByName(x)
+    half = F.floor(F.col("__n") / 2).cast("int")
+    left = key_of() < F.col("cut")
+    moved = atoms.where("__n > 1").join(found.select(*NODE, "dim", "cut"), NODE)
+    moved = moved.withColumns({"__first": F.when(left, F.col("__first")).otherwise(F.col("__first") + half), "__n": F.when(left, half).otherwise(F.col("__n") - half)})
+    return done.unionByName(moved.select(*atoms.columns))
 
 
 def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None, text: str = "text", id_col: str = "doc_id", source: str = "source", lang: str = "lang") -> DataFrame:
     """One row per document: id, size, text_crc32, shard and its gapless slot in the shard."""
     data = F.coalesce(as_bytes(text), F.lit(b""))
     size = F.length(data) + 1
+    ends = docs.agg(*[f(F.col(c).cast("string")) for c in (source, lang) for f in (F.min, F.max)]).first()
     points = docs.select(
         F.col(id_col),
         size.cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.struct(F.xxhash64(text), F.crc32(data), size).alias("__group"),
-        code(source).alias("__source"),
-        code(lang).alias("__lang"),
+        name_code(source, *ends[:2]).alias("__source"),
+        name_code(lang, *ends[2:]).alias("__lang"),
         F.floor(F.log2(size) * (1 << 15)).cast("long").alias("__log"),
         F.coalesce(F.col(id_col).try_cast("long"), F.lit(-1)).alias("__row"),
     )
     points = stored(points, "points")
-    n_rows, total = points.agg(F.count("*"), F.sum("size")).first()
+    n_rows, total, *edges = points.agg(F.count("*"), F.sum("size"), *[f(d) for d in DIMS for f in (F.min, F.max)]).first()
     if not n_rows:
         return points.select(id_col, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     shards = shards or max(1, round(total / target_bytes))
@@ -167,10 +132,15 @@ def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = N
     points = points.withColumn("__piece", F.pmod(F.xxhash64(id_col), F.coalesce("__pieces", F.lit(1)))).drop("__big", "__pieces")
     points = points.withColumn("__atom", F.struct("__group", "__piece"))
     atoms = points.groupBy("__atom").agg(F.sum("size").alias("__weight"), *[F.min(d).alias(d) for d in DIMS])
-    atoms = stored(atoms.withColumn("__tie", F.shiftrightunsigned(F.xxhash64("__atom"), 24)), "atoms")
-    splits, leaves = grow(atoms, shards, total)
-    number = F.element_at(F.create_map(*[F.lit(x) for kv in leaves.items() for x in kv]), F.col("__node")) if len(leaves) > 1 else F.lit(0)
-    placed = atoms.withColumn("__node", node_of(splits)).select(F.col("__atom").alias("__of"), number.cast("int").alias("shard"))
+    bounds = {d: (edges[2 * i], edges[2 * i + 1]) for i, d in enumerate(DIMS)}
+    for d, (low, high) in bounds.items():  # coordinates from 0 on, of WIDE bits at most
+        atoms = atoms.withColumn(d, F.shiftright(F.col(d) - F.lit(low), max(0, (high - low).bit_length() - WIDE)))
+    bounds = {d: (0, (high - low) >> max(0, (high - low).bit_length() - WIDE)) for d, (low, high) in bounds.items()}
+    atoms = atoms.withColumns({"__tie": F.shiftrightunsigned(F.xxhash64("__atom"), 64 - TIE), "__first": F.lit(0), "__n": F.lit(shards)})
+    atoms = stored(atoms, "atoms")
+    for _ in range((shards - 1).bit_length()):
+        atoms = stored(split(atoms, bounds, FINE * leaf), "atoms")
+    placed = atoms.select(F.col("__atom").alias("__of"), F.col("__first").alias("shard"))
     joined = points.join(placed, points["__atom"] == placed["__of"]).select(id_col, "size", "text_crc32", "shard")
     return gapless(stored(joined, "placed"), "shard", [F.col(id_col), F.col("text_crc32")], n_rows, "slot")
 
