@@ -8,15 +8,20 @@ gathered in one place:
    a chunk uses, and its tokens as indices into them.  The table is written in
    buckets by chunk, so that joining answers to it moves only the answers.
 2. Each chunk asks the shard of each of its longest windows' hashes for the count
-   in the training texts.  A shard merges the blocks it gets into one sorted hash array,
-   which it writes, memory-maps and searches for every block's answer.  One chunk of those
-   that hold a window is told that it owns it.
+   in the training texts.  A shard merges the blocks it gets into one sorted hash array and
+   searches it for every block's answer.  One chunk of those that hold a window is
+   told that it owns it.
 3. Owners turn their windows' counts into the statistics of windows shorter by a
    word (as context: tokens and numbers of followers seen once, twice and more; as
    end: the number of words before it), which the shards of those merge and answer
    in the same way, down to single words.
 4. With all answers a chunk scores its own texts.
 
+A shard is about ``SHARD`` windows, whatever the corpus, and its arrays are in the memory
+of one task.  No file is memory-mapped: a map needs a path that each worker has
+mounted, which the shared folder of a cluster needn't be.  With ``keep_model`` the
+arrays are also stored as rows of a table.
+
 Hashes have ``KEY_BITS`` bits; equal hashes are taken to be equal words.
 
 Edge cases: null and empty texts have the end token only; with no training text
@@ -26,9 +31,6 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from functools import reduce
 from math import log
 
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import stored, stored_in_buckets
 from .textkit import U64, Chunk, as_bytes, chunks, fold, mix, table
 
 CHUNK_BYTES = 4 << 20
@@ -193,23 +195,7 @@ def ask_grams(table_: DataFrame, shards: int, order: int) -> DataFrame:
     return table_.select("chunk", "train", "sizes", "words", "stream").mapInArrow(run, "shard int, chunk string, keys binary, values binary")
 
 
-class Mapped:
-    """Sorted keys and rows of values in a file that is memory-mapped and gone when the task ends."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        with tempfile.NamedTemporaryFile(delete=False) as f:
-            f.write(keys.tobytes())
-            f.write(np.ascontiguousarray(values).tobytes())
-        self.keys = np.memmap(f.name, keys.dtype, "r", 0, keys.shape) if len(keys) else keys
-        self.values = np.memmap(f.name, values.dtype, "r", keys.nbytes, values.shape) if len(keys) else values
-        os.unlink(f.name)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The rows of keys that are all present."""
-        return self.values[np.searchsorted(self.keys, keys)]
-
-
-def answer(width: int):
+def answer(width: int, keep_model: bool):
     """Merges a shard's blocks into one sorted array and answers each block; rows (kind, shard, chunk, data, summary)."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -219,7 +205,6 @@ def answer(width: int):
         all_keys, all_values = np.concatenate(keys), np.concatenate(values)
         distinct, where = np.unique(all_keys, return_inverse=True)
         total = np.stack([np.bincount(where, all_values[:, i], len(distinct)) for i in range(width)], 1).astype(U64)
-        model = Mapped(distinct, total)
         out = []
         owner = np.zeros(len(all_keys), bool)
         counts = 0 if width == 1 else 4
@@ -228,15 +213,15 @@ def answer(width: int):
             owner[has[np.unique(where[has], return_index=True)[1]]] = True
         at = 0
         for name, k in zip(chunk, keys, strict=True):
-            found = model.find(k)
+            found = total[np.searchsorted(distinct, k)]
             if width <= len(PAIR_STATS):
-                found = np.array(found)
                 found[:, counts] = found[:, counts] * U64(2) + owner[at : at + len(k)].astype(U64)
             out.append(("answer", name, packed(found.T.reshape(-1))))
             at += len(k)
         known = total.any(axis=1) if width == len(PAIR_STATS) else total[:, 0 if width == 1 else -1] > 0
-        out.append(("model", "", packed_keys(distinct[known]) if known.any() else b""))
-        out.append(("values", "", packed(total[known].reshape(-1))))
+        out.append(("model", "", packed_keys(distinct[known]) if keep_model and known.any() else b""))
+        if keep_model:
+            out.append(("values", "", packed(total[known].reshape(-1))))
         c = total[:, counts]
         summary = [int((c == i).sum()) for i in (1, 2, 3, 4)] + [int(c.sum()), int(known.sum()), int(total[:, -1].sum())]
         return pa.table(
@@ -383,25 +368,18 @@ def score_chunk(order: int, d3: tuple, d2: tuple, d1: tuple, tokens: int, vocabu
     return run
 
 
-def bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """The chunks written to the warehouse in buckets, so that a group by chunk doesn't move them."""
-    spark = df.sparkSession
-    name = f"chunks_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
-
-
-def score(docs: DataFrame, train, text: str = "text", id_col: str = "doc_id", order: int = 2) -> tuple[DataFrame, DataFrame]:
+def score(docs: DataFrame, train, text: str = "text", id_col: str = "doc_id", order: int = 2, keep_model: bool = True) -> tuple[DataFrame, DataFrame]:
     """Scores of all documents under the model of order 2 or 3 of those where ``train`` holds, and the model.
 
     The scores have id, train, n_tokens, n_known, train_tokens, base_score and
     score (log10 probabilities of the text); the model's rows are the sorted
-    hash arrays of trigrams, bigrams and words, a few per shard.
+    hash arrays of trigrams, bigrams and words, a few per shard (empty arrays
+    without ``keep_model``; the scores don't read them).
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(id_col).alias("__id"), F.coalesce(train, F.lit(False)).alias("__train"), as_bytes(text).alias("__text"))
-    held = bucketed(make_chunks(given), parts)
+    held = stored_in_buckets(make_chunks(given), "chunks", parts, "chunk")
     asked = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     shards = max(16, parts, -(-asked // SHARD))
     if order not in GRAMS:
@@ -415,7 +393,7 @@ def score(docs: DataFrame, train, text: str = "text", id_col: str = "doc_id", or
             blocks = ask_grams(held, shards, order)
         else:
             blocks = body.drop("ids").groupBy("chunk").cogroup(level(*longer).groupBy("chunk")).applyInArrow(ask_shorter(shards, order, n), block)
-        levels[name] = stored(blocks.groupBy("shard").applyInArrow(answer(width), ANSWER), f"{name}s")
+        levels[name] = stored(blocks.groupBy("shard").applyInArrow(answer(width, keep_model), ANSWER), f"{name}s")
         longer = levels[name], name
     pairs, words = levels["pair"], levels["word"]
     total = lambda df: [int(x or 0) for x in df.where("kind = 'model'").agg(*[F.sum(F.col("summary")[i]) for i in range(7)]).first()]
@@ -443,5 +421,5 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 def op6_lm_scores(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored, _ = score(docs, fold("doc_id", 10) != 0, order=3)
+    scored, _ = score(docs, fold("doc_id", 10) != 0, order=3, keep_model=False)
     return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
