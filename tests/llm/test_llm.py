@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, htmltext, langid, neardup, ngramlm, packing, pii, quality, queries, sharding, substrings
+from pulsemill.llm import decontam, htmltext, langid, neardup, ngramlm, packing, pii, quality, queries, sharding, storage, substrings
 from pulsemill.llm.components import components
 from pulsemill.llm.textkit import fold, prefix_hash
 
@@ -158,6 +158,12 @@ CARD = "4111 1111 1111 1111"
         ("pay BE68 5390 0754 7034 123", "BE68 5390 0754 7034"),
         ("pay BE68 5390 0754 7034 NEXT", "BE68 5390 0754 7034"),
         ("password: johnsmith@example.org", "johnsmith"),
+        ("pay BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034"),
+        ("pay DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 00"),
+        ("token=12345678901234567890", "12345678901234567890"),
+        ("token=0123456789abcdef0123", "0123456789abcdef0123"),
+        ("tel 5552345678, id 5552345678"[:14], "5552345678"),
+        ("at 2001:db8:0:1::ff, 12:30:45 in std::vector", "2001:db8:0:1::ff"),
     ],
 )
 def test_values_beside_others_are_found(text, value):
@@ -165,6 +171,31 @@ def test_values_beside_others_are_found(text, value):
     before, after = text.split(value)
     assert masked.startswith(before) and masked.endswith(after) and value not in masked and len(masked) == len(text)
     assert [(a, b) for _, a, b in spans] == [(len(before), len(before) + len(value))]
+    # each character keeps its class, and the key inverts all
+    classes = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x)))
+    assert classes(masked) == classes(text) and pii.Masker(b"a", -1).mask(masked)[0] == text
+
+
+def test_values_in_other_notations_are_linked():
+    mask = lambda x: re.sub("[^0-9]", "", pii.Masker(b"a").mask(x)[0])
+    assert mask("call 5552345678") == mask("(555) 234-5678") == mask("555.234.5678") == mask("+1 555 234 5678")[1:]
+    assert mask("4111 1111 1111 1111") == mask("4111111111111111")
+
+
+def test_a_key_is_needed(spark):
+    df = spark.createDataFrame([(1, PRIVATE)], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, key=b"")
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 32
+    spark.conf.set("spark.pulsemill.pii.key", "mine")
+    assert pii.session_key(spark) == b"mine"
+    spark.conf.unset("spark.pulsemill.pii.key")
+
+
+def test_repeated_rows_and_a_column_named_like_the_spans(spark):
+    df = spark.createDataFrame([(1, PRIVATE, "x"), (1, PRIVATE, "x")], "doc_id long, text string, pii_spans string")
+    a, b = pii.pseudonymise(df, key=b"a").collect()
+    assert a == b and a.pii_spans[0].kind == "email"
 
 
 def test_rows_of_small_numbers_are_no_cards():
@@ -204,6 +235,68 @@ def test_ratio_decides_inside_an_article():
     assert htmltext.main_text(short) == "A few words.\nAnd some more."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=content class='col has-sidebar'><p>{}</p></div>",
+        "<main class='no-sidebar'><p>{}</p></main>",
+        "<article><p class='share-price'>{}</p></article>",
+        "<article><div class='notice-period'><p>{}</p></div></article>",
+        "<body><div class='widget-entry'><p>{}</p></div><table><tr><td>1<td>2</table></body>",
+    ],
+)
+def test_names_count_as_wholes(page):
+    words = "the words of the text " * 12
+    assert words.strip() in htmltext.main_text(page.format(words))
+
+
+@pytest.mark.parametrize("name", ["sidebar", "ad", "Ad-Banner", "cookieNotice", "site_footer", "related-links", "comments-list", "ad-slot-3", "col sidebar"])
+def test_marked_parts_are_left_out(name):
+    page = f"<body><p>{'the words of the text ' * 12}</p><div class='{name}'><p>{'buy this thing now ' * 12}</p></div></body>"
+    assert "buy" not in htmltext.main_text(page)
+
+
+def brute_main_text(html):
+    """The choice of regions written out line by line, for pages without marked articles."""
+    lines = htmltext.read(html)
+    ratio = [len(x.text) / (x.tags + 1) for x in lines]
+    weight = lambda d: np.exp(-0.5 * (d / htmltext.SIGMA) ** 2) if abs(d) <= 5 else 0.0
+    smooth = [sum(weight(i - j) * ratio[j] for j in range(len(lines))) / sum(weight(i - j) for j in range(len(lines))) for i in range(len(lines))]
+    low, high = min(smooth), max(smooth)
+    for _ in range(50):
+        below, above = [x for x in smooth if x < (low + high) / 2], [x for x in smooth if x >= (low + high) / 2]
+        if not below:
+            low = high = min(smooth)
+            break
+        low, high = sum(below) / len(below), sum(above) / len(above)
+    out = []
+    for x in lines:
+        own = [i for i, y in enumerate(lines) if y.region == x.region]
+        links, size = sum(lines[i].links for i in own), sum(len(lines[i].text) for i in own)
+        if max(smooth[i] for i in own) >= (low + high) / 2 and 2 * links <= size:
+            out.append(x.text)
+    return "\n".join(out)
+
+
+def test_regions_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(3, 9)):
+            few = lambda a, b: " ".join(rng.choice(("stone", "river", "of", "green")) for _ in range(rng.randint(a, b)))
+            kind = rng.choice(("text", "links", "bits"))
+            inner = {"text": f"<p>{few(30, 80)}</p>" * 3, "links": f"<a href=/>{few(1, 3)}</a> " * 6, "bits": f"<span>{few(1, 2)}</span><b></b><br>" * 4}[kind]
+            parts.append(f"<div>{inner}</div>")
+        page = f"<body>{''.join(parts)}</body>"
+        wanted = brute_main_text(page)
+        assert not wanted or htmltext.main_text(page) == wanted
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>a b</p>", "old", "x")] * 2, "page_id long, html string, text string, n_chars string")
+    assert [tuple(r) for r in htmltext.extract(df).collect()] == [(1, "a b", 3)] * 2
+
+
 # ---- language ------------------------------------------------------------------------
 
 
@@ -216,7 +309,7 @@ def test_language(docs, corpus, none):
         if not any(c.isalpha() for c in row[1] or ""):
             assert out[row[0]].lang_pred == "und" and out[row[0]].score == 0 and out[row[0]].rejected
         elif "日本" in row[1]:
-            assert out[row[0]].rejected
+            assert out[row[0]].rejected and out[row[0]].score < 0.5
     assert all(0 <= r.score <= 1 for r in out.values())
     assert langid.fit(none) is None
     assert {r.lang_pred for r in langid.predict(docs.select("doc_id", "text"), None).collect()} == {"und"}
@@ -314,6 +407,15 @@ def test_language_model_of_order_three(docs, corpus, none):
     assert ngramlm.score(none, fold("doc_id", 10) != 0, order=3)[0].count() == 0
 
 
+def test_what_is_stored_can_be_released(spark, docs):
+    scored, _ = ngramlm.score(docs, fold("doc_id", 10) != 0, keep_model=False)
+    assert scored.count() == docs.count() and storage._written and storage._tables
+    paths, tables = list(storage._written), list(storage._tables)
+    storage.release(spark)
+    assert not storage._written and not any(spark.catalog.tableExists(t) for t in tables)
+    assert not any(Path(p.removeprefix("file:")).exists() for p in paths)
+
+
 # ---- near duplicates -----------------------------------------------------------------------
 
 
@@ -509,7 +611,7 @@ def test_decontamination(spark, none):
 def test_empty_tables(none):
     assert packing.pack(none).count() == 0
     assert sharding.shard(none).count() == 0
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, key=b"a").count() == 0
     assert htmltext.extract(none.select("doc_id", F.col("text").alias("html"))).count() == 0
 
 
