@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor
 kept.  All but the last return the columns of ``documents``; the last returns
 one row per packed sequence.
+
+Edge cases: null and empty texts have no letter and go in the first stage; of
+repeated rows the second keeps one; ties go to the least id; an empty table gives
+an empty result; other columns than those of ``documents`` are left out.
 """
 
 from pyspark.sql import functions as F
@@ -24,7 +28,7 @@ def language_id(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near duplicates (a Jaccard similarity of 0.8 or more), the one with the least id."""
     gone = neardup.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def decontamination(spark, docs, sf_dir):
@@ -35,7 +39,7 @@ def decontamination(spark, docs, sf_dir):
 
 def pseudonyms(spark, docs, sf_dir):
     """All documents, with validated numbers, dates, addresses and secrets replaced by pseudonyms."""
-    return pii.pseudonymise(docs.select(*COLUMNS), spans=None).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pii.pseudonymise(docs.select(*COLUMNS), key=pii.session_key(spark), spans=None).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark, docs, sf_dir):
