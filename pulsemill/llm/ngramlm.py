@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .storage import stored, stored_in_buckets
 from .textkit import U64, Chunk, as_bytes, chunks, fold, mix, table
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 6 << 20
 KEY_BITS = 56
 MASK = U64((1 << KEY_BITS) - 1)
 START, END = U64(1), U64(2)
