@@ -57,3 +57,13 @@ def entropy_of_counts(counts: Sequence[Column], total: Column) -> Column:
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
     """One row per column of a wide table, nulls included."""
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), name, value)
+
+
+def reach_back(keys: Sequence[str], order: Sequence[str], ahead: bool = False, upto: int = 0) -> Window:
+    """The frame of all rows before this one (after it, with ``ahead``), with it or, at ``upto`` -1, without.
+
+    Rows after it are those before it in falling order: only a frame that begins
+    at the first row is kept up from row to row, all others are made anew for each.
+    """
+    by = [F.col(c).desc() for c in order] if ahead else order
+    return over(keys, by).rowsBetween(Window.unboundedPreceding, upto)

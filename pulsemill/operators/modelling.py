@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import over
+from .stats import running_sums
 
 #: Rows of a block in the sums of distances, about.
 BLOCK_ROWS = 8192
@@ -193,6 +194,6 @@ def chained_imputation(df: DataFrame, columns: Sequence[str], rounds: int = 2) -
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """Cumulative true and false positive shares by falling score; scores are aggregated first."""
     by_score = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("int")).alias("p"), F.sum((F.col(label) == 0).cast("int")).alias("n"))
-    w = over([], [F.desc(score)]).rowsBetween(-(1 << 31) + 1, 0)
-    total = over([])
-    return by_score.select(score, (F.sum("p").over(w) / F.sum("p").over(total)).alias("tpr"), (F.sum("n").over(w) / F.sum("n").over(total)).alias("fpr"))
+    total = by_score.agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    share = lambda c: F.col(f"run_{c}") / total.select(c).scalar()
+    return running_sums(by_score.where(F.col(score).isNotNull()), score, ["p", "n"], descending=True).select(score, share("p").alias("tpr"), share("n").alias("fpr"))

@@ -82,7 +82,7 @@ def comparison(groups: DataFrame, group: str, name: str, features: DataFrame, k:
     listed = features.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("feature").cast("string").alias("feature")))).alias("__f"))
     out = groups.join(listed, group, "left").withColumn("__f", F.transform("__f", lambda x: x["feature"]))
     return out.select(
-        F.col(group), F.col(name), "n", F.format_string("%.1f%%", 100 * F.col("n") / F.sum("n").over(over([]))).alias("percentage"),
+        F.col(group), F.col(name), "n", F.format_string("%.1f%%", 100 * F.col("n") / groups.agg(F.sum("n")).scalar()).alias("percentage"),
         F.array_join(F.slice("__f", 1, k), ", ").alias("top_features"), F.array_join("__f", ", ").alias("all_features"),
     )
 

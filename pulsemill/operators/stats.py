@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import entropy_of_counts, over, safe_div, unpivot
+from ..functions.columns import entropy_of_counts, over, reach_back, safe_div, unpivot
 from ..functions.registry import STATISTICS
 
 BINS = 10
+#: Parts of the bracket around a quantile.
+PARTS = 1024
 
 
 def histogram_bin(value: Column, low: Column, high: Column, n: Column) -> Column:
@@ -86,18 +88,32 @@ def quartiles(x: Column) -> Column:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles and max, a row per column."""
-    out = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        out.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), quartiles(x).alias("q"), F.max(x).alias("max")))
-    rows = df.agg(F.array(*out).alias("rows")).select(F.inline("rows"))
-    return rows.select("feature", "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
+    plain = unpivot(df, [], columns).groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    found = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
+    return plain.join(F.broadcast(found), "feature", "left").select("feature", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows and share of each value; nulls don't count."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(over([])))
+    return counts.withColumn("share", F.col("n") / df.agg(F.count(column)).scalar())
+
+
+def running_sums(df: DataFrame, by: str, columns: Sequence[str], descending: bool = False, ranges: int = 256) -> DataFrame:
+    """Adds ``run_c`` for each column c: its sum over all rows up to this one by the number ``by``, whose values are distinct.
+
+    Rows are dealt to ranges between approximate quantiles; a range is summed up by
+    itself, on top of the sums of the ranges before it (a row for each range).
+    """
+    grid = [i / ranges for i in range(1, ranges)]
+    cuts = df.agg(F.percentile_approx(F.col(by).cast("double"), grid, 10_000)).first()[0] or []
+    borders = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
+    ranged = df.withColumn("__r", F.size(F.filter(borders, lambda c: c < F.col(by))))
+    before = reach_back([], ["__r"], descending, upto=-1)
+    held = ranged.groupBy("__r").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    held = held.select("__r", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns])
+    inside = reach_back(["__r"], [by], descending)
+    return ranged.join(F.broadcast(held), "__r").withColumns({f"run_{c}": F.sum(c).over(inside) + F.col(f"__{c}") for c in columns}).drop("__r", *[f"__{c}" for c in columns])
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -114,8 +130,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Rows (feature, probs...) of exact interpolated quantiles of whole columns, whatever the number of distinct values.
 
     A sketch gives a bracket of ranks ``width`` to either side of each quantile,
-    wider than its guaranteed error; a second pass counts the values below the
-    bracket and each value inside it.  Only those inside are put in order.
+    wider than its guaranteed error.  A second pass counts the values below the
+    bracket and those in each of its PARTS equal parts; only the values of the
+    parts that hold the quantile are put in order.
     """
     long_ = unpivot(df, [], columns).where("value is not null")
     grid = [min(max(q, 0.0), 1.0) for p in probs for q in (p - width, p + width)]
@@ -128,11 +145,20 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         brackets.append(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high")))
     sketch = sketch.select("feature", "n", F.array(*brackets).alias("brackets"))
     marked = long_.join(F.broadcast(sketch), "feature")  # a row per column
-    near = marked.select("feature", "n", "value", F.explode(F.filter("brackets", lambda b: F.col("value") <= b["high"])).alias("b"))
-    counts = near.groupBy("feature", "n", "b.i", "b.p", F.when(F.col("value") >= F.col("b.low"), F.col("value")).alias("value")).agg(F.count("*").alias("c"))
-    ranked = counts.withColumn("upto", F.sum("c").over(over(["feature", "i"], [F.asc_nulls_first("value")])))
+    # values below each bracket are only counted, by one conditional sum a column
+    under = marked.groupBy("feature").agg(*[F.sum((F.col("value") < F.col("brackets")[i]["low"]).cast("long")).alias(f"u{i}") for i in range(len(probs))])
+    inside = marked.select("feature", "n", "value", F.explode(F.filter("brackets", lambda b: F.col("value").between(b["low"], b["high"]))).alias("b")).select("feature", "n", "value", "b.*")
+    part = F.least(F.lit(PARTS - 1), F.floor((F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * PARTS))
+    counts = inside.groupBy("feature", "n", "i", "p", F.coalesce(part, F.lit(0)).alias("part"), "value").agg(F.count("*").alias("c"))
+    # parts of a bracket with their numbers of values; at most PARTS rows for each quantile
+    parts = counts.groupBy("feature", "i", "part").agg(F.sum("c").alias("c"))
+    below = F.element_at(F.array(*[F.col(f"u{i}") for i in range(len(probs))]), F.col("i") + 1)
+    parts = parts.join(F.broadcast(under), "feature").withColumn("before", F.coalesce(F.sum("c").over(reach_back(["feature", "i"], ["part"], upto=-1)), F.lit(0)) + below)
+    ranked = counts.join(F.broadcast(parts.select("feature", "i", "part", "before", F.col("c").alias("own"))), ["feature", "i", "part"])
     at = (F.col("n") - 1) * F.col("p")
-    first = lambda rank: F.min(F.when((F.col("upto") > rank) & F.col("value").isNotNull(), F.col("value")))
+    ranked = ranked.where((F.col("before") <= F.ceil(at)) & (F.col("before") + F.col("own") > F.floor(at)))
+    ranked = ranked.withColumn("upto", F.col("before") + F.sum("c").over(reach_back(["feature", "i", "part"], ["value"])))
+    first = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
     low, high = first(F.floor(at)), first(F.ceil(at))
     share = F.max(at - F.floor(at))
     found = ranked.groupBy("feature", "i").agg((low + share * (high - low)).alias("q"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import over
+from ..functions.columns import over, reach_back
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], latest: bool = False) -> DataFrame:
@@ -30,7 +30,7 @@ def segment_edges(segment: Column, onset: Column, width: int) -> tuple[Column, C
 
 def sticky_drop(counts: DataFrame, keys: Sequence[str], segment: str, n: str, least: int) -> DataFrame:
     """Once a segment is too short its channel is dropped for all later ones: adds ``valid``."""
-    w = over(keys, [segment]).rowsBetween(-(1 << 31) + 1, 0)
+    w = reach_back(keys, [segment])
     return counts.withColumn("valid", F.min((F.col(n) >= least).cast("int")).over(w) == 1)
 
 
@@ -77,10 +77,7 @@ def nearest_signed(left: DataFrame, right: DataFrame, key: str, row: Sequence[st
 
 def carried(keys: Sequence[str], order: Sequence[str], value: Column, ahead: bool = False) -> Column:
     """The last value that isn't null up to this row; with ``ahead``, the next one from this row on."""
-    w = over(keys, order)
-    if ahead:
-        return F.first(value, ignorenulls=True).over(w.rowsBetween(0, (1 << 31) - 1))
-    return F.last(value, ignorenulls=True).over(w.rowsBetween(-(1 << 31) + 1, 0))
+    return F.last(value, ignorenulls=True).over(reach_back(keys, order, ahead))
 
 
 def fill_both_ways(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -101,15 +98,14 @@ def coalesce_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str,
 
 def next_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], t: str, is_from: Column, is_to: Column) -> DataFrame:
     """For each row of the first kind the delay to the next row of the second kind (null if there is none)."""
-    target = F.first(F.when(is_to, F.col(t)), ignorenulls=True).over(over(keys, order).rowsBetween(1, (1 << 31) - 1))
+    target = F.last(F.when(is_to, F.col(t)), ignorenulls=True).over(reach_back(keys, order, ahead=True, upto=-1))
     return df.withColumn("delay", target - F.col(t)).where(is_from)
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], t: str, at: Column, before: Column, after: Column) -> DataFrame:
     """For each row of kind ``at`` the time of the last ``before`` and of the first ``after`` row around it."""
-    w = over(keys, order)
-    last = F.last(F.when(before, F.col(t)), ignorenulls=True).over(w.rowsBetween(-(1 << 31) + 1, -1))
-    first = F.first(F.when(after, F.col(t)), ignorenulls=True).over(w.rowsBetween(1, (1 << 31) - 1))
+    last = F.last(F.when(before, F.col(t)), ignorenulls=True).over(reach_back(keys, order, upto=-1))
+    first = F.last(F.when(after, F.col(t)), ignorenulls=True).over(reach_back(keys, order, ahead=True, upto=-1))
     return df.withColumn("previous", last).withColumn("following", first).where(at)
 
 
