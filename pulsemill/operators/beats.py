@@ -1,4 +1,4 @@
-"""Pulse features with one row per pulse: landmarks from a kernel, everything else as column expressions (inventory 2.12).
+"""Pulse features with one row per pulse, as column expressions (inventory 2.12).
 
 A pulse row holds the wave between two onsets and the places of its landmarks in
 it (null if there is none).  Amplitudes are relative to the series' first onset,
@@ -11,42 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import over, safe_div
-from . import kernels
+from ..functions.columns import over, reach_back, safe_div
 
-LANDMARKS = "S N D w c".split()
 WIDTHS = (10, 25, 33, 50, 66, 75)
 
 
-def pulses(df: DataFrame, key: str, values: str, fs: float) -> DataFrame:
-    """Rows (key, cycle, onset, wave, and a place in the wave for each landmark)."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            for name, item in zip(batch.column(key).to_pylist(), batch.column(values).to_pylist(), strict=True):
-                x = np.asarray(item or [], float)
-                try:
-                    f = kernels.delineate(x, fs)
-                except (ValueError, IndexError):
-                    continue
-                onsets = np.append(f["O"], kernels.feet(x, kernels.pulse_peaks(x, fs))[-1:])
-                n = len(f["O"])
-                places = {k: [int(p - o) if p >= 0 else None for p, o in zip(f[k], f["O"], strict=True)] for k in LANDMARKS}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n, batch.schema.field(key).type), pa.array(range(n), pa.int32()), pa.array(f["O"], pa.int64()), pa.array([x[a : b + 1].tolist() for a, b in zip(onsets[:-1], onsets[1:], strict=True)], pa.list_(pa.float64()))]
-                    + [pa.array(places[k], pa.int32()) for k in LANDMARKS],
-                    [key, "cycle", "onset", "wave", *LANDMARKS],
-                )
-
-    return df.select(key, values).mapInArrow(run, f"{key} {kind}, cycle int, onset long, wave array<double>, " + ", ".join(f"`{k}` int" for k in LANDMARKS))
-
-
 def trapezoid(wave: Column) -> Column:
     """Area under an array over its least value, by trapezoids of width 1."""
     inner = F.aggregate(wave, F.lit(0.0), lambda a, v: a + v) - (F.element_at(wave, 1) + F.element_at(wave, -1)) / 2
@@ -75,12 +47,12 @@ def nearest(wave: Column, level: Column) -> Column:
 
 def pulse_features(rows: DataFrame, key: str, fs: float) -> DataFrame:
     """Rows (key, cycle) with a column per feature."""
-    w, whole = over([key], ["cycle"]), over([key])
+    w, whole, back = over([key], ["cycle"]), over([key]), reach_back([key], ["cycle"])
     ms = 1000.0 / fs
     n = F.size("wave") - 1
     peak = F.col("onset") + F.col("S")
     rows = rows.withColumn("Tsp_sp_ms", (peak - F.lag(peak).over(w)) * ms)
-    rows = rows.withColumns({"ci": F.percentile("Tsp_sp_ms", 0.5).over(whole), "x0": F.first(at(F.lit(0))).over(w.rowsBetween(-(1 << 31) + 1, 0)), "T": n * ms})
+    rows = rows.withColumns({"ci": F.percentile("Tsp_sp_ms", 0.5).over(whole), "x0": F.first(at(F.lit(0))).over(back), "T": n * ms})
     ci, x0, length = F.col("ci"), F.col("x0"), F.col("T")
     t = {"os": F.col("S") * ms, "so": (n - F.col("S")) * ms, "sys": F.col("N") * ms, "dias": (n - F.col("N")) * ms, "ow": F.col("w") * ms, "wo": (n - F.col("w")) * ms}
     good = {"S": (t["os"] < 0.8 * ci) & (t["so"] < 0.8 * ci), "N": (t["sys"] < 0.8 * ci) & (t["dias"] < 0.8 * ci), "w": (t["ow"] < 0.5 * ci) & (t["wo"] < ci)}
@@ -89,7 +61,7 @@ def pulse_features(rows: DataFrame, key: str, fs: float) -> DataFrame:
     base = {
         "Ton_off_ms": F.when(length < ci + 150, length),
         "Tsp_sp_ms": F.when(F.col("Tsp_sp_ms") < ci + 150, F.col("Tsp_sp_ms")),
-        "Delta_A_sp_sp": safe_div(at("S") - F.lag(at("S")).over(w), F.first(at("S")).over(w.rowsBetween(-(1 << 31) + 1, 0))),
+        "Delta_A_sp_sp": safe_div(at("S") - F.lag(at("S")).over(w), F.first(at("S")).over(back)),
         "max_upslope": slope(F.col("w")),
         "Delta_T_sd": F.when(sd < 0.6 * ci, sd),
         "RI": safe_div(at("D") - x0, up),

@@ -8,7 +8,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import over, safe_div
+from ..functions.columns import over, reach_back, safe_div
 
 
 def nn_intervals(beats: DataFrame, keys: Sequence[str], order: Sequence[str], t: str, unit: float) -> DataFrame:
@@ -40,6 +40,32 @@ def windowed_deviation(nn: DataFrame, keys: Sequence[str], t: str, width: float)
     return windows.groupBy(*keys).agg(F.stddev_samp("__m").alias("SDANN"), F.avg("__s").alias("SDNNI"))
 
 
+def windowed_contract(nn: DataFrame, keys: Sequence[str], t: str, minute: float, minutes: Sequence[int] = (1, 2, 5)) -> DataFrame:
+    """SDANN and SDNNI of windows of one, two and five minutes; ``minute`` is a minute in the unit of ``t``."""
+    out = None
+    for m in minutes:
+        own = windowed_deviation(nn, keys, t, m * minute).select(*keys, F.col("SDANN").alias(f"SDANN{m}"), F.col("SDNNI").alias(f"SDNNI{m}"))
+        out = own if out is None else out.join(own, list(keys))
+    return out
+
+
+def shape(nn: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Asymmetry of the Poincare plot in percent: GI by the distance to the line of identity, SI by the angle, AI by the sector's area, PI by the count below it."""
+    x, y = F.lag("nn").over(over(keys, order)), F.col("nn")
+    pairs = nn.withColumn("__x", x).where("__x is not null").withColumn("__y", y)
+    x, y = F.col("__x"), F.col("__y")
+    angle = F.abs(F.lit(pi / 4) - F.atan(y / F.nullif(x, F.lit(0.0))))
+    above = lambda v: 100 * safe_div(F.sum(F.when(y > x, v).otherwise(0.0)), F.sum(v))
+    below, moved = F.sum((y < x).cast("int")), F.sum((y != x).cast("int"))
+    return pairs.groupBy(*keys).agg(above(F.abs(y - x)).alias("GI"), above(angle).alias("SI"), above(angle * (x * x + y * y)).alias("AI"), (100 * safe_div(below, moved)).alias("PI"))
+
+
+def contributions(asymmetric: DataFrame) -> DataFrame:
+    """Adds SDNNd and SDNNa, the parts of the deviation from decelerations and accelerations, and their shares Cd and Ca."""
+    part = lambda k: (F.col(f"SD1{k}") * F.col(f"SD1{k}") + F.col(f"SD2{k}") * F.col(f"SD2{k}")) / 2
+    return asymmetric.withColumns({"SDNNd": F.sqrt(part("d")), "SDNNa": F.sqrt(part("a")), "Cd": safe_div(part("d"), part("d") + part("a")), "Ca": safe_div(part("a"), part("d") + part("a"))})
+
+
 def poincare(nn: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SD1, SD2 and what is derived from them."""
     out = nn.groupBy(*keys).agg(F.sqrt(F.var_samp("d") / 2).alias("SD1"), F.sqrt(F.greatest(F.lit(0.0), 2 * F.var_samp("nn") - F.var_samp("d") / 2)).alias("SD2"))
@@ -104,10 +130,8 @@ def clean_intervals(nn: DataFrame, keys: Sequence[str], order: Sequence[str], lo
 
 def interpolated(value: str, position: str, keys: Sequence[str]) -> Column:
     """Missing values by position between their neighbours; at the ends the nearest value."""
-    back = over(keys, [position]).rowsBetween(-(1 << 31) + 1, 0)
-    ahead = over(keys, [position]).rowsBetween(0, (1 << 31) - 1)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
-    a, b = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+    a, b = (F.last(known, ignorenulls=True).over(reach_back(keys, [position], ahead)) for ahead in (False, True))
     line = a["v"] + (b["v"] - a["v"]) * (F.col(position) - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))
     return F.coalesce(F.col(value), line, a["v"], b["v"])
 

@@ -333,12 +333,75 @@ def triangle_base(nn: np.ndarray, width: float = 7.8125) -> float:
     return float(best[1])
 
 
-NONLINEAR: dict[str, Callable[[np.ndarray], float]] = {
+@register
+def multifractal(x: np.ndarray, scales: range, powers: Sequence[float] = (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5)) -> dict[str, float]:
+    """Spectrum of the generalised fluctuation exponents h(q): its width, peak, mean, greatest height, difference of the ends' heights, asymmetry, and the range and mean squared step of h."""
+    y = np.cumsum(x - x.mean())
+    q = np.array(powers, float)
+    logs, sizes = [], []
+    for n in scales:
+        k = len(y) // n
+        if k < 2 or n < 3:
+            continue
+        w = y[: k * n].reshape(k, n)
+        t = np.arange(n) - (n - 1) / 2
+        rest = w - w.mean(axis=1, keepdims=True) - ((w * t).sum(axis=1) / (t * t).sum())[:, None] * t
+        f = (rest**2).mean(axis=1)
+        if (f > 0).all():
+            logs.append([np.log((f ** (p / 2)).mean()) / p for p in q])
+            sizes.append(np.log(n))
+    if len(sizes) < 3:
+        return dict.fromkeys(MULTIFRACTAL, float("nan"))
+    h = np.polyfit(sizes, np.array(logs), 1)[0]
+    alpha = np.gradient(q * h - 1, q)
+    height = q * alpha - (q * h - 1)
+    peak, low, high = alpha[height.argmax()], alpha.argmin(), alpha.argmax()
+    width = alpha[high] - alpha[low]
+    found = (width, peak, alpha.mean(), height.max(), height[high] - height[low], (peak - alpha[low]) / width if width else np.nan, h.max() - h.min(), (np.diff(h) ** 2).mean())
+    return dict(zip(MULTIFRACTAL, map(float, found), strict=True))
+
+
+MULTIFRACTAL = "Width Peak Mean Max Delta Asymmetry Fluctuation Increment".split()
+
+
+def _multifractal_of(x: np.ndarray) -> dict[str, float]:
+    last = int((len(x) + 1) / 10)
+    both = {"alpha1": range(4, 12), "alpha2": range(12, last + 1)}
+    return {f"MFDFA_{a}_{k}": v for a, scales in both.items() for k, v in multifractal(x, scales).items()}
+
+
+def _sample_entropy_at(x: np.ndarray, tolerance: float, m: int = 2) -> tuple[int, int]:
+    """Matching pairs of m + 1 and of m values."""
+    n = len(x) - m
+    if n < 2:
+        return 0, 0
+    return int((chebyshev(embedded(x, m + 1)) <= tolerance).sum() - n), int((chebyshev(embedded(x, m)[:n]) <= tolerance).sum() - n)
+
+
+@register
+def multiscale(x: np.ndarray, scales: int = 20, r: float = 0.2) -> dict[str, float]:
+    """Sample entropy at each scale (MSE_k), their mean (MSEn), the mean over shifted (CMSEn) and over pooled shifted series (RCMSEn)."""
+    tolerance = r * x.std(ddof=1)
+    entropy = lambda a, b: float(-np.log(a / b)) if a and b else float("nan")
+    plain, shifted, pooled = [], [], []
+    for k in range(1, scales + 1):
+        counts = [_sample_entropy_at(coarse(x[s:], k), tolerance) for s in range(k)]
+        plain.append(entropy(*counts[0]))
+        each = [e for e in (entropy(*c) for c in counts) if np.isfinite(e)]
+        shifted.append(float(np.mean(each)) if each else float("nan"))
+        pooled.append(entropy(*map(sum, zip(*counts, strict=True))))
+    mean = lambda v: float(np.nanmean(v)) if np.isfinite(v).any() else float("nan")
+    return {f"MSE_{k}": v for k, v in enumerate(plain)} | {"MSEn": mean(plain), "CMSEn": mean(shifted), "RCMSEn": mean(pooled)}
+
+
+#: Kernels by the name of their value, or by the names of the values that one call gives.
+NONLINEAR: dict[str | tuple[str, ...], Callable] = {
     "SampEn": sample_entropy, "ApEn": approximate_entropy, "FuzzyEn": fuzzy_entropy, "ShanEn": shannon_entropy, "DFA_alpha1": dfa_alpha1, "DFA_alpha2": dfa_alpha2,
-    "HFD": higuchi, "KFD": katz, "LZC": lempel_ziv, "CD": correlation_dimension,
-    "REC": lambda x: recurrence(x)["REC"], "DET": lambda x: recurrence(x)["DET"], "LAM": lambda x: recurrence(x)["LAM"],
+    "HFD": higuchi, "KFD": katz, "LZC": lempel_ziv, "CD": correlation_dimension, ("REC", "DET", "LAM"): recurrence,
+    tuple(f"MFDFA_{a}_{k}" for a in ("alpha1", "alpha2") for k in MULTIFRACTAL): _multifractal_of,
 }
-FREQUENCY: dict[str, Callable[[np.ndarray], float]] = {k: (lambda x, k=k: band_powers(x)[k]) for k in [*BANDS, "TP", "LFHF", "LFn", "HFn", "LnHF"]}
+MULTISCALE = {(*(f"MSE_{k}" for k in range(20)), "MSEn", "CMSEn", "RCMSEn"): multiscale}
+FREQUENCY = {(*BANDS, "TP", "LFHF", "LFn", "HFn", "LnHF"): band_powers}
 
 
 # ---- pulses -------------------------------------------------------------------------
@@ -450,9 +513,13 @@ def _array(values) -> np.ndarray:
     return x[np.isfinite(x)]
 
 
-def per_series(df: DataFrame, key: str, values: str, kernels: Mapping[str, Callable[[np.ndarray], float]], table: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per series with its key, the columns ``keep``, a column per kernel and a status; NaN becomes null."""
-    names, kept = list(kernels), [key, *keep]
+def per_series(df: DataFrame, key: str, values: str, kernels: Mapping[str | tuple[str, ...], Callable], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per series with its key, the columns ``keep``, a column per value and a status; NaN becomes null.
+
+    A kernel under several names gives all these values in one call.
+    """
+    groups = [(n if isinstance(n, tuple) else (n,), f) for n, f in kernels.items()]
+    names, kept = [n for own, _ in groups for n in own], [key, *keep]
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + ", " + ", ".join(f"`{n}` double" for n in names) + ", status string"
 
     def run(batches):
@@ -460,16 +527,17 @@ def per_series(df: DataFrame, key: str, values: str, kernels: Mapping[str, Calla
             rows = []
             for item in batch.column(values).to_pylist():
                 x, error, row = _array(item), None, []
-                for n in names:
+                for own, f in groups:
                     try:
                         with np.errstate(all="ignore"):
-                            v = float(kernels[n](x))
-                        row.append(v if np.isfinite(v) else None)
+                            found = f(x)
+                        found = [float(found[n]) for n in own] if isinstance(found, dict) else [float(found)]
+                        row += [v if np.isfinite(v) else None for v in found]
                     except MemoryError:  # not a fault of the series: the task fails
                         raise
                     except Exception as e:  # noqa: BLE001  the class becomes the row's status
                         error = error or e
-                        row.append(None)
+                        row += [None] * len(own)
                 rows.append([*row, status_of(error) if len(x) else "no_signals"])
             columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns, pa.array([r[-1] for r in rows], pa.string())], [*kept, *names, "status"])
@@ -540,27 +608,3 @@ def welch_centroids(df: DataFrame, key: str, order: Sequence[str], value: str, f
     value = F.when(F.col("p") > 0, F.col("fp") / F.nullif(F.col("p"), F.lit(0.0))).when(F.col("p") == 0, 0.0)
     out = rows.groupBy(key).agg(F.max("n").alias("n")).join(centre, key, "left")
     return out.select(key, value.alias("center_freq"), F.when(F.col("n") > 0, status_of(None)).otherwise("no_signals").alias("status"))
-
-
-def synthetic_pulses(keys: DataFrame, key: str, seconds: int = 20, fs: int = 125) -> DataFrame:
-    """A pulse wave per key whose rate depends on the key: 60 to 99 beats a minute."""
-    t = F.transform(F.sequence(F.lit(0), F.lit(seconds * fs - 1)), lambda i: i / fs)
-    phase = lambda x: x * (60 + F.col(key) % 40) / 60
-    bump = lambda x, at, width: F.exp(-F.pow((x - F.floor(x) - at) / width, 2))
-    return keys.select(key, F.transform(t, lambda x: bump(phase(x), 0.25, 0.1) + 0.45 * bump(phase(x), 0.6, 0.12)).alias("values"))
-
-
-def pulse_features(df: DataFrame, key: str, values: str, fs: float) -> DataFrame:
-    """Pulse count, rate, width, and the mean times and heights between landmarks of each series."""
-
-    def of(x: np.ndarray) -> dict[str, float]:
-        f = delineate(x, fs)
-        step = np.diff(f["S"]) / fs
-        seen = (f["D"] >= 0) & (f["N"] >= 0)
-        return {
-            "pulses": len(f["S"]), "PR": float(np.median(60 / step)), "Ton_off_ms": float(np.median(np.diff(f["O"])) * 1000 / fs), "T_os_ms": float(np.mean((f["S"] - f["O"]) * 1000 / fs)),
-            "T_sd_ms": float(np.mean((f["D"] - f["S"])[seen] * 1000 / fs)), "RI": float(np.mean((x[f["D"]] - x[f["O"]])[seen] / (x[f["S"]] - x[f["O"]])[seen])), "max_upslope": float(np.mean(np.gradient(x)[f["w"]] * fs)),
-        }
-
-    names = ["pulses", "PR", "Ton_off_ms", "T_os_ms", "T_sd_ms", "RI", "max_upslope"]
-    return per_series(df, key, values, {n: (lambda x, n=n: of(x)[n]) for n in names})

@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .base import ORACLES, QUERIES  # noqa: I001
-from . import cleaning, cohort, modelling, physiology, reporting, sequences, series, streams, temporal  # noqa: F401
+from . import cleaning, cohort, landmarks, modelling, physiology, reporting, sequences, series, streams, temporal  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

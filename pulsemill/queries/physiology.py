@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
-from ..operators import beats, hrv, kernels, stats
+from ..operators import beats, hrv, kernels
 from .base import SAMPLES, query, read, samples
 
 #: Intervals in hours between the events of an encounter.
@@ -152,38 +152,13 @@ def hrv_nonlinear(spark, sf_dir):
 def hrv_frequency(spark, sf_dir):
     """Band powers of the interval series."""
     nn = intervals(spark, sf_dir).groupBy("fin").agg(F.array_sort(F.collect_list(F.struct("t", "nn"))).alias("x")).select("fin", (F.transform("x.nn", lambda v: v * 40)).alias("values"))
-    return kernels.per_series(nn, "fin", "values", kernels.FREQUENCY, table=True)
+    return kernels.per_series(nn, "fin", "values", kernels.FREQUENCY)
 
 
 @query()
 def multiscale_entropy(spark, sf_dir):
-    """Sample entropy of each segment of each series, coarse-grained at each scale."""
-    return kernels.per_series(series(spark, sf_dir), "fin", "values", {f"MSE_{k}": (lambda x, k=k: kernels.sample_entropy(kernels.coarse(x, k + 1))) for k in range(5)}, keep=["segment"])
-
-
-@query()
-def ppg_delineate(spark, sf_dir):
-    """Pulse landmarks of a synthetic pulse wave per encounter, with rate and widths."""
-    s = samples(spark, sf_dir).select("fin").distinct()
-    return kernels.pulse_features(kernels.synthetic_pulses(s, "fin"), "fin", "values", fs=125.0)
-
-
-def synthetic_beats(spark, sf_dir):
-    keys = samples(spark, sf_dir).select("fin").distinct()
-    return beats.pulse_features(beats.pulses(kernels.synthetic_pulses(keys, "fin"), "fin", "values", 125.0), "fin", 125.0)
-
-
-@query()
-def ppg_beat_features(spark, sf_dir):
-    """Every feature of every pulse."""
-    return synthetic_beats(spark, sf_dir)
-
-
-@query()
-def ppg_beat_statistics(spark, sf_dir):
-    """Sixteen statistics of each pulse feature of each encounter."""
-    long_ = beats.long_features(synthetic_beats(spark, sf_dir), "fin", beats.feature_names())
-    return stats.series_stats(long_, ["fin", "feature"], ["cycle"])
+    """Sample entropy of each segment of each series at twenty scales, and its means."""
+    return kernels.per_series(series(spark, sf_dir), "fin", "values", kernels.MULTISCALE, keep=["segment"])
 
 
 TURNS = f"""{SAMPLES}, k AS (SELECT fin, t, sample_id, CASE WHEN value > lag(value) OVER w AND value >= lead(value) OVER w THEN 'peak' WHEN value < lag(value) OVER w AND value <= lead(value) OVER w THEN 'trough' END AS k FROM samples WINDOW w AS (PARTITION BY fin ORDER BY t, sample_id)),

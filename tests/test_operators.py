@@ -94,12 +94,6 @@ def test_filters_keep_what_they_should():
     assert np.abs(r[2000:-2000] - np.sin(2 * np.pi * 2 * np.arange(len(r)) / 500)[2000:-2000]).max() < 0.01
 
 
-def test_pulse_rate_of_a_clean_wave(spark):
-    keys = spark.createDataFrame([(12,)], "fin long")  # 72 beats a minute
-    out = kernels.pulse_features(kernels.synthetic_pulses(keys, "fin"), "fin", "values", 125.0).first()
-    assert out.PR == pytest.approx(72, abs=1) and out.status == "perfect" and 0 < out.RI < 1
-
-
 def test_entropies_order_noise_and_sine():
     rng = np.random.default_rng(1)
     noise, sine = rng.normal(size=300), np.sin(np.arange(300) / 5)
@@ -181,16 +175,6 @@ def test_empty_tables(spark):
     assert windows.first_per_key(none, ["k"], ["t"]).count() == 0
 
 
-def test_pulse_features_of_a_clean_wave(spark):
-    keys = spark.createDataFrame([(20,)], "fin long")  # 80 beats a minute: 750 ms
-    rows = beats.pulse_features(beats.pulses(kernels.synthetic_pulses(keys, "fin"), "fin", "values", 125.0), "fin", 125.0).collect()
-    middle = rows[len(rows) // 2]
-    assert len(rows) > 15 and middle.Ton_off_ms == pytest.approx(750, abs=12) and middle.PR == pytest.approx(80, abs=2)
-    assert middle.T_os_ms + middle.T_so_ms == pytest.approx(middle.Ton_off_ms) and middle.PW_10 > middle.PW_50 > middle.PW_75 > 0
-    assert 0 < middle.RI < 1 and middle.mean_slope_os > 0 > middle.mean_slope_so and middle.IPA > 0
-    assert middle.std_ppg**2 == pytest.approx(middle.variance_ppg)
-
-
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=20_000), rng.integers(0, 5, 20_000).astype(float)
