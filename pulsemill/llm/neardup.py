@@ -33,8 +33,8 @@ from .storage import stored
 from .textkit import STEP, U64, Chunk, as_bytes, chunks, mix, table
 
 SHINGLE = 5
-#: A pair at the similarity s shares no band with the probability (1 - s**ROWS)**BANDS: 2e-4 at 0.8, 2e-6 at 0.85.
-BANDS, ROWS = 28, 6
+#: A pair at the similarity s shares no band with the probability (1 - s**ROWS)**BANDS: 3.5e-3 at 0.8, 1.3e-4 at 0.85, 3e-7 at 0.9.
+BANDS, ROWS = 24, 7
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     rest = open_pairs(stored(open_, "open"), sets, percent)
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, sets, percent)
-    final = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    final = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("a", "b")))
     by_class = classes.select("set_hash", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select(F.col("set_hash").alias("h"), F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     joined = signed.join(by_class, (signed.set_hash == by_class.h) & (signed.n_shingles == by_class.n), "left")
