@@ -10,15 +10,16 @@ fixed-size filter over the benchmark; the join decides.
 For a (document, item, alignment) the slots are compared: an item value that
 always meets the same document value is consistent.  A document contains an item
 if consistent alignments with at least ``min_slots`` of consistent slot values
-cover at least half of the item's windows, together.  ``kind`` is ``exact``
-when no slot value differs, else ``reparameterised``.
+cover at least half of the item's windows, together, or if ``min_run`` words of a
+longer item stand in it one after the other with the same slot values.  ``kind`` is
+``exact`` when no slot value differs, else ``reparameterised``.
 
 An item of fewer than five words can't be told from ordinary phrases: it is
 found only where a whole text is that sequence.
 
 Edge cases: null, empty and wordless texts match nothing, nor do such items;
-windows of placeholders alone don't count; repeated documents are each
-reported once per id; equal items are each reported; empty tables on either
+windows of placeholders alone count only for items that have no others, and
+match only with the same values; repeated documents are each reported once per id; equal items are each reported; empty tables on either
 side give an empty result; extra columns are ignored.
 """
 
@@ -102,9 +103,12 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         acc += mix(canon[i : i + size])
     at = np.flatnonzero(doc[:size] == doc[WINDOW - 1 :]) if size else np.empty(0, np.int64)
     slots = np.stack([slot[i : i + size][at] for i in range(WINDOW)], 1) if size else np.empty((0, WINDOW), U64)
-    bare = (slots != 0).all(axis=1)
-    at, slots = at[~bare], slots[~bare]
     hashes, docs, pos = mix(acc[at]), doc[at], at - first[doc[at]]
+    bare = np.flatnonzero((slots != 0).all(axis=1))
+    plain = np.zeros(len(bare), U64)
+    for i in range(WINDOW):
+        plain = plain * STEP + mix(slots[bare, i])
+    hashes[bare] = mix(plain)
     short = np.flatnonzero((count > 0) & (count < WINDOW))
     if len(short):
         whole, own = np.empty(len(short), U64), np.zeros((len(short), WINDOW), U64)
@@ -141,9 +145,12 @@ def template_windows(df: DataFrame, id_col: str, text: str, keep=None) -> DataFr
     return df.select(F.col(id_col).alias("__id"), as_bytes(text).alias("__text")).mapInArrow(run, f"id {kind}, hash long, pos int, slots array<long>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text", min_cover: float = 0.5, min_slots: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text", min_cover: float = 0.5, min_slots: float = 0.8, min_run: int = 13) -> DataFrame:
     """One row per (document, item) found: n_windows, coverage, n_slots, n_changed, kind."""
     items = stored(template_windows(benchmark, item_col, item_text).withColumnsRenamed({"id": "__item", "pos": "__ipos", "slots": "__islots", "hash": "__hash"}), "items")
+    bare = F.forall("__islots", lambda x: x != 0)
+    others = items.groupBy("__item").agg(F.min(bare.cast("int")).alias("__all_bare"))
+    items = items.join(others, "__item").where((F.col("__all_bare") == 1) | ~bare).drop("__all_bare")
     sizes = items.groupBy("__item").agg(F.count_distinct("__ipos").alias("__windows"))
     found = template_windows(docs, id_col, text, bitset(items, "__hash"))
     hits = found.join(items, found["hash"] == items["__hash"]).select("id", "__item", "__ipos", (F.col("pos") - F.col("__ipos")).alias("__shift"), "slots", "__islots")
@@ -154,10 +161,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_c
     steady = F.expr("size(filter(array_distinct(transform(__pairs, x -> x.__islots)), v -> size(filter(__pairs, x -> x.__islots = v)) = 1))")
     changed = F.expr("size(filter(__pairs, x -> x.__islots != x.slots))")
     checked = aligned.withColumn("__n", F.size(values)).withColumn("__steady", steady).withColumn("__changed", changed).where(F.col("__steady") >= min_slots * F.col("__n"))
-    by_item = checked.groupBy("id", "__item").agg(
+    # the longest stretch of consecutive windows
+    begin = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc, x):
+        run = F.when(x == acc["at"] + 1, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("at"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    stretch = F.when(F.col("__changed") == 0, F.aggregate(F.array_sort("__found"), begin, step, lambda acc: acc["best"])).otherwise(0)
+    by_item = checked.withColumn("__run", stretch).groupBy("id", "__item").agg(
+        F.max("__run").alias("__run"),
         F.size(F.array_distinct(F.flatten(F.collect_list("__found")))).alias("n_windows"), F.max("__n").alias("n_slots"), F.min("__changed").alias("n_changed")
     )
-    out = by_item.join(sizes, "__item").withColumn("coverage", F.col("n_windows") / F.col("__windows")).where(F.col("coverage") >= min_cover)
+    out = by_item.join(sizes, "__item").withColumn("coverage", F.col("n_windows") / F.col("__windows"))
+    out = out.where((F.col("coverage") >= min_cover) | (F.col("__run") >= max(1, min_run - WINDOW + 1)))
     kind = F.when(F.col("n_changed") == 0, "exact").otherwise("reparameterised")
     return out.select(F.col("id").alias(id_col), F.col("__item").alias(item_col), "n_windows", "coverage", "n_slots", "n_changed", kind.alias("kind"))
 
