@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +12,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import over
+from ..functions.columns import over, reach_back
 from .stats import running_sums
 
 #: Rows of a block in the sums of distances, about.
@@ -42,6 +42,61 @@ REDUCERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def resampled_labels(df: DataFrame, features: str, k: int, resamples: int, share: float, seed: int) -> DataFrame:
+    """Adds ``__l0``, ``__l1`` ...: each row's label by k-means on a resample."""
+    labelled = df
+    for b in range(resamples):
+        model = KMeans(k=k, seed=seed + b, maxIter=20, featuresCol=features, predictionCol=f"__l{b}").fit(df.sample(share, seed=seed + b))
+        labelled = model.transform(labelled)
+    return labelled
+
+
+def agreement_histogram(labels: DataFrame, row_id: str, votes: str = "votes") -> DataFrame:
+    """Rows (agree, n): how many pairs of rows have ``agree`` equal votes, counted by pairs of blocks of rows; no pair leaves its block."""
+    blocks = max(4, -(-labels.count() // BLOCK_ROWS))
+    rows = labels.select(F.col(row_id).alias("id"), F.col(votes).cast("array<int>").alias("v"))
+    block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # each pair of blocks once
+    left = rows.withColumn("i", block).withColumn("j", every).where("i <= j")
+    right = rows.withColumn("j", block).withColumn("i", every).where("i <= j").select("i", "j", "v")
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        total = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            x, y = (np.asarray(t["v"].combine_chunks().flatten()).reshape(len(t), -1) for t in (left, right))
+            total = np.zeros(x.shape[1] + 1, np.int64)
+            for at in range(0, len(x), 256):
+                same = sum((x[at : at + 256, r, None] == y[None, :, r]).astype(np.int16) for r in range(x.shape[1]))
+                total += np.bincount(same.ravel(), minlength=len(total))
+            if left["i"][0].as_py() == left["j"][0].as_py():  # both orders, and each row with itself
+                total[-1] -= len(x)
+                total //= 2
+        return pa.table({"agree": pa.array(np.arange(len(total), dtype=np.int32)), "n": pa.array(total)})
+
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(count, "agree int, n long")
+    return parts.groupBy("agree").agg(F.sum("n").alias("n"))
+
+
+def consensus_area(histogram: DataFrame, resamples: int) -> DataFrame:
+    """One row with the area under the distribution of the pairs' agreement (in shares of the resamples)."""
+    upto = F.sum("n").over(over([], ["agree"]).rowsBetween(Window.unboundedPreceding, 0))  # a row for each number of votes
+    shares = histogram.withColumn("__c", upto / F.sum("n").over(over([])))
+    return shares.agg((F.sum(F.when(F.col("agree") < resamples, F.col("__c"))) / resamples).alias("area"))
+
+
+def choose_k(df: DataFrame, row_id: str, features: str = "features", ks: Sequence[int] = tuple(range(2, 10)), resamples: int = 10, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, int]:
+    """Rows (k, area, gain) of the consensus areas and their relative gains, and the knee: the k whose area lies highest over the line from the first to the last."""
+    areas = []
+    for k in ks:
+        votes = resampled_labels(df, features, k, resamples, share, seed).select(row_id, F.array(*[f"__l{b}" for b in range(resamples)]).alias("votes"))
+        areas.append(float(consensus_area(agreement_histogram(votes, row_id), resamples).first().area))
+    gains = [areas[0]] + [(b - a) / a if a else 0.0 for a, b in zip(areas[:-1], areas[1:], strict=True)]
+    line = [areas[0] + (areas[-1] - areas[0]) * i / max(1, len(ks) - 1) for i in range(len(ks))]
+    best = max(range(len(ks)), key=lambda i: areas[i] - line[i])
+    rows = [(int(k), a, float(g)) for k, a, g in zip(ks, areas, gains, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "k int, area double, gain double"), int(ks[best])
+
+
 def consensus_labels(df: DataFrame, row_id: str, features: str = "features", k: int = 4, resamples: int = 10, share: float = 0.8, seed: int = 42, out: str = "cluster") -> DataFrame:
     """Labels that resampled clusterings agree on.
 
@@ -50,10 +105,7 @@ def consensus_labels(df: DataFrame, row_id: str, features: str = "features", k:
     vectors the squared distance is the number of disagreements).  No pair of
     rows is ever formed.
     """
-    labelled = df
-    for b in range(resamples):
-        model = KMeans(k=k, seed=seed + b, maxIter=20, featuresCol=features, predictionCol=f"__l{b}").fit(df.sample(share, seed=seed + b))
-        labelled = model.transform(labelled)
+    labelled = resampled_labels(df, features, k, resamples, share, seed)
     hot = F.array(*[F.when(F.col(f"__l{b}") == i, 1.0).otherwise(0.0) for b in range(resamples) for i in range(k)])
     votes = labelled.withColumn("__votes", array_to_vector(hot))
     final = KMeans(k=k, seed=seed, maxIter=40, featuresCol="__votes", predictionCol=out).fit(votes)
@@ -158,6 +210,93 @@ def membership(df: DataFrame, label: str, features: str = "features", seed: int
     return model.transform(test), model.featureImportances.toArray().tolist()
 
 
+def class_importance(df: DataFrame, label: str, names: Sequence[str], features: str = "features", seed: int = 42, trees: int = 20) -> DataFrame:
+    """Rows (cls, feature, importance, rank): what tells each class from all others, by a forest for each class."""
+    rows = []
+    for c in sorted(r[0] for r in df.select(label).distinct().collect()):  # a row per class
+        one = df.withColumn("__y", (F.col(label) == c).cast("double"))
+        shares = RandomForestClassifier(labelCol="__y", featuresCol=features, numTrees=trees, seed=seed).fit(one).featureImportances.toArray()
+        order = sorted(range(len(names)), key=lambda i: (-shares[i], i))
+        rows += [(int(c), names[i], float(shares[i]), at + 1) for at, i in enumerate(order)]
+    return df.sparkSession.createDataFrame(rows, "cls int, feature string, importance double, rank int")
+
+
+def save_model(model, path: str) -> None:
+    """Writes a fitted model of pyspark.ml to a folder."""
+    model.write().overwrite().save(path)
+
+
+def load_model(kind: type, path: str):
+    """Reads what ``save_model`` wrote; ``kind`` is the model's class."""
+    return kind.load(path)
+
+
+def fold_of(row_id: str, folds: int) -> Column:
+    """The fold of a row by a hash of its id: each class is dealt over all folds in near equal parts."""
+    return F.pmod(F.xxhash64(F.col(row_id)), F.lit(folds)).cast("int")
+
+
+def cross_validated(df: DataFrame, row_id: str, label: str, features: str = "features", folds: int = 5, seed: int = 42, trees: int = 40, balance: str = "weights") -> DataFrame:
+    """Rows (row_id, fold, label, score): each row's probability of class 1 by a forest of the other folds.
+
+    ``balance`` evens out the classes: ``weights``, ``oversample`` (the rarer class
+    repeated to equal numbers, with a fraction of it at random), or ``none``.
+    """
+    dealt = df.select(row_id, F.col(label).cast("double").alias("__y"), features).withColumn("fold", fold_of(row_id, folds))
+    out = None
+    for f in range(folds):
+        train, test = dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)
+        n = {r["__y"]: r.n for r in train.groupBy("__y").agg(F.count("*").alias("n")).collect()}  # a row per class
+        most = max(n.values())
+        times = F.lit(1.0)
+        for c, own in n.items():
+            times = F.when(F.col("__y") == c, most / own).otherwise(times)
+        if balance == "oversample":
+            copies = F.floor(times + F.rand(seed)).cast("int")
+            train = train.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).drop("__copy")
+        train = train.withColumn("__weight", times if balance == "weights" else F.lit(1.0))
+        model = RandomForestClassifier(labelCol="__y", featuresCol=features, weightCol="__weight", numTrees=trees, seed=seed).fit(train)
+        own = model.transform(test).select(row_id, "fold", F.col("__y").cast("int").alias(label), vector_to_array("probability")[1].alias("score"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def curve_points(df: DataFrame, label: str, score: str, fold: str) -> DataFrame:
+    """Rows (fold, score, fpr, tpr, precision) of each fold by falling score."""
+    by_score = df.where(F.col(score).isNotNull()).groupBy(fold, score).agg(F.sum((F.col(label) == 1).cast("int")).alias("p"), F.sum((F.col(label) == 0).cast("int")).alias("n"))
+    total = by_score.groupBy(fold).agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    run = running_sums(by_score, score, ["p", "n"], descending=True, keys=[fold]).join(total, fold)
+    return run.select(fold, score, (F.col("run_n") / F.col("__n")).alias("fpr"), (F.col("run_p") / F.col("__p")).alias("tpr"), (F.col("run_p") / (F.col("run_p") + F.col("run_n"))).alias("precision"))
+
+
+def curve_bands(points: DataFrame, fold: str, cells: int = 100) -> DataFrame:
+    """Rows (x, tpr, tpr_low, tpr_high, precision, precision_low, precision_high): means over the folds with a band of 1.96 deviations.
+
+    At each x the highest tpr at an fpr of x or less, and the highest precision at a
+    recall of x or more.
+    """
+    rounding = 1e-9
+    grid = points.sparkSession.range(cells + 1).select(F.col("id").cast("int").alias("cell"))
+    folds = points.select(fold).distinct()
+    every = folds.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells)))).join(grid, "cell")
+    roc = points.groupBy(fold, F.ceil(F.col("fpr") * cells - rounding).cast("int").alias("cell")).agg(F.max("tpr").alias("tpr"))
+    pr = points.groupBy(fold, F.floor(F.col("tpr") * cells + rounding).cast("int").alias("cell")).agg(F.max("precision").alias("precision"))
+    both = every.join(roc, [fold, "cell"], "left").join(pr, [fold, "cell"], "left")
+    filled = both.select(fold, "cell", F.coalesce(F.max("tpr").over(reach_back([fold], ["cell"])), F.lit(0.0)).alias("tpr"), F.max("precision").over(reach_back([fold], ["cell"], ahead=True)).alias("precision"))
+    out = filled.groupBy("cell").agg(*[f(c).alias(n) for c in ("tpr", "precision") for n, f in ((c, F.avg), (f"__{c}", F.stddev_samp))])
+    edge = lambda c: {f"{c}_low": F.greatest(F.col(c) - 1.96 * F.col(f"__{c}"), F.lit(0.0)), f"{c}_high": F.least(F.col(c) + 1.96 * F.col(f"__{c}"), F.lit(1.0))}
+    return out.withColumns(edge("tpr") | edge("precision")).select((F.col("cell") / cells).alias("x"), "tpr", "tpr_low", "tpr_high", "precision", "precision_low", "precision_high")
+
+
+def by_block(df: DataFrame, block: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``run`` for each block of rows (the hours before an outcome, say), with its name."""
+    out = None
+    for b in sorted(r[0] for r in df.select(block).distinct().collect()):  # a row per block
+        own = run(df.where(F.col(block) == b)).withColumn(block, F.lit(b))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def lasso_path(df: DataFrame, label: str, features: str = "features", penalties: Sequence[float] = (1.0, 0.1, 0.01), folds: int = 5, seed: int = 42) -> tuple[float, list[float]]:
     """The penalty with the least cross-validated error, and the coefficients under it."""
     from pyspark.ml.evaluation import RegressionEvaluator
@@ -175,19 +314,34 @@ def boosted_regression(df: DataFrame, label: str, features: str = "features", se
     return GBTRegressor(labelCol=label, featuresCol=features, maxIter=10, seed=seed).fit(train).transform(test)
 
 
-def chained_imputation(df: DataFrame, columns: Sequence[str], rounds: int = 2) -> DataFrame:
-    """Missing values regressed on all other columns in turn, from the median on (MICE with linear models)."""
+def chained_imputation(df: DataFrame, columns: Sequence[str], rounds: int = 2, binary: Sequence[str] = (), ordinal: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Missing values regressed on all other columns in turn, from the median (of binary and ordinal columns the mode) on.
+
+    Linear models for numbers; of ``ordinal`` columns (with their least and greatest
+    level) the prediction is rounded and clipped; logistic models for ``binary`` ones.
+    """
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    from .cleaning import median_impute
+    from .cleaning import median_impute, mode_impute
 
+    ordinal = dict(ordinal or {})
+    named = [*binary, *ordinal]
     marked = df.withColumns({f"__na_{c}": F.col(c).isNull() for c in columns})
-    out = median_impute(marked, columns)
+    out = median_impute(mode_impute(marked, named) if named else marked, [c for c in columns if c not in named])
     for _ in range(rounds):
         for c in columns:
             x = VectorAssembler(inputCols=[o for o in columns if o != c], outputCol="__x").transform(out)
-            model = LinearRegression(labelCol=c, featuresCol="__x", predictionCol="__p", regParam=1e-6).fit(x.where(~F.col(f"__na_{c}")))
-            out = model.transform(x).withColumn(c, F.when(F.col(f"__na_{c}"), F.col("__p")).otherwise(F.col(c))).drop("__x", "__p")
+            known = x.where(~F.col(f"__na_{c}"))
+            if c in binary:
+                model = LogisticRegression(labelCol="__y", featuresCol="__x", predictionCol="__p", regParam=1e-6).fit(known.withColumn("__y", F.col(c).cast("double")))
+            else:
+                model = LinearRegression(labelCol=c, featuresCol="__x", predictionCol="__p", regParam=1e-6).fit(known)
+            found = F.col("__p")
+            if c in ordinal:
+                low, high = ordinal[c]
+                found = F.least(F.greatest(F.round(found), F.lit(low)), F.lit(high))
+            out = model.transform(x).withColumn(c, F.when(F.col(f"__na_{c}"), found).otherwise(F.col(c)).cast(df.schema[c].dataType)).select(*df.columns, *[f"__na_{o}" for o in columns])
     return out.drop(*[f"__na_{c}" for c in columns])
 
 

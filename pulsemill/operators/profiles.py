@@ -107,14 +107,33 @@ def section(text: str | Column, header: str, limit: int = 200) -> Column:
     return F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit("..."))).otherwise(body)
 
 
-def phenotype_name(text: str | Column, default: str = "Unnamed") -> Column:
-    """A name from labelled or emphasised text: the first of four patterns of 4 to 99 characters and at most 15 words."""
-    patterns = (r"(?i)phenotype name:[ \t]*\**\"?([^\n*\"]+)", r"\*\*\"?([^\n*\"]+)\"?\*\*", r"\"([^\n\"]+)\"", r"(?m)^#+[ \t]*([^\n]+)$")
-    found = []
-    for p in patterns:
-        x = F.trim(F.regexp_extract(col(text), p, 1))
-        found.append(F.when((F.length(x) > 3) & (F.length(x) < 100) & (F.size(F.split(x, r"\s+")) <= 15), x))
-    return F.coalesce(*found, F.lit(default))
+#: Fixed words that stand for the prompt, not for a name.
+PROMPT_WORDS = ("name", "phenotype name", "phenotype", "title", "1.", "### 1. pheno", "### 1. name", "pheno", "### 1.")
+#: Fixed words of which a line without a label must hold one.
+DESCRIPTIVE = ("pattern", "type", "profile", "syndrome", "dysfunction", "instability", "compromise")
+
+
+def phenotype_name(text: str | Column, default: str = "Unnamed Phenotype") -> Column:
+    """The name in an interpretation: labelled and quoted, else quoted, else labelled, else a descriptive line, else the text behind ``1.``.
+
+    A name has 4 to 99 characters, at most 15 words, and is no word of the prompt;
+    of several the first such one counts.  Lines are sought among the first ten.
+    """
+    t = col(text)
+    label = r"PHENOTYPE NAME\s*:\s*"
+
+    def fits(x: Column) -> Column:
+        return ~F.lower(x).isin(*PROMPT_WORDS) & (F.length(x) > 3) & (F.length(x) < 100) & (F.size(F.split(x, r"\s+")) <= 15)
+
+    def first(names: Column) -> Column:
+        return F.get(F.filter(F.transform(names, lambda x: F.trim(x)), fits), F.lit(0))
+
+    lines = F.slice(F.split(t, "\n"), 1, 10)
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^\w\s]+|[^\w\s]+$", "")), r"^\d+\.\s*", ""), f"(?i)^{label}", ""))
+    described = F.filter(F.transform(lines, bare), lambda x: F.exists(F.array(*map(F.lit, DESCRIPTIVE)), lambda w: F.contains(F.lower(x), w)))
+    numbered = F.transform(F.filter(lines, lambda x: F.trim(x).startswith("1.")), lambda x: F.btrim(F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(x), r"^\d+\.\s*", "")), f"(?i)^{label}", "")), F.lit("\"'")))
+    found = [F.regexp_extract_all(t, F.lit(f'(?i){label}"([^"]+)"'), 1), F.regexp_extract_all(t, F.lit('"([^"]+)"'), 1), F.regexp_extract_all(t, F.lit(rf"(?i){label}([^\n]+)"), 1), described, numbered]
+    return F.coalesce(*[first(x) for x in found], F.lit(default))
 
 
 def file_name(title: str | Column) -> Column:
@@ -122,10 +141,31 @@ def file_name(title: str | Column) -> Column:
 
 
 def summary_document(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All rows as one JSON document per partition line: a text column for ``write.text``."""
+    """All rows as JSON lines: a text column for ``write.text``."""
     return df.select(F.to_json(F.struct(*columns)).alias("value"))
 
 
+def analysis_summary(groups: DataFrame, group: str, name: str, categories: DataFrame, performance: DataFrame, features: int, at: str | None = None) -> DataFrame:
+    """One JSON document: sizes, the share of each group, the features by category, and precision, recall, F1 and accuracy by class.
+
+    ``groups`` has a row per group with its size ``n``; ``categories`` (category, n)
+    and ``performance`` (cls, support, hits, precision, recall, f1) a few rows each.
+    """
+    total = groups.agg(F.sum("n")).scalar()
+    share = F.struct(F.col(group).alias("cluster_id"), F.col(name).alias("phenotype_name"), F.col("n").alias("n_patients"), (100 * F.col("n") / total).alias("percentage"))
+    spread = groups.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(group).cast("string").alias("k"), share.alias("v"))))).alias("phenotype_distribution"), F.sum("n").alias("__n"), F.count("*").alias("__k"))
+    kinds = categories.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("feature_categories"))
+    by_class = F.sort_array(F.collect_list(F.struct("cls", "precision", "recall", "f1")))
+    quality = performance.agg(by_class.alias("__c"), (F.sum("hits") / F.sum("support")).alias("accuracy"))
+    of = lambda k: F.transform("__c", lambda x: x[k])
+    quality = quality.select(F.struct(of("precision").alias("precision"), of("recall").alias("recall"), of("f1").alias("f1_score"), "accuracy").alias("model_performance"))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    when = F.lit(at) if at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    info = F.struct(F.col("__n").alias("total_patients"), F.lit(features).alias("total_features_selected"), F.col("__k").alias("n_phenotypes"), when.alias("analysis_timestamp"))
+    joined = one(spread).join(one(kinds), "__one").join(one(quality), "__one")  # one row each
+    return joined.select(F.to_json(F.struct(info.alias("analysis_info"), "phenotype_distribution", "feature_categories", "model_performance")).alias("value"))
+
+
 def card(group: Column, name: Column, size: Column, share: Column, features: Column) -> Column:
     """The text of a group's summary card."""
     return F.concat_ws("\n", F.format_string("PHENOTYPE %s: %s", group, name), F.format_string("Patients: %s (%.1f%%)", F.format_number(size, 0), share), F.concat(F.lit("Key features: "), features))

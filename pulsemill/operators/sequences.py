@@ -34,27 +34,44 @@ def state_grid(df: DataFrame, keys: Sequence[str], state: str, states: Sequence)
     return df.select(*keys).distinct().withColumn(state, F.explode(F.array(*[F.lit(s) for s in states]))).withColumn(state, F.col(state).cast(df.schema[state].dataType))
 
 
-def frequency(df: DataFrame, keys: Sequence[str], state: str) -> DataFrame:
-    """Share of each state among the known ones."""
+def _on_grid(found: DataFrame, grid: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """A row for each place of the grid, with 0 for what wasn't found."""
+    kinds = dict(found.dtypes)
+    return grid.join(found, list(by), "left").select(*by, *[F.coalesce(v, F.lit(0).cast(kinds[v])).alias(v) for v in values])
+
+
+def frequency(df: DataFrame, keys: Sequence[str], state: str, states: Sequence | None = None) -> DataFrame:
+    """Share of each state among the known ones; of ``states`` also the absent ones, with 0."""
     counts = _known(df, state).groupBy(*keys, state).agg(F.count("*").alias("n"))
-    return counts.withColumn("freq", F.col("n") / F.sum("n").over(over(keys)))
+    out = counts.withColumn("freq", F.col("n") / F.sum("n").over(over(keys)))
+    return out if states is None else _on_grid(out, state_grid(df, keys, state, states), [*keys, state], ["n", "freq"])
+
 
+def transitions(df: DataFrame, keys: Sequence[str], segment: str, state: str, same: bool, states: Sequence | None = None) -> DataFrame:
+    """Share of each change of state among all changes (or of each stay among all stays); a gap is bridged.
 
-def transitions(df: DataFrame, keys: Sequence[str], segment: str, state: str, same: bool) -> DataFrame:
-    """Share of each change of state among all changes (or of each stay among all stays); a gap is bridged."""
+    Of ``states`` also the changes (stays) that don't occur, with 0.
+    """
     rows = _known(df, state).withColumn("to_state", F.lead(state).over(over(keys, [segment]))).where("to_state is not null")
     rows = rows.where(F.col("to_state") == F.col(state)) if same else rows.where(F.col("to_state") != F.col(state))
     counts = rows.groupBy(*keys, F.col(state).alias("from_state"), "to_state").agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(over(keys)))
+    out = counts.withColumn("share", F.col("n") / F.sum("n").over(over(keys)))
+    if states is None:
+        return out
+    grid = state_grid(df, keys, state, states).withColumnRenamed(state, "from_state")
+    kind = df.schema[state].dataType
+    grid = grid.withColumn("to_state", F.explode(F.array(*[F.lit(s).cast(kind) for s in states]))).where((F.col("from_state") == F.col("to_state")) == F.lit(same))
+    return _on_grid(out, grid, [*keys, "from_state", "to_state"], ["n", "share"])
 
 
-def dwell(df: DataFrame, keys: Sequence[str], segment: str, state: str) -> DataFrame:
-    """Longest run of each state over the number of known states."""
+def dwell(df: DataFrame, keys: Sequence[str], segment: str, state: str, states: Sequence | None = None) -> DataFrame:
+    """Longest run of each state over the number of known states; of ``states`` also the absent ones, with 0."""
     w = over(keys, [segment])
     rows = _known(df, state).withColumn("__new", F.coalesce((F.col(state) != F.lag(state).over(w)).cast("int"), F.lit(1)))
     rows = rows.withColumn("__run", F.sum("__new").over(w)).withColumn("__n", F.count("*").over(over(keys)))
     runs = rows.groupBy(*keys, state, "__run").agg(F.count("*").alias("__length"), F.max("__n").alias("__n"))
-    return runs.groupBy(*keys, state).agg(F.max("__length").alias("longest"), (F.max("__length") / F.max("__n")).alias("dwell"))
+    out = runs.groupBy(*keys, state).agg(F.max("__length").alias("longest"), (F.max("__length") / F.max("__n")).alias("dwell"))
+    return out if states is None else _on_grid(out, state_grid(df, keys, state, states), [*keys, state], ["longest", "dwell"])
 
 
 def entropy(df: DataFrame, keys: Sequence[str], state: str) -> DataFrame:

@@ -124,3 +124,21 @@ def flat_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     rows = rows.withColumn("__island", F.sum("__new").over(w))
     runs = rows.groupBy(*keys, "__island").agg(F.first(value).alias("value"), F.min("__i").alias("first"), F.max("__i").alias("last"), F.count("*").alias("length"))
     return runs.where(F.col("length") >= least).drop("__island")
+
+
+def within_deviations(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0) -> DataFrame:
+    """Only the points whose value lies within k population deviations of their key's mean."""
+    w = over(keys)
+    return df.where(F.abs(F.col(value) - F.avg(value).over(w)) <= k * F.stddev_pop(value).over(w))
+
+
+def outliers_filled(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, k: float = 3.0) -> DataFrame:
+    """Values further than k deviations from their key's mean become the value before them, or else the one after."""
+    from .windows import fill_both_ways
+
+    return fill_both_ways(sigma_clip(df, keys, value, k, fill="null"), keys, order, [value])
+
+
+def not_blank(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose text is more than white space."""
+    return df.where(F.trim(F.col(column)) != "")

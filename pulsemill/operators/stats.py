@@ -99,8 +99,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / df.agg(F.count(column)).scalar())
 
 
-def running_sums(df: DataFrame, by: str, columns: Sequence[str], descending: bool = False, ranges: int = 256) -> DataFrame:
-    """Adds ``run_c`` for each column c: its sum over all rows up to this one by the number ``by``, whose values are distinct.
+def running_sums(df: DataFrame, by: str, columns: Sequence[str], descending: bool = False, ranges: int = 256, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``run_c`` for each column c: its sum over all rows of the keys up to this one by the number ``by``, whose values are distinct.
 
     Rows are dealt to ranges between approximate quantiles; a range is summed up by
     itself, on top of the sums of the ranges before it (a row for each range).
@@ -109,11 +109,11 @@ def running_sums(df: DataFrame, by: str, columns: Sequence[str], descending: boo
     cuts = df.agg(F.percentile_approx(F.col(by).cast("double"), grid, 10_000)).first()[0] or []
     borders = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
     ranged = df.withColumn("__r", F.size(F.filter(borders, lambda c: c < F.col(by))))
-    before = reach_back([], ["__r"], descending, upto=-1)
-    held = ranged.groupBy("__r").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
-    held = held.select("__r", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns])
-    inside = reach_back(["__r"], [by], descending)
-    return ranged.join(F.broadcast(held), "__r").withColumns({f"run_{c}": F.sum(c).over(inside) + F.col(f"__{c}") for c in columns}).drop("__r", *[f"__{c}" for c in columns])
+    before = reach_back(keys, ["__r"], descending, upto=-1)
+    held = ranged.groupBy(*keys, "__r").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    held = held.select(*keys, "__r", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns])
+    inside = reach_back([*keys, "__r"], [by], descending)
+    return ranged.join(held, [*keys, "__r"]).withColumns({f"run_{c}": F.sum(c).over(inside) + F.col(f"__{c}") for c in columns}).drop("__r", *[f"__{c}" for c in columns])
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

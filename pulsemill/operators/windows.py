@@ -122,3 +122,21 @@ def zip_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], channel
     later = chosen.where((F.col(channel) == first) | (F.col(t) > F.col("__begin"))).withColumn("k", F.row_number().over(over([*keys, channel], order)))
     paired = later.groupBy(*keys, "k").agg(*[F.max(F.when(F.col(channel) == c, F.col(t))).alias(a) for c, a in ((first, "a"), (second, "b"))])
     return paired.where("a is not null and b is not null")
+
+
+#: Fixed factors of a second by the name of the resolution, as the timestamps of waves have them.
+RESOLUTIONS = {"ns": 1e9, "ms": 1e3, "s": 1.0, "min": 60.0}
+
+
+def timestamps(df: DataFrame, rate: Column | float, resolution: str = "s", start: float = 0.0, place: str = "i", out: str = "timestamp") -> DataFrame:
+    """Adds the time of each sample by its place from 0 on, in the resolution's unit."""
+    if start < 0:
+        raise ValueError("the start can't be negative")
+    if resolution not in RESOLUTIONS:
+        raise ValueError(f"the resolution is one of {', '.join(RESOLUTIONS)}")
+    return df.withColumn(out, F.col(place) / rate * F.lit(RESOLUTIONS[resolution]) + F.lit(start))
+
+
+def timestamp_faults(df: DataFrame, keys: Sequence[str], place: str = "i", timestamp: str = "timestamp") -> DataFrame:
+    """The samples whose timestamp is before that of the sample before them; none if the timestamps are monotonic."""
+    return df.withColumn("__b", F.lag(timestamp).over(over(keys, [place]))).where(F.col(timestamp) < F.col("__b")).drop("__b")

@@ -90,3 +90,75 @@ def roc_curve(spark, sf_dir):
     """Points of the ROC curve."""
     labels = read(spark, sf_dir, "labels", "doc_id", "quality").withColumn("score", F.round(F.col("doc_id") % 100 / 100 + F.col("quality") * 0.3, 2))
     return modelling.roc_points(labels, "quality", "score").select("score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+VOTES = "[label, label % 5, (vec_id // 7) % 3, (label + vec_id % 2) % 4]"
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, {VOTES} AS v FROM embeddings), p AS (SELECT CAST(a.v[1] = b.v[1] AS INT) + CAST(a.v[2] = b.v[2] AS INT) + CAST(a.v[3] = b.v[3] AS INT) + CAST(a.v[4] = b.v[4] AS INT) AS agree FROM v a JOIN v b ON a.vec_id < b.vec_id)
+    SELECT CAST(agree AS INT) AS agree, count(*) AS n FROM p GROUP BY agree"""
+)
+def agreement_histogram(spark, sf_dir):
+    """How many pairs of vectors agree in how many labellings."""
+    e = read(spark, sf_dir, "embeddings", "vec_id", "label")
+    votes = F.array(F.col("label").cast("int"), (F.col("label") % 5).cast("int"), (F.floor(F.col("vec_id") / 7) % 3).cast("int"), ((F.col("label") + F.col("vec_id") % 2) % 4).cast("int"))
+    return modelling.agreement_histogram(e.select("vec_id", votes.alias("votes")), "vec_id").where("n > 0")
+
+
+@query()
+def consensus_best_k(spark, sf_dir):
+    """Consensus areas for several numbers of clusters, and the knee."""
+    areas, best = modelling.choose_k(vectors(spark, sf_dir), "vec_id", ks=(2, 4, 6, 8, 10), resamples=4)
+    return areas.withColumn("best", F.col("k") == best)
+
+
+@query()
+def mixed_imputation(spark, sf_dir):
+    """Missing binary, ordinal and continuous values, each by its kind of model."""
+    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
+    gap = lambda k: F.col("l_orderkey") % k == 0
+    held = li.select(
+        "l_orderkey", "l_linenumber", F.when(~gap(11), (F.col("l_returnflag") == "R").cast("int")).alias("returned"), F.when(~gap(7), F.least(F.floor(F.col("l_quantity") / 13), F.lit(3)).cast("int")).alias("grade"),
+        F.when(~gap(5), F.col("l_extendedprice").cast("double")).alias("price"), F.col("l_quantity").cast("double").alias("quantity"),
+    )
+    return modelling.chained_imputation(held, ["returned", "grade", "price", "quantity"], rounds=1, binary=["returned"], ordinal={"grade": (0, 3)})
+
+
+@query()
+def class_contributions(spark, sf_dir):
+    """What tells each label of the vectors from the others: its five first features."""
+    return modelling.class_importance(vectors(spark, sf_dir), "label", [f"e{i}" for i in range(64)], trees=5).where("rank <= 5")
+
+
+def folded(spark, sf_dir):
+    score = F.round(F.col("doc_id") % 100 / 100 + F.col("quality") * 0.3, 2)
+    return read(spark, sf_dir, "labels", "doc_id", "quality").select("quality", score.alias("score"), (F.floor(F.col("doc_id") / 100) % 4).cast("int").alias("fold"))
+
+
+FOLDED = "s AS (SELECT CAST((doc_id // 100) % 4 AS INT) AS fold, round(CAST(doc_id % 100 AS DOUBLE) / 100 + quality * 0.3, 2) AS score, quality FROM labels), g AS (SELECT fold, score, sum(CAST(quality = 1 AS INT)) AS p, sum(CAST(quality = 0 AS INT)) AS n FROM s GROUP BY fold, score), c AS (SELECT fold, score, sum(n) OVER w / CAST(sum(n) OVER (PARTITION BY fold) AS DOUBLE) AS fpr, sum(p) OVER w / CAST(sum(p) OVER (PARTITION BY fold) AS DOUBLE) AS tpr, sum(p) OVER w / CAST(sum(p) OVER w + sum(n) OVER w AS DOUBLE) AS prec FROM g WINDOW w AS (PARTITION BY fold ORDER BY score DESC))"
+
+
+@query(
+    f"""WITH {FOLDED}, x AS (SELECT UNNEST(range(0, 101)) AS i), f AS (SELECT DISTINCT fold FROM c), e AS (SELECT fold, i, coalesce((SELECT max(tpr) FROM c WHERE c.fold = f.fold AND c.fpr <= i / 100.0 + 1e-11), 0) AS tpr, (SELECT max(prec) FROM c WHERE c.fold = f.fold AND c.tpr >= i / 100.0 - 1e-11) AS prec FROM f, x),
+    m AS (SELECT i, avg(tpr) AS t, stddev_samp(tpr) AS ts, avg(prec) AS p, stddev_samp(prec) AS ps FROM e GROUP BY i)
+    SELECT i / 100.0 AS x, round(t, 6) AS tpr, round(greatest(t - 1.96 * ts, 0), 6) AS tpr_low, round(least(t + 1.96 * ts, 1), 6) AS tpr_high, round(p, 6) AS precision, round(greatest(p - 1.96 * ps, 0), 6) AS precision_low, round(least(p + 1.96 * ps, 1), 6) AS precision_high FROM m"""
+)
+def curve_bands(spark, sf_dir):
+    """ROC and precision-recall curves as means over folds, with bands."""
+    out = modelling.curve_bands(modelling.curve_points(folded(spark, sf_dir), "quality", "score", "fold"), "fold")
+    return out.select("x", *[F.round(c, 6).alias(c) for c in out.columns if c != "x"])
+
+
+@query()
+def cross_validated_scores(spark, sf_dir):
+    """Each vector's probability of one label, by a forest of the other folds with weighted classes."""
+    v = vectors(spark, sf_dir).withColumn("y", (F.col("label") < 2).cast("int"))
+    return modelling.cross_validated(v, "vec_id", "y", folds=3, trees=5)
+
+
+@query()
+def block_outcomes(spark, sf_dir):
+    """The same for each block of vectors."""
+    v = vectors(spark, sf_dir).withColumns({"y": (F.col("label") < 5).cast("int"), "block": (F.col("vec_id") % 2).cast("int")})
+    return modelling.by_block(v, "block", lambda own: modelling.cross_validated(own, "vec_id", "y", folds=2, trees=5, balance="oversample"))

@@ -102,7 +102,10 @@ def summary_cards(spark, sf_dir):
     return groups.select("label", profiles.card(label, F.concat(F.lit("Phenotype_"), label), F.col("n"), share, F.lit("none")).alias("card"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)
+    SELECT item_id, CASE WHEN len(w) = 0 THEN '' ELSE list_reduce(w, lambda a, x: CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(x) <= 40 THEN a || ' ' || x ELSE a || chr(10) || x END) END AS wrapped FROM t"""
+)
 def wrap_text(spark, sf_dir):
     """Texts of the benchmark in lines of forty characters."""
     return read(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", profiles.wrap("text", 40).alias("wrapped"))
@@ -117,20 +120,45 @@ def section_extract(spark, sf_dir):
     return read(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", profiles.section(text, "Name", 60).alias("section"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'Unnamed' END AS name FROM customer")
+@query(
+    """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_mktsegment || ' two' WHEN 2 THEN c_mktsegment || ' three' WHEN 3 THEN c_mktsegment || ' profile of the group' WHEN 4 THEN 'Group ' || c_mktsegment WHEN 5 THEN c_mktsegment || ' six' ELSE 'Unnamed Phenotype' END AS name FROM customer"""
+)
 def name_extract(spark, sf_dir):
-    """A name from a labelled line, else the default."""
-    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("text\nPhenotype Name: "), F.col("c_mktsegment"), F.lit("\nmore"))).otherwise(F.lit("nothing here"))
+    """A name from an interpretation: labelled, quoted, in a descriptive line, behind a number, or the default."""
+    s = F.col("c_mktsegment")
+    forms = [
+        F.concat(F.lit("text\nPhenotype Name: "), s, F.lit("\nmore")),
+        F.concat(F.lit('### 1. PHENOTYPE NAME: "'), s, F.lit(' two"\n"other name"')),
+        F.concat(F.lit('A "name" is not "'), s, F.lit(' three" here')),
+        F.concat(F.lit("## 2. "), s, F.lit(" profile of the group **\nmore")),
+        F.concat(F.lit("no\n1. 'Group "), s, F.lit("'")),
+        F.concat(F.lit('PHENOTYPE NAME: "Pheno"\n"'), s, F.lit(' six"')),
+        F.lit("nothing here"),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("c_custkey") % 7 + 1).cast("int"))
     return read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select("c_custkey", profiles.phenotype_name(text).alias("name"))
 
 
-@query()
+@query("""SELECT '{"label":' || label || ',"n_patients":' || count(*) || '}' AS value FROM embeddings GROUP BY label""")
 def summary_json(spark, sf_dir):
     """One JSON line per group."""
     groups = read(spark, sf_dir, "embeddings", "label").groupBy("label").agg(F.count("*").alias("n_patients"))
     return profiles.summary_document(groups, ["label", "n_patients"])
 
 
+@query(
+    """WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), s AS (SELECT sum(n) AS total, count(*) AS k FROM g),
+    d AS (SELECT string_agg('"' || label || '":{"cluster_id":' || label || ',"phenotype_name":"Phenotype_' || label || '","n_patients":' || n || ',"percentage":' || CAST(100 * n / CAST(total AS DOUBLE) AS VARCHAR) || '}', ',' ORDER BY CAST(label AS VARCHAR)) AS t FROM g, s)
+    SELECT '{"analysis_info":{"total_patients":' || total || ',"total_features_selected":64,"n_phenotypes":' || k || ',"analysis_timestamp":"2024-01-01T00:00:00"},"phenotype_distribution":{' || t || '},"feature_categories":{"HRV":3,"PPG":5},"model_performance":{"precision":[0.5,1.0],"recall":[1.0,0.5],"f1_score":[0.75,0.75],"accuracy":0.625}}' AS value FROM s, d"""
+)
+def analysis_summary(spark, sf_dir):
+    """The document of an analysis: sizes, groups, feature categories and the model's quality."""
+    groups = read(spark, sf_dir, "embeddings", "label").groupBy("label").agg(F.count("*").alias("n")).withColumn("name", F.concat(F.lit("Phenotype_"), F.col("label")))
+    categories = spark.createDataFrame([("PPG", 5), ("HRV", 3)], "category string, n long")
+    performance = spark.createDataFrame([(0, 4, 4, 0.5, 1.0, 0.75), (1, 4, 1, 1.0, 0.5, 0.75)], "cls int, support long, hits long, precision double, recall double, f1 double")
+    return profiles.analysis_summary(groups, "label", "name", categories, performance, 64, at="2024-01-01T00:00:00")
+
+
 @query(
     """WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, 'Cluster ' || label || ' holds ' || n || ' patients (' || format('{:.1f}', 100.0 * n / sum(n) OVER ()) || '% of the cohort).' || chr(10) || 'Most important features: a, b.' || chr(10) || 'Name the phenotype and interpret it in clinical terms.' AS prompt FROM g"""
 )

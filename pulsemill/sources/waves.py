@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.registry import status_of
 
 
-def read_npy(spark: SparkSession, path: str, chunk: int = 300_000) -> DataFrame:
-    """Rows (path, channel, first, samples, status): each ``name.npy`` array in chunks; an unreadable file gives one row with a status."""
+def read_npy(spark: SparkSession, path: str, chunk: int = 300_000, first: int = 0, last: int | None = None) -> DataFrame:
+    """Rows (path, channel, first, samples, status): the samples from ``first`` up to, without, ``last`` of each ``name.npy`` array, in chunks.
+
+    An unreadable file gives one row with a status.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
 
     def run(batches):
@@ -21,8 +24,8 @@ def read_npy(spark: SparkSession, path: str, chunk: int = 300_000) -> DataFrame:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 channel = name.rsplit("/", 1)[-1].removesuffix(".npy")
                 try:
-                    x = np.load(io.BytesIO(content), allow_pickle=False).astype(float).ravel()
-                    parts, status = [(i, x[i : i + chunk].tolist()) for i in range(0, len(x), chunk)] or [(0, [])], "perfect"
+                    x = np.load(io.BytesIO(content), allow_pickle=False).ravel()[:last]
+                    parts, status = [(i, x[i : i + chunk].astype(float).tolist()) for i in range(first, len(x), chunk)] or [(first, [])], "perfect"
                 except Exception as error:  # noqa: BLE001  the class becomes the row's status
                     parts, status = [(0, [])], status_of(error)
                 yield pa.RecordBatch.from_arrays(
@@ -33,8 +36,23 @@ def read_npy(spark: SparkSession, path: str, chunk: int = 300_000) -> DataFrame:
     return files.mapInArrow(run, "path string, channel string, first long, samples array<double>, status string")
 
 
+def wfdb_samples(kind: str, data: bytes) -> np.ndarray:
+    """The raw values of one data file in format 16 or 212."""
+    if kind == "16":
+        return np.frombuffer(data[: len(data) // 2 * 2], "<i2")
+    if kind == "212":
+        b = np.frombuffer(data[: len(data) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
+        raw = np.stack([b[:, 0] | (b[:, 1] & 0x0F) << 8, b[:, 2] | (b[:, 1] >> 4) << 8], 1).reshape(-1)
+        return np.where(raw > 2047, raw - 4096, raw)
+    raise ValueError(f"format {kind} can't be read")
+
+
 def decode_wfdb(header: str, data: bytes) -> dict[str, tuple[float, np.ndarray]]:
-    """Channels of a record in format 16 or 212: name to (sampling rate, physical values)."""
+    """Channels of a record in format 16 or 212: name to (sampling rate, physical values).
+
+    Signals of one data file share its format; a header that gives them several is
+    an error (ValueError).
+    """
     lines = [x for x in header.splitlines() if x and not x.startswith("#")]
     first = lines[0].split()
     n, fs = int(first[1]), float(first[2].split("/")[0].split("(")[0])
@@ -43,36 +61,39 @@ def decode_wfdb(header: str, data: bytes) -> dict[str, tuple[float, np.ndarray]]
         p = line.split()
         gain = p[2].split("/")[0]
         base = int(gain.split("(")[1].rstrip(")")) if "(" in gain else int(p[4]) if len(p) > 4 else 0
-        specs.append((p[1].split("x")[0], float(gain.split("(")[0]) or 200.0, base, " ".join(p[8:]) if len(p) > 8 else f"ch{len(specs)}"))
-    if specs[0][0] == "16":
-        raw = np.frombuffer(data, "<i2")
-    elif specs[0][0] == "212":
-        b = np.frombuffer(data[: len(data) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
-        raw = np.stack([b[:, 0] | (b[:, 1] & 0x0F) << 8, b[:, 2] | (b[:, 1] >> 4) << 8], 1).reshape(-1)
-        raw = np.where(raw > 2047, raw - 4096, raw)
-    else:
-        raise ValueError(f"format {specs[0][0]} can't be read")
+        specs.append((p[1].split("x")[0].split(":")[0].split("+")[0], float(gain.split("(")[0]) or 200.0, base, " ".join(p[8:]) if len(p) > 8 else f"ch{len(specs)}"))
+    if len({s[0] for s in specs}) != 1:
+        raise ValueError("signals of one file in several formats")
+    raw = wfdb_samples(specs[0][0], data)
     raw = raw[: len(raw) // n * n].reshape(-1, n)
     return {name.rstrip(","): (fs, (raw[:, i] - base) / gain) for i, (_, gain, base, name) in enumerate(specs)}
 
 
 def read_wfdb(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (record, channel, fs, samples) of the records in a folder: headers joined with their data files."""
+    """Rows (record, channel, fs, samples, status) of the records in a folder: headers with their data files.
+
+    A record without a data file or that can't be read gives one row with a status.
+    """
     files = spark.read.format("binaryFile").load(path)
     stem = F.regexp_extract("path", r"([^/]+)\.(?:hea|dat)$", 1)
     of = lambda kind: files.where(F.col("path").endswith(f".{kind}")).select(stem.alias("record"), F.col("content").alias(kind))
-    joined = of("hea").join(of("dat"), "record")
+    joined = of("hea").join(of("dat"), "record", "left")
 
     def run(batches):
         for batch in batches:
             for record, hea, dat in zip(*(batch.column(c).to_pylist() for c in ("record", "hea", "dat")), strict=True):
-                found = decode_wfdb(hea.decode("latin-1"), dat)
+                try:
+                    if dat is None:
+                        raise FileNotFoundError(record)
+                    found = [(name, fs, x.tolist(), "perfect") for name, (fs, x) in decode_wfdb(hea.decode("latin-1"), dat).items()]
+                except Exception as error:  # noqa: BLE001  the class becomes the row's status
+                    found = [(None, None, None, status_of(error))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([record] * len(found)), pa.array(list(found)), pa.array([v[0] for v in found.values()]), pa.array([v[1].tolist() for v in found.values()], pa.list_(pa.float64()))],
-                    ["record", "channel", "fs", "samples"],
+                    [pa.array([record] * len(found)), pa.array([v[0] for v in found], pa.string()), pa.array([v[1] for v in found], pa.float64()), pa.array([v[2] for v in found], pa.list_(pa.float64())), pa.array([v[3] for v in found])],
+                    ["record", "channel", "fs", "samples", "status"],
                 )
 
-    return joined.mapInArrow(run, "record string, channel string, fs double, samples array<double>")
+    return joined.mapInArrow(run, "record string, channel string, fs double, samples array<double>, status string")
 
 
 def first_minutes(df: DataFrame, samples: str, fs: str, minutes: float) -> DataFrame:

@@ -31,6 +31,11 @@ def test_state_sequence_of_the_worked_example(spark):
     assert rows(sequences.transitions(one, ["fin"], "segment", "state", same=False).select("from_state", "to_state", "share"), "from_state") == [(1, 3, 0.5), (3, 1, 0.5)]
     assert rows(sequences.transitions(one, ["fin"], "segment", "state", same=True).select("from_state", "share"), "from_state") == [(1, 1.0)]
     assert rows(sequences.dwell(one, ["fin"], "segment", "state").select("state", "dwell"), "state") == [(1, 0.5), (3, 0.25)]
+    # the whole first row of the worked example, with the states and changes that don't occur
+    assert rows(sequences.frequency(one, ["fin"], "state", range(4)).select("state", "freq"), "state") == [(0, 0), (1, 0.5), (2, 0), (3, 0.5)]
+    assert sequences.transitions(one, ["fin"], "segment", "state", False, range(4)).where("share = 0").count() == 10
+    assert rows(sequences.transitions(one, ["fin"], "segment", "state", True, range(4)).select("from_state", "share"), "from_state") == [(0, 0), (1, 1.0), (2, 0), (3, 0)]
+    assert rows(sequences.dwell(one, ["fin"], "segment", "state", range(4)).select("state", "dwell"), "state") == [(0, 0), (1, 0.5), (2, 0), (3, 0.25)]
     assert sequences.entropy(one, ["fin"], "state").first().entropy == pytest.approx(np.log(2))
     assert rows(sequences.first_lag(one, ["fin"], "segment", "state", [0, 1, 2, 3]).select("state", "first_lag"), "state") == [(0, 1.0), (1, 0.25), (2, 1.0), (3, 0.0)]
 
@@ -80,7 +85,7 @@ def test_text_helpers(spark):
     assert df.select(profiles.wrap("t", 9)).first()[0] == "one two\nthree\nfour"
     text = spark.createDataFrame([("Name:\nabc def\nOther:\nx",), ("nothing",)], "t string")
     assert [r[0] for r in text.select(profiles.section("t", "Name")).collect()] == ["abc def", ""]
-    assert [r[0] for r in spark.createDataFrame([('**Phenotype Name: "Hot Group"**',), ("x",)], "t string").select(profiles.phenotype_name("t")).collect()] == ["Hot Group", "Unnamed"]
+    assert [r[0] for r in spark.createDataFrame([('**Phenotype Name: "Hot Group"**',), ("x",)], "t string").select(profiles.phenotype_name("t")).collect()] == ["Hot Group", "Unnamed Phenotype"]
 
 
 def test_filters_keep_what_they_should():

@@ -21,6 +21,10 @@ def test_wfdb(spark, tmp_path):
     (tmp_path / "r1.dat").write_bytes(values.astype("<i2").tobytes())
     out = {r.channel: r for r in waves.read_wfdb(spark, str(tmp_path)).collect()}
     assert out["II"].samples == [1.0, 2.0, -3.0] and out["ABP"].samples == [-0.5, 0.7, 204.7] and out["II"].fs == 125
+    (tmp_path / "r2.hea").write_text("r2 1 125 3\nr2.dat 80 10/mV 8 0 0 0 0 II,\n")
+    (tmp_path / "r2.dat").write_bytes(b"abc")
+    (tmp_path / "r3.hea").write_text("r3 1 125 3\nr3.dat 16 10/mV 16 0 0 0 0 II,\n")
+    assert {(r.record, r.status) for r in waves.read_wfdb(spark, str(tmp_path)).collect()} == {("r1", "perfect"), ("r2", "value_err"), ("r3", "fileOrHeader_missing")}
     a, b = 5, -7  # two 12-bit values in three bytes
     packed = bytes([a & 255, (a >> 8 & 15) | ((b & 0xFFF) >> 8) << 4, b & 255])
     assert waves.decode_wfdb("x 1 100 2\nx.dat 212 1 12 0\n", packed)["ch0"][1].tolist() == [5.0, -7.0]
