@@ -70,6 +70,7 @@ def pulse_features(rows: DataFrame, key: str, fs: float) -> DataFrame:
         "T_dn_dp_ms": (F.col("D") - F.col("N")) * ms,
         "Augmentation_index": F.when(F.col("c") > F.col("S"), safe_div(at("c") - x0, up)),
         "A_dn": at("N") - x0,
+        "DN_exists": F.col("N").isNotNull().cast("double"),
         "A_sp": up,
         "A_off": F.element_at("wave", -1) - x0,
         "A_AC": F.when(good["S"], at("S") - at(F.lit(0))),
@@ -115,14 +116,24 @@ def _moments(rows: DataFrame, size: Column) -> DataFrame:
             "skewness_ppg": safe_div("_m3", F.pow("variance_ppg", F.lit(1.5))),
             "kurtosis_ppg": safe_div("_m4", F.pow("variance_ppg", F.lit(2))) - 3,
             "energy_ppg": F.aggregate("_w", F.lit(0.0), lambda a, v: a + v * v),
+            "entropy_ppg": entropy(F.col("_w"), size),
             "median_ppg": middle,
         }
     )
 
 
+def entropy(wave: Column, size: Column, bins: int = 30) -> Column:
+    """Entropy in bits of the wave's histogram with equal bins; 0 for a flat one."""
+    low, high = F.array_min(wave), F.array_max(wave)
+    place = F.transform(wave, lambda v: F.least(F.lit(bins - 1), F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * bins)))
+    shares = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda x: x == b)) / size)
+    bits = F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    return F.when(high > low, bits).when(high == low, 0.0)
+
+
 def feature_names() -> list[str]:
     """All features, in the order of the table."""
-    names = "Ton_off_ms Tsp_sp_ms PR Delta_A_sp_sp max_upslope Delta_T_sd RI SI Delta_A_dn_dp T_dn_dp_ms Augmentation_index mean_ppg median_ppg variance_ppg std_ppg skewness_ppg kurtosis_ppg energy_ppg"
+    names = "Ton_off_ms Tsp_sp_ms PR Delta_A_sp_sp max_upslope Delta_T_sd RI SI Delta_A_dn_dp T_dn_dp_ms Augmentation_index mean_ppg median_ppg variance_ppg std_ppg skewness_ppg kurtosis_ppg entropy_ppg energy_ppg DN_exists"
     names += " AUC_pulse_nu AUC_sys_nu AUC_dias_nu IPA T_sys_ms T_dias_ms A_dn AUCow_nu AUCwo_nu T_ow_ms T_wo_ms AUCos_nu AUCso_nu T_os_ms T_so_ms T_so_cd_ms A_AC A_sp A_off mean_slope_os mean_slope_so"
     return [*names.split(), *[f"PW_{x}" for x in WIDTHS]]
 

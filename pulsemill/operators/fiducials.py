@@ -127,12 +127,12 @@ def search_windows(rows: DataFrame, keys: Sequence[str], width: int) -> DataFram
 
 def feet(rows: DataFrame, peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows (keys, i, v): the least sample between consecutive peaks, the first of equals."""
-    cut = _cycles(rows, peaks, keys)
+    cut = cycles(rows, peaks, keys)
     low = cut.groupBy(*keys, "cycle").agg(F.min_by(F.struct("i", "v"), F.struct("v", "i")).alias("__x"), F.max("__whole").alias("__whole"))
     return low.where("__whole").select(*keys, "__x.*")
 
 
-def _cycles(rows: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def cycles(rows: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The samples from each mark to the next, with ``cycle`` from 1 on; ``__whole`` where there is a next one."""
     at = marks.select(*keys, F.col("i").alias("i"), F.lit(1).alias("__m"))
     marked = rows.join(at, [*keys, "i"], "left").withColumn("cycle", F.sum(F.coalesce("__m", F.lit(0))).over(reach_back(keys, ["i"])))
@@ -152,7 +152,7 @@ def pulse_landmarks(rows: DataFrame, onsets: DataFrame, keys: Sequence[str], w_s
     """
     t = over(keys, ["i"])
     middle = lambda c: (F.lead(c).over(t) - F.lag(c).over(t)) / 2
-    x = _cycles(rows, onsets, keys)
+    x = cycles(rows, onsets, keys)
     x = x.withColumn("vpg", middle("v"))
     x = x.withColumn("apg", middle("vpg"))
     x = x.withColumns(

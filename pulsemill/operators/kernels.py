@@ -505,6 +505,21 @@ def beat_components(beats: np.ndarray, k: int = 3) -> np.ndarray:
     return (s**2 / max(len(beats) - 1, 1))[:k]
 
 
+@register
+def beat_shape(beats: Sequence[np.ndarray], n: int = 1000) -> list[float | None]:
+    """Centre frequency of the first component of beats stretched to n places (a second), and their three largest eigenvalues."""
+    stretched = np.stack([cubic_resample(b, n) for b in beats if len(b) > 3], 1) if any(len(b) > 3 for b in beats) else np.empty((n, 0))
+    if stretched.shape[1] < 2:
+        return [None] * 4
+    centred = stretched - stretched.mean(axis=0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    first = u[:, 0] * s[0]
+    first = first - first.mean()
+    most = np.abs(first).max()
+    values = [float(x) for x in (s[:3] ** 2 / (n - 1))]
+    return [spectral_centroid(first / most, n) if most else 0.0, *values, *[None] * (3 - len(values))]
+
+
 # ---- DataFrame forms -------------------------------------------------------------------
 
 

@@ -5,22 +5,25 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import STATISTICS
-from . import beats, fiducials, hrv, stats
+from . import beats, fiducials, hrv, kernels, stats
 
 KEY = ["key"]
 ECG = "P_duration QRS_duration T_duration atrialSys_phase ventSys_phase pr_interval_ms pr_segment_ms st_interval_ms st_segment_ms qt_interval_ms qtc_interval_ms T_rr_ms HR_bpm".split()
 ARRIVAL = ["pat_ms", "dpat_ms"]
+CENTRE = ["center_freq_ppg_Hz"]
 BREATH = ["resp_width_PPresp_s", "resp_rate_Bpm", "insp_time", "exp_time", "insp_exp_ratio"]
 PRESSURE = ["SBP", "DBP", "HR_ABP", "MAP", "PP_ABP", "CO", "TPR", "ShockIndex"]
 
 
 def names() -> list[str]:
     """All features that are series of values in a segment."""
-    return [*ECG, *ARRIVAL, *beats.feature_names(), *BREATH, *PRESSURE]
+    return [*ECG, *ARRIVAL, *beats.feature_names(), *CENTRE, *BREATH, *PRESSURE]
 
 
 def _long(df: DataFrame, place: str, columns: Sequence[str]) -> DataFrame:
@@ -37,8 +40,29 @@ def pressures(abp: DataFrame, fs: float, height: float = 50.0) -> DataFrame:
     return hrv.haemodynamics(s.join(d, ["key", "k"]).drop("k"), "SBP", "DBP", "HR_ABP")
 
 
+def beat_shapes(rows: DataFrame, peaks: DataFrame, fs: float, prefix: str) -> DataFrame:
+    """One row per key: the three largest eigenvalues of its beats, each stretched to a second of 1 kHz, and the centre frequency of their first component.
+
+    A beat reaches from 0.25 s before its peak to 0.25 s before the next one; the
+    first and the last are left out.  A key is one bounded segment.
+    """
+    begin = peaks.select("key", (F.col("i") - max(1, round(0.25 * fs))).alias("i")).where("i >= 0")
+    cut = fiducials.cycles(rows, begin, KEY).where("__whole")
+    waves = cut.groupBy("key", "cycle").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("w")).select("key", "cycle", F.col("w.v").alias("w"))
+    waves = waves.withColumn("__first", F.min("cycle").over(fiducials.over(KEY))).where("cycle > __first").drop("__first")
+    held = waves.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cycle", "w"))).alias("b")).select("key", F.col("b.w").alias("beats"))
+    names = [f"{prefix}BeatCenterFreq", *(f"{prefix}Interbeat_eigval{k}" for k in (1, 2, 3))]
+
+    def run(batches):
+        for batch in batches:
+            found = [kernels.beat_shape([np.asarray(w, float) for w in beats]) for beats in batch.column("beats").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array([f[k] for f in found], pa.float64()) for k in range(4))], ["key", *names])
+
+    return held.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+
+
 def features(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fs: float, channels: Mapping[str, str], channel: str = "channel", value: str = "value", height: float = 50.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Long features (key, feature, i, value), beat intervals (key, i, nn in ms) of the chosen source, and the pulse class of each key.
+    """Long features (key, feature, i, value), beat intervals (key, i, nn in ms) of the chosen source, and the pulse class and beat shapes of each key.
 
     ``channels`` names the channel of II, Pleth, Resp and ABP.  A channel that is
     absent or mostly flat gives no rows, and the others go on.
@@ -50,7 +74,9 @@ def features(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fs:
     r, p = fiducials.r_peaks(ecg, KEY, fs).persist(), fiducials.pulse_peaks(ppg, KEY, fs).persist()
     onsets = fiducials.feet(ppg, p, KEY).persist()
     marks = fiducials.pulse_landmarks(ppg, onsets, KEY).persist()
-    pulse = beats.pulse_features(fiducials.pulse_rows(marks, ppg, KEY), "key", fs)
+    waves = fiducials.pulse_rows(marks, ppg, KEY)
+    pulse = beats.pulse_features(waves, "key", fs)
+    centre = kernels.per_series(waves, "key", "wave", {CENTRE[0]: lambda w: kernels.spectral_centroid(w - w.min(), fs)}, keep=["cycle"])
     rr, pp = fiducials.intervals_ms(r, KEY, fs, "nn"), fiducials.intervals_ms(p, KEY, fs, "nn")
     cardiac = pp.groupBy("key").agg(F.percentile("nn", 0.5).alias("interval_ms"))
     belt = fiducials.spaced_peaks(resp, KEY, max(1, round(2 * fs)))
@@ -60,6 +86,7 @@ def features(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fs:
         _long(fiducials.ecg_intervals(fiducials.ecg_landmarks(ecg, r, KEY, fs), KEY, fs), "i", ECG),
         _long(fiducials.arrival_times(r, onsets, KEY, fs, cardiac), "i", ARRIVAL),
         _long(pulse, "cycle", beats.feature_names()),
+        _long(centre, "cycle", CENTRE),
         _long(widths, "i", BREATH[:2]),
         _long(cycles, "peak_t", BREATH[2:]),
         _long(pressures(abp, fs, height), "i", PRESSURE),
@@ -67,7 +94,8 @@ def features(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fs:
     source = hrv.choose_source(rr, pp, KEY).select("key", "source")
     nn = rr.withColumn("__s", F.lit("first")).unionByName(pp.withColumn("__s", F.lit("second")))
     nn = nn.join(source.withColumnRenamed("source", "__s"), ["key", "__s"]).drop("__s")
-    return reduce(DataFrame.unionByName, parts), nn, fiducials.pulse_class(marks, ppg, KEY)
+    single = fiducials.pulse_class(marks, ppg, KEY).join(beat_shapes(ecg, r, fs, "ecg"), "key", "full").join(beat_shapes(ppg, p, fs, "ppg"), "key", "full")
+    return reduce(DataFrame.unionByName, parts), nn, single
 
 
 def variability(nn: DataFrame) -> DataFrame:
@@ -82,11 +110,11 @@ def variability(nn: DataFrame) -> DataFrame:
 
 def segment_rows(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fs: float, channels: Mapping[str, str], statistics: Sequence[str] = STATISTICS, chosen: Sequence[str] | None = None, height: float = 50.0) -> DataFrame:
     """One row per segment: each statistic of each feature, the variability indices, the pulse class and a status."""
-    long_, nn, kind = features(samples, keys, order, fs, channels, height=height)
+    long_, nn, single = features(samples, keys, order, fs, channels, height=height)
     chosen = list(chosen or names())
     summed = stats.series_stats(long_.where(F.col("feature").isin(chosen)), ["key", "feature"], ["i"], statistics=statistics)
     wide = stats.wide_stats(summed, KEY, "feature", chosen, statistics)
     every = samples.select(F.struct(*keys).alias("key")).distinct()
-    out = every.join(wide.withColumn("__some", F.lit(True)), "key", "left").join(variability(nn), "key", "left").join(kind, "key", "left")
+    out = every.join(wide.withColumn("__some", F.lit(True)), "key", "left").join(variability(nn), "key", "left").join(single, "key", "left")
     status = F.when(F.col("__some"), "perfect").otherwise("no_signals")
     return out.withColumn("status", status).select("key.*", *[c for c in out.columns if c not in ("key", "__some")], "status")

@@ -73,7 +73,7 @@ def category(name: str | Column, keywords: Mapping[str, Sequence[str]], default:
 
 def lookup_context(names: DataFrame, name: str, contexts: DataFrame) -> DataFrame:
     """The context of the first key (by position) contained in the name; ``contexts`` is a small fixed table (position, key, context)."""
-    joined = names.join(F.broadcast(contexts), F.lower(F.col(name)).contains(F.lower(F.col("key"))), "left")
+    joined = names.join(contexts, F.lower(F.col(name)).contains(F.lower(F.col("key"))), "left")
     return joined.groupBy(*names.columns).agg(F.min_by("context", "position").alias("context"))
 
 

@@ -109,6 +109,11 @@ def template_scores(beats: DataFrame, row_id: str, group: str, values: str) -> D
     return long_.join(template, [group, "__i"]).groupBy(row_id, group).agg(F.corr("__v", "__m").alias("score"))
 
 
+def beat_quality(scores: DataFrame, group: str, score: str = "score", low: float = 0.8) -> DataFrame:
+    """Mean correlation of each group's beats with their template, and the share of beats below ``low``."""
+    return scores.groupBy(group).agg(F.count(score).alias("beats"), F.avg(score).alias("mean_corr"), F.avg((F.col(score) < low).cast("int")).alias("low_share"))
+
+
 def keep_beats(df: DataFrame, keys: Sequence[str], order: Sequence[str], t: str, score: str, unit: float, least_score: float, low: float, high: float) -> DataFrame:
     """Beats whose score exceeds a limit and whose rate is in range; the first beat has the second one's rate."""
     w = over(keys, order)
@@ -129,7 +134,8 @@ def flat_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
 def within_deviations(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0) -> DataFrame:
     """Only the points whose value lies within k population deviations of their key's mean."""
     w = over(keys)
-    return df.where(F.abs(F.col(value) - F.avg(value).over(w)) <= k * F.stddev_pop(value).over(w))
+    near = F.abs(F.col(value) - F.avg(value).over(w)) <= k * F.stddev_pop(value).over(w)
+    return df.withColumn("__near", near).where("__near").drop("__near")
 
 
 def outliers_filled(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, k: float = 3.0) -> DataFrame:

@@ -222,6 +222,17 @@ def template_corr(spark, sf_dir):
     return out.select("vec_id", "label", F.round("score", 4).alias("score"), (F.col("score") > 0.3).alias("good"))
 
 
+@query(
+    """WITH u AS (SELECT vec_id, label, UNNEST(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(v) AS m FROM u GROUP BY label, i),
+    s AS (SELECT u.vec_id, u.label, corr(v, m) AS c FROM u JOIN m ON m.label = u.label AND m.i = u.i GROUP BY u.vec_id, u.label)
+    SELECT label, count(*) AS beats, round(avg(c), 6) AS mean_corr, round(avg(CAST(c < 0.3 AS INT)), 6) AS low_share FROM s GROUP BY label"""
+)
+def beat_quality(spark, sf_dir):
+    """Mean correlation with the mean beat, and the share of poor beats, of each group."""
+    out = signals.beat_quality(signals.template_scores(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"), "label", low=0.3)
+    return out.select("label", "beats", F.round("mean_corr", 6).alias("mean_corr"), F.round("low_share", 6).alias("low_share"))
+
+
 @query(
     f"""WITH {SAMPLES}, b AS (SELECT *, (t - lag(t) OVER (PARTITION BY fin ORDER BY t, sample_id)) / 3.6e9 AS gap FROM samples),
     r AS (SELECT *, 60 / nullif(coalesce(gap, lead(gap) OVER (PARTITION BY fin ORDER BY t, sample_id)), 0) AS rate FROM b)

@@ -56,6 +56,9 @@ def test_segment_row(waves):
     assert one.Ton_off_ms_median == pytest.approx(800, abs=10) and 0 < one.pat_ms_median < 800 and abs(one.dpat_ms_median) < 11
     assert one.resp_rate_Bpm_median == pytest.approx(15, abs=0.5) and one.insp_time_median == pytest.approx(2, abs=0.1)
     assert one.SBP_median == pytest.approx(120, abs=1) and 80 <= one.DBP_median < 90 and one.HR_ABP_median == pytest.approx(75, abs=1)
+    # equal beats have one component
+    assert one.ecgInterbeat_eigval1 > 100 * one.ecgInterbeat_eigval2 and one.ppgInterbeat_eigval1 > 100 * one.ppgInterbeat_eigval2 and one.ecgBeatCenterFreq > one.ppgBeatCenterFreq > 0
+    assert 0 < one.entropy_ppg_median < 5 and one.DN_exists_median in (0, 1) and one.center_freq_ppg_Hz_median > 0
     assert one.HRV_MeanNN == pytest.approx(800) and one.HRV_SDNN == pytest.approx(0, abs=1e-6) and one.ppg_class in ("Class1", "Class2", "Class3", "Unknown")
 
 
