@@ -28,9 +28,11 @@ QUERIES = {
 
 #: The components by reachability, on the whole sets of shingles.
 NEAR_DUPLICATES = r"""
-WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS w FROM documents),
 k AS (SELECT doc_id, UNNEST(w) AS word, generate_subscripts(w, 1) AS i FROM t),
-g AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS h FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word,
+      4) OVER o AS h FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 u AS (SELECT DISTINCT doc_id, h FROM g WHERE h IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM t WHERE len(w) BETWEEN 1 AND 4),
 n AS (SELECT t.doc_id, count(h) AS n_shingles FROM t LEFT JOIN u ON u.doc_id = t.doc_id GROUP BY t.doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -44,13 +46,17 @@ SELECT n.doc_id, n.n_shingles, min(r.root) AS component_id, min(r.root) = n.doc_
 REPEATS = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
 f AS (SELECT doc_id, n, p, hash(substr(x, 2 * p + 1, 100)) AS h FROM (SELECT doc_id, x, n, UNNEST(range(0, n - 49)) AS p FROM d WHERE n >= 400)),
-w AS (SELECT doc_id, p, h FROM (SELECT doc_id, n, p, hash(h, lead(h, 50) OVER o, lead(h, 100) OVER o, lead(h, 150) OVER o, lead(h, 200) OVER o, lead(h, 250) OVER o, lead(h, 300) OVER o, lead(h, 350) OVER o) AS h FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE p <= n - 400),
+w AS (SELECT doc_id, p, h FROM (SELECT doc_id, n, p, hash(h, lead(h, 50) OVER o, lead(h, 100) OVER o, lead(h, 150) OVER o, lead(h, 200) OVER o,
+      lead(h, 250) OVER o, lead(h, 300) OVER o, lead(h, 350) OVER o) AS h FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE p <= n - 400),
 m AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
 s AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM m),
 i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM s),
 z AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY doc_id, g),
-q AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM z UNION ALL SELECT d.doc_id, coalesce(max(z.b), 0), max(d.n) FROM d LEFT JOIN z ON z.doc_id = d.doc_id GROUP BY d.doc_id),
-k AS (SELECT q.doc_id, string_agg(substr(d.x, 2 * q.s + 1, 2 * (q.e - q.s)), '' ORDER BY q.s) AS kept, max(d.n) AS n, CAST(max(d.n) - sum(q.e - q.s) AS BIGINT) AS gone, count(*) - 1 AS spans FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
+q AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM z UNION ALL
+      SELECT d.doc_id, coalesce(max(z.b), 0), max(d.n) FROM d LEFT JOIN z ON z.doc_id = d.doc_id GROUP BY d.doc_id),
+k AS (SELECT q.doc_id, string_agg(substr(d.x, 2 * q.s + 1, 2 * (q.e - q.s)), ''
+      ORDER BY q.s) AS kept, max(d.n) AS n, CAST(max(d.n) - sum(q.e - q.s) AS BIGINT) AS gone, count(*) - 1 AS spans FROM q JOIN d ON d.doc_id = q.doc_id
+      GROUP BY q.doc_id)
 SELECT doc_id, n AS n_bytes, gone AS n_removed, spans AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
 """
 
