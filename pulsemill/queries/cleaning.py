@@ -24,7 +24,8 @@ def holes(spark, sf_dir):
 
 @query(
     f"""WITH {SAMPLES}, h AS (SELECT fin, channel, t, sample_id, CASE WHEN sample_id % 3 <> 0 THEN value END AS v FROM samples)
-    SELECT sample_id, fin, channel, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY fin, channel ORDER BY t, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    SELECT sample_id, fin, channel, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY fin, channel
+      ORDER BY t, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
       first_value(v IGNORE NULLS) OVER (PARTITION BY fin, channel ORDER BY t, sample_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM h"""
 )
 def ffill_bfill(spark, sf_dir):
@@ -142,8 +143,10 @@ def variance_filter(spark, sf_dir):
 
 @query(
     """WITH p AS (SELECT quality AS y, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END AS x FROM labels), c AS (SELECT y AS cls FROM p UNION SELECT x FROM p)
-    SELECT cls, CAST(sum(CAST(y = cls AS INT)) AS BIGINT) AS support, CAST(sum(CAST(x = cls AND y = cls AS INT)) AS BIGINT) AS hits, CAST(sum(CAST(x = cls AS INT)) AS BIGINT) AS predicted,
-    round(sum(CAST(x = cls AND y = cls AS INT)) / CAST(sum(CAST(x = cls AS INT)) AS DOUBLE), 6) AS precision, round(sum(CAST(x = cls AND y = cls AS INT)) / CAST(sum(CAST(y = cls AS INT)) AS DOUBLE), 6) AS recall,
+    SELECT cls, CAST(sum(CAST(y = cls AS INT)) AS BIGINT) AS support, CAST(sum(CAST(x = cls AND y = cls AS INT)) AS BIGINT) AS hits,
+      CAST(sum(CAST(x = cls AS INT)) AS BIGINT) AS predicted,
+    round(sum(CAST(x = cls AND y = cls AS INT)) / CAST(sum(CAST(x = cls AS INT)) AS DOUBLE), 6) AS precision,
+      round(sum(CAST(x = cls AND y = cls AS INT)) / CAST(sum(CAST(y = cls AS INT)) AS DOUBLE), 6) AS recall,
     round(2 * sum(CAST(x = cls AND y = cls AS INT)) / CAST(sum(CAST(x = cls AS INT)) + sum(CAST(y = cls AS INT)) AS DOUBLE), 6) AS f1 FROM p, c GROUP BY cls"""
 )
 def confusion_prf(spark, sf_dir):

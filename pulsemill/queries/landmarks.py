@@ -86,8 +86,10 @@ def extrema_windows(spark, sf_dir):
 def energy_sql(name: str, source: str, energy: str, short: int, long: int, factor: float, offset: float, least: str, apart: int) -> str:
     mean = lambda w: f"avg(e) OVER (PARTITION BY fin ORDER BY i ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)"
     return f"""{name}e AS (SELECT fin, i, v, {energy} AS e FROM {source}), {name}m AS (SELECT *, {mean(short)} > {factor} * {mean(long)} + {offset} * avg(e) OVER (PARTITION BY fin) AS q FROM {name}e),
-    {name}n AS (SELECT *, CASE WHEN q = lag(q) OVER (PARTITION BY fin ORDER BY i) THEN 0 ELSE 1 END AS new FROM {name}m), {name}i AS (SELECT *, sum(new) OVER (PARTITION BY fin ORDER BY i) AS g FROM {name}n),
-    {name}s AS (SELECT fin, g, count(*) AS n, max({{'v': v, 'i': -i}}) AS p FROM {name}i WHERE q GROUP BY fin, g), {name}t AS (SELECT *, avg(n) OVER (PARTITION BY fin) AS m FROM {name}s),
+    {name}n AS (SELECT *, CASE WHEN q = lag(q) OVER (PARTITION BY fin ORDER BY i) THEN 0 ELSE 1 END AS new
+      FROM {name}m), {name}i AS (SELECT *, sum(new) OVER (PARTITION BY fin ORDER BY i) AS g FROM {name}n),
+    {name}s AS (SELECT fin, g, count(*) AS n, max({{'v': v, 'i': -i}}) AS p FROM {name}i WHERE q
+      GROUP BY fin, g), {name}t AS (SELECT *, avg(n) OVER (PARTITION BY fin) AS m FROM {name}s),
     {name}d AS (SELECT fin, -p.i AS i, p.v AS v, -p.i - lag(-p.i) OVER (PARTITION BY fin ORDER BY -p.i) AS gap FROM {name}t WHERE {least}), {name} AS (SELECT fin, i, v FROM {name}d WHERE gap IS NULL OR gap > {apart})"""
 
 
@@ -119,8 +121,10 @@ def spaced_peaks(spark, sf_dir):
 
 @query(
     f"""WITH {SAMPLES}, x AS (SELECT fin, row_number() OVER (PARTITION BY fin ORDER BY t, sample_id) - 1 AS i, floor(value / 100) AS v FROM samples), z AS (SELECT *, coalesce(v = lag(v) OVER (PARTITION BY fin ORDER BY i), FALSE) AS z FROM x),
-    n AS (SELECT *, CASE WHEN z = lag(z) OVER (PARTITION BY fin ORDER BY i) THEN 0 ELSE 1 END AS new FROM z), g AS (SELECT *, sum(new) OVER (PARTITION BY fin ORDER BY i) AS g FROM n),
-    l AS (SELECT *, z AND count(*) OVER (PARTITION BY fin, g) >= 3 AS l FROM g), f AS (SELECT *, l OR coalesce(lead(l) OVER (PARTITION BY fin ORDER BY i), FALSE) AS flat FROM l),
+    n AS (SELECT *, CASE WHEN z = lag(z) OVER (PARTITION BY fin ORDER BY i) THEN 0 ELSE 1 END AS new FROM z),
+      g AS (SELECT *, sum(new) OVER (PARTITION BY fin ORDER BY i) AS g FROM n),
+    l AS (SELECT *, z AND count(*) OVER (PARTITION BY fin, g) >= 3 AS l FROM g),
+      f AS (SELECT *, l OR coalesce(lead(l) OVER (PARTITION BY fin ORDER BY i), FALSE) AS flat FROM l),
     s AS (SELECT *, avg(CAST(flat AS INT)) OVER (PARTITION BY fin) AS share, quantile_cont(v, 0.5) OVER (PARTITION BY fin) AS med FROM f) SELECT fin, i, CASE WHEN flat THEN med ELSE v END AS v FROM s WHERE share < 0.5"""
 )
 def flat_gate(spark, sf_dir):
@@ -130,16 +134,24 @@ def flat_gate(spark, sf_dir):
 
 
 MARKED = f"""{CENTRED}, {P_SQL}, pc AS (SELECT c.fin, c.i, c.v, sum(CASE WHEN p.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY c.fin ORDER BY c.i) AS k FROM c LEFT JOIN p ON p.fin = c.fin AND p.i = c.i),
-pk AS (SELECT *, k < max(k) OVER (PARTITION BY fin) AS whole FROM pc WHERE k > 0), o AS (SELECT fin, (min({{'v': v, 'i': i}})).i AS i FROM pk WHERE whole GROUP BY fin, k),
-oc AS (SELECT c.fin, c.i, c.v, sum(CASE WHEN o.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY c.fin ORDER BY c.i) AS k FROM c LEFT JOIN o ON o.fin = c.fin AND o.i = c.i),
+pk AS (SELECT *, k < max(k) OVER (PARTITION BY fin) AS whole FROM pc WHERE k > 0),
+      o AS (SELECT fin, (min({{'v': v, 'i': i}})).i AS i FROM pk WHERE whole GROUP BY fin, k),
+oc AS (SELECT c.fin, c.i, c.v, sum(CASE WHEN o.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY c.fin ORDER BY c.i) AS k FROM c LEFT
+      JOIN o ON o.fin = c.fin AND o.i = c.i),
 d1 AS (SELECT *, k < max(k) OVER (PARTITION BY fin) AS whole, (lead(v) OVER w - lag(v) OVER w) / 2 AS vpg FROM oc WHERE k > 0 WINDOW w AS (PARTITION BY fin ORDER BY i)),
 d2 AS (SELECT *, (lead(vpg) OVER w - lag(vpg) OVER w) / 2 AS apg FROM d1 WINDOW w AS (PARTITION BY fin ORDER BY i)),
-d3 AS (SELECT *, apg > lag(apg) OVER w AND apg >= lead(apg) OVER w AS turn, apg < lag(apg) OVER w AND apg <= lead(apg) OVER w AS pit, vpg > 0 AND lead(vpg) OVER w <= 0 AS fall, max(vpg) OVER q AS up, min(vpg) OVER q AS down, max(apg) OVER q AS acc FROM d2 WINDOW w AS (PARTITION BY fin ORDER BY i), q AS (PARTITION BY fin)),
-l1 AS (SELECT *, min(i) OVER u AS onset, -(max({{'v': v, 'i': -i}}) OVER u).i AS systolic, max(i) OVER u + 1 AS stop FROM d3 WHERE whole WINDOW u AS (PARTITION BY fin, k)),
-l2 AS (SELECT *, -(max({{'v': vpg, 'i': -i}}) FILTER (WHERE i <= systolic AND vpg >= 0.5 * up) OVER u).i AS vpg_w, -(max({{'v': apg, 'i': -i}}) FILTER (WHERE turn AND i <= systolic AND apg >= 0.45 * acc) OVER u).i AS apg_a,
+d3 AS (SELECT *, apg > lag(apg) OVER w AND apg >= lead(apg) OVER w AS turn, apg < lag(apg) OVER w AND apg <= lead(apg) OVER w AS pit,
+      vpg > 0 AND lead(vpg) OVER w <= 0 AS fall, max(vpg) OVER q AS up, min(vpg) OVER q AS down, max(apg) OVER q AS acc FROM d2
+      WINDOW w AS (PARTITION BY fin ORDER BY i), q AS (PARTITION BY fin)),
+l1 AS (SELECT *, min(i) OVER u AS onset, -(max({{'v': v, 'i': -i}}) OVER u).i AS systolic, max(i) OVER u + 1 AS stop FROM d3 WHERE whole
+      WINDOW u AS (PARTITION BY fin, k)),
+l2 AS (SELECT *, -(max({{'v': vpg, 'i': -i}}) FILTER (WHERE i <= systolic AND vpg >= 0.5 * up) OVER u).i AS vpg_w, -(max({{'v': apg, 'i': -i}})
+      FILTER (WHERE turn AND i <= systolic AND apg >= 0.45 * acc) OVER u).i AS apg_a,
   -(max({{'v': apg, 'i': -i}}) FILTER (WHERE turn AND i > systolic) OVER u).i AS apg_e FROM l1 WINDOW u AS (PARTITION BY fin, k)),
-l3 AS (SELECT *, min(i) FILTER (WHERE pit AND i > coalesce(apg_a, onset)) OVER u AS apg_b, min(i) FILTER (WHERE fall AND i >= apg_e) OVER u AS diastolic FROM l2 WINDOW u AS (PARTITION BY fin, k)),
-l4 AS (SELECT *, (min({{'v': vpg, 'i': i}}) FILTER (WHERE i BETWEEN systolic AND apg_e AND vpg <= 0.45 * down) OVER u).i AS vpg_y, -(max({{'v': vpg, 'i': -i}}) FILTER (WHERE i >= apg_e AND vpg IS NOT NULL) OVER u).i AS vpg_z,
+l3 AS (SELECT *, min(i) FILTER (WHERE pit AND i > coalesce(apg_a, onset)) OVER u AS apg_b, min(i)
+      FILTER (WHERE fall AND i >= apg_e) OVER u AS diastolic FROM l2 WINDOW u AS (PARTITION BY fin, k)),
+l4 AS (SELECT *, (min({{'v': vpg, 'i': i}}) FILTER (WHERE i BETWEEN systolic AND apg_e AND vpg <= 0.45 * down) OVER u).i AS vpg_y,
+      -(max({{'v': vpg, 'i': -i}}) FILTER (WHERE i >= apg_e AND vpg IS NOT NULL) OVER u).i AS vpg_z,
   min(i) FILTER (WHERE turn AND i > apg_b AND i < apg_e) OVER u AS apg_c FROM l3 WINDOW u AS (PARTITION BY fin, k)),
 l5 AS (SELECT *, min(i) FILTER (WHERE pit AND i > greatest(apg_b, apg_c) AND i < apg_e) OVER u AS apg_d FROM l4 WINDOW u AS (PARTITION BY fin, k)),
 marks AS (SELECT fin, k AS cycle, max(apg_e) AS notch, {", ".join(f"max({c}) AS {c}" for c in "onset systolic diastolic vpg_w vpg_y vpg_z apg_a apg_b apg_c apg_d apg_e stop".split())} FROM l5 GROUP BY fin, k)"""
@@ -170,7 +182,8 @@ def pulse_class(spark, sf_dir):
 
 @query(
     f"""WITH {MARKED}, {R_SQL}, ci AS (SELECT fin, quantile_cont(d, 0.5) AS ms FROM (SELECT fin, (i - lag(i) OVER (PARTITION BY fin ORDER BY i)) * 100.0 AS d FROM p) WHERE d IS NOT NULL GROUP BY fin),
-    h AS (SELECT r.fin, r.i, min(o.i - r.i) * 100.0 AS pat_ms FROM r JOIN o ON o.fin = r.fin AND o.i > r.i GROUP BY r.fin, r.i), k AS (SELECT h.fin, i, pat_ms FROM h JOIN ci ON ci.fin = h.fin WHERE pat_ms < 0.85 * ms)
+    h AS (SELECT r.fin, r.i, min(o.i - r.i) * 100.0 AS pat_ms FROM r JOIN o ON o.fin = r.fin AND o.i > r.i GROUP BY r.fin, r.i),
+      k AS (SELECT h.fin, i, pat_ms FROM h JOIN ci ON ci.fin = h.fin WHERE pat_ms < 0.85 * ms)
     SELECT fin, i, CAST(pat_ms AS DOUBLE) AS pat_ms, CAST(pat_ms - lag(pat_ms) OVER (PARTITION BY fin ORDER BY i) AS DOUBLE) AS dpat_ms FROM k"""
 )
 def pulse_arrival(spark, sf_dir):
@@ -190,8 +203,10 @@ def breaths_sql(name: str, source: str, least: int) -> str:
 
 @query(
     f"""WITH {CENTRED}, {R_SQL}, {P_SQL}, {breaths_sql("belt", "SELECT fin, i, v FROM x WHERE fin % 3 = 0", 8)}, {breaths_sql("edr", RATE.format("r"), 8)}, {breaths_sql("pdr", RATE.format("p"), 8)},
-    u AS (SELECT fin, i, 0 AS r, 'RESP' AS source FROM belt UNION ALL SELECT fin, i, 1, 'EDR' FROM edr UNION ALL SELECT fin, i, 2, 'PDR' FROM pdr), n AS (SELECT *, count(*) OVER (PARTITION BY fin, r) AS n FROM u),
-    b AS (SELECT *, min(r) OVER (PARTITION BY fin) AS best FROM n WHERE n >= 2), w AS (SELECT fin, i, source, (i - lag(i) OVER (PARTITION BY fin ORDER BY i)) / 10.0 AS w FROM b WHERE r = best)
+    u AS (SELECT fin, i, 0 AS r, 'RESP' AS source FROM belt UNION ALL SELECT fin, i, 1, 'EDR' FROM edr UNION ALL SELECT fin, i, 2, 'PDR' FROM pdr),
+      n AS (SELECT *, count(*) OVER (PARTITION BY fin, r) AS n FROM u),
+    b AS (SELECT *, min(r) OVER (PARTITION BY fin) AS best FROM n WHERE n >= 2),
+      w AS (SELECT fin, i, source, (i - lag(i) OVER (PARTITION BY fin ORDER BY i)) / 10.0 AS w FROM b WHERE r = best)
     SELECT fin, i, source, CAST(w AS DOUBLE) AS "resp_width_PPresp_s", round(60.0 / w, 6) AS "resp_rate_Bpm" FROM w WHERE w IS NOT NULL"""
 )
 def breathing_source(spark, sf_dir):
@@ -215,8 +230,10 @@ def ecg_sql() -> str:
     qt = MS.format("t_off", "r_on")
     gated |= {"qt_interval_ms": (f"CASE WHEN rr IS NOT NULL THEN {qt} END", 900), "qtc_interval_ms": (f"CASE WHEN rr > 0 THEN ({qt}) / cbrt(rr / 25.0) END", 900)}
     return f"""WITH {WAVE}, {R_FAST}, b AS (SELECT fin, i AS r, i - lag(i) OVER w AS rr, lead(i) OVER w AS nx FROM r WINDOW w AS (PARTITION BY fin ORDER BY i)), s AS (SELECT *, r + least(11, coalesce(floor(0.6 * (nx - r)), 11)) AS stop FROM b),
-    j AS (SELECT s.*, x.i, x.v FROM s JOIN x ON x.fin = s.fin AND x.i BETWEEN s.r - 8 AND s.r + 15), w1 AS (SELECT *, {low("r - 2", "r")} AS q, {low("r", "r + 2")} AS s FROM j WINDOW u AS (PARTITION BY fin, r)),
-    w2 AS (SELECT *, {top("q - 1", "q")} AS r_on, {top("s", "s + 2")} AS r_off FROM w1 WINDOW u AS (PARTITION BY fin, r)), w3 AS (SELECT *, {top("r - 6", "r_on - 1")} AS p, {top("r_off + 1", "stop")} AS t FROM w2 WINDOW u AS (PARTITION BY fin, r)),
+    j AS (SELECT s.*, x.i, x.v FROM s JOIN x ON x.fin = s.fin AND x.i BETWEEN s.r - 8 AND s.r + 15),
+      w1 AS (SELECT *, {low("r - 2", "r")} AS q, {low("r", "r + 2")} AS s FROM j WINDOW u AS (PARTITION BY fin, r)),
+    w2 AS (SELECT *, {top("q - 1", "q")} AS r_on, {top("s", "s + 2")} AS r_off FROM w1 WINDOW u AS (PARTITION BY fin, r)),
+      w3 AS (SELECT *, {top("r - 6", "r_on - 1")} AS p, {top("r_off + 1", "stop")} AS t FROM w2 WINDOW u AS (PARTITION BY fin, r)),
     w4 AS (SELECT *, {low("p - 2", "p")} AS p_on, {low("p", "r_on")} AS p_off, {low("r_off", "t")} AS t_on, {low("t", "t + 4")} AS t_off FROM w3 WINDOW u AS (PARTITION BY fin, r)),
     m AS (SELECT fin, r, max(rr) AS rr, {", ".join(f"max({n}) AS {n}" for n in names)} FROM w4 GROUP BY fin, r),
     f AS (SELECT fin, r AS i, p_off - p_on AS "P_duration", r_off - r_on AS "QRS_duration", t_off - t_on AS "T_duration", {MS.format("r", "p")} AS "atrialSys_phase", {MS.format("t_off", "r")} AS "ventSys_phase", {", ".join(f"{e} AS {n}" for n, (e, _) in gated.items())}, rr * 40.0 AS "T_rr_ms", 1500.0 / nullif(rr, 0) AS "HR_bpm" FROM m)

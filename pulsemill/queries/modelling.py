@@ -26,7 +26,8 @@ def silhouette_scores(spark, sf_dir):
 
 @query(
     """WITH u AS (SELECT vec_id, label, UNNEST(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM u GROUP BY label, i), o AS (SELECT i, avg(v) AS m FROM u GROUP BY i),
-    r AS (SELECT u.label, u.vec_id, sum(pow(v - m, 2)) AS d2 FROM u JOIN c ON c.label = u.label AND c.i = u.i GROUP BY u.label, u.vec_id), s AS (SELECT label, count(*) AS n, avg(sqrt(d2)) AS s, sum(d2) AS w FROM r GROUP BY label),
+    r AS (SELECT u.label, u.vec_id, sum(pow(v - m, 2)) AS d2 FROM u JOIN c ON c.label = u.label AND c.i = u.i GROUP BY u.label, u.vec_id),
+      s AS (SELECT label, count(*) AS n, avg(sqrt(d2)) AS s, sum(d2) AS w FROM r GROUP BY label),
     p AS (SELECT a.label AS la, b.label AS lb, sqrt(sum(pow(a.m - b.m, 2))) AS d FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY a.label, b.label),
     db AS (SELECT avg(x) AS v FROM (SELECT la, max((sa.s + sb.s) / d) AS x FROM p JOIN s sa ON sa.label = la JOIN s sb ON sb.label = lb GROUP BY la)),
     bt AS (SELECT sum(n * e) AS v FROM (SELECT c.label, sum(pow(c.m - o.m, 2)) AS e FROM c JOIN o ON o.i = c.i GROUP BY c.label) JOIN s USING (label))

@@ -26,8 +26,11 @@ def rounded(df, digits=6):
 
 @query(
     f"""WITH {NN}, m AS (SELECT fin, quantile_cont(nn, 0.5) AS med FROM nn GROUP BY fin), b AS (SELECT fin, max(n) AS top FROM (SELECT fin, floor(nn / 2) AS b, count(*) AS n FROM nn GROUP BY fin, floor(nn / 2)) GROUP BY fin),
-    a AS (SELECT fin, avg(nn) AS MeanNN, stddev_samp(nn) AS SDNN, sqrt(avg(d * d)) AS RMSSD, stddev_samp(d) AS SDSD, max(med) AS MedianNN, quantile_cont(abs(nn - med), 0.5) AS MadNN, quantile_cont(nn, 0.75) - quantile_cont(nn, 0.25) AS IQRNN,
-      quantile_cont(nn, 0.2) AS Prc20NN, quantile_cont(nn, 0.8) AS Prc80NN, 100 * avg(CASE WHEN d IS NOT NULL THEN CAST(abs(d) > 10 AS INT) END) AS pNN50, 100 * avg(CASE WHEN d IS NOT NULL THEN CAST(abs(d) > 5 AS INT) END) AS pNN20,
+    a AS (SELECT fin, avg(nn) AS MeanNN, stddev_samp(nn) AS SDNN, sqrt(avg(d * d)) AS RMSSD, stddev_samp(d) AS SDSD, max(med) AS MedianNN,
+      quantile_cont(abs(nn - med), 0.5) AS MadNN, quantile_cont(nn, 0.75) - quantile_cont(nn, 0.25) AS IQRNN,
+      quantile_cont(nn, 0.2) AS Prc20NN, quantile_cont(nn, 0.8) AS Prc80NN,
+        100 * avg(CASE WHEN d IS NOT NULL THEN CAST(abs(d) > 10 AS INT) END) AS pNN50,
+        100 * avg(CASE WHEN d IS NOT NULL THEN CAST(abs(d) > 5 AS INT) END) AS pNN20,
       min(nn) AS MinNN, max(nn) AS MaxNN, count(nn) / CAST(max(top) AS DOUBLE) AS HTI FROM nn JOIN m USING (fin) JOIN b USING (fin) GROUP BY fin)
     SELECT fin, {", ".join(f"round({c}, 6) AS {c}" for c in "MeanNN SDNN RMSSD SDSD MedianNN MadNN IQRNN Prc20NN Prc80NN pNN50 pNN20 MinNN MaxNN HTI".split())},
       round(SDNN / MeanNN, 6) AS CVNN, round(RMSSD / MeanNN, 6) AS CVSD, round(MadNN / MedianNN, 6) AS MCVNN, round(SDNN / RMSSD, 6) AS SDRMSSD FROM a"""
@@ -56,7 +59,8 @@ def hrv_poincare(spark, sf_dir):
 
 @query(
     f"""WITH {NN}, p AS (SELECT fin, lag(nn) OVER (PARTITION BY fin ORDER BY t, sample_id) AS x, nn AS y FROM nn), q AS (SELECT fin, y - x AS s, (x - avg(x) OVER (PARTITION BY fin)) + (y - avg(y) OVER (PARTITION BY fin)) AS e FROM p WHERE x IS NOT NULL),
-    z AS (SELECT fin, sum(CASE WHEN s > 0 THEN s * s / 2 ELSE 0 END) AS sd, sum(CASE WHEN s < 0 THEN s * s / 2 ELSE 0 END) AS sa, sum(CASE WHEN s > 0 THEN e * e / 2 WHEN s = 0 THEN e * e / 4 ELSE 0 END) AS ld,
+    z AS (SELECT fin, sum(CASE WHEN s > 0 THEN s * s / 2 ELSE 0 END) AS sd, sum(CASE WHEN s < 0 THEN s * s / 2 ELSE 0 END) AS sa,
+      sum(CASE WHEN s > 0 THEN e * e / 2 WHEN s = 0 THEN e * e / 4 ELSE 0 END) AS ld,
       sum(CASE WHEN s < 0 THEN e * e / 2 WHEN s = 0 THEN e * e / 4 ELSE 0 END) AS la, count(*) - 1 AS n FROM q GROUP BY fin)
     SELECT fin, round(sd / (sd + sa), 6) AS C1d, round(sa / (sd + sa), 6) AS C1a, round(sqrt(sd / n), 6) AS SD1d, round(sqrt(sa / n), 6) AS SD1a, round(ld / (ld + la), 6) AS C2d, round(la / (ld + la), 6) AS C2a, round(sqrt(ld / n), 6) AS SD2d, round(sqrt(la / n), 6) AS SD2a FROM z"""
 )
@@ -67,7 +71,8 @@ def hr_asymmetry(spark, sf_dir):
 
 @query(
     f"""WITH {NN}, r AS (SELECT fin, t, sample_id, sign(d) AS s FROM nn WHERE d IS NOT NULL), l AS (SELECT *, lag(s) OVER (PARTITION BY fin ORDER BY t, sample_id) AS p FROM r),
-    i AS (SELECT *, sum(CASE WHEN p IS NULL OR s <> p THEN 1 ELSE 0 END) OVER (PARTITION BY fin ORDER BY t, sample_id) AS run, sum(CASE WHEN s * p < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY fin ORDER BY t, sample_id) AS chain FROM l),
+    i AS (SELECT *, sum(CASE WHEN p IS NULL OR s <> p THEN 1 ELSE 0 END) OVER (PARTITION BY fin
+      ORDER BY t, sample_id) AS run, sum(CASE WHEN s * p < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY fin ORDER BY t, sample_id) AS chain FROM l),
     n AS (SELECT *, count(*) OVER (PARTITION BY fin, run) AS length, count(*) OVER (PARTITION BY fin, chain) AS chained FROM i)
     SELECT fin, round(avg(CASE WHEN s * p <= 0 THEN 1.0 ELSE 0.0 END), 6) AS PIP, round(max(run) / CAST(count(*) AS DOUBLE), 6) AS IALS, round(avg(CASE WHEN length < 3 THEN 1.0 ELSE 0.0 END), 6) AS PSS, round(avg(CASE WHEN chained >= 4 THEN 1.0 ELSE 0.0 END), 6) AS PAS FROM n GROUP BY fin"""
 )
@@ -100,7 +105,8 @@ def interpolate_sql(source: str, target: str) -> str:
 
 @query(
     f"""WITH {NN}, s0 AS (SELECT fin, sample_id, row_number() OVER (PARTITION BY fin ORDER BY t, sample_id) AS i, CASE WHEN nn BETWEEN 2 AND 40 THEN nn END AS v FROM nn), {interpolate_sql("s0", "s1")},
-    s2 AS (SELECT fin, sample_id, i, CASE WHEN abs(v - lag(v) OVER (PARTITION BY fin ORDER BY i)) > 0.5 * lag(v) OVER (PARTITION BY fin ORDER BY i) THEN NULL ELSE v END AS v FROM s1), {interpolate_sql("s2", "s3")}
+    s2 AS (SELECT fin, sample_id, i, CASE WHEN abs(v - lag(v) OVER (PARTITION BY fin ORDER BY i)) > 0.5 * lag(v) OVER (PARTITION BY fin
+      ORDER BY i) THEN NULL ELSE v END AS v FROM s1), {interpolate_sql("s2", "s3")}
     SELECT fin, sample_id, CAST(ceil(round(v, 9)) AS BIGINT) AS clean FROM s3"""
 )
 def nn_clean_linear(spark, sf_dir):

@@ -148,7 +148,8 @@ def summary_json(spark, sf_dir):
 
 @query(
     """WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), s AS (SELECT sum(n) AS total, count(*) AS k FROM g),
-    d AS (SELECT string_agg('"' || label || '":{"cluster_id":' || label || ',"phenotype_name":"Phenotype_' || label || '","n_patients":' || n || ',"percentage":' || CAST(100 * n / CAST(total AS DOUBLE) AS VARCHAR) || '}', ',' ORDER BY CAST(label AS VARCHAR)) AS t FROM g, s)
+    d AS (SELECT string_agg('"' || label || '":{"cluster_id":' || label || ',"phenotype_name":"Phenotype_' || label || '","n_patients":' || n || ',"percentage":' || CAST(100 * n / CAST(total AS DOUBLE) AS VARCHAR) || '}',
+      ',' ORDER BY CAST(label AS VARCHAR)) AS t FROM g, s)
     SELECT '{"analysis_info":{"total_patients":' || total || ',"total_features_selected":64,"n_phenotypes":' || k || ',"analysis_timestamp":"2024-01-01T00:00:00"},"phenotype_distribution":{' || t || '},"feature_categories":{"HRV":3,"PPG":5},"model_performance":{"precision":[0.5,1.0],"recall":[1.0,0.5],"f1_score":[0.75,0.75],"accuracy":0.625}}' AS value FROM s, d"""
 )
 def analysis_summary(spark, sf_dir):

@@ -34,7 +34,8 @@ def state_freq(spark, sf_dir):
 
 def transition_sql(sign: str) -> str:
     return f"""WITH {STATES}, {GRID}, t AS (SELECT fin, state AS from_state, lead(state) OVER (PARTITION BY fin ORDER BY segment) AS to_state FROM s),
-    f AS (SELECT fin, from_state, to_state, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY fin) AS DOUBLE) AS share FROM t WHERE to_state IS NOT NULL AND from_state {sign} to_state GROUP BY fin, from_state, to_state)
+    f AS (SELECT fin, from_state, to_state, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY fin) AS DOUBLE) AS share FROM t
+      WHERE to_state IS NOT NULL AND from_state {sign} to_state GROUP BY fin, from_state, to_state)
     SELECT a.fin, a.state AS from_state, b.state AS to_state, coalesce(n, 0) AS n, round(coalesce(share, 0), 6) AS share FROM g a JOIN g b ON b.fin = a.fin AND a.state {sign} b.state LEFT JOIN f ON f.fin = a.fin AND f.from_state = a.state AND f.to_state = b.state"""
 
 
@@ -52,7 +53,8 @@ def self_transition(spark, sf_dir):
 
 @query(
     f"""WITH {STATES}, {GRID}, a AS (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY fin ORDER BY segment) THEN 0 ELSE 1 END AS new, count(*) OVER (PARTITION BY fin) AS n FROM s),
-    r AS (SELECT *, sum(new) OVER (PARTITION BY fin ORDER BY segment) AS run FROM a), l AS (SELECT fin, state, run, count(*) AS length, max(n) AS n FROM r GROUP BY fin, state, run),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY fin ORDER BY segment) AS run FROM a),
+      l AS (SELECT fin, state, run, count(*) AS length, max(n) AS n FROM r GROUP BY fin, state, run),
     f AS (SELECT fin, state, max(length) AS longest, max(length) / CAST(max(n) AS DOUBLE) AS dwell FROM l GROUP BY fin, state)
     SELECT g.fin, g.state, coalesce(longest, 0) AS longest, round(coalesce(dwell, 0), 6) AS dwell FROM g LEFT JOIN f ON f.fin = g.fin AND f.state = g.state"""
 )

@@ -91,7 +91,8 @@ def asof_nearest_signed(spark, sf_dir):
 
 @query(
     f"""WITH {SAMPLES}, d AS (SELECT s.fin, s.sample_id, s.t, min(o.t) - s.t AS delay FROM samples s LEFT JOIN samples o ON o.fin = s.fin AND o.channel = 'purchase' AND o.t > s.t WHERE s.channel = 'click' GROUP BY s.fin, s.sample_id, s.t),
-    m AS (SELECT fin, quantile_cont(step, 0.5) AS med FROM (SELECT fin, t - lag(t) OVER (PARTITION BY fin ORDER BY t) AS step FROM samples WHERE channel = 'purchase') GROUP BY fin)
+    m AS (SELECT fin, quantile_cont(step, 0.5) AS med FROM (SELECT fin, t - lag(t) OVER (PARTITION BY fin ORDER BY t) AS step FROM samples
+      WHERE channel = 'purchase') GROUP BY fin)
     SELECT d.fin, d.sample_id, round(delay / 3.6e9, 6) AS delay_hours FROM d JOIN m ON d.fin = m.fin WHERE delay < 0.85 * med"""
 )
 def next_event_within(spark, sf_dir):
@@ -125,7 +126,8 @@ def band_join_cycle_first(spark, sf_dir):
 
 @query(
     f"""WITH {SAMPLES}, f AS (SELECT fin, min(t) AS begin FROM samples WHERE channel = 'view' GROUP BY fin),
-    l AS (SELECT s.fin, s.channel, s.t, row_number() OVER (PARTITION BY s.fin, s.channel ORDER BY s.t, s.sample_id) AS k FROM samples s JOIN f USING (fin) WHERE s.channel = 'view' OR (s.channel = 'click' AND s.t > f.begin))
+    l AS (SELECT s.fin, s.channel, s.t, row_number() OVER (PARTITION BY s.fin, s.channel ORDER BY s.t, s.sample_id) AS k FROM samples s
+      JOIN f USING (fin) WHERE s.channel = 'view' OR (s.channel = 'click' AND s.t > f.begin))
     SELECT a.fin, a.k, round((b.t - a.t) / 3.6e9, 6) AS hours FROM l a JOIN l b ON a.fin = b.fin AND a.k = b.k AND a.channel = 'view' AND b.channel = 'click'"""
 )
 def zip_align_cycles(spark, sf_dir):
