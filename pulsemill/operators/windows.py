@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import over, reach_back
@@ -57,22 +57,28 @@ def align_at_end(df: DataFrame, keys: Sequence[str], channel: str, order: Sequen
     return rows.withColumn("__least", F.min("__n").over(over(keys))).where("__back <= __least").drop("__n", "__back", "__least")
 
 
-def nearest_signed(left: DataFrame, right: DataFrame, key: str, row: Sequence[str], difference: Column, tie: Sequence[str], scores: Sequence[str]) -> DataFrame:
-    """For each left row the right row of its key that is nearest before, else nearest after.
+def nearest_signed(left: DataFrame, right: DataFrame, key: str, row: Sequence[str], at: str, t: str, tie: Sequence[str], scores: Sequence[str]) -> DataFrame:
+    """For each left row, with its time ``at``, the right row of its key whose time ``t`` is nearest before, else nearest at or after.
 
-    ``difference`` is right time less left time: the largest negative one wins,
-    the least of the others where none is negative.  Where all ``scores`` of a key's
-    rows are null, the first row by ``tie`` is taken.
+    ``difference`` is right time less left time; of equal times the first row by
+    ``tie`` counts.  Where all ``scores`` of a key's rows are null, the first row by
+    ``tie`` is taken.  Both sides are put in order together and looked back and
+    ahead from each left row; no row meets all rows of its key.
     """
-    joined = left.join(right, key).withColumn("__d", difference)
+    rest = [c for c in right.columns if c != key]
+    rows = right.select(key, F.col(t).alias("__t"), F.lit(1).alias("__side"), *[F.col(c).alias(f"__{c}") for c in tie], F.struct(*rest).alias("__r"))
+    marks = left.select(key, F.col(at).alias("__t"), F.lit(0).alias("__side"), F.struct(*row, F.col(at).alias("__at")).alias("__l"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    ties = [F.desc(f"__{c}") for c in tie]
+    before = over([key], ["__t", "__side", *ties]).rowsBetween(Window.unboundedPreceding, -1)
+    after = over([key], [F.desc("__t"), F.desc("__side"), *ties]).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumns({"__before": F.last("__r", ignorenulls=True).over(before), "__after": F.last("__r", ignorenulls=True).over(after)}).where("__side = 0")
     blank = F.lit(True)
     for s in scores:
         blank = blank & F.col(s).isNull()
-    joined = joined.withColumn("__blank", F.min(blank.cast("int")).over(over([key, *row])) == 1)
-    rank = F.struct(F.when(F.col("__blank"), 0).when(F.col("__d") < 0, 0).otherwise(1).alias("a"), F.when(F.col("__blank"), 0).otherwise(F.abs("__d")).alias("b"), *tie)
-    rest = [c for c in joined.columns if c not in (key, *row, "__blank")]
-    picked = joined.groupBy(key, *row).agg(F.min_by(F.struct(*rest), rank).alias("__row"))
-    return picked.select(key, *row, "__row.*").withColumnRenamed("__d", "difference")
+    firsts = right.groupBy(key).agg(F.min(blank.cast("int")).alias("__blank"), F.min_by(F.struct(*rest), F.struct(*tie)).alias("__first")).where("__blank = 1").drop("__blank")
+    out = near.join(firsts, key, "left").withColumn("__x", F.coalesce("__first", "__before", "__after")).where("__x is not null")
+    return out.select(key, *[F.col(f"__l.{c}") for c in row], "__x.*", (F.col(f"__x.{t}") - F.col("__l.__at")).alias("difference"))
 
 
 def carried(keys: Sequence[str], order: Sequence[str], value: Column, ahead: bool = False) -> Column:

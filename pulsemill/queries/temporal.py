@@ -85,8 +85,8 @@ def asof_nearest_signed(spark, sf_dir):
     onset = s.where("channel = 'error'").groupBy("fin").agg(F.max("t").alias("onset"))
     grid = onset.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     charted = s.where("channel = 'view'").select("fin", "sample_id", "value", "t")
-    d = F.col("t") - F.col("onset") - F.col("segment") * (24 * HOUR)
-    return windows.nearest_signed(grid, charted, "fin", ["segment"], d, ["sample_id"], ["value"]).select("fin", "segment", "sample_id", "value", "difference")
+    grid = grid.withColumn("at", F.col("onset") + F.col("segment") * (24 * HOUR))
+    return windows.nearest_signed(grid, charted, "fin", ["segment"], "at", "t", ["sample_id"], ["value"]).select("fin", "segment", "sample_id", "value", "difference")
 
 
 @query(

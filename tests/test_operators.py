@@ -174,6 +174,21 @@ def test_long_and_short_series_by_segments(spark):
         kernels.per_series(cut, "fin", "values", {"x": too_large}).collect()
 
 
+def test_nearest_rows_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    left = [(k, j, int(rng.integers(0, 30))) for k in range(6) for j in range(5)]
+    right = [(int(rng.integers(0, 5)), i, int(rng.integers(0, 30)), None if rng.random() < 0.3 else float(i)) for i in range(40)] + [(5, 100, 3, None), (5, 99, 20, None)]
+    wanted = {}
+    for k, j, at in left:
+        own = [r for r in right if r[0] == k]
+        if own and all(r[3] is None for r in own):
+            wanted[k, j] = min(own, key=lambda r: r[1])[1]
+        elif own:
+            wanted[k, j] = min(own, key=lambda r: (r[2] >= at, abs(r[2] - at), r[1]))[1]
+    out = windows.nearest_signed(spark.createDataFrame(left, "k int, j int, at int"), spark.createDataFrame(right, "k int, id int, t int, v double"), "k", ["j"], "at", "t", ["id"], ["v"]).collect()
+    assert {(r.k, r.j): r.id for r in out} == wanted and all(r.difference == r.t - dict(((k, j), a) for k, j, a in left)[r.k, r.j] for r in out)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "k string, t int, value double")
     assert stats.series_stats(none, ["k"], ["t"]).count() == 0
