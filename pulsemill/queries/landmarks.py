@@ -120,7 +120,7 @@ def spaced_peaks(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SAMPLES}, x AS (SELECT fin, row_number() OVER (PARTITION BY fin ORDER BY t, sample_id) - 1 AS i, floor(value / 100) AS v FROM samples), z AS (SELECT *, coalesce(v = lag(v) OVER (PARTITION BY fin ORDER BY i), FALSE) AS z FROM x),
+    f"""WITH {SAMPLES}, x AS (SELECT fin, row_number() OVER (PARTITION BY fin ORDER BY t, sample_id) - 1 AS i, floor(value / 20) AS v FROM samples), z AS (SELECT *, coalesce(v = lag(v) OVER (PARTITION BY fin ORDER BY i), FALSE) AS z FROM x),
     n AS (SELECT *, CASE WHEN z = lag(z) OVER (PARTITION BY fin ORDER BY i) THEN 0 ELSE 1 END AS new FROM z),
       g AS (SELECT *, sum(new) OVER (PARTITION BY fin ORDER BY i) AS g FROM n),
     l AS (SELECT *, z AND count(*) OVER (PARTITION BY fin, g) >= 3 AS l FROM g),
@@ -129,7 +129,7 @@ def spaced_peaks(spark, sf_dir):
 )
 def flat_gate(spark, sf_dir):
     """Series that are less than half flat, their flat stretches at the median."""
-    x = wave(spark, sf_dir).withColumn("v", F.floor(F.col("v") / 100).cast("double"))
+    x = wave(spark, sf_dir).withColumn("v", F.floor(F.col("v") / 20).cast("double"))
     return fiducials.usable(x, KEYS, 3.0, most=0.5)
 
 
@@ -247,15 +247,64 @@ def ecg_intervals(spark, sf_dir):
     return rounded(fiducials.ecg_intervals(fiducials.ecg_landmarks(x, fiducials.r_peaks(x, KEYS, ECG_FS), KEYS, ECG_FS), KEYS, ECG_FS))
 
 
+def beat_sql() -> str:
+    """The features of ``beats`` on lists: ``x`` is a pulse's wave up to the next onset, whose first value is x[1]."""
+    at = lambda c: f"CASE WHEN {c} >= 0 THEN x[{c} + 1] END"
+    part = lambda a, b: f"list_slice(x, {a} + 1, {b})"
+    total = lambda w: f"list_reduce({w}, lambda a, b: a + b)"  # noqa: E731  one by one, as the fold does
+    area = lambda w: f"CASE WHEN len({w}) > 0 THEN {total(w)} - ({w}[1] + {w}[-1]) / 2 - list_min({w}) * (len({w}) - 1) END"
+    near = lambda w, level: f"(list_position(list_transform({w}, lambda v: abs(v - ({level}))), list_min(list_transform({w}, lambda v: abs(v - ({level}))))) - 1)"
+    when = lambda c, v: f"CASE WHEN {c} THEN {v} END"
+    ratio = lambda a, b: f"({a}) / nullif(CAST({b} AS DOUBLE), 0)"
+    level = lambda k: f"x0 + (xs - x0) * {k / 100}"
+    times = {"os": "s", "so": "n - s", "sys": "nn", "dias": "n - nn", "ow": "w", "wo": "n - w"}
+    pairs = {"good_s": ("os", "so"), "good_n": ("sys", "dias"), "good_w": ("ow", "wo")}
+    halves = {"os": part("0", "s"), "so": part("s", "n"), "sys": part("0", "nn"), "dias": part("nn", "n"), "ow": part("0", "w"), "wo": part("w", "n")}
+    base = {
+        "Ton_off_ms": when("n * 100.0 < ci + 150", "n * 100.0"), "Tsp_sp_ms": when("tsp < ci + 150", "tsp"), "Delta_A_sp_sp": ratio("xs - lag(xs) OVER k", "first_value(xs) OVER k"),
+        "max_upslope": when("w >= 1", "(x[w + 2] - x[w]) / 2"), "Delta_T_sd": when("(d - s) * 100.0 < 0.6 * ci", "(d - s) * 100.0"), "RI": ratio(f"{at('d')} - x0", "xs - x0"),
+        "SI": ratio("1000 * (xs - x0)", "(d - s) * 100.0"), "Delta_A_dn_dp": ratio(f"{at('d')} - {at('nn')}", "x0"), "T_dn_dp_ms": "(d - nn) * 100.0",
+        "Augmentation_index": when("c > s", ratio(f"{at('c')} - x0", "xs - x0")), "A_dn": f"{at('nn')} - x0", "DN_exists": "CAST(nn IS NOT NULL AS DOUBLE)", "A_sp": "xs - x0", "A_off": "x[-1] - x0",
+        "A_AC": when("good_s", "xs - x[1]"), "mean_slope_os": when("good_s", ratio("xs - x[1]", "s")), "mean_slope_so": when("good_s", ratio("x[-1] - xs", "n - s")), "T_so_cd_ms": when("good_s", "(n - s) / CAST(n AS DOUBLE)"),
+        "a_pulse": when("n * 100.0 < 1.75 * ci", area(part("0", "n"))), "lifted": when("n * 100.0 < ci + 180", f"list_transform({part('0', 'n')}, lambda v: v - list_min({part('0', 'n')}))"),
+    }
+    for good, own in pairs.items():
+        base |= {f"T_{k}_ms": when(good, f"({times[k]}) * 100.0") for k in own} | {f"a_{k}": when(good, area(halves[k])) for k in own}
+    for k in beats.WIDTHS:
+        base[f"PW_{k}"] = when("good_s", f"(s - {near(halves['os'], level(k))} + {near(halves['so'], level(k))}) * 100.0")
+    norm = lambda a, b: f"(quantile_cont(T_{a}_ms + T_{b}_ms, 0.5) OVER f / 100.0 * quantile_cont(\"A_AC\", 0.5) OVER f)"
+    moment = lambda p: f"{total(f'list_transform(lifted, lambda v: pow(v - mean_ppg, {p}))')} / size"
+    bins = "list_transform(lifted, lambda v: least(29, floor((v - list_min(lifted)) / nullif(list_max(lifted) - list_min(lifted), 0) * 30)))"
+    share = f"list_transform(range(30), lambda b: len(list_filter({bins}, lambda y: y = b)) / CAST(size AS DOUBLE))"
+    bits = f"coalesce(list_sum(list_transform(list_filter({share}, lambda q: q > 0), lambda q: -q * log2(q))), 0)"
+    late = {
+        "AUCos_nu": ratio("a_os", norm("os", "so")), "AUCso_nu": ratio("a_so", norm("os", "so")), "AUCow_nu": ratio("a_ow", norm("ow", "wo")), "AUCwo_nu": ratio("a_wo", norm("ow", "wo")),
+        "AUC_sys_nu": ratio("a_sys", norm("sys", "sys")), "AUC_dias_nu": ratio("a_dias", norm("sys", "sys")), "AUC_pulse_nu": ratio("a_pulse", '(quantile_cont(CAST(n AS DOUBLE), 0.5) OVER f * quantile_cont("A_AC", 0.5) OVER f)'),
+        "PR": ratio("60000.0", "\"Tsp_sp_ms\""), "variance_ppg": "m2", "std_ppg": "sqrt(m2)", "skewness_ppg": ratio("m3", "pow(m2, 1.5)"), "kurtosis_ppg": f"{ratio('m4', 'm2 * m2')} - 3", "energy_ppg": total("list_transform(lifted, lambda v: v * v)"),
+        "median_ppg": "(list_sort(lifted)[(size - 1) // 2 + 1] + list_sort(lifted)[size // 2 + 1]) / 2", "entropy_ppg": f"CASE WHEN list_max(lifted) > list_min(lifted) THEN {bits} WHEN list_max(lifted) = list_min(lifted) THEN 0 END",
+    }
+    names = [n for n in beats.feature_names() if n != "IPA"]
+    every = ", ".join(f'round("{n}" + 1e-7, 4) AS "{n}"' for n in names)  # off the ties of rounding, which engines settle differently
+    return f"""WITH {MARKED}, l AS (SELECT m.fin, m.cycle, m.onset, list(c.v ORDER BY c.i) AS x, any_value(m.systolic - m.onset) AS s, any_value(m.notch - m.onset) AS nn, any_value(m.diastolic - m.onset) AS d,
+      any_value(m.vpg_w - m.onset) AS w, any_value(m.apg_c - m.onset) AS c FROM marks m JOIN c ON c.fin = m.fin AND c.i BETWEEN m.onset AND m.stop GROUP BY m.fin, m.cycle, m.onset),
+    t AS (SELECT *, len(x) - 1 AS n, x[s + 1] AS xs, (onset + s - lag(onset + s) OVER k) * 100.0 AS tsp, first_value(x[1]) OVER k AS x0 FROM l WINDOW k AS (PARTITION BY fin ORDER BY cycle)),
+    u AS (SELECT *, quantile_cont(tsp, 0.5) OVER (PARTITION BY fin) AS ci FROM t),
+    g AS (SELECT *, s * 100.0 < 0.8 * ci AND (n - s) * 100.0 < 0.8 * ci AS good_s, nn * 100.0 < 0.8 * ci AND (n - nn) * 100.0 < 0.8 * ci AS good_n, w * 100.0 < 0.5 * ci AND (n - w) * 100.0 < ci AS good_w FROM u),
+    b AS (SELECT fin, cycle, n, {", ".join(f'{e} AS "{k}"' for k, e in base.items())} FROM g WINDOW k AS (PARTITION BY fin ORDER BY cycle)),
+    h AS (SELECT *, len(lifted) AS size, {total("lifted")} / len(lifted) AS mean_ppg FROM b), q AS (SELECT *, {moment(2)} AS m2, {moment(3)} AS m3, {moment(4)} AS m4 FROM h),
+    z AS (SELECT *, {", ".join(f'{e} AS "{k}"' for k, e in late.items())} FROM q WINDOW f AS (PARTITION BY fin))
+    SELECT fin, CAST(cycle AS BIGINT) AS cycle, {every}, round({ratio('"AUC_dias_nu"', '"AUC_sys_nu"')} + 1e-7, 4) AS "IPA" FROM z"""
+
+
 def pulse_features(spark, sf_dir):
     x, _, marks = landmarks(spark, sf_dir)
     return beats.pulse_features(fiducials.pulse_rows(marks, x, KEYS), "fin", FS)
 
 
-@query()
+@query(beat_sql())
 def ppg_beat_features(spark, sf_dir):
     """Every feature of every pulse."""
-    return pulse_features(spark, sf_dir)
+    return pulse_features(spark, sf_dir).select("fin", "cycle", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in beats.feature_names()])
 
 
 @query()
