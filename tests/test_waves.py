@@ -92,6 +92,23 @@ def test_variability_of_known_intervals(spark):
     assert hrv.windowed_contract(nn.withColumn("at", F.col("i") * 30_000.0), ["key"], "at", 60_000.0).first().SDNNI1 == pytest.approx(np.mean([np.std(x, ddof=1) for x in ([800, 810], [790, 800], [820, 800])]))
 
 
+def test_filter_sections_against_the_recurrence():
+    rng = np.random.default_rng(6)
+    for order, cutoff, kind in ((2, 0.5, "high"), (4, 8.0, "low"), (3, 15.0, "low")):
+        for n in (5, 64, 1000):
+            x = rng.normal(size=n).cumsum()
+            for b, a in kernels.butterworth(order, cutoff, 250, kind):
+                gain = b.sum() / a.sum()
+                z2 = (b[2] - a[2] * gain) * x[0]
+                z1 = (b[1] - a[1] * gain) * x[0] + z2
+                wanted = []
+                for v in x:
+                    y = b[0] * v + z1
+                    z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
+                    wanted.append(y)
+                assert np.allclose(kernels.run_section(b, a, x), wanted, rtol=1e-8, atol=1e-8)
+
+
 def test_multifractal_and_multiscale():
     rng = np.random.default_rng(3)
     white = rng.normal(size=900)
