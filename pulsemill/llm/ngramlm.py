@@ -422,4 +422,6 @@ def perplexity(scored: DataFrame) -> DataFrame:
 def op6_lm_scores(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored, _ = score(docs, fold("doc_id", 10) != 0, order=3, keep_model=False)
-    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    gain = (F.col("score") - F.col("base_score")) / F.col("n_tokens")
+    out = perplexity(scored).withColumn("gain_per_token", gain)
+    return out.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", "gain_per_token")
