@@ -142,10 +142,43 @@ def butter_filtfilt(spark, sf_dir):
     return kernels.filtered(s, "fin", "values", fs=10.0, low=4.0, high=0.2, order=2, keep=["segment"], core="core")
 
 
-@query()
+#: The values of each encounter, numbered from 0.
+NUMBERED = f"{SAMPLES}, x AS (SELECT fin, row_number() OVER (PARTITION BY fin ORDER BY t, sample_id) - 1 AS r, value AS v, count(*) OVER (PARTITION BY fin) AS n FROM samples)"
+
+
+@query(
+    f"""WITH {NUMBERED}, k AS (SELECT DISTINCT fin, n, least(n, 256) AS size, UNNEST(range(0, greatest(1, (n - 128) // 128))) AS k FROM x),
+    w AS (SELECT k.fin, k.k, k.size, x.r - k.k * 128 AS j, (x.v - avg(x.v) OVER (PARTITION BY k.fin, k.k)) * (0.5 - 0.5 * cos(2 * pi() * (x.r - k.k * 128) / k.size)) AS y
+      FROM k JOIN x ON x.fin = k.fin AND x.r >= k.k * 128 AND x.r < k.k * 128 + k.size),
+    f AS (SELECT DISTINCT fin, k, size, UNNEST(range(0, size // 2 + 1)) AS f FROM k),
+    d AS (SELECT f.fin, f.k, f.size, f.f, pow(sum(y * cos(2 * pi() * f.f * j / f.size)), 2) + pow(sum(y * sin(2 * pi() * f.f * j / f.size)), 2) AS p
+      FROM f JOIN w ON w.fin = f.fin AND w.k = f.k GROUP BY f.fin, f.k, f.size, f.f),
+    q AS (SELECT fin, size, f, avg(p) * CASE WHEN f > 0 AND 2 * f < size THEN 2 ELSE 1 END AS p FROM d GROUP BY fin, size, f)
+    SELECT fin, round(sum(p * f / size) / sum(p), 6) AS center_freq, 'perfect' AS status FROM q GROUP BY fin"""
+)
 def welch_centroid(spark, sf_dir):
     """Centre frequency of each series, from its segments' periodograms."""
-    return kernels.welch_centroids(samples(spark, sf_dir), "fin", ORDER, "value", 1.0)
+    return rounded(kernels.welch_centroids(samples(spark, sf_dir), "fin", ORDER, "value", 1.0))
+
+
+@query(
+    f"""WITH {NUMBERED}, s AS (SELECT fin, r // 1024 AS segment, r % 1024 AS i, v FROM x), z AS (SELECT fin, segment, count(*) AS n, 0.2 * stddev_samp(v) AS tol FROM s GROUP BY fin, segment),
+    e AS (SELECT s.fin, s.segment, i, v AS a, lead(v, 1) OVER o AS b, lead(v, 2) OVER o AS c, n, tol FROM s JOIN z ON z.fin = s.fin AND z.segment = s.segment WINDOW o AS (PARTITION BY s.fin, s.segment ORDER BY i)),
+    m AS (SELECT p.fin, p.segment, p.n, p.i, q.i AS j, abs(p.a - q.a) <= p.tol AND abs(p.b - q.b) <= p.tol AS two, abs(p.a - q.a) <= p.tol AND abs(p.b - q.b) <= p.tol AND abs(p.c - q.c) <= p.tol AS three
+      FROM e p JOIN e q ON q.fin = p.fin AND q.segment = p.segment WHERE p.i <= p.n - 2 AND q.i <= p.n - 2),
+    g AS (SELECT fin, segment, sum(CASE WHEN i < n - 2 AND j < n - 2 AND i <> j AND two THEN 1 ELSE 0 END) AS b2, sum(CASE WHEN i < n - 2 AND j < n - 2 AND i <> j AND three THEN 1 ELSE 0 END) AS a3 FROM m GROUP BY fin, segment),
+    c AS (SELECT fin, segment, i, n, sum(CAST(two AS INT)) / CAST(max(n) - 1 AS DOUBLE) AS c2, sum(CASE WHEN i < n - 2 AND j < n - 2 AND three THEN 1 ELSE 0 END) / CAST(max(n) - 2 AS DOUBLE) AS c3 FROM m GROUP BY fin, segment, i, n),
+    h AS (SELECT fin, segment, avg(ln(c2)) - avg(CASE WHEN i < n - 2 THEN ln(c3) END) AS ap FROM c GROUP BY fin, segment),
+    u AS (SELECT fin, segment, -sum(w / tot * log2(w / tot)) AS sh FROM (SELECT fin, segment, v, CAST(count(*) AS DOUBLE) AS w, CAST(sum(count(*)) OVER (PARTITION BY fin, segment) AS DOUBLE) AS tot FROM s GROUP BY fin, segment, v) GROUP BY fin, segment),
+    d AS (SELECT fin, segment, abs(v - lag(v) OVER o) AS step, abs(v - first_value(v) OVER o) AS far FROM s WINDOW o AS (PARTITION BY fin, segment ORDER BY i)),
+    k AS (SELECT fin, segment, log10(count(step)) AS ln_, max(far) AS far, sum(step) AS len FROM d GROUP BY fin, segment)
+    SELECT g.fin, g.segment, round(CASE WHEN a3 > 0 AND b2 > 0 THEN -ln(a3 / CAST(b2 AS DOUBLE)) END, 6) AS "SampEn", round(ap, 6) AS "ApEn", round(sh, 6) AS "ShanEn", round(ln_ / (ln_ + log10(far / len)), 6) AS "KFD", 'perfect' AS status
+    FROM g JOIN h ON h.fin = g.fin AND h.segment = g.segment JOIN u ON u.fin = g.fin AND u.segment = g.segment JOIN k ON k.fin = g.fin AND k.segment = g.segment"""
+)
+def hrv_entropies(spark, sf_dir):
+    """Sample, approximate and Shannon entropy and the fractal dimension of Katz of each segment of each series."""
+    chosen = {k: kernels.NONLINEAR[k] for k in ("SampEn", "ApEn", "ShanEn", "KFD")}
+    return rounded(kernels.per_series(series(spark, sf_dir), "fin", "values", chosen, keep=["segment"]))
 
 
 @query()
