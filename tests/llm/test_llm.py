@@ -724,6 +724,8 @@ def test_pipeline_stages(spark, tmp_path, corpus):
         if name != "packing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+        if name in ("near_duplicates", "decontamination", "pseudonyms"):  # one of the repeated rows
+            assert docs.count() == len(kept[name])
     texts = {row[0]: row[1] for row in corpus}
     assert all(any(c.isalpha() for c in texts[i] or "") for i in kept["language_id"])
     assert sum(1 for row in corpus[:120] if row[0] in kept["language_id"]) >= 118
@@ -732,6 +734,35 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     assert docs.count() >= len(kept["packing"])
 
 
+def test_pipeline_against_its_parts(spark, tmp_path, corpus):
+    """The documents that each stage keeps, by the labels of the corpus and by brute force."""
+    import corpus_pipeline
+
+    spark.createDataFrame(corpus, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(0, corpus[20][1]), (1, None), (2, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        kept[name] = [tuple(r) for r in docs.collect()]
+    first = {r[0]: r for r in kept["language_id"]}
+    parent = brute_components([r for r in kept["language_id"]], 80)
+    assert {r[0] for r in kept["near_duplicates"]} == {i for i, (_, c) in parent.items() if i == c}
+    left = {r[0] for r in kept["near_duplicates"]} - {r[0] for r in kept["decontamination"]}
+    assert 20 in left and all(brute_contaminated([(i, re.sub(r"[^a-zé ]", "", first[i][1].lower()))], [(0, corpus[20][1])]) for i in left)
+    before = {r[0]: r[1] for r in kept["decontamination"]}
+    assert {r[0] for r in kept["pseudonyms"]} == set(before) and all(r[4] == len(r[1] or "") for r in kept["pseudonyms"])
+    assert all(r[1] == pii.Masker(pii.session_key(spark)).mask(before[r[0]])[0] for r in kept["pseudonyms"])
+
+
+def test_pipeline_of_empty_tables(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, name):
