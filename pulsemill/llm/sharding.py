@@ -64,23 +64,20 @@ def key_of() -> Column:
 
 
 def narrowed(atoms: DataFrame, jobs: DataFrame, fine: float) -> DataFrame:
-    """One step: each open range becomes the bin that holds its median, or a cut where the bin is fine enough."""
+    """One step: each open range becomes what the bin with its median holds, or a cut where that is fine enough or one key alone."""
     wide = F.expr(f"(hi - lo) div {BINS} + 1")
     inside = atoms.join(jobs.withColumn("wide", wide), NODE).withColumn("__key", key_of()).where("__key between lo and hi")
-    bins = inside.groupBy(*NODE, F.expr("(__key - lo) div wide").alias("bin")).agg(F.sum("__weight").alias("w"))
+    bins = inside.groupBy(*NODE, F.expr("(__key - lo) div wide").alias("bin")).agg(F.sum("__weight").alias("w"), F.min("__key").alias("a"), F.max("__key").alias("z"))
     upto = F.sum("w").over(Window.partitionBy(*NODE).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    bins = bins.withColumn("upto", upto).join(jobs.withColumn("wide", wide), NODE)
+    bins = bins.withColumn("upto", upto).join(jobs, NODE)
     # the first bin that reaches the goal
-    row = F.struct("bin", "w", "upto")
-    picked = bins.groupBy(*NODE, "dim", "goal", "lo", "hi", "before", "wide").agg(F.coalesce(F.min(F.when(F.col("before") + F.col("upto") >= F.col("goal"), row)), F.max(row)).alias("b"))
-    start = F.col("lo") + F.col("b.bin") * F.col("wide")
+    row = F.struct("bin", "w", "upto", "a", "z")
+    picked = bins.groupBy(*NODE, "dim", "goal", "before").agg(F.coalesce(F.min(F.when(F.col("before") + F.col("upto") >= F.col("goal"), row)), F.max(row)).alias("b"))
     after = F.col("before") + F.col("b.upto")
     less = after - F.col("b.w")
-    ends = (F.col("b.w") <= fine) | (F.col("wide") == 1)
-    cut = start + F.when(F.abs(after - F.col("goal")) < F.abs(less - F.col("goal")), F.col("wide")).otherwise(0)
-    return picked.select(
-        *NODE, "dim", "goal", start.alias("lo"), F.least(F.col("hi"), start + F.col("wide") - 1).alias("hi"), less.cast("long").alias("before"), F.when(ends, cut).cast("long").alias("cut")
-    )
+    ends = (F.col("b.w") <= fine) | (F.col("b.a") == F.col("b.z"))
+    cut = F.when(F.abs(after - F.col("goal")) < F.abs(less - F.col("goal")), F.col("b.z") + 1).otherwise(F.col("b.a"))
+    return picked.select(*NODE, "dim", "goal", F.col("b.a").alias("lo"), F.col("b.z").alias("hi"), less.cast("long").alias("before"), F.when(ends, cut).cast("long").alias("cut"))
 
 
 def split(atoms: DataFrame, bounds: dict[str, tuple[int, int]], fine: float) -> DataFrame:
