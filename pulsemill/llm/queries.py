@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .binpacking import op11_best_fit_packing
 from .decontam import op10_decontamination
 from .htmltext import op4_main_text
 from .langid import op5_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 
 #: The components by reachability, on the whole sets of shingles.
