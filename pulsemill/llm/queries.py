@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .binpacking import op11_best_fit_packing
 from .decontam import op10_decontamination
+from .divergence import op12_source_divergence
 from .htmltext import op4_main_text
 from .langid import op5_language_id
 from .neardup import op7_near_duplicates
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 #: The components by reachability, on the whole sets of shingles.
@@ -62,4 +64,28 @@ k AS (SELECT q.doc_id, string_agg(substr(d.x, 2 * q.s + 1, 2 * (q.e - q.s)), ''
 SELECT doc_id, n AS n_bytes, gone AS n_removed, spans AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
 """
 
-ORACLES: dict[str, str] = {"op7_near_duplicates": NEAR_DUPLICATES, "op8_repeats": REPEATS}
+#: Every group with every kept term, and every pair of groups.
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT d, lang, source, UNNEST(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+s AS (SELECT lang, count(*) AS v, sum(total) AS m FROM t GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+a AS (SELECT g.lang, g.source, t.term, t.total, coalesce(c.n, 0) AS n FROM g JOIN t ON t.lang = g.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+z AS (SELECT lang, source, sum(n) AS size FROM a GROUP BY lang, source),
+p AS (SELECT a.lang, a.source, a.term, a.n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (a.n + 2)) // (z.size + 2 * s.v) AS BIGINT) AS p,
+      CAST(1 + (CAST(1000000000 AS HUGEINT) * (a.total + 2)) // (s.m + 2 * s.v) AS BIGINT) AS q
+      FROM a JOIN z ON z.lang = a.lang AND z.source = a.source JOIN s ON s.lang = a.lang),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+b AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM b)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op7_near_duplicates": NEAR_DUPLICATES, "op8_repeats": REPEATS, "op12_source_divergence": DIVERGENCE}
