@@ -14,6 +14,7 @@ from .pii import op3_pseudonyms
 from .quality import op9_quality
 from .sharding import op2_kd_sharding
 from .substrings import op8_repeats
+from .veccodes import op13_vector_codes
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_source_divergence": op12_source_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: The components by reachability, on the whole sets of shingles.
@@ -88,4 +90,22 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op7_near_duplicates": NEAR_DUPLICATES, "op8_repeats": REPEATS, "op12_source_divergence": DIVERGENCE}
+#: Each assignment compares every part with every entry.
+ASSIGNED = """a{r} AS MATERIALIZED (SELECT n, p, any_value(a) AS a, min(struct_pack(d := list_inner_product(a, a) - 2 * list_inner_product(a, c) + list_inner_product(c, c), k := k)) AS s
+      FROM x JOIN b{r} USING (p) GROUP BY n, p)"""
+REPLACED = """m{r} AS (SELECT p, s.k AS k, i, CAST(sum(v) AS HUGEINT) AS t, count(*) AS n FROM (SELECT p, s, UNNEST(a) AS v, generate_subscripts(a, 1) AS i FROM a{r}) GROUP BY p, s.k, i),
+    b{next} AS MATERIALIZED (SELECT p, k, coalesce(any_value(y.c), any_value(b{r}.c)) AS c FROM b{r} LEFT JOIN (SELECT p, k,
+      list(CAST((t - (t % n + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM m{r} GROUP BY p, k) y USING (p, k) GROUP BY p, k)"""
+VECTOR_CODES = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS n, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT n, p, e[16 * p + 1 : 16 * p + 16] AS a FROM v, (SELECT UNNEST(range(4)) AS p)),
+b0 AS MATERIALIZED (SELECT p, n - 1 AS k, a AS c FROM x WHERE n <= 256),
+{", ".join(ASSIGNED.format(r=r) + ", " + REPLACED.format(r=r, next=r + 1) for r in range(4))}, {ASSIGNED.format(r=4)},
+h AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, i)) AS h
+      FROM (SELECT p, k, UNNEST(c) AS v, generate_subscripts(c, 1) AS i FROM b4)),
+r AS (SELECT n, string_agg(printf('%02x', s.k), '' ORDER BY p) AS code, CAST(sum(s.d) AS BIGINT) AS error FROM a4 GROUP BY n)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM r JOIN v USING (n), h
+"""
+
+ORACLES: dict[str, str] = {"op7_near_duplicates": NEAR_DUPLICATES, "op8_repeats": REPEATS, "op12_source_divergence": DIVERGENCE, "op13_vector_codes": VECTOR_CODES}

@@ -29,11 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """The frame written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored``, and the path for ``drop``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes one stored table that nothing reads any more."""
+    _written.remove(path)
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
@@ -47,9 +59,7 @@ def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> Da
 
 def release(spark: SparkSession) -> None:
     """Deletes all that the operators have stored in this application; for when their results are written."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop(spark, _written[-1])
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
