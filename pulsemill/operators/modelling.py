@@ -52,25 +52,37 @@ def resampled_labels(df: DataFrame, features: str, k: int, resamples: int, share
 
 
 def agreement_histogram(labels: DataFrame, row_id: str, votes: str = "votes") -> DataFrame:
-    """Rows (agree, n): how many pairs of rows have ``agree`` equal votes, counted by pairs of blocks of rows; no pair leaves its block."""
-    blocks = max(4, -(-labels.count() // BLOCK_ROWS))
-    rows = labels.select(F.col(row_id).alias("id"), F.col(votes).cast("array<int>").alias("v"))
-    block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    """Rows (agree, n): how many pairs of rows have ``agree`` equal votes.
+
+    Rows with the same votes are counted together first, so the work grows with the
+    square of the number of different votes alone; these are compared by pairs of
+    blocks, and no pair leaves its block.
+    """
+    rows = labels.groupBy(F.col(votes).cast("array<int>").alias("v")).agg(F.count("*").alias("w"))
+    blocks = max(4, -(-rows.count() // BLOCK_ROWS))
+    block, every = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     # each pair of blocks once
     left = rows.withColumn("i", block).withColumn("j", every).where("i <= j")
-    right = rows.withColumn("j", block).withColumn("i", every).where("i <= j").select("i", "j", "v")
+    right = rows.select(F.col("v").alias("v"), F.col("w").alias("w")).withColumn("j", block).withColumn("i", every).where("i <= j")
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         total = np.zeros(0, np.int64)
         if len(left) and len(right):
             x, y = (np.asarray(t["v"].combine_chunks().flatten()).reshape(len(t), -1) for t in (left, right))
+            wx, wy = left["w"].to_numpy(), right["w"].to_numpy()
             total = np.zeros(x.shape[1] + 1, np.int64)
+            exact = float(wx.sum()) * float(wy.sum()) < 2.0**53  # sums of products as doubles
             for at in range(0, len(x), 256):
                 same = sum((x[at : at + 256, r, None] == y[None, :, r]).astype(np.int16) for r in range(x.shape[1]))
-                total += np.bincount(same.ravel(), minlength=len(total))
+                pairs = wx[at : at + 256, None] * wy
+                if exact:
+                    total += np.bincount(same.ravel(), pairs.ravel(), len(total)).astype(np.int64)
+                else:
+                    np.add.at(total, same.ravel(), pairs.ravel())
             if left["i"][0].as_py() == left["j"][0].as_py():  # both orders, and each row with itself
-                total[-1] -= len(x)
+                total[-1] -= (wx * wx).sum()
                 total //= 2
+                total[-1] += (wx * (wx - 1) // 2).sum()
         return pa.table({"agree": pa.array(np.arange(len(total), dtype=np.int32)), "n": pa.array(total)})
 
     parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(count, "agree int, n long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import modelling
+from ..operators import linkage, modelling, spectral
 from .base import query, read
 
 
@@ -163,3 +163,41 @@ def block_outcomes(spark, sf_dir):
     """The same for each block of vectors."""
     v = vectors(spark, sf_dir).withColumns({"y": (F.col("label") < 5).cast("int"), "block": (F.col("vec_id") % 2).cast("int")})
     return modelling.by_block(v, "block", lambda own: modelling.cross_validated(own, "vec_id", "y", folds=2, trees=5, balance="oversample"))
+
+
+PARTIAL_VOTES = "[label, CASE WHEN vec_id % 5 > 0 THEN label % 5 END, CASE WHEN vec_id % 3 > 0 THEN (vec_id // 7) % 3 END, (label + vec_id % 2) % 4]"
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, {PARTIAL_VOTES} AS v FROM embeddings),
+    p AS (SELECT a.vec_id AS u, b.vec_id AS v, coalesce(CAST(a.v[1] = b.v[1] AS INT), 0) + coalesce(CAST(a.v[2] = b.v[2] AS INT), 0) + coalesce(CAST(a.v[3] = b.v[3] AS INT), 0) + coalesce(CAST(a.v[4] = b.v[4] AS INT), 0) AS together,
+      2 + CAST(a.v[2] IS NOT NULL AND b.v[2] IS NOT NULL AS INT) + CAST(a.v[3] IS NOT NULL AND b.v[3] IS NOT NULL AS INT) AS "both" FROM v a JOIN v b ON a.vec_id < b.vec_id)
+    SELECT u, v, together, "both" FROM p WHERE together > 0"""
+)
+def co_association(spark, sf_dir):
+    """In how many labellings two vectors have one label, of those that label both."""
+    e = read(spark, sf_dir, "embeddings", "vec_id", "label")
+    row, label = F.col("vec_id"), F.col("label")
+    votes = F.array(label, F.when(row % 5 > 0, label % 5), F.when(row % 3 > 0, F.floor(row / 7) % 3).cast("int"), ((label + row % 2) % 4).cast("int"))
+    return linkage.co_association(e.select(row.alias("id"), votes.alias("votes")))
+
+
+@query()
+def agglomerative_areas(spark, sf_dir):
+    """Areas under the consensus distributions for 2 to 9 clusters over 100 resamples by average linkage, their gains, and two choices."""
+    _, nodes, graph = linkage.consensus(vectors(spark, sf_dir), "vec_id")
+    return linkage.gains(linkage.areas(nodes, graph))
+
+
+@query()
+def agglomerative_consensus(spark, sf_dir):
+    """Four clusters by average linkage of the consensus of 100 resamples, with distances taken twice."""
+    rows, nodes, graph = linkage.consensus(vectors(spark, sf_dir), "vec_id", ks=(4,))
+    return linkage.consensus_clusters(rows, nodes, graph, 4, twice=True).withColumnRenamed("row", "vec_id")
+
+
+@query()
+def spectral_consensus(spark, sf_dir):
+    """Ten clusters by the spectrum of what ten k-means labellings agree on."""
+    labelled = modelling.resampled_labels(vectors(spark, sf_dir), "features", 10, 10, 0.8, 42)
+    return spectral.spectral_clusters(labelled.select("vec_id", F.array(*[f"__l{b}" for b in range(10)]).alias("votes")), "vec_id", 10)

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
+from ..sources.staging import shared_folder
 from ..streaming import windows
 from .base import query, read
 
 
 def scratch(spark) -> str:
-    """A new folder in spark.checkpoint.dir; a temporary one where it is unset, as in local tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the one that all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(
