@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import over, reach_back
+from .neighbours import layout
 from .stats import running_sums
 
 #: Rows of a block in the sums of distances, about.
@@ -35,11 +36,18 @@ def pca(df: DataFrame, features: str = "features", share: float = 0.9, most: int
     return model.transform(df).withColumn(out, F.slice(vector_to_array("__pca"), 1, k)).drop("__pca"), shares[:k].tolist()
 
 
-#: Selectable reducers: DataFrame with ``features`` to DataFrame with ``features``.
-REDUCERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "none": lambda df: df,
-    "pca": lambda df: pca(df)[0].withColumn("features", array_to_vector("components")).drop("components"),
-}
+def plane(df: DataFrame, row_id: str, features: str = "features") -> DataFrame:
+    """``features`` replaced by places in the plane that keep neighbours together."""
+    places = layout(df.select(row_id, vector_to_array(features).alias("__v")), row_id, "__v")
+    return df.drop(features).join(places.select(row_id, array_to_vector(F.array("x", "y")).alias(features)), row_id)
+
+
+def components(df: DataFrame, row_id: str) -> DataFrame:
+    return pca(df)[0].withColumn("features", array_to_vector("components")).drop("components")
+
+
+#: Selectable reducers: DataFrame with ``features``, and the name of its id, to DataFrame with ``features``.
+REDUCERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {"none": lambda df, row_id: df, "pca": components, "layout": plane, "pca_layout": lambda df, row_id: plane(components(df, row_id), row_id)}
 
 
 def resampled_labels(df: DataFrame, features: str, k: int, resamples: int, share: float, seed: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import STATISTICS, kept_features
-from ..operators import cleaning, modelling, profiles, stats, windows
+from ..operators import cleaning, linkage, modelling, profiles, stats, windows
 
 
 def segment_features(samples: DataFrame, onset: DataFrame, width: int, segments: int, channels: Sequence[str], statistics: Sequence[str] = STATISTICS) -> DataFrame:
@@ -39,12 +39,16 @@ def clean_features(features: DataFrame, columns: Sequence[str]) -> tuple[DataFra
     return cleaning.median_impute(filled, kept), kept
 
 
-def phenotypes(features: DataFrame, columns: Sequence[str], k: int, reducer: str = "pca", resamples: int = 10, seed: int = 42) -> tuple[DataFrame, list[str]]:
-    """Cluster of each encounter by its last segment: feature selection, reduction and consensus clustering."""
+def phenotypes(features: DataFrame, columns: Sequence[str], k: int, reducer: str = "pca", resamples: int = 10, seed: int = 42, method: str = "kmeans") -> tuple[DataFrame, list[str]]:
+    """Cluster of each encounter by its last segment: feature selection, reduction and consensus clustering (by ``kmeans`` or average ``linkage``)."""
     first = features.where("segment = 0").select("fin", *kept_features(columns))
     selected, names = cleaning.select_features(first, [c for c in first.columns if c != "fin"])
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(selected)
-    labels = modelling.consensus_labels(modelling.REDUCERS[reducer](vectors), "fin", k=k, resamples=resamples, seed=seed)
+    reduced = modelling.REDUCERS[reducer](vectors, "fin")
+    if method == "linkage":
+        labels = linkage.consensus_clusters(*linkage.consensus(reduced, "fin", ks=(k,), resamples=resamples, seed=seed), k, twice=True).withColumnRenamed("row", "fin")
+    else:
+        labels = modelling.consensus_labels(reduced, "fin", k=k, resamples=resamples, seed=seed)
     return selected.join(labels.select("fin", "cluster"), "fin"), names
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import linkage, modelling, spectral
+from ..operators import linkage, modelling, neighbours, spectral
 from .base import query, read
 
 
@@ -201,3 +201,21 @@ def spectral_consensus(spark, sf_dir):
     """Ten clusters by the spectrum of what ten k-means labellings agree on."""
     labelled = modelling.resampled_labels(vectors(spark, sf_dir), "features", 10, 10, 0.8, 42)
     return spectral.spectral_clusters(labelled.select("vec_id", F.array(*[f"__l{b}" for b in range(10)]).alias("votes")), "vec_id", 10)
+
+
+@query(
+    """WITH d AS (SELECT a.vec_id AS id, b.vec_id AS other, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: pow(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE), 2)))) AS d
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY d, other) AS INT) AS rank FROM d)
+    SELECT id, other, round(d, 6) AS distance, rank FROM r WHERE rank <= 15"""
+)
+def nearest_neighbours(spark, sf_dir):
+    """The fifteen nearest vectors of each; all are right where one stretch holds the table, nearly all elsewhere."""
+    graph = neighbours.neighbour_graph(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+    return graph.withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def plane_layout(spark, sf_dir):
+    """Places of the vectors in the plane."""
+    return neighbours.layout(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
