@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import over, reach_back
+from ..sources.staging import staged
+from .balance import stratified_folds, with_synthetic
 from .neighbours import layout
 from .stats import running_sums
 
@@ -251,18 +253,16 @@ def load_model(kind: type, path: str):
     return kind.load(path)
 
 
-def fold_of(row_id: str, folds: int) -> Column:
-    """The fold of a row by a hash of its id: each class is dealt over all folds in near equal parts."""
-    return F.pmod(F.xxhash64(F.col(row_id)), F.lit(folds)).cast("int")
-
-
 def cross_validated(df: DataFrame, row_id: str, label: str, features: str = "features", folds: int = 5, seed: int = 42, trees: int = 40, balance: str = "weights") -> DataFrame:
     """Rows (row_id, fold, label, score): each row's probability of class 1 by a forest of the other folds.
 
     ``balance`` evens out the classes: ``weights``, ``oversample`` (the rarer class
-    repeated to equal numbers, with a fraction of it at random), or ``none``.
+    repeated to equal numbers, with a fraction of it at random), ``synthetic`` (rows
+    between near rows of the rarer class, in the training folds alone; the id must be
+    a distinct whole number), or ``none``.  Folds hold each class in equal parts.
     """
-    dealt = df.select(row_id, F.col(label).cast("double").alias("__y"), features).withColumn("fold", fold_of(row_id, folds))
+    labelled = df.select(row_id, F.col(label).cast("double").alias("__y"), features)
+    dealt = staged(stratified_folds(labelled, row_id, "__y", folds, seed), "folds")
     out = None
     for f in range(folds):
         train, test = dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)
@@ -274,6 +274,8 @@ def cross_validated(df: DataFrame, row_id: str, label: str, features: str = "fea
         if balance == "oversample":
             copies = F.floor(times + F.rand(seed)).cast("int")
             train = train.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).drop("__copy")
+        if balance == "synthetic":
+            train = with_synthetic(train.withColumn("__v", vector_to_array(features)), row_id, "__y", "__v", seed=seed).withColumn(features, array_to_vector("__v"))
         train = train.withColumn("__weight", times if balance == "weights" else F.lit(1.0))
         model = RandomForestClassifier(labelCol="__y", featuresCol=features, weightCol="__weight", numTrees=trees, seed=seed).fit(train)
         own = model.transform(test).select(row_id, "fold", F.col("__y").cast("int").alias(label), vector_to_array("probability")[1].alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import linkage, modelling, neighbours, spectral
+from ..operators import balance, boosting, linkage, modelling, neighbours, spectral, trees
 from .base import query, read
 
 
@@ -219,3 +219,77 @@ def nearest_neighbours(spark, sf_dir):
 def plane_layout(spark, sf_dir):
     """Places of the vectors in the plane."""
     return neighbours.layout(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+
+
+def forest_shares(spark, sf_dir):
+    """Shares of the components of the vectors in a forest's probability of each label, and the model."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    v = vectors(spark, sf_dir)
+    model = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=20, maxDepth=5, seed=42).fit(v)
+    return v, model, trees.contributions(trees.ensemble(trees.node_table(model)), v, "vec_id")
+
+
+@query("SELECT vec_id, CAST(UNNEST(range((SELECT CAST(max(label) AS INT) + 1 FROM embeddings))) AS INT) AS cls, 0.0 AS gap FROM embeddings")
+def shapley_additivity(spark, sf_dir):
+    """How far base and shares are from adding up to the forest's probability of each label."""
+    from pyspark.ml.functions import vector_to_array
+
+    v, model, found = forest_shares(spark, sf_dir)
+    wanted = model.transform(v).select("vec_id", F.posexplode(vector_to_array("probability")).alias("cls", "p"))
+    total = F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, x: a + x)
+    return found.join(wanted, ["vec_id", "cls"]).select("vec_id", "cls", (F.abs(F.round(total - F.col("p"), 9)) + 0.0).alias("gap"))
+
+
+@query()
+def shapley_by_class(spark, sf_dir):
+    """The five components with the largest mean share for each label, and over all."""
+    return trees.mean_shares(forest_shares(spark, sf_dir)[2], [f"e{i}" for i in range(64)]).where("rank <= 5")
+
+
+@query(
+    """WITH c AS (SELECT label, count(*) AS n, sum(count(*)) OVER (ORDER BY label) - count(*) AS o FROM embeddings GROUP BY label), f AS (SELECT CAST(UNNEST(range(5)) AS INT) AS fold)
+    SELECT label, fold, CAST(n // 5 + CAST(((fold - o) % 5 + 5) % 5 < n % 5 AS INT) AS BIGINT) AS n FROM c, f"""
+)
+def stratified_fold_sizes(spark, sf_dir):
+    """How many vectors of each label each of five folds holds."""
+    return balance.stratified_folds(read(spark, sf_dir, "embeddings", "vec_id", "label"), "vec_id", "label", 5).groupBy("label", "fold").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT CASE WHEN label < 6 THEN 0 WHEN label < 9 THEN 1 ELSE 2 END AS kind, count(*) AS n FROM embeddings GROUP BY 1)
+    SELECT CAST(kind AS INT) AS kind, n AS kept, (SELECT max(n) FROM e) - n AS made, true AS inside FROM e"""
+)
+def synthetic_minority(spark, sf_dir):
+    """Rows kept and made in each of three unequal classes, and whether the made ones lie inside the bounds of their class in every component."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("label") < 6, 0).when(F.col("label") < 9, 1).otherwise(2).alias("kind"))
+    out = balance.with_synthetic(e, "vec_id", "kind", "embedding")
+    sides = out.select("kind", "copy", F.posexplode("embedding").alias("i", "x")).groupBy("kind", "i")
+    kept, made = F.when(F.col("copy") == 0, F.col("x")), F.when(F.col("copy") > 0, F.col("x"))
+    slack = 1e-9
+    inside = sides.agg((F.coalesce(F.min(made) >= F.min(kept) - slack, F.lit(True)) & F.coalesce(F.max(made) <= F.max(kept) + slack, F.lit(True))).alias("ok"))
+    counts = out.groupBy("kind").agg(F.count_if(F.col("copy") == 0).alias("kept"), F.count_if(F.col("copy") > 0).alias("made"))
+    return counts.join(inside.groupBy("kind").agg(F.bool_and("ok").alias("inside")), "kind")
+
+
+@query()
+def boosted_membership(spark, sf_dir):
+    """Each label's vectors in a held-out fifth, and how many of them boosted trees of the rest tell."""
+    v = vectors(spark, sf_dir).withColumn("held", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0)
+    forest, _ = boosting.boost(v.where("not held"), "vec_id", "label", rounds=10, classes=10)
+    found = boosting.scored(forest, v.where("held"), "vec_id").join(v.select("vec_id", "label"), "vec_id")
+    return found.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("hits"))
+
+
+@query()
+def boosted_regression(spark, sf_dir):
+    """Prices of a held-out fifth of the line items by boosted trees of the rest: bias and limits of agreement by quantity."""
+    from pyspark.ml.feature import VectorAssembler
+
+    names = ["l_quantity", "l_discount", "l_tax"]
+    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", *names).withColumn("row", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    x = VectorAssembler(inputCols=names, outputCol="features").transform(li).withColumn("held", F.pmod(F.xxhash64("row"), F.lit(5)) == 0)
+    forest, _ = boosting.boost(x.where("not held"), "row", "l_extendedprice", objective="squared", rounds=20, depth=3)
+    found = boosting.scored(forest, x.where("held"), "row", objective="squared").join(x.select("row", "l_quantity", "l_extendedprice"), "row")
+    gap = F.col("prediction") - F.col("l_extendedprice").cast("double")
+    return found.groupBy(F.floor(F.col("l_quantity") / 10).cast("int").alias("tens")).agg(F.count("*").alias("n"), F.avg(gap).alias("bias"), (F.avg(gap) - 1.96 * F.stddev_samp(gap)).alias("low"), (F.avg(gap) + 1.96 * F.stddev_samp(gap)).alias("high"))
