@@ -1,13 +1,13 @@
 """Ranges of waveform channels as a Spark data source (inventory SC7, SC8): NPY arrays and WFDB records of one or more data files.
 
-    spark.dataSource.register(WaveRanges)
+    register(spark)
     spark.read.format("wave_ranges").option("path", folder).option("start", 60).option("stop", 360).load()
 
 A row is a piece of a channel, and a partition reads one piece: it opens the file,
 goes to the piece's first byte and reads no further than its last.  Filters on
-record, channel and t decide which pieces there are before any is read, where
-spark.sql.python.filterPushdown.enabled is set.  Files are opened through pyarrow's
-file systems, by the scheme of the path.
+record, channel and t decide which pieces there are before any is read; Spark wants
+spark.sql.python.filterPushdown.enabled set for that.  Files are opened through
+pyarrow's file systems, by the scheme of the path.
 
 A file that can't be read gives one row with a status, no channel and no samples.
 """
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.registry import status_of
@@ -188,3 +189,8 @@ class WaveRanges(DataSource):
 
     def reader(self, schema) -> RangeReader:
         return RangeReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(WaveRanges)

@@ -9,8 +9,7 @@ from pulsemill.sources import ranges
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    spark.dataSource.register(ranges.WaveRanges)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ranges.register(spark)
     path = tmp_path_factory.mktemp("waves")
     np.save(path / "long.npy", np.arange(100_000, dtype=np.float32))
     np.save(path / "square.npy", np.arange(12).reshape(3, 4))
@@ -67,6 +66,3 @@ def test_filters_prune_pieces(spark, folder):
     df = loaded(spark, path, chunk=100).where("channel = 'II' and t >= 3 and t < 5.5")
     assert sorted(r.t for r in df.collect()) == [3, 4, 5] and df.rdd.getNumPartitions() == 3
     assert loaded(spark, path, chunk=100).where(F.col("channel").isin("II", "B1") & (F.col("bytes") > 0)).count() == 20
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
-    assert loaded(spark, path, chunk=100).where("channel = 'II' and t > 3 and t <= 5").count() == 2
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
