@@ -236,7 +236,7 @@ def compress(
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull() & good & (F.size("vector") > 0))
     order = [F.col("id").asc_nulls_last(), F.col("vector")]
-    plain = T.StructType([rows.schema["id"], rows.schema["label"]])
+    plain = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("id", "label")])  # rows of changes have nulls there
     coded = T.StructType([*plain.fields, T.StructField("code", T.StringType()), T.StructField("error", T.LongType())])
     firsts = lambda of: [r[0] for r in of.orderBy(*order).limit(entries).select("vector").collect()]
     start = firsts(rows)

@@ -261,6 +261,12 @@ def test_codes_of_no_vectors(spark):
         veccodes.compress(spark.createDataFrame([(1, [1.0] * 6, 1, "")], VECTORS))
 
 
+def test_ids_that_are_never_null(spark):
+    df = spark.range(40).select(F.col("id").alias("vec_id"), F.array(*[(F.col("id") * k % 7).cast("double") for k in range(1, 5)]).alias("embedding"), F.lit(1).alias("label"))
+    coded, _ = veccodes.compress(df, entries=8)
+    assert sorted(r.id for r in coded.collect()) == list(range(40))
+
+
 def test_heaps_give_the_parts_whose_slack_is_used_up():
     rng = np.random.default_rng(0)
     codes, slacks = rng.integers(0, 5, 200), rng.random(200)
