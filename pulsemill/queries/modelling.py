@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import balance, boosting, linkage, modelling, neighbours, spectral, trees
+from ..operators import balance, boosting, imputation, linkage, modelling, neighbours, spectral, trees
 from .base import query, read
 
 
@@ -293,3 +293,12 @@ def boosted_regression(spark, sf_dir):
     found = boosting.scored(forest, x.where("held"), "row", objective="squared").join(x.select("row", "l_quantity", "l_extendedprice"), "row")
     gap = F.col("prediction") - F.col("l_extendedprice").cast("double")
     return found.groupBy(F.floor(F.col("l_quantity") / 10).cast("int").alias("tens")).agg(F.count("*").alias("n"), F.avg(gap).alias("bias"), (F.avg(gap) - 1.96 * F.stddev_samp(gap)).alias("low"), (F.avg(gap) + 1.96 * F.stddev_samp(gap)).alias("high"))
+
+
+@query()
+def bayesian_imputation(spark, sf_dir):
+    """Missing quantities, prices and discounts by Bayesian ridge regressions on each other, until they settle."""
+    from .cleaning import holes
+
+    held = holes(spark, sf_dir).select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in ("quantity", "price", "discount")])
+    return imputation.regression_imputation(held, ["quantity", "price", "discount"])[0]
