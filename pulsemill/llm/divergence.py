@@ -201,10 +201,9 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     pairs = left.join(right, "lang").where("source <> item").join(shared, ["lang", "source", "item"], "left")
     value = F.col("terms") * apart(F.col("p0"), F.col("q0")) + changes("ps", "p0", "q0") + changes("qs", "q0", "p0") + F.coalesce("shared", F.lit(0))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.when(F.col("terms") > 0, value).otherwise(0).cast("long").alias("value"))
-    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = pairs.withColumn("rank", F.row_number().over(by_value))
-    terms = parts.where("part = 'term'").select("lang", "source", "part", "item", "value").withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
-    return ranked.unionByName(terms)
+    terms = parts.where("part = 'term'").select("lang", "source", "part", "item", "value")
+    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
+    return pairs.unionByName(terms).withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= top))
 
 
 def op12_source_divergence(spark, sf_dir: str) -> DataFrame:
