@@ -274,8 +274,8 @@ def test_heaps_give_the_parts_whose_slack_is_used_up():
     drift = np.array([0.0, 0.3, 0.5, 2.0, 0.1])
     assert sorted(heaps.violated(drift)) == np.flatnonzero(slacks <= drift[codes]).tolist()
     assert heaps.violated(drift).size == 0
-    heaps.push(np.array([3, 7]), np.array([1, 6]), np.array([0.2, 0.9]))
-    assert heaps.violated(drift).tolist() == [3] and heaps.codes[7] == 6
+    heaps.push(np.array([3, 7]), np.array([1, 4]), np.array([0.2, 0.9]))
+    assert heaps.violated(drift).tolist() == [3] and heaps.codes[7] == 4
 
 
 def test_bounds_never_hide_a_nearer_entry_and_save_work():
