@@ -122,11 +122,13 @@ def tried(rows: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
     far = graph.groupBy(F.col("id").alias("node")).agg(F.max("distance").alias("far"))
     points = rows.select(F.col("id").alias("node"), "v").join(far, "node")
     back = graph.groupBy(F.col("other").alias("id")).agg(F.ceil(F.count("*") / k).cast("int").alias("lists"))
-    own = graph.select("id", F.col("other").alias("node"), "fresh").unionByName(rows.select("id", F.col("id").alias("node"), F.lit(False).alias("fresh")))
-    own = own.join(back, "id", "left").select("id", "node", "fresh", F.explode(F.sequence(F.lit(0), F.coalesce("lists", F.lit(1)) - 1)).alias("list"))
-    others = graph.select(F.col("other").alias("id"), F.col("id").alias("node"), "fresh").join(back, "id")
-    others = others.select("id", "node", "fresh", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lists")).cast("int").alias("list"))
-    links = own.unionByName(others).groupBy("id", "list", "node").agg(F.max("fresh").alias("fresh"))
+    own = graph.select("id", F.col("other").alias("node"), "fresh", F.lit(True).alias("own"))
+    itself = rows.select("id", F.col("id").alias("node"), F.lit(False).alias("fresh"), F.lit(True).alias("own"))
+    others = graph.select(F.col("other").alias("id"), F.col("id").alias("node"), "fresh", F.lit(False).alias("own"))
+    every = own.unionByName(itself).unionByName(others).join(back, "id", "left").withColumn("lists", F.coalesce("lists", F.lit(1)))
+    dealt = F.array(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lists")).cast("int"))
+    every = every.select("id", "node", "fresh", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("lists") - 1)).otherwise(dealt)).alias("list"))
+    links = every.groupBy("id", "list", "node").agg(F.max("fresh").alias("fresh"))
     lists = links.join(points, "node").groupBy("id", "list").agg(F.collect_list(F.struct("node", "v", "far", "fresh")).alias("near"))  # about 2 k
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

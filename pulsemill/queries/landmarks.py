@@ -6,7 +6,7 @@ from math import pi
 
 from pyspark.sql import functions as F
 
-from ..operators import beats, fiducials, hrv, modalities, stats
+from ..operators import beats, fiducials, hrv, modalities, peaks, stats
 from .base import SAMPLES, query, samples
 from .physiology import NN, intervals, rounded
 
@@ -119,6 +119,13 @@ def spaced_peaks(spark, sf_dir):
     return fiducials.spaced_peaks(wave(spark, sf_dir), KEYS, 4, 60.0)
 
 
+@query()
+def greedy_peaks(spark, sf_dir):
+    """Peaks by falling height at a least distance, of a least width, in segments of 4,096 samples."""
+    x = wave(spark, sf_dir).withColumn("segment", F.floor(F.col("i") / 4096).cast("int"))
+    return peaks.greedy_peaks(x, ["fin", "segment"], 4, 60.0, 0.5)
+
+
 @query(
     f"""WITH {SAMPLES}, x AS (SELECT fin, row_number() OVER (PARTITION BY fin ORDER BY t, sample_id) - 1 AS i, floor(value / 20) AS v FROM samples), z AS (SELECT *, coalesce(v = lag(v) OVER (PARTITION BY fin ORDER BY i), FALSE) AS z FROM x),
     n AS (SELECT *, CASE WHEN z = lag(z) OVER (PARTITION BY fin ORDER BY i) THEN 0 ELSE 1 END AS new FROM z),
