@@ -197,9 +197,9 @@ def pulse_rows(landmarks: DataFrame, rows: DataFrame, keys: Sequence[str]) -> Da
 
 
 def pulse_class(landmarks: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The class of each key's pulses by the median heights of notch and diastolic peak, which differ by 10 % or less in class 2.
+    """The class of each key's pulses by the median heights of notch and diastolic peak, which differ by less than 10 % in class 2.
 
-    Class 1 has the peak above the notch, class 3 below.  Keys without a
+    Class 1 has the peak more than that above the notch, class 3 below; exactly 10 % is unknown.  Keys without a
     diastolic peak have a null class.
     """
     marks = landmarks.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("i")) for k, c in (("N", "notch"), ("D", "diastolic"))])).alias("__m")).select(*keys, "__m.*").where("i is not null")

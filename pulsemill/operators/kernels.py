@@ -455,66 +455,6 @@ def feet(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     return np.array([a + int(x[a:b].argmin()) for a, b in zip(peaks[:-1], peaks[1:], strict=True)], int)
 
 
-@register
-def refine(x: np.ndarray, at: np.ndarray, reach: int, highest: bool = True) -> np.ndarray:
-    """Each place moved to the extreme within ``reach``."""
-    pick = np.argmax if highest else np.argmin
-    return np.unique([max(0, p - reach) + int(pick(x[max(0, p - reach) : p + reach + 1])) for p in at]).astype(int)
-
-
-@register
-def delineate(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
-    """Onset, systolic peak, notch and diastolic peak of each pulse, and the first waves of its derivatives (-1: not found)."""
-    peaks = pulse_peaks(x, fs)
-    onsets = feet(x, peaks)
-    vpg = np.gradient(x)
-    apg = np.gradient(vpg)
-    names = "O S N D w y z a b c d e".split()
-    out: dict[str, list[int]] = {k: [] for k in names}
-    for a, b in zip(onsets[:-1], onsets[1:], strict=True):
-        s = a + int(x[a:b].argmax())
-        row = dict.fromkeys(names, -1) | {"O": int(a), "S": int(s), "w": int(a + vpg[a : s + 1].argmax())}
-        turns = a + find_peaks(apg[a:b]) if b - a > 2 else np.empty(0, int)
-        pits = a + find_peaks(-apg[a:b]) if b - a > 2 else np.empty(0, int)
-        if len(first := turns[turns <= s]):
-            row["a"] = int(first[apg[first].argmax()])
-        if len(after := pits[pits > row["a"]]):
-            row["b"] = int(after[0])
-        later = turns[turns > s]
-        if len(later):
-            row["e"] = row["N"] = int(later[apg[later].argmax()])
-            falling = np.flatnonzero((vpg[row["N"] : b - 1] > 0) & (vpg[row["N"] + 1 : b] <= 0))
-            if len(falling):
-                row["D"] = int(row["N"] + falling[0])
-            row["y"] = int(s + vpg[s : row["N"] + 1].argmin())
-            row["z"] = int(row["N"] + vpg[row["N"] : b].argmax())
-            between = turns[(turns > row["b"]) & (turns < row["e"])]
-            row["c"] = int(between[0]) if len(between) else -1
-            lows = pits[(pits > max(row["c"], row["b"])) & (pits < row["e"])]
-            row["d"] = int(lows[0]) if len(lows) else -1
-        for k in names:
-            out[k].append(row[k])
-    return {k: np.array(v, int) for k, v in out.items()}
-
-
-@register
-def beat_windows(x: np.ndarray, peaks: np.ndarray, half: int) -> np.ndarray:
-    """A window around each peak; at the edges the neighbour's window stands in."""
-    inside = [p for p in peaks if p - half >= 0 and p + half < len(x)]
-    if not inside:
-        return np.empty((0, 2 * half + 1))
-    near = [min(inside, key=lambda q: abs(q - p)) for p in peaks]
-    return np.stack([x[p - half : p + half + 1] for p in near])
-
-
-@register
-def beat_components(beats: np.ndarray, k: int = 3) -> np.ndarray:
-    """Largest eigenvalues of the beats' covariance."""
-    centred = beats - beats.mean(axis=0)
-    s = np.linalg.svd(centred, compute_uv=False)
-    return (s**2 / max(len(beats) - 1, 1))[:k]
-
-
 @register
 def beat_shape(beats: Sequence[np.ndarray], n: int = 1000) -> list[float | None]:
     """Centre frequency of the first component of beats stretched to n places (a second), and their three largest eigenvalues."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import STATISTICS
-from ..sources.staging import staged
+from ..sources.staging import staged, staged_all
 from . import beats, conditioning, fiducials, hrv, kernels, peaks, stats
 
 KEY = ["key"]
@@ -83,15 +83,15 @@ def features(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fs:
     rows = samples.withColumn("key", F.struct(*keys))
     of = lambda name: fiducials.usable(fiducials.indexed(rows.where(F.col(channel) == channels[name]), KEY, order, value), KEY, fs)
     # channels, peaks and landmarks are read by several features
-    ecg, ppg, resp, abp = (staged(of(name), "channel") for name in ("II", "Pleth", "Resp", "ABP"))
+    ecg, ppg, resp, abp = staged_all([of(name) for name in ("II", "Pleth", "Resp", "ABP")], "channel")
     trim = inner if whole else lambda found: found
-    r, p = staged(trim(fiducials.r_peaks(ecg, KEY, fs)), "peaks"), staged(trim(fiducials.pulse_peaks(ppg, KEY, fs)), "peaks")
+    r, p = staged_all([trim(fiducials.r_peaks(ecg, KEY, fs)), trim(fiducials.pulse_peaks(ppg, KEY, fs))], "peaks")
     onsets = staged(fiducials.feet(ppg, p, KEY), "feet")
     marks = staged(fiducials.pulse_landmarks(ppg, onsets, KEY), "landmarks")
     waves = fiducials.pulse_rows(marks, ppg, KEY)
     pulse = beats.pulse_features(waves, "key", fs)
     centre = kernels.per_series(waves, "key", "wave", {CENTRE[0]: lambda w: kernels.spectral_centroid(w - w.min(), fs)}, keep=["cycle"])
-    rr, pp = (staged(fiducials.intervals_ms(x, KEY, fs, "nn"), "intervals") for x in (r, p))
+    rr, pp = staged_all([fiducials.intervals_ms(x, KEY, fs, "nn") for x in (r, p)], "intervals")
     cardiac = pp.groupBy("key").agg(F.percentile("nn", 0.5).alias("interval_ms"))
     if whole:
         belt = peaks.greedy_peaks(resp, KEY, 2 * fs, least_width=0.5 * fs, inner=True).select("key", "i", "v")
@@ -113,7 +113,7 @@ def features(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fs:
         rate = 60.0 * fs / (F.col("i") - F.lag("i").over(fiducials.over(KEY, ["i"])))
         parts.append(_long(derived.withColumn(DERIVED[0], rate), "i", DERIVED))
     # a union of stored tables: one of shuffled ones needs equal numbers of partitions, which adaptive execution changes
-    parts = [staged(part, "features") for part in parts]
+    parts = staged_all(parts, "features")
     source = hrv.choose_source(rr, pp, KEY).select("key", "source")
     nn = rr.withColumn("__s", F.lit("first")).unionByName(pp.withColumn("__s", F.lit("second")))
     nn = nn.join(source.withColumnRenamed("source", "__s"), ["key", "__s"]).drop("__s")
@@ -156,8 +156,11 @@ def segment_rows(samples: DataFrame, keys: Sequence[str], order: Sequence[str],
     long_, nn, single = features(samples, keys, order, fs, channels, height=height, whole=whole)
     chosen = list(chosen or names() + DERIVED * whole)
     summed = stats.series_stats(long_.where(F.col("feature").isin(chosen)), ["key", "feature"], ["i"], statistics=statistics)
-    wide = stats.wide_stats(summed, KEY, "feature", chosen, statistics)
+    indices = (whole_variability if whole else variability)(nn)
     every = samples.select(F.struct(*keys).alias("key")).distinct()
-    out = every.join(wide.withColumn("__some", F.lit(True)), "key", "left").join((whole_variability if whole else variability)(nn), "key", "left").join(single, "key", "left")
+    # a row for each key and feature, and a row for each key
+    summed, indices, single, every = staged_all([summed, indices, single, every], "rows")
+    wide = stats.wide_stats(summed, KEY, "feature", chosen, statistics)
+    out = every.join(wide.withColumn("__some", F.lit(True)), "key", "left").join(indices, "key", "left").join(single, "key", "left")
     status = F.when(F.col("__some"), "perfect").otherwise("no_signals")
     return out.withColumn("status", status).select("key.*", *[c for c in out.columns if c not in ("key", "__some")], "status")

@@ -320,22 +320,31 @@ def ppg_beat_statistics(spark, sf_dir):
     return stats.series_stats(beats.long_features(pulse_features(spark, sf_dir), "fin", beats.feature_names()), ["fin", "feature"], ["cycle"])
 
 
-#: One wave stands for all four channels.
-CHANNELS = {"II": "wave", "Pleth": "wave", "Resp": "wave", "ABP": "wave"}
+#: Four kinds of events stand for the four channels of a unit, which is ten encounters in a row; so units are bounded and their number grows with the table.
+CHANNELS = {"II": "click", "Pleth": "view", "Resp": "purchase", "ABP": "signup"}
+UNIT, ORDER = ["unit"], ["t", "fin", "sample_id"]
+
+
+def unit_samples(spark, sf_dir):
+    return samples(spark, sf_dir).where(F.col("channel").isin(*CHANNELS.values())).withColumn("unit", F.floor(F.col("fin") / 10))
 
 
 @query()
 def segment_features(spark, sf_dir):
-    """The feature row of each encounter: means and deviations of its beats, pulses, breaths and pressures, variability and pulse class."""
-    s = samples(spark, sf_dir).withColumn("channel", F.lit("wave"))
-    return modalities.segment_rows(s, KEYS, ["t", "sample_id"], FS, CHANNELS, statistics=("mean", "std"))
+    """The feature row of each unit: sixteen statistics of its beats, pulses, breaths and pressures, variability and pulse class."""
+    return modalities.segment_rows(unit_samples(spark, sf_dir), UNIT, ORDER, FS, CHANNELS)
 
 
 @query()
 def segment_feature_series(spark, sf_dir):
-    """Every value of every feature of each encounter."""
-    s = samples(spark, sf_dir).withColumn("channel", F.lit("wave"))
-    return modalities.features(s, KEYS, ["t", "sample_id"], FS, CHANNELS)[0].select("key.fin", "feature", "i", F.round("value", 6).alias("value"))
+    """Every value of every feature of each unit."""
+    return modalities.features(unit_samples(spark, sf_dir), UNIT, ORDER, FS, CHANNELS)[0].select("key.unit", "feature", "i", F.round("value", 6).alias("value"))
+
+
+@query()
+def raw_segment_features(spark, sf_dir):
+    """The feature row of each unit from raw channels: conditioned at five times their rate, with all variability indices of cleaned intervals."""
+    return modalities.extract(unit_samples(spark, sf_dir), UNIT, ORDER, dict.fromkeys(CHANNELS, FS), CHANNELS, 5 * FS)
 
 
 HR_PAIRS = f"""{NN}, q AS (SELECT fin, lag(nn) OVER (PARTITION BY fin ORDER BY t, sample_id) AS x, nn AS y FROM nn), g AS (SELECT fin, x, y, abs(y - x) AS d, abs({pi / 4} - atan(y / nullif(x, 0))) AS a FROM q WHERE x IS NOT NULL)"""

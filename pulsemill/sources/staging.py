@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
@@ -30,6 +33,13 @@ def staged(df: DataFrame, name: str = "round") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_all(frames: Sequence[DataFrame], name: str = "round", at_once: int = 8) -> list[DataFrame]:
+    """Frames that don't need each other, each stored as by ``staged``; up to ``at_once`` of their jobs run side by side."""
+    with ThreadPoolExecutor(at_once) as pool:
+        tasks = [pool.submit(inheritable_thread_target(frame.sparkSession)(staged), frame, name) for frame in frames]
+        return [task.result() for task in tasks]
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all that ``staged`` has written in this application; for when results are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
