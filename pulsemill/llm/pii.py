@@ -8,10 +8,12 @@ in every document, whatever their separators.  The permutation is conjugate to
 a rotation of its domain, so no value is mapped to itself; ``unmask`` inverts it.
 
 Kinds: card, iban, ssn, phone (without separators only behind a word such as
-``tel``), ip (version 6 keeps its notation), date (1900 to 2099; day first where
-only that is valid, else month first with ``/``), email (the local part), and
-secret (access keys, and a value with a digit assigned to a name such as
-``password``).  Digits stay digits and letters letters, in hexadecimal secrets
+``tel``; national ones begin with 0), ip (version 6 keeps its notation), date (1900
+to 2099; day first where only that is valid, else month first with ``/``; years of
+two digits are 1950 to 2049 and linked among themselves; names of months in
+English, German, French and Spanish stay in their language; a time behind a date
+stays), email (the local part), and secret (access keys, bearer tokens, and a value
+with a digit assigned to a name such as ``password``).  Digits stay digits and letters letters, in hexadecimal secrets
 letters up to ``f``.
 
 The key is needed: who knows it can invert a corpus.  ``session_key`` takes it from
@@ -46,41 +48,61 @@ from pyspark.sql import types as T
 from .textkit import table
 
 ROUNDS = 8
-#: Fixed list of month names.
-MONTHS = "January February March April May June July August September October November December".split()
+#: Fixed lists of month names.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+#: Fixed list of the countries that have IBANs; in small letters no others are taken for one.
+COUNTRIES = set(
+    "ad ae al at az ba be bg bh br by ch cr cy cz de dk do ee eg es fi fo fr gb ge gi gl gr gt hr hu ie il iq is it jo kw kz lb lc li lt lu lv ly mc md me mk mr mt mu nl no pk pl ps pt qa ro rs sa sc sd se si sk sm st sv tl tn "
+    "tr ua va vg xk".split()
+)
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 
-MONTH = "|".join(m + "|" + m[:3] for m in MONTHS)
+SHORT_FIRST, SHORT_DAYS = date(1950, 1, 1).toordinal(), date(2050, 1, 1).toordinal() - date(1950, 1, 1).toordinal()
+
+MONTH = "|".join(rf"{m}|{m[:3]}\.?" for m in MONTHS["en"])
+ANY_MONTH = "|".join([MONTH, *(m for names in MONTHS.values() for m in names)])
 PATTERN = re.compile(
     rf"""
     (?<![\w.+-])(?P<email>[\w.+-]++)@[\w-]+(?:\.[\w-]+)+
   | (?<![A-Za-z0-9])(?P<key>(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9-]{{20,}})(?![A-Za-z0-9])
   | (?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?[ \t]*[:=][ \t]*["']?)(?P<secret>[A-Za-z0-9+/_-]{{8,}})
-  | (?<![A-Za-z0-9])(?P<iban>[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])
+  | (?i:\bbearer[ ]+)(?P<bearer>[A-Za-z0-9._~+/-]{{16,}})
+  | (?<![A-Za-z0-9])(?P<iban>[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?|[a-z]{{2}}[0-9]{{2}}(?:[ ]?[a-z0-9]{{4}}){{2,7}}(?:[ ]?[a-z0-9]{{1,3}})?)(?![A-Za-z0-9])
   | (?<![\w.])(?P<ip>[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}})(?!\w|\.[0-9])
   | (?<![\w:.])(?P<ip6>(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}})(?![\w:])
-  | (?<![\w./-])(?P<ymd>[0-9]{{4}}(?P<m1>[-/.])[0-9]{{1,2}}(?P=m1)[0-9]{{1,2}})(?!\w|[-/.][0-9])
+  | (?<![\w./-])(?P<ymd>[0-9]{{4}}(?P<m1>[-/.])[0-9]{{1,2}}(?P=m1)[0-9]{{1,2}})(?!(?!T[0-9]{{2}}:?[0-9]{{2}})\w|[-/.][0-9])
   | (?<![\w./-])(?P<dmy>[0-9]{{1,2}}(?P<m2>[-/.])[0-9]{{1,2}}(?P=m2)[0-9]{{4}})(?!\w|[-/.][0-9])
-  | (?<!\w)(?P<d_month>[0-9]{{1,2}}[ ](?:{MONTH})[ ][0-9]{{4}})(?!\w)
-  | (?<!\w)(?P<month_d>(?:{MONTH})[ ][0-9]{{1,2}},[ ][0-9]{{4}})(?!\w)
+  | (?<![\w./-])(?P<short>[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}|[0-9]{{2}}(?P<m3>[.-])[0-9]{{2}}(?P=m3)[0-9]{{2}})(?!\w|[-/.][0-9])
+  | (?<!\w)(?P<d_month>[0-9]{{1,2}}(?:st|nd|rd|th|er|\.)?[ ](?:de[ ])?(?i:{ANY_MONTH})[ ](?:de[ ])?[0-9]{{4}})(?!\w)
+  | (?<!\w)(?P<month_d>(?:{MONTH})[ ][0-9]{{1,2}}(?:st|nd|rd|th)?,?[ ][0-9]{{4}})(?!\w)
   | (?<![\w-])(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![\w-])
+  | (?<![\w-])(?<![0-9][ ])(?P<spaced>[0-9]{{3}}[ ][0-9]{{2}}[ ][0-9]{{4}})(?![\w-]|[ ][0-9])
   | (?<![\w+])(?P<phone>(?:\+1[ .-]?)?(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}|\+[0-9](?:[ .()-]{{0,2}}[0-9]){{7,14}})(?![0-9])
   | (?i:\b(?:tel|phone|call|mobile|cell|fax)\w*[.:]?[ ]?[:]?[ ]*)(?P<bare>[2-9][0-9]{{2}}[2-9][0-9]{{6}})(?![0-9]|[ -][0-9])
+  | (?<![\w+])(?<![0-9][ ])(?P<national>(?=(?:[0-9][ ]?){{10,11}}(?![ ]?[0-9]))0[0-9]{{2,4}}[ ][0-9]{{3,4}}[ ][0-9]{{3,4}})(?![0-9]|[ -][0-9])
+  | (?<![0-9.])(?P<dotted>[0-9]{{4}}\.[0-9]{{4}}\.[0-9]{{4}}\.[0-9]{{1,4}})(?![0-9]|\.[0-9])
   | (?<![0-9])(?P<card>[0-9](?:[ -]?[0-9]){{12,18}})(?![0-9])
     """,
     re.VERBOSE,
 )
 MAY_MATCH = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[A-Za-z0-9]+|(?s:.)")
-GROUP = re.compile(r"[A-Z0-9]+")
+GROUP = re.compile(r"[A-Za-z0-9]+")
 SUBSCRIBER = re.compile(r"[2-9][0-9]{2}[2-9]")
 HEXA = re.compile(r"(?=.*[a-f])[0-9a-f]{16,}")
 #: What is written in ``spans`` for the names of the pattern's groups that stand for forms of one kind.
-KINDS = {"ymd": "date", "dmy": "date", "d_month": "date", "month_d": "date", "key": "secret", "ip6": "ip", "bare": "phone"}
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}")
+KINDS = {"ymd": "date", "dmy": "date", "d_month": "date", "month_d": "date", "short": "date", "key": "secret", "bearer": "secret", "ip6": "ip", "bare": "phone", "national": "phone", "spaced": "ssn", "dotted": "card"}
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}|[a-z]{2}[0-9]{2}[a-z0-9]{8,31}")
+DAY_MONTH = re.compile(r"(?P<d>[0-9]{1,2})(?P<nth>st|nd|rd|th|er|\.)?(?P<gap>[ ](?:de[ ])?)(?P<name>[^\W\d_]+)(?P<rest>.*?)(?P<y>[0-9]{4})")
+MONTH_DAY = re.compile(r"(?P<name>[A-Za-z]+)(?P<gap>\.?[ ])(?P<d>[0-9]{1,2})(?P<nth>st|nd|rd|th)?(?P<rest>,?[ ])(?P<y>[0-9]{4})")
 
 
 class Feistel:
@@ -129,6 +151,25 @@ def luhn_digit(digits: str) -> int:
     return -sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
+def month_of(name: str, dotted: bool) -> tuple[str, int, bool]:
+    """Language, number and shortness of a month's name.
+
+    Names of several languages are German behind a dot, else English; ``Mai`` is
+    German in capitals, ``mai`` French.
+    """
+    low = name.lower()
+    found = {lang: names.index(m) + 1 for lang, names in MONTHS.items() for m in names if m.lower() == low}
+    if len(low) == 3 and low != "mai":
+        return "en", next(i for i, m in enumerate(MONTHS["en"], 1) if m[:3].lower() == low), True
+    german = dotted or name == "Mai"
+    lang = "de" if german and "de" in found else next(x for x in ("en", "fr", "de", "es") if x in found)
+    return lang, found[lang], False
+
+
+def ordinal(day: int) -> str:
+    return "th" if 10 < day < 20 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
 def iban_check(country: str, rest: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
 
@@ -180,6 +221,26 @@ class Masker:
             return None
         return date.fromordinal(self.network("date", DAYS).apply(n, self.step) + FIRST_DAY) if 0 <= n < DAYS else None
 
+    def short_day(self, y: int, m: int, d: int) -> date | None:
+        """The same for years of two digits."""
+        try:
+            n = date(y + (1900 if y >= 50 else 2000), m, d).toordinal() - SHORT_FIRST
+        except ValueError:
+            return None
+        return date.fromordinal(self.network("short", SHORT_DAYS).apply(n, self.step) + SHORT_FIRST)
+
+    def named_day(self, m: re.Match, month_first: bool) -> str | None:
+        lang, month, short = month_of(m["name"], m["nth"] == ".")
+        new = self.day(int(m["y"]), month, int(m["d"]))
+        if new is None:
+            return None
+        name = MONTHS[lang][new.month - 1]
+        name = name[:3] if short else name
+        name = name.upper() if m["name"].isupper() else name.lower() if m["name"].islower() else name.capitalize()
+        nth = m["nth"] or ""
+        day = f"{new.day}{nth if nth in ('', '.', 'er') else ordinal(new.day)}"
+        return f"{name}{m['gap']}{day}{m['rest']}{new.year}" if month_first else f"{day}{m['gap']}{name}{m['rest']}{new.year}"
+
     @staticmethod
     def refill(shape: str, digits: str) -> str:
         """The digits in the places of the digits (or capitals) of ``shape``."""
@@ -194,7 +255,7 @@ class Masker:
         if kind == "key":
             keep = 3 if text.startswith("sk-") else 4
             return text[:keep] + self.characters("secret", text[keep:])
-        if kind == "secret":
+        if kind in ("secret", "bearer"):
             return self.characters("secret", text, hexa=bool(HEXA.fullmatch(text))) if digits else None
         if kind == "ip6":
             try:
@@ -205,7 +266,7 @@ class Masker:
             return self.characters("ip6", text, hexa=True) if several else None
         if kind == "bare":
             return self.subscriber(digits)
-        if kind == "card":
+        if kind in ("card", "dotted"):
             if luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
                 return None
             body = self.number("card", digits[:-1])
@@ -213,9 +274,9 @@ class Masker:
         if kind == "iban":
             plain = text.replace(" ", "")
             country, check, rest = plain[:2], plain[2:4], plain[4:]
-            if iban_check(country, rest) != int(check):
+            if iban_check(country, rest) != int(check) or country.islower() and country not in COUNTRIES:
                 return None
-            rest = self.characters("iban" + country, rest)
+            rest = self.characters("iban" + country.upper(), rest)
             return self.refill(text, f"{country}{iban_check(country, rest):02d}{rest}")
         if kind == "ip":
             octets = [int(x) for x in text.split(".")]
@@ -223,40 +284,39 @@ class Masker:
                 return None
             n = self.network("ip", 1 << 32).apply(int.from_bytes(bytes(octets), "big"), self.step)
             return ".".join(str(x) for x in n.to_bytes(4, "big"))
-        if kind == "ssn":
+        if kind in ("ssn", "spaced"):
             area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
             if area in (0, 666) or area >= 900 or not group or not serial:
                 return None
             areas = [*range(1, 666), *range(667, 900)]
             n = self.network("ssn", len(areas) * 99 * 9999).apply((areas.index(area) * 99 + group - 1) * 9999 + serial - 1, self.step)
-            return f"{areas[n // (99 * 9999)]:03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
+            return self.refill(text, f"{areas[n // (99 * 9999)]:03d}{n // 9999 % 99 + 1:02d}{n % 9999 + 1:04d}")
+        if kind == "national":
+            return self.refill(text, "0" + self.number("phone0", digits[1:]))
         if kind == "phone":
             if text[0] != "+" or digits[0] == "1" and len(digits) == 11:
                 return self.refill(text, digits[:-10] + self.subscriber(digits[-10:]))
             return self.refill(text, digits[0] + self.number("phone" + digits[0], digits[1:]))
-        if kind in ("d_month", "month_d"):
-            d, name, y = (text.split() if kind == "d_month" else [text.split()[1][:-1], text.split()[0], text.split()[2]])
-            short = len(name) == 3
-            new = self.day(int(y), next(i for i, m in enumerate(MONTHS, 1) if m[:3] == name[:3]), int(d))
-            if new is None:
-                return None
-            name = MONTHS[new.month - 1][:3] if short else MONTHS[new.month - 1]
-            return f"{new.day} {name} {new.year}" if kind == "d_month" else f"{name} {new.day}, {new.year}"
+        if kind == "d_month":
+            return self.named_day(DAY_MONTH.fullmatch(text), False)
+        if kind == "month_d":
+            return self.named_day(MONTH_DAY.fullmatch(text), True)
         mark = re.search("[-/.]", text)[0]
         parts = text.split(mark)
         wide = all(len(x) > 1 for x in parts)
+        of = self.short_day if kind == "short" else self.day
         if kind == "ymd":
             new = self.day(*map(int, parts))
             order = "ymd"
         else:
             a, b, y = map(int, parts)
             month_first = mark == "/" and a <= 12
-            new = self.day(y, a, b) if month_first else None
+            new = of(y, a, b) if month_first else None
             order = "mdy" if new else "dmy"
-            new = new or self.day(y, b, a)
+            new = new or of(y, b, a)
         if new is None:
             return None
-        parts = {"y": str(new.year), "m": f"{new.month:02d}" if wide else str(new.month), "d": f"{new.day:02d}" if wide else str(new.day)}
+        parts = {"y": f"{new.year % 100:02d}" if kind == "short" else str(new.year), "m": f"{new.month:02d}" if wide else str(new.month), "d": f"{new.day:02d}" if wide else str(new.day)}
         return mark.join(parts[x] for x in order)
 
     def inside(self, kind: str, text: str) -> tuple[int, int] | None:
@@ -338,7 +398,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", *, key: bytes, step: int =
 def unmask(docs: DataFrame, text: str = "text", *, key: bytes) -> DataFrame:
     """Undoes ``pseudonymise`` for values whose pseudonym is read back as the same kind and span.
 
-    Exceptions are ambiguous ``/`` dates, and cards or IBANs beside digits or capitals that happen to make a valid longer one with the pseudonym.
+    Exceptions are ambiguous ``/`` dates, dates whose day or month has one digit on one side alone, months
+    by the name May (full and short), German dates without a dot behind the day, and cards or IBANs beside digits or capitals that happen to make a valid longer one with the pseudonym.
     """
     return pseudonymise(docs, text, key=key, step=-1, spans=None)
 
