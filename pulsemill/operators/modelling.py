@@ -23,6 +23,8 @@ from .stats import running_sums
 
 #: Rows of a block in the sums of distances, about.
 BLOCK_ROWS = 8192
+#: Rows of a block of silhouettes, and how many of them are measured at once.
+SILHOUETTE_ROWS, TILE_ROWS = 32_768, 64
 
 
 def with_vector(df: DataFrame, values: str, out: str = "features") -> DataFrame:
@@ -145,16 +147,17 @@ def consensus_share(labels: DataFrame, row_id: str, cluster: str = "cluster", vo
 def silhouette(df: DataFrame, row_id: str, cluster: str, values: str) -> DataFrame:
     """Silhouette of each row with Euclidean distances, the same at every size.
 
-    Rows are dealt by their ids into blocks of about BLOCK_ROWS.  A group for each
-    pair of blocks sums the distances of the one's rows to the other's by
-    cluster, and the sums are added up by row and cluster.
+    Rows are dealt by their ids into blocks of about SILHOUETTE_ROWS.  A group for
+    each unordered pair of blocks sums the distances of each one's rows to the
+    other's by cluster, and the sums are added up by row and cluster.  Each block is
+    sent to as many groups as there are blocks, and one more.
     """
-    blocks = max(4, -(-df.count() // BLOCK_ROWS))
+    blocks = max(4, -(-df.count() // SILHOUETTE_ROWS))
     kinds = {c: df.schema[c].dataType.simpleString() for c in (row_id, cluster)}
     rows = df.select(F.col(row_id).alias("id"), F.col(cluster).alias("c"), F.col(values).cast("array<double>").alias("v"))
-    block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.withColumn("i", block).withColumn("j", every)
-    right = rows.withColumn("j", block).withColumn("i", every).select("i", "j", "c", "v")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    left = rows.withColumn("i", block).withColumn("j", F.explode(F.sequence("i", F.lit(blocks - 1))))
+    right = rows.withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
     parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(distance_sums, f"id {kinds[row_id]}, own {kinds[cluster]}, other {kinds[cluster]}, total double")
     sums = parts.groupBy("id", "own", "other").agg(F.sum("total").alias("total"))
     sized = sums.join(rows.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("n")), "other")
@@ -168,28 +171,38 @@ def silhouette(df: DataFrame, row_id: str, cluster: str, values: str) -> DataFra
 
 
 def distance_sums(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Rows (id, own, other, total): the sum of distances of each left row to the right rows of each cluster."""
-    out = []
-    if len(left) and len(right):
-        x, y = (np.asarray(t["v"].combine_chunks().flatten(), float).reshape(len(t), -1) for t in (left, right))
-        names = pc.unique(right["c"])
-        member = np.zeros((len(right), len(names)))
-        member[np.arange(len(right)), pc.index_in(right["c"], names).to_numpy()] = 1
-        yy = (y**2).sum(1)
-        for at in range(0, len(x), 256):
-            part = x[at : at + 256]
-            scale = (part**2).sum(1)[:, None] + yy[None, :]
-            square = scale - 2 * part @ y.T
-            near = np.nonzero(square <= 1e-6 * scale)  # differences of almost equal numbers
-            square[near] = ((part[near[0]] - y[near[1]]) ** 2).sum(1)
-            total = np.sqrt(square) @ member
-            own = left.slice(at, len(part))
-            for k, name in enumerate(names):
-                out.append(pa.table({"id": own["id"], "own": own["c"], "other": pa.array([name.as_py()] * len(part), names.type), "total": total[:, k]}))
+    """Rows (id, own, other, total): the sum of distances of each row of a block to the rows of each cluster of the other block, both ways; a block with itself one way."""
     none = pa.table({"id": left["id"].slice(0, 0), "own": left["c"].slice(0, 0), "other": right["c"].slice(0, 0), "total": pa.array([], pa.float64())})
+    if not len(left) or not len(right):
+        return none
+    x, y = (np.asarray(t["v"].combine_chunks().flatten(), float).reshape(len(t), -1) for t in (left, right))
+    (names, member), (own_names, own_member) = members(right["c"]), members(left["c"])
+    yy = (y**2).sum(1)
+    forth, back = np.zeros((len(x), len(names))), np.zeros((len(y), len(own_names)))
+    for at in range(0, len(x), TILE_ROWS):
+        part = x[at : at + TILE_ROWS]
+        scale = (part**2).sum(1)[:, None] + yy[None, :]
+        square = scale - 2 * part @ y.T
+        near = np.nonzero(square <= 1e-6 * scale)  # differences of almost equal numbers
+        square[near] = ((part[near[0]] - y[near[1]]) ** 2).sum(1)
+        distance = np.sqrt(square, out=square)
+        forth[at : at + TILE_ROWS] = distance @ member
+        back += distance.T @ own_member[at : at + TILE_ROWS]
+    ways = [(left, names, forth)]
+    if left["i"][0].as_py() != left["j"][0].as_py():
+        ways.append((right, own_names, back))
+    out = [pa.table({"id": t["id"], "own": t["c"], "other": pa.array([name.as_py()] * len(t), kinds.type), "total": total[:, k]}) for t, kinds, total in ways for k, name in enumerate(kinds)]
     return pa.concat_tables([none, *out])
 
 
+def members(clusters: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The clusters, and which of them each row is in."""
+    names = pc.unique(clusters)
+    member = np.zeros((len(clusters), len(names)))
+    member[np.arange(len(clusters)), pc.index_in(clusters, names).to_numpy()] = 1
+    return names, member
+
+
 def squared_silhouette(df: DataFrame, row_id: str, cluster: str, values: str) -> DataFrame:
     """Silhouette with squared distances: a row's sum of distances to a cluster needs only the cluster's size, sum and sum of squares."""
     from pyspark.ml.stat import Summarizer
