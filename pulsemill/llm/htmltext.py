@@ -47,7 +47,7 @@ SKIPPED = set("script style title noscript template svg math iframe object canva
 BOILERPLATE = set("nav header footer aside form menu dialog button select textarea fieldset label".split())
 #: Fixed list of words in a class or id that mark a part as not being content.
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer "
+    "ad ads adv advert adverts advertisement advertisements alert alerts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer "
     "disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply "
     "share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
@@ -60,14 +60,16 @@ APART = 2.0
 OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
 #: Fixed list of words that may stand beside them in one name (``site-header``, but neither ``has-sidebar`` nor ``share-price``).
 BESIDE = set("a area bar block bottom box btn button buttons container content global group inner items left link links list main outer page panel primary right secondary section site slot top unit wrap wrapper".split())
+#: Fixed list of further words that may stand beside the marks of adverts, notices and comments (``reader-comments``, ``article-footer``), but not beside the names of headers.
+OWNERS = set("article blog entry google info law message post reader readers responsive signup size story tag text trail unit user users visitor warning x".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
-def marked(names: str, marks: set[str]) -> bool:
+def marked(names: str, marks: set[str], beside: set[str] = BESIDE) -> bool:
     """Is one of the class names or ids made of these words, numbers and words that may stand beside them alone?"""
     for name in names.split():
         words = [x.lower() for x in WORDS.findall(name)]
-        if any(x in marks for x in words) and all(x in marks or x in BESIDE or x.isdigit() for x in words):
+        if any(x in marks for x in words) and all(x in marks or x in beside or x.isdigit() for x in words):
             return True
     return False
 
@@ -101,7 +103,7 @@ class Reader(HTMLParser):
         if tag in ("body", "html"):
             return ""
         names = f"{given.get('class') or ''} {given.get('id') or ''}"
-        if marked(names, MARKS) or (given.get("role") or "").lower() in ROLES:
+        if marked(names, MARKS, BESIDE | OWNERS) or (given.get("role") or "").lower() in ROLES:
             return "drop"
         if tag == "header" or marked(names, OUTER_MARKS):
             return "header" if self.article and tag not in HEADINGS else "" if tag in HEADINGS else "drop"

@@ -333,6 +333,26 @@ def test_marked_parts_are_left_out(name):
     assert "buy" not in htmltext.main_text(page)
 
 
+@pytest.mark.parametrize(
+    "name",
+    "post-comments reader-comments user-comments ad-300x250 ad-slot-300x250 google-ads cookie-law-info alert-warning blog-sidebar entry-footer breadcrumb-trail newsletter-signup article-footer userComments".split(),
+)
+def test_named_parts_go_inside_and_outside_articles(name):
+    body = "".join(f"<p>{'long words of the text itself ' * 8}</p>" for _ in range(4))
+    wanted = htmltext.main_text(f"<body><article>{body}</article></body>")
+    part = f"<div class='{name}'><p>{'something else said here ' * 8}</p></div>"
+    assert wanted.count("\n") == 3
+    assert htmltext.main_text(f"<body><article>{body}{part}</article></body>") == wanted
+    assert htmltext.main_text(f"<body><article>{body}</article>{part}</body>") == wanted
+    assert htmltext.main_text(f"<body><div>{body}</div>{part}</body>") == wanted
+
+
+@pytest.mark.parametrize("name", "post-content article-text story entry-header-text has-sidebar share-price notice-period user-story".split())
+def test_names_of_the_text_itself_stay(name):
+    body = "".join(f"<p>{'long words of the text itself ' * 8}</p>" for _ in range(4))
+    assert htmltext.main_text(f"<body><article><div class='{name}'>{body}</div></article></body>").count("\n") == 3
+
+
 def brute_main_text(html):
     """The choice of regions written out line by line, for pages without marked articles."""
     lines = htmltext.read(html)
