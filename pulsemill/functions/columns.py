@@ -67,3 +67,8 @@ def reach_back(keys: Sequence[str], order: Sequence[str], ahead: bool = False, u
     """
     by = [F.col(c).desc() for c in order] if ahead else order
     return over(keys, by).rowsBetween(Window.unboundedPreceding, upto)
+
+
+def whole(keys: Sequence[str], order: Sequence[str]) -> Window:
+    """The frame of all rows of a key, added up in their order."""
+    return over(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import over, reach_back, safe_div
+from ..functions.columns import over, reach_back, safe_div, whole
 
 
 def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:
@@ -25,13 +25,12 @@ def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
 
 
 def moving_mean(rows: DataFrame, keys: Sequence[str], column: str, width: int, out: str) -> DataFrame:
-    """Mean of the ``width`` // 2 neighbours on either side and the row itself, as far as they exist, from running sums."""
-    half, w = width // 2, over(keys, ["i"])
-    upto = rows.withColumn("__s", F.sum(column).over(reach_back(keys, ["i"])))
-    last, n = F.sum(column).over(over(keys)), F.count("*").over(over(keys))
-    total = F.coalesce(F.lead("__s", half).over(w), last) - F.coalesce(F.lag("__s", half + 1).over(w), F.lit(0.0))
-    size = F.least(F.col("i") + half, n - 1) - F.greatest(F.col("i") - half, F.lit(0)) + 1
-    return upto.withColumn(out, total / size).drop("__s")
+    """Mean of the ``width`` // 2 neighbours on either side and the row itself, as far as they exist.
+
+    Each frame is summed by itself: differences of running sums carry the rounding of all rows before, which settles ties.
+    """
+    half = width // 2
+    return rows.withColumn(out, F.avg(column).over(over(keys, ["i"]).rowsBetween(-half, half)))
 
 
 def energy_peaks(rows: DataFrame, keys: Sequence[str], energy: Column, short: int, long: int, factor: float = 1.0, offset: float = 0.0, least: float = 0.0, share: float = 0.0, apart: int = 0) -> DataFrame:
@@ -43,7 +42,7 @@ def energy_peaks(rows: DataFrame, keys: Sequence[str], energy: Column, short: in
     """
     e = rows.withColumn("__e", energy)
     e = moving_mean(moving_mean(e, keys, "__e", short, "__short"), keys, "__e", long, "__long")
-    e = e.withColumn("__in", F.col("__short") > factor * F.col("__long") + offset * F.avg("__e").over(over(keys)))
+    e = e.withColumn("__in", F.col("__short") > factor * F.col("__long") + offset * F.avg("__e").over(whole(keys, ["i"])))
     e = e.withColumn("__new", F.coalesce((F.col("__in") != F.lag("__in").over(over(keys, ["i"]))).cast("int"), F.lit(1)))
     e = e.withColumn("__island", F.sum("__new").over(reach_back(keys, ["i"])))
     stretch = e.where("__in").groupBy(*keys, "__island").agg(F.count("*").alias("__n"), F.max_by(F.struct("i", "v"), F.struct("v", -F.col("i"))).alias("__p"))
