@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import over, safe_div
+from ..functions.columns import over, safe_div, whole
 from .stats import quantile_bounds
 
 
@@ -73,8 +73,11 @@ def refine_peaks(df: DataFrame, keys: Sequence[str], t: str, row_id: str, value:
 
 
 def zero_crossings(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, demean: bool = True) -> DataFrame:
-    """Samples after which the (demeaned) series changes its sign, with the direction."""
-    x = F.col(value) - F.avg(value).over(over(keys)) if demean else F.col(value)
+    """Samples after which the (demeaned) series changes its sign, with the direction.
+
+    The mean is summed in the order of the series: in the order of a shuffle its last bit, and so the sign of a value at the mean, would differ between runs.
+    """
+    x = F.col(value) - F.avg(value).over(whole(keys, order)) if demean else F.col(value)
     rows = df.withColumn("__x", x).withColumn("__next", F.lead("__x").over(over(keys, order)))
     up, down = (F.col("__x") < 0) & (F.col("__next") >= 0), (F.col("__x") >= 0) & (F.col("__next") < 0)
     return rows.withColumn("direction", F.when(up, "positive").when(down, "negative")).where("direction is not null").drop("__x", "__next")
