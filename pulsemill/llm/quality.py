@@ -7,8 +7,9 @@ is kept if its score reaches the threshold, which is read off the scores of the
 trusted documents: the first percentile less three times its distance to the
 median.  No randomness takes part.
 
-The target is a bounded sample of the trusted ids, ``max_target`` of them by a
-hash of the id; the raw counts and the scores cover every document.
+The target is every trusted document; the raw counts and the scores cover all
+documents.  Texts are shuffled once to meet their ids, since the ids
+grow with the table and are held by no task or driver as a whole.
 
 Edge cases: null and empty texts have no words, fail the base rules and get
 score 0.  Without trusted documents nothing is dropped by the score.  Repeated
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import exact_quantiles
 from .storage import stored
 from .textkit import U64, Chunk, as_bytes, chunks, mix, span_hash, table
 
@@ -68,11 +70,10 @@ def histograms(batches):
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", id_col: str = "doc_id", max_target: int = 20_000) -> tuple[np.ndarray | None, DataFrame]:
-    """Log ratios of target to raw by bucket, and the ids of the bounded target sample."""
-    trusted = trusted_ids.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
-    sample = stored(trusted.orderBy(F.xxhash64("__id"), "__id").limit(max_target), "target")
-    marked = docs.select(F.col(id_col).alias("__id"), as_bytes(text).alias("__text")).join(F.broadcast(sample.withColumn("__hit", F.lit(True))), "__id", "left")
+def fit(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[np.ndarray | None, DataFrame]:
+    """Log ratios of target to raw by bucket, and the distinct ids of the target."""
+    trusted = stored(trusted_ids.select(F.col(id_col).alias("__id")).where("__id is not null").distinct(), "target")
+    marked = docs.select(F.col(id_col).alias("__id"), as_bytes(text).alias("__text")).join(trusted.withColumn("__hit", F.lit(True)).hint("shuffle_hash"), "__id", "left")
     counts = (
         marked.select(F.coalesce("__hit", F.lit(False)).alias("__trusted"), "__text")
         .mapInArrow(histograms, "bucket int, raw long, target long")
@@ -83,10 +84,10 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", id_col: str
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
     if not target.sum():
-        return None, sample
+        return None, trusted
     smooth = 1e-7
     ratio = np.log(target / target.sum() + smooth) - np.log(raw / raw.sum() + smooth)
-    return ratio.astype(np.float32), sample
+    return ratio.astype(np.float32), trusted
 
 
 def measure(docs: DataFrame, ratio: np.ndarray | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -152,11 +153,11 @@ def base_counts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return c.count, chars, symbols, dup_lines, repeat
 
 
-def judge(measured: DataFrame, sample: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def judge(measured: DataFrame, trusted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds base_failed, threshold and kept."""
-    scores = measured.join(F.broadcast(sample), measured[id_col] == sample["__id"], "left_semi").where("n_words > 0")
-    low, mid = scores.agg(F.percentile("score", 0.01), F.percentile("score", 0.5)).first()
-    threshold = None if low is None else float(low - 3 * (mid - low))
+    scores = measured.where("n_words > 0").select(id_col, "score").join(trusted, F.col(id_col) == F.col("__id"), "left_semi")
+    marks = exact_quantiles(scores, ["score"], (0.01, 0.5)).first()
+    threshold = None if marks is None else float(marks.q0 - 3 * (marks.q1 - marks.q0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     good = F.lit(True) if threshold is None else F.col("score") >= threshold
     return measured.withColumn("base_failed", failed).withColumn("threshold", F.lit(threshold).cast("double")).withColumn("kept", ~failed & good)
@@ -164,5 +165,5 @@ def judge(measured: DataFrame, sample: DataFrame, id_col: str = "doc_id") -> Dat
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    ratio, sample = fit(docs, labels.where("quality = 1"))
-    return judge(stored(measure(docs, ratio), "quality"), sample)
+    ratio, trusted = fit(docs, labels.where("quality = 1"))
+    return judge(stored(measure(docs, ratio), "quality"), trusted)

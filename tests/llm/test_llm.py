@@ -712,6 +712,14 @@ def test_ratio_and_threshold_against_brute_force(docs, corpus):
     assert out[0].threshold == pytest.approx(limit) and all(r.kept == (not r.base_failed and r.score >= r.threshold) for r in out)
 
 
+def test_every_trusted_document_is_counted(spark):
+    """Where all documents are trusted, target and raw are the same counts."""
+    many = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("document number "), "id").alias("text"))
+    ratio, trusted = quality.fit(many, many)
+    assert trusted.count() == 20_500
+    assert not ratio.any()
+
+
 # ---- benchmark ------------------------------------------------------------------------------------
 
 
