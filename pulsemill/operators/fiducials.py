@@ -84,6 +84,19 @@ def _ruled(found: DataFrame, keys: Sequence[str], rule: str, backwards: bool) ->
     return found.groupBy(*keys).agg(F.min_by(F.struct("i", "v"), ends[rule]).alias("__x")).select(*keys, "__x.*")
 
 
+def turn(kind: str, backwards: bool, before: Column, after: Column) -> Column:
+    """Whether the slope changes its sign, by the differences to the samples before and after."""
+    return {
+        ("positive", False): (before < 0) & (after >= 0), ("positive", True): (before >= 0) & (after < 0),
+        ("negative", False): (before > 0) & (after <= 0), ("negative", True): (before <= 0) & (after > 0),
+    }.get((kind, backwards), F.signum(before) != F.signum(after))
+
+
+def crossing(kind: str, v: Column, after: Column) -> Column:
+    """Whether the next sample is across zero."""
+    return {"positive": (v < 0) & (after >= 0), "negative": (v > 0) & (after <= 0)}.get(kind, (v == 0) & (after != 0))
+
+
 def slope_reversals(rows: DataFrame, keys: Sequence[str], kind: str = "both", backwards: bool = False, rule: str = "all") -> DataFrame:
     """Places where the slope changes its sign: ``positive`` from falling to not falling, ``negative`` from rising to not rising.
 
@@ -92,11 +105,7 @@ def slope_reversals(rows: DataFrame, keys: Sequence[str], kind: str = "both", ba
     """
     w = over(keys, ["i"])
     before, after = F.col("v") - F.lag("v").over(w), F.lead("v").over(w) - F.col("v")
-    turn = {
-        ("positive", False): (before < 0) & (after >= 0), ("positive", True): (before >= 0) & (after < 0),
-        ("negative", False): (before > 0) & (after <= 0), ("negative", True): (before <= 0) & (after > 0),
-    }.get((kind, backwards), F.signum(before) != F.signum(after))
-    return _ruled(rows.withColumn("__t", turn).where("__t").select(*keys, "i", "v"), keys, rule, backwards)
+    return _ruled(rows.withColumn("__t", turn(kind, backwards, before, after)).where("__t").select(*keys, "i", "v"), keys, rule, backwards)
 
 
 def zero_crossings(rows: DataFrame, keys: Sequence[str], kind: str = "both", backwards: bool = False, rule: str = "all") -> DataFrame:
@@ -106,8 +115,7 @@ def zero_crossings(rows: DataFrame, keys: Sequence[str], kind: str = "both", bac
     gives the place behind the end, with the last value, where there is none.
     """
     v, after = F.col("v"), F.lead("v").over(over(keys, ["i"]))
-    cross = {"positive": (v < 0) & (after >= 0), "negative": (v > 0) & (after <= 0)}.get(kind, (v == 0) & (after != 0))
-    marked = rows.withColumn("__t", F.coalesce(cross, F.lit(False)))
+    marked = rows.withColumn("__t", F.coalesce(crossing(kind, v, after), F.lit(False)))
     if rule != "last":
         return _ruled(marked.where("__t").select(*keys, "i", "v"), keys, rule, backwards)
     side = F.col("i") if not backwards else -F.col("i")
@@ -115,6 +123,55 @@ def zero_crossings(rows: DataFrame, keys: Sequence[str], kind: str = "both", bac
     return out.select(*keys, F.coalesce("__x.i", "__n").alias("i"), F.coalesce("__x.v", "__v").alias("v"))
 
 
+def every_rule(rows: DataFrame, keys: Sequence[str], found: dict[tuple, Column], rules: dict[str, Sequence[str]], names: Sequence[str]) -> DataFrame:
+    """Rows (keys, names, rule, i, v) of all kinds of places and all rules in one pass over the rows.
+
+    ``found`` has a condition for each kind, a tuple of values for ``names``; ``rules`` the rules of each kind besides ``all``.
+    One branch for each kind and rule would hold as many sorts in each task.
+    """
+    whole_key, here = over(keys), F.struct("i", "v")
+    marked = rows.withColumns({f"__{n}": F.coalesce(c, F.lit(False)) for n, c in enumerate(found.values())})
+    by = {"first": F.col("i"), "last": -F.col("i"), "max": F.struct(-F.col("v"), F.col("i")), "min": F.struct(F.col("v"), F.col("i"))}
+    picks, hits = {}, []
+    for n, kind in enumerate(found):
+        own = [F.lit("all")]
+        for rule in rules[kind]:
+            picks[f"__{n}_{rule}"] = F.min(F.when(F.col(f"__{n}"), by[rule])).over(whole_key)
+            own.append(F.when(F.col(f"__{n}_{rule}") == by[rule], F.lit(rule)))
+        labels = [F.lit(x).alias(name) for x, name in zip(kind, names, strict=True)]
+        hits.append(F.when(F.col(f"__{n}"), F.struct(*labels, F.filter(F.array(*own), lambda r: r.isNotNull()).alias("rules"))))
+    out = marked.withColumns(picks).select(*keys, here.alias("__at"), F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("__h"))
+    return out.select(*keys, *[f"__h.{n}" for n in names], F.explode("__h.rules").alias("rule"), "__at.*")
+
+
+def ruled_reversals(rows: DataFrame, keys: Sequence[str], rules: dict[tuple[str, bool], Sequence[str]]) -> DataFrame:
+    """Rows (keys, kind, backwards, rule, i, v) of ``slope_reversals`` of each (kind, backwards) under all and each of its rules; ``last`` stands for the first one seen backwards."""
+    w = over(keys, ["i"])
+    x = rows.withColumns({"__before": F.col("v") - F.lag("v").over(w), "__after": F.lead("v").over(w) - F.col("v")})
+    found = {kind: turn(*kind, F.col("__before"), F.col("__after")) for kind in rules}
+    seen = {kind: [("last" if kind[1] and r == "first" else r) for r in own] for kind, own in rules.items()}
+    return every_rule(x, keys, found, seen, ("kind", "backwards")).withColumn("rule", F.when(F.col("backwards") & (F.col("rule") == "last"), "first").otherwise(F.col("rule")))
+
+
+def ruled_crossings(rows: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """Rows (keys, kind, rule, i, v) of ``zero_crossings`` of each kind under the rules all, first and last."""
+    after, whole_key, end = F.lead("v").over(over(keys, ["i"])), over(keys), F.max("i").over(over(keys))
+    x = rows.withColumns({"__after": after, "__end": F.col("i") == end})
+    # the last row of a key stands for the place behind the end, where a kind has no crossing
+    x = x.withColumns({f"__c_{k}": F.coalesce(crossing(k, F.col("v"), F.col("__after")), F.lit(False)) for k in kinds})
+    x = x.withColumns({f"__none_{k}": ~F.max(f"__c_{k}").over(whole_key) & F.col("__end") for k in kinds})
+    for k in kinds:
+        for rule, side in (("first", F.min), ("last", F.max)):
+            x = x.withColumn(f"__{rule}_{k}", side(F.when(F.col(f"__c_{k}"), F.col("i"))).over(whole_key))
+    rows_of = lambda k: [
+        F.when(F.col(f"__c_{k}"), F.struct(F.lit(k).alias("kind"), F.lit("all").alias("rule"), F.col("i").alias("i"))),
+        *[F.when(F.col(f"__c_{k}") & (F.col(f"__{r}_{k}") == F.col("i")), F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rule"), F.col("i").alias("i"))) for r in ("first", "last")],
+        F.when(F.col(f"__none_{k}"), F.struct(F.lit(k).alias("kind"), F.lit("last").alias("rule"), (F.col("i") + 1).alias("i"))),
+    ]
+    hits = F.filter(F.array(*[h for k in kinds for h in rows_of(k)]), lambda h: h.isNotNull())
+    return x.select(*keys, "v", F.explode(hits).alias("__h")).select(*keys, "__h.*", "v")
+
+
 def search_windows(rows: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """The samples of windows of ``width`` samples that overlap by two, with their ``window``; only whole windows."""
     step = width - 2

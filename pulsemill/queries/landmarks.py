@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import beats, fiducials, hrv, modalities, peaks, stats
@@ -17,12 +18,13 @@ CENTRED = f"{WAVE}, c AS (SELECT fin, i, v - quantile_cont(v, 0.5) OVER (PARTITI
 
 
 def wave(spark, sf_dir):
-    return fiducials.indexed(samples(spark, sf_dir), KEYS, ["t", "sample_id"])
+    """In as many tasks as ``spark.sql.shuffle.partitions`` says: joined into few by their bytes, small as these are when compressed, tasks would grow with the table."""
+    dealt = samples(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+    return fiducials.indexed(dealt, KEYS, ["t", "sample_id"])
 
 
 def centred(spark, sf_dir):
-    x = wave(spark, sf_dir)
-    return x.join(x.groupBy("fin").agg(F.percentile("v", 0.5).alias("m")), "fin").select("fin", "i", (F.col("v") - F.col("m")).alias("v"))
+    return wave(spark, sf_dir).select("fin", "i", (F.col("v") - F.percentile("v", 0.5).over(Window.partitionBy(*KEYS))).alias("v"))
 
 
 TURNS = {
@@ -43,12 +45,8 @@ def reversals_sql() -> str:
 @query(reversals_sql())
 def slope_reversals(spark, sf_dir):
     """Slope reversals of each type, direction and rule."""
-    x, out = wave(spark, sf_dir), None
-    for kind, backwards in TURNS:
-        for rule in ("all", *(r for r, b in PICKS if b == backwards)):
-            own = fiducials.slope_reversals(x, KEYS, kind, backwards, rule).select("fin", F.lit(kind).alias("kind"), F.lit(backwards).alias("backwards"), F.lit(rule).alias("rule"), "i", "v")
-            out = own if out is None else out.unionByName(own)
-    return out
+    rules = {(kind, backwards): [r for r, b in PICKS if b == backwards] for kind, backwards in TURNS}
+    return fiducials.ruled_reversals(wave(spark, sf_dir), KEYS, rules)
 
 
 CROSSES = {"positive": "v < 0 AND b >= 0", "negative": "v > 0 AND b <= 0", "both": "v = 0 AND b <> 0"}
@@ -66,12 +64,7 @@ def crossings_sql() -> str:
 @query(crossings_sql())
 def zero_crossing_rules(spark, sf_dir):
     """Zero crossings of each type and rule."""
-    x, out = centred(spark, sf_dir), None
-    for kind in CROSSES:
-        for rule in ("all", "first", "last"):
-            own = fiducials.zero_crossings(x, KEYS, kind, rule=rule).select("fin", F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), "i", "v")
-            out = own if out is None else out.unionByName(own)
-    return rounded(out)
+    return rounded(fiducials.ruled_crossings(centred(spark, sf_dir), KEYS, list(CROSSES)))
 
 
 @query(
