@@ -3,7 +3,8 @@
 A level of a round's trees, one for each class, is one aggregate: tasks add up
 gradients and second derivatives by node, feature and bin, Spark adds the tasks'
 sums, and the driver picks the splits; what it sees is bounded by classes, nodes,
-features and bins.  Scores are stored after each round.
+features and bins.  Scores are stored after each round.  Under the squared loss rows
+of equal bins always have equal scores, so they are one row of the state.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 from .trees import Tree
 
-STATE = "id {kind}, y double, bins binary, scores array<double>"
+#: Rows of equal bins and scores: their mean label, their number, their squared deviations from it, their bins and scores.
+STATE = "y double, n double, rest double, bins binary, scores array<double>"
 
 
 class Growing:
@@ -75,10 +77,10 @@ def slopes(scores: np.ndarray, y: np.ndarray, objective: str) -> tuple[np.ndarra
     return gap, np.ones_like(gap), (gap[:, 0] ** 2) / 2
 
 
-def unpacked(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
     bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, features)
     scores = batch.column("scores").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    return bins, scores, batch.column("y").to_numpy(zero_copy_only=False)
+    return bins, scores, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "n", "rest"))
 
 
 def level_sums(growing: Sequence[Growing], features: int, bins: int, objective: str):
@@ -91,9 +93,10 @@ def level_sums(growing: Sequence[Growing], features: int, bins: int, objective:
         loss = rows = 0
         for batch in batches:
             if batch.num_rows:
-                b, scores, y = unpacked(batch, features)
+                b, scores, y, n_equal, rest = unpacked(batch, features)
                 grad, hess, lost = slopes(scores, y, objective)
-                loss, rows = loss + lost.sum(), rows + len(y)
+                grad, hess = grad * n_equal[:, None], hess * n_equal[:, None]
+                loss, rows = loss + (lost * n_equal + rest / 2).sum(), rows + n_equal.sum()
                 cell = b + np.arange(features) * bins
                 for k, tree in enumerate(growing):
                     at = tree.at(b)
@@ -167,11 +170,15 @@ def boost(
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, m)
                 held = np.stack([np.searchsorted(cuts[f], x[:, f]) for f in range(m)], 1).astype(np.uint8)
                 scores = [[start] * outputs] * batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([r.tobytes() for r in held], pa.binary()), pa.array(scores, pa.list_(pa.float64()))], ["id", "y", "bins", "scores"])
-
-    schema = STATE.format(kind=df.schema[row_id].dataType.simpleString())
-    rows = known.select(F.col(row_id).alias("id"), F.col(label).cast("double").alias("y"), vector_to_array(features).alias("x"))
-    state = staged(rows.mapInArrow(prepare, schema), "boost")
+                one, none = np.ones(batch.num_rows), np.zeros(batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(one), pa.array(none), pa.array([r.tobytes() for r in held], pa.binary()), pa.array(scores, pa.list_(pa.float64()))], ["y", "n", "rest", "bins", "scores"])
+
+    rows = known.select(F.col(label).cast("double").alias("y"), vector_to_array(features).alias("x"))
+    dealt = rows.mapInArrow(prepare, STATE)
+    if objective == "squared":
+        equal = dealt.groupBy("bins").agg(F.avg("y").alias("y"), F.sum("n").alias("n"), (F.var_pop("y") * F.count("y")).alias("rest"), F.first("scores").alias("scores"))
+        dealt = equal.select("y", "n", "rest", "bins", "scores")
+    state = staged(dealt, "boost")
     width = max(map(len, cuts)) + 1
     leaf = (np.array([v]) for v in (-1, -1, -1, np.nan, 1.0))
     forest = [Tree(*leaf, np.full((1, outputs), start), {})]
@@ -216,11 +223,11 @@ def boost(
         def move(batches: Iterable[pa.RecordBatch], growing=growing, values=values) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    b, scores, _ = unpacked(batch, m)
+                    b, scores, *_ = unpacked(batch, m)
                     new = scores + np.stack([v[t.at(b)] for t, v in zip(growing, values, strict=True)], 1)
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new.tolist(), pa.list_(pa.float64()))], batch.schema.names)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new.tolist(), pa.list_(pa.float64()))], batch.schema.names)
 
-        state = staged(state.mapInArrow(move, schema), "boost")
+        state = staged(state.mapInArrow(move, STATE), "boost")
     losses.append(sums([])[1])
     return forest, losses
 

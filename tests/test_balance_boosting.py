@@ -125,3 +125,21 @@ def test_missing_values_go_right(spark):
     forest, losses = boosting.boost(df, "id", "y", objective="squared", rounds=3, depth=1, rate=1.0, penalty=0.0)
     assert losses[-1] < 1e-12
     assert {r.id: round(r.prediction, 6) for r in boosting.scored(forest, df.limit(8), "id", objective="squared").collect()} == {i: 5.0 if i % 4 == 0 else 0.0 for i in range(8)}
+
+
+def test_rows_of_equal_bins_are_one_row_of_the_state(spark, monkeypatch):
+    sizes = []
+    plain = boosting.staged
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(boosting, "staged", counted)
+    df = spark.range(300).select("id", F.col("id").cast("double").alias("y"), array_to_vector(F.array((F.col("id") % 3).cast("double"))).alias("features"))
+    _, losses = boosting.boost(df, "id", "y", objective="squared", rounds=2, depth=2, rate=1.0, penalty=0.0)
+    assert sizes == [3, 3, 3]
+    y = np.arange(300.0)
+    means = np.array([y[i % 3 :: 3].mean() for i in range(300)])
+    assert losses == pytest.approx([((y - y.mean()) ** 2).mean() / 2, *[((y - means) ** 2).mean() / 2] * 2])
