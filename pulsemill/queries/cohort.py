@@ -18,8 +18,11 @@ HORIZONS = (28, 7, 2)
 
 
 def cohort_events(spark, sf_dir):
+    """In as many tasks as ``spark.sql.shuffle.partitions`` says: joined into few by their compressed bytes, tasks would grow with the table."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate", "l_extendedprice", "l_returnflag", "l_quantity")
+    o, li = o.repartition(parts, "o_orderkey"), li.repartition(parts, "l_orderkey")
     return o.join(li, o.o_orderkey == li.l_orderkey).select(
         F.col("o_orderkey").alias("fin"), F.col("o_custkey").alias("study"), F.col("o_orderdate").alias("onset"), F.col("l_shipdate").alias("at"),
         days_floor("l_shipdate", "o_orderdate").alias("day"),

@@ -37,3 +37,9 @@ def test_one_branch_holds_all_rules(spark, name):
     """Branches of a union of equally dealt tables are held by one task together."""
     plan = QUERIES[name](spark, SF).select(F.count("*").over(fiducials.over(["fin"])))._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan
+
+
+@pytest.mark.parametrize("name", ["free_days_28_7_2", "horizon_flags_1_2_7_28"])
+def test_events_of_encounters_stay_in_their_tasks(spark, name):
+    """As many tasks as configured, however small their compressed bytes are."""
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
