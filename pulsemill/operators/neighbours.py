@@ -1,10 +1,12 @@
 """Nearest neighbours of all rows, and a layout of their graph in the plane (inventory M12).
 
-The neighbour graph is found in two steps, neither of which forms all pairs: rows
-are put in an order by the signs of random projections several times, and each
-stretch of an order is searched in full; then neighbours of one row are tried as
-neighbours of each other, round by round, until few pairs change.  The layout
-moves the rows' places by the graph's attraction and by repulsion from random
+The neighbour graph is found in two steps, neither of which forms all pairs of a
+large table: rows are put in an order by the signs of random projections several
+times, and each stretch of an order is searched in full; then the rows are cut into
+cells about k-means centres, and each row visits the cells nearest to it, a few a
+round, until few pairs change.  A vector moves once for each cell that its row
+visits; what moves back are the pairs that beat the row's farthest neighbour.  The
+layout moves the rows' places by the graph's attraction and by repulsion from random
 rows, an epoch for a pass over the edges.
 """
 
@@ -14,10 +16,12 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.columns import over
 from ..sources.staging import staged
@@ -26,6 +30,8 @@ from ..sources.staging import staged
 STRETCH = 512
 #: Rows of a task of an order, about.
 TASK_ROWS = 16_384
+#: Rows of a cell at most, about; cells that a row visits in a round; rows that visit a cell in one task, about.
+CELL_ROWS, VISITS, GUESTS = 8192, 4, 32_768
 GRAPH = "id long, other long, distance double"
 
 
@@ -43,23 +49,36 @@ def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(square)
 
 
-def least(ids: np.ndarray, others: np.ndarray, distance: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k nearest others of each row of a matrix of distances, without itself."""
+def straight(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of some rows of x to some of y, pair by pair."""
+    parts = [np.sqrt(((x[i[a : a + 65_536]] - y[j[a : a + 65_536]]) ** 2).sum(1)) for a in range(0, len(i), 65_536)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
+def least(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, distance: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k nearest others of each row of a matrix of distances, without itself; their distances are taken from the vectors again, so that each pair has one at all places."""
     distance = np.where(ids[:, None] == others[None, :], np.inf, distance)
     k = min(k, distance.shape[1])
     at = np.argpartition(distance, k - 1, 1)[:, :k]
-    d = np.take_along_axis(distance, at, 1)
-    good = np.isfinite(d)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[good.ravel()], pa.int64()), pa.array(others[at][good], pa.int64()), pa.array(d[good], pa.float64())], ["id", "other", "distance"])
+    i, j = np.nonzero(np.isfinite(np.take_along_axis(distance, at, 1)))
+    j = at[i, j]
+    return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(others[j], pa.int64()), pa.array(straight(x, y, i, j))], ["id", "other", "distance"])
 
 
 def nearest(pairs: DataFrame, k: int, keep: Sequence[str] = ()) -> DataFrame:
     """The k nearest distinct others of each row, by distance and then by id."""
-    once = pairs.groupBy("id", "other").agg(F.min("distance").alias("distance"), *[F.max(c).alias(c) for c in keep])
+    once = pairs.repartition("id").groupBy("id", "other").agg(F.min("distance").alias("distance"), *[F.max(c).alias(c) for c in keep])
     rank = F.row_number().over(over(["id"], ["distance", "other"]))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def vectors(df: DataFrame, row_id: str, values: str) -> DataFrame:
+    """Rows (id, v); floats stay floats, as they are half as long where they move, and distances are of doubles in any case."""
+    kind = df.schema[values].dataType
+    floats = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    return df.select(F.col(row_id).cast("long").alias("id"), F.col(values).cast("array<float>" if floats else "array<double>").alias("v"))
+
+
 def stretches(rows: DataFrame, k: int, orders: int, seed: int) -> DataFrame:
     """Pairs (id, other, distance) of near rows from ``orders`` random orders of the rows (id, v)."""
     size = len(rows.first()["v"])
@@ -73,7 +92,7 @@ def stretches(rows: DataFrame, k: int, orders: int, seed: int) -> DataFrame:
                 at = rows_matrix(batch.column("v")) @ planes.reshape(-1, size).T
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.tolist(), pa.list_(pa.float64()))], ["id", "v", "at"])
 
-    placed = staged(rows.select("id", "v").mapInArrow(project, "id long, v array<double>, at array<double>"), "projected")
+    placed = staged(rows.select("id", "v").mapInArrow(project, f"id long, v {rows.schema['v'].dataType.simpleString()}, at array<double>"), "projected")
     middle = placed.agg(*[F.percentile_approx(F.col("at")[i], 0.5, 1000) for i in range(orders * (bits + 1))]).first()
     codes = []
     for o in range(orders):
@@ -88,86 +107,169 @@ def stretches(rows: DataFrame, k: int, orders: int, seed: int) -> DataFrame:
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half, before, held = STRETCH // 2, None, []
 
-        def seen(part: tuple, last: tuple | None) -> Iterator[pa.RecordBatch]:
-            """Each half with itself and the one before it; both ways."""
-            ids, x, order = part
-            for other_ids, y, other_order in ([part] if last is None else [part, last]):
-                d = np.where(order[:, None] == other_order[None, :], gaps(x, y), np.inf)
-                yield least(ids, other_ids, d, k)
-                if other_ids is not ids:
-                    yield least(other_ids, ids, d.T, k)
+        def seen(part: tuple, last: tuple | None) -> tuple:
+            """The part with the matrices of distances to itself and to the half before it; that one gets its distances to the part."""
+            (ids, x, order), found = part, []
+            for other_ids, y, other_order, *_ in ([part] if last is None else [part, last]):
+                found.append((other_ids, y, np.where(order[:, None] == other_order[None, :], gaps(x, y), np.inf)))
+            if last is not None:
+                last[3].append((ids, x, found[1][2].T))
+            return (*part, found)
+
+        def done(part: tuple) -> pa.RecordBatch:
+            """A half's rows and their nearest in it and in the halves to both sides."""
+            others, y, d = zip(*part[3], strict=True)
+            return least(part[0], part[1], np.concatenate(others), np.concatenate(y), np.concatenate(d, 1), k)
 
         for batch in batches:
             held.append((batch.column("id").to_numpy(), rows_matrix(batch.column("v")), batch.column("order").to_numpy()))
             ids, x, order = (np.concatenate([h[i] for h in held]) for i in range(3))
             held = []
             while len(ids) >= half:
-                part = (ids[:half], x[:half], order[:half])
-                yield from seen(part, before)
+                part = seen((ids[:half], x[:half], order[:half]), before)
+                if before is not None:
+                    yield done(before)
                 before, (ids, x, order) = part, (ids[half:], x[half:], order[half:])
             if len(ids):
                 held = [(ids, x, order)]
         if held:
-            yield from seen(held[0], before)
+            part = seen(held[0], before)
+            if before is not None:
+                yield done(before)
+            before = part
+        if before is not None:
+            yield done(before)
 
     return dealt.select("id", "v", "order").mapInArrow(search, GRAPH)
 
 
-def tried(rows: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
-    """Pairs (id, other, distance) among a row, its neighbours and those whose neighbour it is, where one is new there and the pair beats the farthest neighbour of its first.
+def routed(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """Rows (id, v, cells, bounds): the ``most`` cells nearest to each row (id, v), its own first, and how near their rows can be at least.
 
-    Those whose neighbour a row is may be many; they are dealt anew in each turn to
-    lists of about k, each with the row's own neighbours, so that no list grows.
+    A cell holds the rows of a k-means centre, or a part of them where they are more
+    than CELL_ROWS.  A row of another centre's cell lies behind the plane between both
+    centres, so it can't be nearer than that.
     """
-    far = graph.groupBy(F.col("id").alias("node")).agg(F.max("distance").alias("far"))
-    points = rows.select(F.col("id").alias("node"), "v").join(far, "node")
-    back = graph.groupBy(F.col("other").alias("id")).agg(F.ceil(F.count("*") / k).cast("int").alias("lists"))
-    own = graph.select("id", F.col("other").alias("node"), "fresh", F.lit(True).alias("own"))
-    itself = rows.select("id", F.col("id").alias("node"), F.lit(False).alias("fresh"), F.lit(True).alias("own"))
-    others = graph.select(F.col("other").alias("id"), F.col("id").alias("node"), "fresh", F.lit(False).alias("own"))
-    every = own.unionByName(itself).unionByName(others).join(back, "id", "left").withColumn("lists", F.coalesce("lists", F.lit(1)))
-    dealt = F.array(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lists")).cast("int"))
-    every = every.select("id", "node", "fresh", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("lists") - 1)).otherwise(dealt)).alias("list"))
-    links = every.groupBy("id", "list", "node").agg(F.max("fresh").alias("fresh"))
-    lists = links.join(points, "node").groupBy("id", "list").agg(F.collect_list(F.struct("node", "v", "far", "fresh")).alias("near"))  # about 2 k
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = rows.count()
+    k = -(-n // CELL_ROWS)
+    centres = np.zeros((1, len(rows.first()["v"])))
+    if k > 1:
+        model = KMeans(k=k, seed=seed, maxIter=4, initMode="random", featuresCol="__f").fit(rows.select(array_to_vector(F.col("v").cast("array<double>")).alias("__f")))
+        centres = np.array(model.clusterCenters())
+    apart = gaps(centres, centres)
+    kind = rows.schema["v"].dataType.simpleString()
+
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], []]
-            flat = batch.column("near")
-            starts, cells = np.append(flat.offsets.to_numpy(), []).astype(int), flat.values
-            nodes, far, fresh = (cells.field(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
-            x = rows_matrix(cells.field(1))
-            for a, z in zip(starts[:-1], starts[1:], strict=True):
-                d = gaps(x[a:z], x[a:z])
-                wanted = (fresh[a:z, None] | fresh[None, a:z]) & (d < far[a:z, None]) & (nodes[a:z, None] != nodes[None, a:z])
-                i, j = np.nonzero(wanted)
-                out[0].append(nodes[a + i])
-                out[1].append(nodes[a + j])
-                out[2].append(d[i, j])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["id", "other", "distance"])
-
-    return lists.select("near").mapInArrow(compare, GRAPH)
+            if batch.num_rows:
+                own = gaps(rows_matrix(batch.column("v")), centres).argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], ["id", "v", "deal", "centre"])
+
+    deal = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)).alias("deal")
+    own = staged(rows.select("id", "v", deal).mapInArrow(assign, f"id long, v {kind}, deal long, centre int"), "assigned")
+    parts = np.ones(len(centres), np.int64)
+    for centre, size in own.groupBy("centre").count().collect():  # a number for each centre
+        parts[centre] = -(-size // CELL_ROWS)
+    first = np.cumsum(parts) - parts
+    centre_of = np.repeat(np.arange(len(centres)), parts)
+    m = min(most, len(centre_of))
+
+    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d, centre = gaps(rows_matrix(batch.column("v")), centres), batch.column("centre").to_numpy()
+                mine = d[np.arange(len(d)), centre]
+                d[np.arange(len(d)), centre] = -1  # its own first
+                cell = first[centre] + batch.column("deal").to_numpy() % parts[centre]
+                far = d[:, centre_of]
+                far[np.arange(len(d)), cell] = -2
+                at = np.argpartition(far, m - 1, 1)[:, :m]
+                at = np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), 1, kind="stable"), 1)
+                other = centre_of[at]
+                to = np.take_along_axis(d, other, 1)
+                between = apart[centre[:, None], other]
+                bound = np.where(to < 0, 0, (to * to - (mine * mine)[:, None]) / np.maximum(2 * between, 1e-300))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(at.tolist(), pa.list_(pa.int32())), pa.array(np.maximum(bound, 0).tolist(), pa.list_(pa.float64()))], ["id", "v", "cells", "bounds"])
+
+    return staged(own.mapInArrow(route, f"id long, v {kind}, cells array<int>, bounds array<double>"), "routed")
+
+
+def within(x: np.ndarray, y: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of at least the k nearest rows of y to each row of x that are no farther than ``far``."""
+    scale = (x * x).sum(1)[:, None], (y * y).sum(1)
+    square = x @ y.T
+    square *= -2
+    square += scale[0]
+    square += scale[1]
+    slack = 1e-9 * (scale[0][:, 0] + scale[1].max())  # what rounding may do to differences of almost equal numbers
+    bound = far * far * (1 + 1e-9) + slack
+    chosen = square <= bound[:, None]
+    many = np.flatnonzero(chosen.sum(1) > 2 * k)
+    if len(many):
+        kth = np.partition(square[many], k - 1, 1)[:, k - 1]
+        chosen[many] &= square[many] <= (kth + 2 * slack[many])[:, None]
+    i, j = np.nonzero(chosen)
+    d = straight(x, y, i, j)
+    near = d <= far[i]
+    return i[near], j[near], d[near]
+
+
+def visited(rows: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
+    """Pairs (id, other, distance) of rows with rows of the VISITS cells that are theirs in this turn, where they are no farther than the farthest of k neighbours.
+
+    Cells that can't hold such a row are left out.  Where many rows visit a cell its
+    rows are sent to several tasks, each with some of the visitors.
+    """
+    far = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("far"))
+    turns = F.slice(F.arrays_zip("cells", "bounds"), turn * VISITS + 1, VISITS)
+    asked = rows.select("id", F.explode(turns).alias("at")).select("id", F.col("at.cells").alias("cell"), F.col("at.bounds").alias("bound"))
+    asked = asked.join(far, "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf")))).where(F.col("bound") <= F.col("far") * (1 + 1e-6))
+    asked = staged(asked.select("id", "cell", "far"), "visits")
+    tasks = staged(asked.groupBy("cell").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("tasks")), "tasks")  # a row for each cell
+    dealt = asked.join(F.broadcast(tasks), "cell").select("id", "cell", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("tasks")).cast("int").alias("task"), "far")
+    guests = rows.select("id", "v").join(dealt, "id").select(*[F.col(c).alias(c) for c in ("cell", "task", "id", "v", "far")])  # apart from the columns of hosts
+    hosts = rows.select("id", "v", F.col("cells")[0].alias("cell")).join(F.broadcast(tasks), "cell")
+    hosts = hosts.select("cell", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "id", "v")
+
+    def compare(own: pa.Table, others: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if own.num_rows and others.num_rows:
+            ids, y, guest, far = own["id"].to_numpy(), rows_matrix(own["v"]), others["id"].to_numpy(), others["far"].to_numpy()
+            for a in range(0, others.num_rows, STRETCH):
+                some = others.slice(a, STRETCH)
+                i, j, d = within(rows_matrix(some["v"]), y, far[a : a + STRETCH], k + 1)
+                u, v = guest[a + i], ids[j]
+                u, v, d, i = (c[u != v] for c in (u, v, d, i))
+                at = np.lexsort((v, d, i))
+                i = i[at]
+                at = at[np.arange(len(at)) - np.searchsorted(i, i) < k]
+                out.append((u[at], v[at], d[at]))
+        return pa.table(dict(zip(("id", "other", "distance"), (pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), strict=True)))
+
+    return hosts.groupBy("cell", "task").cogroup(guests.groupBy("cell", "task")).applyInArrow(compare, GRAPH)
 
 
 def neighbour_graph(df: DataFrame, row_id: str, values: str, k: int = 15, orders: int = 6, rounds: int = 8, pool: int | None = None, settled: float = 0.002, seed: int = 10) -> DataFrame:
     """Rows (id, other, distance, rank): the k nearest others of every row by Euclidean distance, nearly all of them right.
 
-    ``row_id`` must be a distinct whole number.  Rounds end when less than the share
-    ``settled`` of the pairs is new.  Of a table of k rows or fewer, all others are neighbours.
+    ``row_id`` must be a distinct whole number.  A row visits VISITS cells a round.  Rounds
+    end when less than the share ``settled`` of the pairs is new, or all cells have been
+    visited; then the result is exact.  ``pool`` neighbours are held meanwhile (k, if none is
+    given).  Of a table of k rows or fewer, all others are neighbours.
     """
-    rows = staged(df.select(F.col(row_id).cast("long").alias("id"), F.col(values).cast("array<double>").alias("v")), "rows")
+    rows = staged(vectors(df, row_id, values), "rows")
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([], f"{GRAPH}, rank int")
-    least_k, k = k, pool or 3 * k
-    graph = staged(nearest(stretches(rows, k, orders, seed).withColumn("fresh", F.lit(True)), k, ["fresh"]), "neighbours")
+    least_k, k = k, max(k, pool or k)
+    graph = staged(nearest(stretches(rows, k, orders, seed), k), "neighbours")
+    places = routed(rows, VISITS * rounds, seed) if rounds else rows
     for turn in range(rounds):
-        found = tried(rows, graph, k, turn).withColumn("fresh", F.lit(True)).withColumn("old", F.lit(False))
-        known = graph.select("id", "other", "distance", F.lit(False).alias("fresh"), F.lit(True).alias("old"))
-        both = nearest(known.unionByName(found), k, ["fresh", "old"]).withColumn("fresh", F.col("fresh") & ~F.col("old"))
-        graph = staged(both.drop("old"), "neighbours")
-        new, n = graph.agg(F.count_if("fresh"), F.count("*")).first()
+        if turn and places.where(F.size("cells") > turn * VISITS).isEmpty():
+            break
+        found = visited(places, graph, k, turn).withColumn("old", F.lit(False))
+        known = graph.select("id", "other", "distance", F.lit(True).alias("old"))
+        graph = staged(nearest(known.unionByName(found), k, ["old"]), "neighbours")
+        new, n = graph.agg(F.count_if(~F.col("old")), F.count("*")).first()
         if new < settled * n:
             break
     return graph.where(F.col("rank") <= least_k).select("id", "other", "distance", "rank")
@@ -243,7 +345,7 @@ def strip_epochs(anchors: np.ndarray, first: int, epochs: int, last: int, seed:
         y = np.zeros((len(ids), 2))
         y[at[-len(anchors) :]] = anchors["y"]
         head, tail, random = at[: len(own)], at[len(own) : 2 * len(own)], at[2 * len(own) :]
-        y[tail], y[head] = rows_matrix(edges["there"]), rows_matrix(edges["here"])
+        y[tail], y[head] = (np.stack([edges[f"{end}_{c}"].to_numpy() for c in "xy"], 1) for end in ("there", "here"))
         free = np.zeros(len(ids))
         free[head] = 1
         w = edges["w"].to_numpy()
@@ -261,7 +363,7 @@ def strip_epochs(anchors: np.ndarray, first: int, epochs: int, last: int, seed:
                 for _ in range(NEGATIVES):
                     pushed(y, head[part], rng.choice(random, len(part)), step)
         mine = np.flatnonzero(free)
-        return pa.table({"id": pa.array(ids[mine], pa.int64()), "y": pa.array(y[mine].tolist(), pa.list_(pa.float64()))})
+        return pa.table({"id": pa.array(ids[mine], pa.int64()), "x": y[mine, 0], "y": y[mine, 1]})
 
     return run
 
@@ -275,7 +377,7 @@ def layout(df: DataFrame, row_id: str, values: str, k: int = 30, rounds: int = 1
     edges at most, as an edge belongs to the row that found it; random rows that push
     are drawn from ANCHORS rows chosen anew in each round.
     """
-    rows = staged(df.select(F.col(row_id).cast("long").alias("id"), F.col(values).cast("array<double>").alias("v")), "rows")
+    rows = staged(vectors(df, row_id, values), "rows")
     n = rows.count()
     if n < 3:
         return rows.select(F.col("id").alias(row_id), F.lit(0.0).alias("x"), F.col("id").cast("double").alias("y"))
@@ -285,24 +387,27 @@ def layout(df: DataFrame, row_id: str, values: str, k: int = 30, rounds: int = 1
     found = graph.select("id", "other")
     sides = weights.join(found.select(F.col("id").alias("u"), F.col("other").alias("v"), F.lit(1).alias("forth")), ["u", "v"], "left")
     owner, far = F.when(F.col("forth").isNotNull(), F.col("u")).otherwise(F.col("v")), F.when(F.col("forth").isNotNull(), F.col("v")).otherwise(F.col("u"))
-    edges = staged(sides.select(owner.alias("id"), far.alias("other"), "w"), "edges")
-    placed = PCA(k=min(2, len(rows.first()["v"])), inputCol="__f", outputCol="__p").fit(at := rows.withColumn("__f", array_to_vector("v"))).transform(at)
+    owned = staged(sides.select(owner.alias("id"), far.alias("other"), "w"), "edges")
+    alone = rows.select("id").join(owned, "id", "left_anti").select("id", F.col("id").alias("other"), F.lit(0.0).alias("w"))  # so that each row has one
+    edges = staged(owned.unionByName(staged(alone, "edges")), "edges")
+    placed = PCA(k=min(2, len(rows.first()["v"])), inputCol="__f", outputCol="__p").fit(at := rows.withColumn("__f", array_to_vector(F.col("v").cast("array<double>")))).transform(at)
     start = placed.select("id", vector_to_array("__p").alias("p"))
     flat = F.element_at("p", -1)
     wide = start.agg(*[F.max(F.abs(c)) for c in (F.col("p")[0], flat)], *[F.avg(c) for c in (F.col("p")[0], flat)]).first()
     scale = 10 / max(wide[0], wide[1], 1e-300)
     noise = lambda s: (F.pmod(F.xxhash64("id", F.lit(s)), F.lit(10_000)) / 1e4 - 0.5) * 1e-3  # noqa: E731  # rows with equal vectors come apart
-    y = staged(start.select("id", F.array((F.col("p")[0] - wide[2]) * scale + noise(0), (flat - wide[3]) * scale + noise(1)).alias("y")), "places")
+    y = staged(start.select("id", ((F.col("p")[0] - wide[2]) * scale + noise(0)).alias("x"), ((flat - wide[3]) * scale + noise(1)).alias("y")), "places")
     strips = max(1, -(-n // STRIP_ROWS))
     for r in range(rounds):
         angle = np.pi * r * 0.618
-        along = F.col("y")[0] * float(np.cos(angle)) + F.col("y")[1] * float(np.sin(angle))
+        along = F.col("x") * float(np.cos(angle)) + F.col("y") * float(np.sin(angle))
         dealt = staged(y.repartitionByRange(strips, along, "id").withColumn("strip", F.spark_partition_id()), "strips")
-        some = dealt.orderBy(F.xxhash64("id", F.lit(r)), "id").limit(ANCHORS).select("id", "y").toPandas()
+        some = dealt.orderBy(F.xxhash64("id", F.lit(r)), "id").limit(ANCHORS).select("id", "x", "y").toPandas()
         anchors = np.zeros(len(some), [("id", np.int64), ("y", float, 2)])
-        anchors["id"], anchors["y"] = some.id.to_numpy(), np.array(some.y.tolist())
-        here = dealt.select("id", F.col("y").alias("here"), "strip")
-        there = dealt.select(F.col("id").alias("other"), F.col("y").alias("there"))
-        held = here.join(edges, "id", "left").select("id", "here", "strip", F.coalesce("other", "id").alias("other"), F.coalesce("w", F.lit(0.0)).alias("w")).join(there, "other")
-        y = staged(held.groupBy("strip").applyInArrow(strip_epochs(anchors, r * epochs, epochs, rounds * epochs, seed), "id long, y array<double>"), "places")
-    return y.select(F.col("id").alias(row_id), F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
+        anchors["id"], anchors["y"] = some.id.to_numpy(), some[["x", "y"]].to_numpy()
+        # the far end's place first, while edges are short
+        there = dealt.select(F.col("id").alias("other"), F.col("x").alias("there_x"), F.col("y").alias("there_y"))
+        here = dealt.select("id", "strip", F.col("x").alias("here_x"), F.col("y").alias("here_y"))
+        held = edges.join(there, "other").join(here, "id")
+        y = staged(held.groupBy("strip").applyInArrow(strip_epochs(anchors, r * epochs, epochs, rounds * epochs, seed), "id long, x double, y double"), "places")
+    return y.select(F.col("id").alias(row_id), "x", "y")
