@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +45,16 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
     return col(a) / F.nullif(col(b).cast("double"), F.lit(0.0))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: named inside a lambda it would be made anew for each element, and two names are two values there."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key together, in as many tasks as ``spark.sql.shuffle.partitions`` says; adaptive execution joins tasks by their bytes, few even where each row takes long."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def entropy_of_counts(counts: Sequence[Column], total: Column) -> Column:
     """Natural-log entropy of counts that add up to ``total``; zero counts don't matter."""
     terms = [F.when(c > 0, -(c / total) * F.log(c / total)).otherwise(F.lit(0.0)) for c in counts]

@@ -14,15 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import over, reach_back, safe_div
+from ..functions.columns import bound, over, reach_back, safe_div
 
 WIDTHS = (10, 25, 33, 50, 66, 75)
 
 
 def trapezoid(wave: Column) -> Column:
     """Area under an array over its least value, by trapezoids of width 1."""
-    inner = F.aggregate(wave, F.lit(0.0), lambda a, v: a + v) - (F.element_at(wave, 1) + F.element_at(wave, -1)) / 2
-    return F.when(F.size(wave) > 0, inner - F.array_min(wave) * (F.size(wave) - 1))
+
+    def area(x: Column) -> Column:
+        inner = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) - (F.element_at(x, 1) + F.element_at(x, -1)) / 2
+        return F.when(F.size(x) > 0, inner - F.array_min(x) * (F.size(x) - 1))
+
+    return bound(wave, area)
 
 
 def part(start: Column | int, stop: Column) -> Column:
@@ -41,8 +45,8 @@ def slope(place: Column) -> Column:
 
 def nearest(wave: Column, level: Column) -> Column:
     """Place of the value nearest to a level."""
-    gaps = F.transform(wave, lambda v: F.abs(v - level))
-    return F.array_position(gaps, F.array_min(gaps)) - 1
+    gaps = bound(level, lambda at: F.transform(wave, lambda v: F.abs(v - at)))
+    return bound(gaps, lambda g: F.array_position(g, F.array_min(g)) - 1)
 
 
 def pulse_features(rows: DataFrame, key: str, fs: float) -> DataFrame:
@@ -85,7 +89,7 @@ def pulse_features(rows: DataFrame, key: str, fs: float) -> DataFrame:
         width = (F.col("S") - nearest(part(0, F.col("S")), level) + nearest(part(F.col("S"), n), level)) * ms
         base[f"PW_{x}"] = F.when(good["S"], width)
     # statistics of the wave over its least value
-    lifted = F.transform(part(0, n), lambda v: v - F.array_min(part(0, n)))
+    lifted = bound(part(0, n), lambda x: bound(F.array_min(x), lambda low: F.transform(x, lambda v: v - low)))
     rows = rows.withColumns({"_w": F.when(length < ci + 180, lifted)} | base)
     total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, v: a + f(v))
     size = F.size("_w")
@@ -124,11 +128,17 @@ def _moments(rows: DataFrame, size: Column) -> DataFrame:
 
 def entropy(wave: Column, size: Column, bins: int = 30) -> Column:
     """Entropy in bits of the wave's histogram with equal bins; 0 for a flat one."""
-    low, high = F.array_min(wave), F.array_max(wave)
-    place = F.transform(wave, lambda v: F.least(F.lit(bins - 1), F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * bins)))
-    shares = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda x: x == b)) / size)
-    bits = F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))
-    return F.when(high > low, bits).when(high == low, 0.0)
+
+    def bits(place: Column) -> Column:
+        shares = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda x: x == b)) / size)
+        return F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+    def within(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        place = F.transform(wave, lambda v: F.least(F.lit(bins - 1), F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * bins)))
+        return F.when(high > low, bound(place, bits)).when(high == low, 0.0)
+
+    return bound(F.struct(F.array_min(wave).alias("low"), F.array_max(wave).alias("high")), within)
 
 
 def feature_names() -> list[str]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import dealt
 from . import kernels
 
 #: High-pass and low-pass in Hz and the order of each channel's filters, which must match.
@@ -16,6 +17,9 @@ FILTERS = {"II": (0.8, 60.0, 4), "Pleth": (0.5, 8.0, 2), "Resp": (0.1, 0.5, 2),
 #: Deviations that make an outlier before and after filtering, the share of flat samples from which a channel is no signal, and the median's width in seconds.
 BEFORE, AFTER, FLAT, MEDIAN_S = 6.0, 5.0, 0.8, 0.015
 
+#: Values of a batch that a task gives back, about.
+BATCH = 1 << 20
+
 
 def flat_samples(x: np.ndarray, least: int) -> np.ndarray:
     """Which samples are in a stretch of ``least`` or more equal ones."""
@@ -62,13 +66,24 @@ def condition(samples: DataFrame, keys: Sequence[str], order: Sequence[str], rat
     names = {name: kind for kind, name in channels.items()}
     fields = "".join(f"{k} {samples.schema[k].dataType.simpleString()}, " for k in keys)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(f"__o{j}", "ascending") for j in range(len(order))])
-        kind = names[table["channel"][0].as_py()]
-        x = conditioned(table["value"].to_numpy().astype(float), rates[kind], target, *FILTERS[kind])
-        same = {k: pa.array([table[k][0].as_py()] * len(x), table.schema.field(k).type) for k in [*keys, "channel"]}
-        return pa.table({**same, "i": pa.array(np.arange(len(x)), pa.int64()), "value": pa.array(x, pa.float64())})
-
+    same = [*keys, "channel"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, done, size, begin = batch.column("values"), [], 0, 0
+            for j, kind in enumerate(batch.column("channel").to_pylist()):
+                kind = names[kind]
+                done.append(conditioned(lists[j].values.to_numpy(zero_copy_only=False), rates[kind], target, *FILTERS[kind]))
+                size += len(done[-1])
+                if size >= BATCH or j + 1 == batch.num_rows:
+                    ends = pa.array(np.cumsum([0, *map(len, done)]), pa.int32())
+                    out = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(done), pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(begin, len(done)) for c in same], out], [*same, "values"])
+                    done, size, begin = [], 0, j + 1
+
+    at = [c for o in order for c in (F.col(o).isNull(), F.col(o))]  # nulls last
     held = samples.where(F.col(channel).isin(list(names)) & F.col(value).isNotNull())
-    held = held.select(*keys, F.col(channel).alias("channel"), *[F.col(o).alias(f"__o{j}") for j, o in enumerate(order)], F.col(value).cast("double").alias("value"))
-    return held.groupBy(*keys, "channel").applyInArrow(run, f"{fields}channel string, i long, value double")
+    held = held.select(*keys, F.col(channel).alias("channel"), F.struct(*[c.alias(f"o{j}") for j, c in enumerate(at)], F.col(value).cast("double").alias("value")).alias("x"))
+    lists = dealt(held, *same).groupBy(*same).agg(F.sort_array(F.collect_list("x")).alias("x")).select(*same, F.col("x.value").alias("values"))
+    found = lists.mapInArrow(run, f"{fields}channel string, values array<double>")
+    return found.select(*same, F.posexplode("values").alias("i", "value")).withColumn("i", F.col("i").cast("long"))

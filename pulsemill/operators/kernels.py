@@ -8,6 +8,7 @@ gives a null and the status of its error, never a failed task.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,19 @@ def butterworth(order: int, cutoff: float, fs: float, kind: str) -> list[tuple[n
     return sections
 
 
+@lru_cache(64)
+def block_matrices(b: tuple[float, ...], a: tuple[float, ...], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block's samples give to the block and to the state behind it, and what the state before it gives to the block and to the state."""
+    step, kick = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(size):
+        powers.append(powers[-1] @ step)
+    free = np.stack([p[0] for p in powers[:size]])
+    impulse = np.append(b[0], free[:-1] @ kick)
+    lag = np.arange(size)[:, None] - np.arange(size)
+    return np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0).T, np.stack([p @ kick for p in powers[size - 1 :: -1]]), free, powers[size]
+
+
 def run_section(b: np.ndarray, a: np.ndarray, x: np.ndarray, size: int = 64) -> np.ndarray:
     """One section over a series, started in its steady state for the first value.
 
@@ -47,18 +61,11 @@ def run_section(b: np.ndarray, a: np.ndarray, x: np.ndarray, size: int = 64) ->
     z2 = (b[2] - a[2] * gain) * x[0]
     state = np.array([(b[1] - a[1] * gain) * x[0] + z2, z2])
     v = np.concatenate([x, np.zeros(-len(x) % size)]).reshape(-1, size)
-    step, kick = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
-    powers = [np.eye(2)]
-    for _ in range(size):
-        powers.append(powers[-1] @ step)
-    free = np.stack([p[0] for p in powers[:size]])
-    impulse = np.append(b[0], free[:-1] @ kick)
-    lag = np.arange(size)[:, None] - np.arange(size)
-    own = v @ np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0).T
-    moved = v @ np.stack([p @ kick for p in powers[size - 1 :: -1]])
+    inside, onward, free, power = block_matrices(tuple(map(float, b)), tuple(map(float, a)), size)
+    own, moved = v @ inside, v @ onward
     for i in range(len(v)):
         own[i] += free @ state
-        state = powers[size] @ state + moved[i]
+        state = power @ state + moved[i]
     return own.reshape(-1)[: len(x)]
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import dealt
 from ..functions.registry import STATISTICS
 from ..sources.staging import staged, staged_all
 from . import beats, conditioning, fiducials, hrv, kernels, peaks, stats
@@ -88,7 +89,7 @@ def features(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fs:
     r, p = staged_all([trim(fiducials.r_peaks(ecg, KEY, fs)), trim(fiducials.pulse_peaks(ppg, KEY, fs))], "peaks")
     onsets = staged(fiducials.feet(ppg, p, KEY), "feet")
     marks = staged(fiducials.pulse_landmarks(ppg, onsets, KEY), "landmarks")
-    waves = fiducials.pulse_rows(marks, ppg, KEY)
+    waves = dealt(fiducials.pulse_rows(marks, ppg, KEY), *KEY)
     pulse = beats.pulse_features(waves, "key", fs)
     centre = kernels.per_series(waves, "key", "wave", {CENTRE[0]: lambda w: kernels.spectral_centroid(w - w.min(), fs)}, keep=["cycle"])
     rr, pp = staged_all([fiducials.intervals_ms(x, KEY, fs, "nn") for x in (r, p)], "intervals")
@@ -137,7 +138,7 @@ def whole_variability(nn: DataFrame) -> DataFrame:
     A key is one bounded segment, whose intervals are one array.
     """
     clean = staged(hrv.clean_intervals(nn, KEY, ["i"]).select("key", "i", F.col("clean").cast("double").alias("nn")).where("nn is not null"), "intervals")
-    arrays = clean.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "nn"))).alias("x")).select("key", F.col("x.nn").alias("values"))
+    arrays = dealt(clean, *KEY).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "nn"))).alias("x")).select("key", F.col("x.nn").alias("values"))
     every = {"TINN": kernels.triangle_base} | kernels.FREQUENCY | kernels.NONLINEAR | kernels.MULTISCALE
     found = kernels.per_series(arrays, "key", "values", every).drop("status").withColumnRenamed("CD", "CorrDim")  # names differ by more than case
     return variability(clean).join(found.select("key", *[F.col(c).alias(f"HRV_{c}") for c in found.columns if c != "key"]), "key", "full")

@@ -1,9 +1,12 @@
 """Conditioning of raw channels, and the whole chain on noisy channels of known rates."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pulsemill.operators import conditioning, modalities
+from pulsemill.operators import beats, conditioning, modalities
 
 
 def test_parts_of_conditioning():
@@ -53,3 +56,26 @@ def test_whole_chain_on_noisy_channels(spark):
     for name in ("HRV_TP", "HRV_SampEn", "HRV_MSE_0", "HRV_DFA_alpha1", "HRV_REC", "HRV_SDNN"):
         assert name in one
     assert 600 < one.T_rr_ms_valid_n * one.T_rr_ms_median / 75 < 800  # all but the beats at the ends
+
+
+def test_segments_are_dealt_to_as_many_tasks_as_configured(spark):
+    """Adaptive execution joined all of a small table's segments into one task, however long each takes; missing places come last."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (40, 50))
+    rows = [(u, "ii", None if i == 49 else i, float(v)) for u in range(40) for i, v in enumerate(x[u])]
+    samples = spark.createDataFrame(rows, "unit long, channel string, at int, value double").repartition(3)
+    out = conditioning.condition(samples, ["unit"], ["at"], {"II": 50.0}, 50.0, {"II": "ii"}).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in out}) == 4
+    found = {u: [r.value for r in sorted((r for r in out if r.unit == u), key=lambda r: r.i)] for u in range(40)}
+    assert all(np.array_equal(found[u], conditioning.conditioned(x[u], 50.0, 50.0, *conditioning.FILTERS["II"])) for u in range(40))
+
+
+def test_bins_of_a_wave_are_worked_out_once(spark):
+    """They were made anew for each bin, with the wave's ends anew for each value: 7 times 30 times the square of its length."""
+    x = np.random.default_rng(4).normal(0, 1, 6000)
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0, 1.0],), ([],), (None,), (x.tolist(),)], "w array<double>")
+    begin = time.monotonic()
+    got = [r[0] for r in df.select(beats.entropy(F.col("w"), F.size("w"))).collect()]
+    assert time.monotonic() - begin < 10
+    p = np.histogram(x, 30)[0] / len(x)
+    assert got[:4] == [pytest.approx(np.log2(3)), 0.0, None, None] and got[4] == pytest.approx(-(p[p > 0] * np.log2(p[p > 0])).sum(), abs=1e-3)
