@@ -30,8 +30,11 @@ from ..sources.staging import staged
 STRETCH = 512
 #: Rows of a task of an order, about.
 TASK_ROWS = 16_384
-#: Rows of a cell at most, about; cells that a row visits in a round; rows that visit a cell in one task, about.
-CELL_ROWS, VISITS, GUESTS = 8192, 4, 32_768
+#: Rows of a cell at most, about; numbers of its vectors at most; cells that a row visits in a round; rows that visit a cell in one task, about.
+#: A vector moves once for each cell that its row visits and once for each task that its own cell has, so large cells move less.
+CELL_ROWS, CELL_VALUES, VISITS, GUESTS = 65_536, 1 << 23, 4, 65_536
+#: Rows of a cell that half a stretch of visitors is compared with at once.
+BLOCK = 2048
 GRAPH = "id long, other long, distance double"
 
 
@@ -147,12 +150,13 @@ def routed(rows: DataFrame, most: int, seed: int) -> DataFrame:
     """Rows (id, v, cells, bounds): the ``most`` cells nearest to each row (id, v), its own first, and how near their rows can be at least.
 
     A cell holds the rows of a k-means centre, or a part of them where they are more
-    than CELL_ROWS.  A row of another centre's cell lies behind the plane between both
+    than the cell's limit.  A row of another centre's cell lies behind the plane between both
     centres, so it can't be nearer than that.
     """
-    n = rows.count()
-    k = -(-n // CELL_ROWS)
-    centres = np.zeros((1, len(rows.first()["v"])))
+    n, size = rows.count(), len(rows.first()["v"])
+    limit = max(1, min(CELL_ROWS, CELL_VALUES // size))
+    k = -(-n // limit)
+    centres = np.zeros((1, size))
     if k > 1:
         model = KMeans(k=k, seed=seed, maxIter=4, initMode="random", featuresCol="__f").fit(rows.select(array_to_vector(F.col("v").cast("array<double>")).alias("__f")))
         centres = np.array(model.clusterCenters())
@@ -169,7 +173,7 @@ def routed(rows: DataFrame, most: int, seed: int) -> DataFrame:
     own = staged(rows.select("id", "v", deal).mapInArrow(assign, f"id long, v {kind}, deal long, centre int"), "assigned")
     parts = np.ones(len(centres), np.int64)
     for centre, size in own.groupBy("centre").count().collect():  # a number for each centre
-        parts[centre] = -(-size // CELL_ROWS)
+        parts[centre] = -(-size // limit)
     first = np.cumsum(parts) - parts
     centre_of = np.repeat(np.arange(len(centres)), parts)
     m = min(most, len(centre_of))
@@ -194,24 +198,63 @@ def routed(rows: DataFrame, most: int, seed: int) -> DataFrame:
     return staged(own.mapInArrow(route, f"id long, v {kind}, cells array<int>, bounds array<double>"), "routed")
 
 
-def within(x: np.ndarray, y: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, distance) of at least the k nearest rows of y to each row of x that are no farther than ``far``."""
-    scale = (x * x).sum(1)[:, None], (y * y).sum(1)
-    square = x @ y.T
-    square *= -2
-    square += scale[0]
-    square += scale[1]
-    slack = 1e-9 * (scale[0][:, 0] + scale[1].max())  # what rounding may do to differences of almost equal numbers
-    bound = far * far * (1 + 1e-9) + slack
-    chosen = square <= bound[:, None]
-    many = np.flatnonzero(chosen.sum(1) > 2 * k)
-    if len(many):
-        kth = np.partition(square[many], k - 1, 1)[:, k - 1]
-        chosen[many] &= square[many] <= (kth + 2 * slack[many])[:, None]
-    i, j = np.nonzero(chosen)
-    d = straight(x, y, i, j)
-    near = d <= far[i]
-    return i[near], j[near], d[near]
+def finder(y: np.ndarray):
+    """A search for the rows of y that are near to others.
+
+    Floats choose: one product gives lower bounds of all squared distances about the
+    rows' mean, less by more than their rounding.  Distances of what they let through
+    are taken from the vectors themselves.
+    """
+    centre = y.mean(0)
+    centre = np.where(np.isfinite(centre), centre, 0)
+    d = y.shape[1]
+    most = lambda z: np.abs(z, where=np.isfinite(z), out=np.zeros_like(z)).max(initial=0)
+    largest = max(most(y), most(centre))
+
+    def lifted(z: np.ndarray, kind: type, guest: bool) -> np.ndarray:
+        z = z - centre
+        scale = (1 - (d + 8) * 2 * float(np.finfo(kind).eps)) * (z * z).sum(1)
+        ones = np.ones(len(z))
+        return np.column_stack([-2 * z, scale, ones] if guest else [z, ones, scale]).astype(kind)
+
+    held: dict[type, np.ndarray] = {}
+
+    def within(x: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, distance) of at least the k nearest rows of y to each row of x that are no farther than ``far``."""
+        top = max(largest, most(x))
+        kind = np.float32 if top < 1e15 else np.float64
+        if kind not in held:
+            held[kind] = lifted(y, kind, False).T
+        guests = lifted(x, kind, True)
+
+        def bound(d_max: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                square = (d_max * (1 + 1e-9) + 8 * d**0.5 * np.finfo(float).eps * top) ** 2 + float(np.finfo(kind).tiny) * (d + 2)
+                return np.nextafter(square.astype(kind), kind(np.inf))[:, None]
+
+        def chosen(most_low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of guests with rows whose lower bound is within the limit; a block of rows at a time stays in the cache."""
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for a in range(0, len(y), BLOCK):
+                i, j = np.divmod(np.flatnonzero(guests @ held[kind][:, a : a + BLOCK] <= most_low), min(BLOCK, len(y) - a))
+                out.append((i, a + j))
+            return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+        with np.errstate(over="ignore", invalid="ignore"):
+            # rows that have more than they need get a nearer limit: the k with the least bounds are as near as the k nearest at least
+            tight = far.copy()
+            some = np.arange(0, len(y), max(1, len(y) // 1024))
+            loose = np.flatnonzero(np.count_nonzero(guests @ held[kind][:, some] <= bound(far), 1) > max(2 * k, 16) * len(some) / len(y) * 8)
+            if len(loose) and len(y) > 2 * k:
+                at = np.argpartition(guests[loose] @ held[kind], k - 1, 1)[:, :k]
+                kth = straight(x, y, np.repeat(loose, k), at.ravel()).reshape(-1, k).max(1)
+                tight[loose] = np.fmin(far[loose], np.where(np.isfinite(kth), kth, np.inf))
+            i, j = chosen(bound(tight))
+        gap = straight(x, y, i, j)
+        near = gap <= far[i]
+        return i[near], j[near], gap[near]
+
+    return within
 
 
 def visited(rows: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
@@ -234,10 +277,11 @@ def visited(rows: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
     def compare(own: pa.Table, others: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if own.num_rows and others.num_rows:
-            ids, y, guest, far = own["id"].to_numpy(), rows_matrix(own["v"]), others["id"].to_numpy(), others["far"].to_numpy()
-            for a in range(0, others.num_rows, STRETCH):
-                some = others.slice(a, STRETCH)
-                i, j, d = within(rows_matrix(some["v"]), y, far[a : a + STRETCH], k + 1)
+            ids, guest, far = own["id"].to_numpy(), others["id"].to_numpy(), others["far"].to_numpy()
+            within = finder(rows_matrix(own["v"]))
+            for a in range(0, others.num_rows, STRETCH // 2):
+                some = others.slice(a, STRETCH // 2)
+                i, j, d = within(rows_matrix(some["v"]), far[a : a + STRETCH // 2], k + 1)
                 u, v = guest[a + i], ids[j]
                 u, v, d, i = (c[u != v] for c in (u, v, d, i))
                 at = np.lexsort((v, d, i))
@@ -290,6 +334,11 @@ def memberships(graph: DataFrame) -> DataFrame:
     place and s such that a row's weights add up to log2 of their number; both
     directions are joined by a + b - a b.
     """
+    return sides(graph).drop("forth")
+
+
+def sides(graph: DataFrame) -> DataFrame:
+    """Memberships (u, v, w, forth); forth: u has v among its neighbours."""
     lists = graph.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("near"))  # k of each row
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +359,10 @@ def memberships(graph: DataFrame) -> DataFrame:
                 s = np.where(np.isfinite(high), (low + high) / 2, s * 2)
                 s = np.clip(s, 1e-12, 1e12)
             ids = batch.column("id").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, other)), pa.array(np.maximum(ids, other)), pa.array(np.exp(-over_r / s[row]))], ["u", "v", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, other)), pa.array(np.maximum(ids, other)), pa.array(np.exp(-over_r / s[row])), pa.array(ids < other)], ["u", "v", "w", "forth"])
 
-    both = lists.mapInArrow(weigh, "u long, v long, w double").groupBy("u", "v")
-    return both.agg((F.sum("w") - F.when(F.count("*") > 1, F.min("w") * F.max("w")).otherwise(0.0)).alias("w"))
+    both = lists.mapInArrow(weigh, "u long, v long, w double, forth boolean").groupBy("u", "v")
+    return both.agg((F.sum("w") - F.when(F.count("*") > 1, F.min("w") * F.max("w")).otherwise(0.0)).alias("w"), F.max("forth").alias("forth"))
 
 
 def pulled(y: np.ndarray, head: np.ndarray, tail: np.ndarray, free: np.ndarray, step: float) -> None:
@@ -337,18 +386,18 @@ def pushed(y: np.ndarray, head: np.ndarray, away: np.ndarray, step: float) -> No
 
 
 def strip_epochs(anchors: np.ndarray, first: int, epochs: int, last: int, seed: int):
-    """Lays out the rows of a strip by edge sampling for some epochs; rows of other strips and random rows outside it keep their places."""
+    """Lays out the rows (id, x, y, edges) of a strip by edge sampling for some epochs; linked rows (id, x, y) of other strips and random rows outside it keep their places."""
 
-    def run(edges: pa.Table) -> pa.Table:
-        own, other = edges["id"].to_numpy(), edges["other"].to_numpy()
-        ids, at = np.unique(np.concatenate([own, other, anchors["id"]]), return_inverse=True)
+    def run(rows: pa.Table, linked_to: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")  # draws don't depend on the order in which rows arrive
+        own, edges = rows["id"].to_numpy(), rows["edges"].combine_chunks()
+        ids, at = np.unique(np.concatenate([own, linked_to["id"].to_numpy(), anchors["id"]]), return_inverse=True)
         y = np.zeros((len(ids), 2))
-        y[at[-len(anchors) :]] = anchors["y"]
-        head, tail, random = at[: len(own)], at[len(own) : 2 * len(own)], at[2 * len(own) :]
-        y[tail], y[head] = (np.stack([edges[f"{end}_{c}"].to_numpy() for c in "xy"], 1) for end in ("there", "here"))
+        y[at] = np.concatenate([*(np.stack([t[c].to_numpy() for c in "xy"], 1) for t in (rows, linked_to)), anchors["y"]])
+        other, w = (edges.flatten().field(i).to_numpy() for i in (0, 1))
+        head, tail, random = np.repeat(at[: len(own)], np.diff(edges.offsets.to_numpy())), np.searchsorted(ids, other), at[len(at) - len(anchors) :]
         free = np.zeros(len(ids))
         free[head] = 1
-        w = edges["w"].to_numpy()
         linked = w > 0
         chance = w / max(w.max(), 1e-300)
         rng = np.random.default_rng([seed, first, int(own.min())])
@@ -381,15 +430,13 @@ def layout(df: DataFrame, row_id: str, values: str, k: int = 30, rounds: int = 1
     n = rows.count()
     if n < 3:
         return rows.select(F.col("id").alias(row_id), F.lit(0.0).alias("x"), F.col("id").cast("double").alias("y"))
-    graph = staged(neighbour_graph(rows, "id", "v", k), "neighbours") if graph is None else graph
-    weights = memberships(graph)
+    graph = neighbour_graph(rows, "id", "v", k) if graph is None else graph
     # an edge belongs to its first row if that found it, else to the other
-    found = graph.select("id", "other")
-    sides = weights.join(found.select(F.col("id").alias("u"), F.col("other").alias("v"), F.lit(1).alias("forth")), ["u", "v"], "left")
-    owner, far = F.when(F.col("forth").isNotNull(), F.col("u")).otherwise(F.col("v")), F.when(F.col("forth").isNotNull(), F.col("v")).otherwise(F.col("u"))
-    owned = staged(sides.select(owner.alias("id"), far.alias("other"), "w"), "edges")
-    alone = rows.select("id").join(owned, "id", "left_anti").select("id", F.col("id").alias("other"), F.lit(0.0).alias("w"))  # so that each row has one
-    edges = staged(owned.unionByName(staged(alone, "edges")), "edges")
+    owner, far = (F.when(F.col("forth"), F.col(a)).otherwise(F.col(b)) for a, b in ("uv", "vu"))
+    owned = sides(graph).select(owner.alias("id"), F.struct(far.alias("other"), "w").alias("edge"))
+    owned = owned.groupBy("id").agg(F.sort_array(F.collect_list("edge")).alias("edges"))  # k of each row at most
+    alone = F.array(F.struct(F.col("id").alias("other"), F.lit(0.0).alias("w")))  # so that each row has one
+    edges = staged(rows.select("id").join(owned, "id", "left").select("id", F.coalesce("edges", alone).alias("edges")), "edges")
     placed = PCA(k=min(2, len(rows.first()["v"])), inputCol="__f", outputCol="__p").fit(at := rows.withColumn("__f", array_to_vector(F.col("v").cast("array<double>")))).transform(at)
     start = placed.select("id", vector_to_array("__p").alias("p"))
     flat = F.element_at("p", -1)
@@ -405,9 +452,10 @@ def layout(df: DataFrame, row_id: str, values: str, k: int = 30, rounds: int = 1
         some = dealt.orderBy(F.xxhash64("id", F.lit(r)), "id").limit(ANCHORS).select("id", "x", "y").toPandas()
         anchors = np.zeros(len(some), [("id", np.int64), ("y", float, 2)])
         anchors["id"], anchors["y"] = some.id.to_numpy(), some[["x", "y"]].to_numpy()
-        # the far end's place first, while edges are short
-        there = dealt.select(F.col("id").alias("other"), F.col("x").alias("there_x"), F.col("y").alias("there_y"))
-        here = dealt.select("id", "strip", F.col("x").alias("here_x"), F.col("y").alias("here_y"))
-        held = edges.join(there, "other").join(here, "id")
-        y = staged(held.groupBy("strip").applyInArrow(strip_epochs(anchors, r * epochs, epochs, rounds * epochs, seed), "id long, x double, y double"), "places")
+        # a strip gets the place of a row outside it once, not once for each edge
+        held = edges.join(dealt, "id").select("strip", "id", "x", "y", "edges")
+        asked = held.select(F.col("strip").alias("to"), F.explode("edges.other").alias("id")).repartition("id").distinct()
+        others = asked.join(dealt, "id").where(F.col("strip") != F.col("to")).select(F.col("to").alias("strip"), *[F.col(c).alias(c) for c in ("id", "x", "y")])
+        run = strip_epochs(anchors, r * epochs, epochs, rounds * epochs, seed)
+        y = staged(held.groupBy("strip").cogroup(others.groupBy("strip")).applyInArrow(run, "id long, x double, y double"), "places")
     return y.select(F.col("id").alias(row_id), "x", "y")

@@ -1,6 +1,7 @@
 """Neighbour graphs, memberships and layouts against brute force and planted groups."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -62,6 +63,38 @@ def test_vectors_move_once_for_each_cell_visited(spark, monkeypatch):
     assert len(rows) == 30_000 and np.mean([r.other == near[r.id, r.rank - 1] for r in rows]) == 1
 
 
+def test_bytes_of_neighbours_grow_as_the_rows(spark):
+    """With cells of 8,192 rows a row of the larger table was sent to five cells, in two rounds that each dealt the graph anew."""
+    x = np.random.default_rng(8).normal(0, 1, (40_000, 16)).astype(np.float32)
+    each = []
+    for n in (8000, 40_000):
+        df = spark.createDataFrame(pa.table({"id": pa.array(range(n), pa.int64()), "v": pa.FixedSizeListArray.from_arrays(x[:n].ravel(), 16).cast(pa.list_(pa.float32()))})).repartition(4)
+        before = shuffled_bytes(spark)
+        assert neighbours.neighbour_graph(df, "id", "v", 10, orders=2).count() == 10 * n
+        each.append((shuffled_bytes(spark) - before) / n)
+    assert each[1] < 1.15 * each[0]
+
+
+@pytest.mark.parametrize(("spread", "off"), [(1, 0), (1, 1e9), (1e-22, 0), (1e80, 0)])
+def test_chosen_rows_hold_the_nearest(spread, off):
+    """Floats only choose: equal rows, far-off means and numbers beyond floats lose no neighbour, nor does a row without a distance hide others."""
+    rng = np.random.default_rng(9)
+    y = rng.normal(0, 1, (900, 7)) * spread + off
+    y[100:140] = y[0]
+    y[200, 3], y[201, 2] = np.nan, np.inf
+    x = np.concatenate([y[:20], rng.normal(0, 1, (20, 7)) * spread + off])
+    with np.errstate(invalid="ignore", over="ignore"):
+        d = np.sqrt(((x[:, None] - y) ** 2).sum(2))
+    d[:, 200:202] = np.inf
+    within = neighbours.finder(y)
+    for far in (np.full(40, np.inf), np.full(40, 1.5 * spread), np.zeros(40)):
+        i, j, gap = within(x, far, 6)
+        for row in range(40):
+            wanted = set(np.flatnonzero((d[row] <= far[row]) & (d[row] <= np.sort(d[row])[5]) & (d[row] < np.inf)).tolist())
+            assert wanted <= set(j[i == row].tolist())
+        assert (gap == d[i, j]).all()
+
+
 def test_cells_of_copies_are_cut(spark, monkeypatch):
     """Ties go to the least ids, also where copies fill several cells; nothing that a bound leaves out is nearer."""
     monkeypatch.setattr(neighbours, "STRETCH", 32)
